@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, mixing, packing, secrets, toxicity
+from . import exact_dedup, language, licenses, mixing, neighbours, packing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_neighbours": neighbours.op2_neighbours,
     "op4_language": language.op4_language,
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_licenses": licenses.op7_licenses,
     "op8_packing": packing.op8_packing,
     "op9_secrets": secrets.op9_secrets,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
