@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common, graph
 
-SHINGLE, JACCARD = 4, (85, 100)
+SHINGLE, JACCARD = 5, (80, 100)
 GROWTH, SPARE, DEEP = 1.6, 1.15, 2
 BUCKET_BYTES, BLOCK_BYTES, FLUSH_BYTES = 12 << 20, 4 << 20, 8 << 20
 ENTRY = np.dtype([("sig", "<u4"), ("key", "<u8"), ("band", "u1"), ("need", "u1")])
@@ -59,7 +59,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Shingler:
     """Sets of shingle hashes of texts, many texts at a time, by array operations over their bytes."""
 
-    def __init__(self, n: int = SHINGLE) -> None:
+    def __init__(self, n: int = 1) -> None:
         self.n = n
         self.up, self.down = _powers(_BASE, 1 << 16), _powers(_INVERSE, 1 << 16)
 
@@ -373,4 +373,11 @@ def named(info: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(common.table(spark, sf_dir, "documents"))
+    return join(common.table(spark, sf_dir, "documents"), jaccard=(85, 100), shingle=4)
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """Of each connected group the rows with the smallest id; all columns as they are. Null ids and texts without words stay."""
+    found = join(docs, id_col, text_col, **how)
+    gone = common.stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")
+    return docs.join(gone, id_col, "left_anti")

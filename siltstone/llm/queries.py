@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, licenses, mixing, neighbours, ngram_join, packing, secrets, toxicity
+from . import exact_dedup, language, licenses, line_dedup, mixing, neighbours, ngram_join, packing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_neighbours": neighbours.op2_neighbours,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_language": language.op4_language,
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
