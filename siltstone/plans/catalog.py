@@ -32,7 +32,7 @@ def _load() -> None:
         import_module(f"siltstone.plans.{module}")
 
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("retrieval",)
 
 
 def queries() -> dict[str, Query]:
