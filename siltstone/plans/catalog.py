@@ -32,7 +32,7 @@ def _load() -> None:
         import_module(f"siltstone.plans.{module}")
 
 
-MODULES: tuple[str, ...] = ("retrieval",)
+MODULES: tuple[str, ...] = ("retrieval", "corpus")
 
 
 def queries() -> dict[str, Query]:
