@@ -191,7 +191,7 @@ def days_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", N.days_between(F.lit("1995-01-01"), end).alias("days"), N.days_between(F.lit("not a date"), end).alias("bad"))
 
 
-@query("price_cost", "SELECT event_id, CASE event_type WHEN 'click' THEN round((user_id * 0.25::DOUBLE + event_id * 1.5::DOUBLE) / 1e6::DOUBLE, 6) WHEN 'view' THEN round((user_id * 1.5::DOUBLE + event_id * 9.0::DOUBLE) / 1e6::DOUBLE, 6) END AS cost FROM events")
+@query("price_cost", "SELECT event_id, CASE event_type WHEN 'click' THEN round(((user_id * 0.25 + event_id * 1.5) / 1000000)::DECIMAL(38, 12), 6)::DOUBLE WHEN 'view' THEN round(((user_id * 1.5 + event_id * 9.0) / 1000000)::DECIMAL(38, 12), 6)::DOUBLE END AS cost FROM events")
 def price_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.when(F.col("event_type") == "click", "google/gemini-3.1-flash-lite-001").when(F.col("event_type") == "view", "gemini-3.5-flash").otherwise("another-model")
     return table(spark, sf_dir, "events").select("event_id", N.cost_usd(model, F.col("user_id"), F.col("event_id")).alias("cost"))
