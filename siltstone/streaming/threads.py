@@ -52,7 +52,7 @@ def thread_memory(turns: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame
 def tool_sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 day") -> DataFrame:
     """(user_id, start, stop, n_calls) of an event stream: sessions closed by the watermark."""
     window = F.session_window("ts", gap)
-    return events.withWatermark("ts", late).groupBy("user_id", window).agg(F.count("*").alias("n_calls")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "n_calls")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("user_id", window).agg(F.count("*").alias("n_calls")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "n_calls")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append") -> DataFrame:
-    """What a stream gives over the files that are there now, by way of a memory table."""
+    """What a stream gives over the files that are there now, by way of a memory table.
+
+    Idle limits in processing time would ask for batches without end, so none are run without data.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
