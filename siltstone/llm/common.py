@@ -57,3 +57,24 @@ def python_ready(spark: SparkSession, rows: int = 1000) -> None:
 def n_words(text: Column) -> Column:
     """Number of words, null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def share_below(share: float, seed: str, *columns: Column) -> Column:
+    """Whether a hash of ``columns`` falls in the first ``share`` of all hashes: a sample without an order, so nothing is gathered."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) < F.lit(int(min(1.0, share) * (1 << 53)))
+
+
+def runtime_filters(spark: SparkSession) -> None:
+    """Lets Spark prune the large side of a join, before it shuffles, by a Bloom filter of the other side's keys.
+
+    The filter is what is broadcast, and Spark bounds it (maxNumBits, 8 MB), whatever the number of keys; with more keys it
+    prunes less and the join stays right.
+    """
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "100g")
+
+
+def pruning(keys: DataFrame, what: str) -> DataFrame:
+    """``keys`` stored, as the side of a join that runtime_filters() builds a filter from (Spark asks for a selective predicate)."""
+    return stored(keys.withColumn("_side", F.lit(1)), what).where("_side = 1").drop("_side")

@@ -76,12 +76,15 @@ def groups(owned: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(bucket, hash, sha256, keep_id, group_size, chain), chain being the number of texts; and those that were compared."""
     counted = owned.groupBy("bucket", "hash", "sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     counted = common.stored(counted, "counted")
-    repeated = counted.groupBy("hash").agg(F.sum("group_size").alias("n")).where("n > 1").select("hash")
+    common.runtime_filters(counted.sparkSession)
+    repeated = common.pruning(counted.groupBy("hash").agg(F.sum("group_size").alias("n")).where("n > 1").select("hash"), "repeated")
+    # the digest is the first key, so copies are counted where they lie before they move again
     compared = (
         texts.join(repeated, "hash", "left_semi")
-        .groupBy("hash", "body")
+        .select("id", F.sha2("body", 256).alias("sha256"), "body")
+        .groupBy("sha256", "body")
         .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-        .withColumn("sha256", F.sha2("body", 256))
+        .withColumn("hash", F.xxhash64("body"))
     )
     chains = compared.groupBy("hash", "sha256").agg(F.count("*").alias("chain"))
     return counted.join(chains, ["hash", "sha256"], "left").withColumn("chain", F.coalesce("chain", F.lit(1))), compared

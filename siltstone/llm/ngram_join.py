@@ -79,6 +79,17 @@ class Shingler:
         run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * self.up[: len(data)], dtype=np.uint64)])
         return mix((run[end] - run[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
 
+    def lines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word hashes of many lines at once, the line of each word and its bytes. Lines hold no line feed."""
+        data = _LOWER[np.frombuffer("\n".join(lines).encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+        self._grow(len(data) + 1)
+        space = _SPACE[data]
+        edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1), append=np.int8(1)))
+        begin, end = edge[::2], edge[1::2]
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * self.up[: len(data)], dtype=np.uint64)])
+        hashes = mix((run[end] - run[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
+        return hashes, np.searchsorted(np.flatnonzero(data == 10), begin), end - begin
+
     def sets(self, text: str | None) -> np.ndarray:
         """Sorted hashes of the distinct shingles; all words as one if they are fewer than a shingle's."""
         w = self.words(text or "")
@@ -347,7 +358,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccar
     info, shared = met.where("run is null").select("doc_id", "n", "key"), met.where("run is not null").select("run", "key", "band", "need")
     cluster = clusters(shared)
     one = info.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    picked = common.stored(cluster.select(F.col("node").alias("key"), F.col("root").alias("cluster")).join(one, "key"), "picked")
+    common.runtime_filters(spark)
+    picked = common.pruning(cluster.select(F.col("node").alias("key"), F.col("root").alias("cluster")).join(one, "key"), "picked")
     texts = rows.join(picked, "doc_id").select("cluster", "key", "text")
     sets = texts.mapInArrow(lambda b: _sets(b, shingle), "cluster long, key long, packed binary").dropDuplicates(["cluster", "key"])
     sets = common.stored(sets, "sets")
