@@ -133,11 +133,12 @@ def train(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 0.
 
 
 def sample(docs: DataFrame, where: Column, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
-    """Texts and labels of the ``rows`` labelled rows that a hash of the id puts first."""
-    text = F.substring(F.col(text_col), 1, chars)
-    picked = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    picked = picked.select(text.alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit("language"), F.col(id_col)).alias("drawn"))
-    got = picked.orderBy("drawn", "lang", "text").limit(rows).collect()
+    """Texts and labels of about ``rows`` labelled rows, by a hash of the id."""
+    labelled = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    share = rows / max(1, labelled.count())
+    picked = labelled.where(common.share_below(share, "language", F.col(id_col)))
+    got = picked.select(F.substring(F.col(text_col), 1, chars).alias("text"), F.col(lang_col).alias("lang")).collect()
+    got.sort()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 

@@ -123,7 +123,7 @@ def nearest(
         return empty
     dim, total = lengths[0]["n"], lengths[0]["rows"]
     rows = rows.where(F.size("vector") == dim)
-    drawn = rows.select("vector", F.xxhash64(F.lit("pivot"), "vector").alias("h")).orderBy("h").limit(4 * pivots).collect()
+    drawn = rows.where(common.share_below(4 * pivots / total, "pivot", F.col("id"))).select("vector").collect()
     marks = np.unique(np.array([r["vector"] for r in drawn]), axis=0)
     marks = marks[np.random.default_rng(3).permutation(len(marks))[:pivots]]
     shards, blocks = -(-total // shard_rows), -(-max(1, rows.where("is_query").count()) // block_rows)

@@ -245,10 +245,11 @@ def train(positive: list[str], negative: list[str], seed: int = 5) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, where: Column, positive: int = SAMPLE_POSITIVE, negative: int = SAMPLE_NEGATIVE, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
-    """Texts of toxic and of other labelled documents: those whose id a hash puts first, up to a number of each."""
-    drawn = labels.where(where & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).withColumn("drawn", F.xxhash64(F.lit("toxicity"), "doc_id"))
-    ids = [(r["doc_id"], r["toxic"]) for label, n in ((1, positive), (0, negative)) for r in drawn.where(F.col("toxic") == label).orderBy("drawn").limit(n).collect()]
-    picked = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int").dropDuplicates(["doc_id"])  # at most positive + negative rows
+    """Texts of toxic and of other labelled documents, about so many of each, by a hash of the id."""
+    usable = labels.where(where & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in usable.where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    picked = [usable.where((F.col("toxic") == label) & common.share_below(n / max(1, counts.get(label, 0)), "toxicity", F.col("doc_id"))) for label, n in ((1, positive), (0, negative))]
+    picked = picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"])  # about positive + negative rows, whatever the table's size
     got = docs.where(F.col("text").isNotNull() & (F.length("text") <= chars)).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text").dropDuplicates()
     rows = got.collect()
     rows.sort(key=lambda r: (r["toxic"], r["text"]))
