@@ -7,8 +7,8 @@
    chance, whatever the size of the table), and the number of blocks follows from the width: a pair whose bits differ
    with probability FLIP shares one with probability RECALL. In a large block every line is compared with its neighbours in sketch
    order and with the first, so work stays linear and the group stays connected.
-3. Pairs fetch their lines from the bucketed table, which isn't shuffled again, and stay if the edit similarity reaches
-   SIMILARITY: of characters in lines up to LONG_LINE, of words in longer ones (two lines on either side of it don't link).
+3. Pairs fetch their lines from the bucketed table, which isn't shuffled again, and stay if the edit similarity of their
+   characters reaches SIMILARITY, whatever their length.
 4. Of each connected group the first occurrence, by document id and line, stays.
 """
 
@@ -33,8 +33,6 @@ SKETCH_BITS = 20  # of 64: what the sketches of lines worth comparing differ in
 NEIGHBOURS = 2
 #: Control characters, ASCII and Latin-1 marks and general punctuation: ranges, which a pattern tests fast.
 MARKS = "[\\x00-\\x1F!-/:-@\\[-`{-\\xA9\\xAB-\\xB4\\xB6-\\xB9\\xBB-\\xBF\\u2000-\\u206F]+"
-#: Edits count characters in lines of so many, words in longer ones (each word a character out of CODES by its hash).
-LONG_LINE, CODES = 200, 0x100000
 BUCKET_BYTES, FLUSH_BYTES, SLICE_CHARS = 12 << 20, 8 << 20, 1 << 18
 ENTRY = np.dtype([("sig", "<u4"), ("key", "<u8"), ("sketch", "<u8"), ("chars", "<u2")])
 U = np.uint64
@@ -148,29 +146,6 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines beside what edits are counted on: characters, or in lines of over LONG_LINE of them a character for each word.
-
-    The line itself stays in long ones only; in others it is what is compared.
-    """
-    shingler = Shingler()
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            out = batch.column("norm").to_pylist()
-            long = [i for i, x in enumerate(out) if len(x) > LONG_LINE]
-            for a in range(0, len(long), 64):
-                part = long[a : a + 64]
-                hashes, owner, _ = shingler.lines([out[i] for i in part])
-                codes = (hashes % U(CODES)).astype("<u4") + 0xE000  # beyond the surrogates
-                ends = np.searchsorted(owner, np.arange(len(part) + 1))
-                text = codes.tobytes().decode("utf-32-le")
-                for k, i in enumerate(part):
-                    out[i] = text[ends[k] : ends[k + 1]]
-            lines = [x if len(x) > LONG_LINE else None for x in batch.column("norm").to_pylist()]
-            columns = [pa.array(lines, pa.string()) if n == "norm" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.string())], names=[*batch.schema.names, "compared"])
-
-
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, row, line, raw, key): row tells apart rows that repeat an id, key is a hash of the line."""
     text = F.col(text_col)
@@ -199,23 +174,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = met.select("key", normalised(F.col("raw")).alias("norm"), "first", "n")
     name = f"siltstone_lines_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kinds = dict(met.dtypes)
-    met = met.mapInArrow(_compared, ", ".join(f"{c} {kinds[c]}" for c in met.columns) + ", compared string")
-    # after the Arrow step, so that the filter reads the normal form instead of making it again
-    line = F.coalesce("norm", "compared")
-    met = met.where(F.length(line) - F.length(F.translate(line, " ", "")) + 1 >= least_words)
+    met = met.where(F.length("norm") - F.length(F.translate("norm", " ", "")) + 1 >= least_words)
     met.write.bucketBy(parts, "key").option("compression", "zstd").option("path", common.scratch(spark, "lines")).saveAsTable(name)
     table = spark.table(name)
     width, blocks = shape(table.count())
     buckets = int(max(8, table.count() * blocks * ENTRY.itemsize // BUCKET_BYTES + 1))
-    packed = table.select("key", line.alias("norm")).mapInArrow(lambda b: _entries(b, buckets, width, blocks), "bucket int, packed binary")
+    packed = table.select("key", "norm").mapInArrow(lambda b: _entries(b, buckets, width, blocks), "bucket int, packed binary")
     pairs = packed.repartition(buckets, "bucket").mapInArrow(_near, "a long, b long").distinct()
     pairs = common.stored(pairs, "line-pairs")
-    text = [F.col("compared"), F.col("norm").isNotNull().alias("long")]
-    own = table.select(F.col("key").alias("a"), text[0].alias("x"), text[1].alias("xl"))
-    other = table.select(F.col("key").alias("b"), text[0].alias("y"), text[1].alias("yl"))
+    own = table.select(F.col("key").alias("a"), F.col("norm").alias("x"))
+    other = table.select(F.col("key").alias("b"), F.col("norm").alias("y"))
     allowed = F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(round(1 - similarity, 9))).cast("int")
-    links = pairs.join(own, "a").join(other, "b").where("xl = yl").withColumn("allowed", allowed).where(F.expr("levenshtein(x, y, allowed) >= 0")).select("a", "b")
+    links = pairs.join(own, "a").join(other, "b").withColumn("allowed", allowed).where(F.expr("levenshtein(x, y, allowed) >= 0")).select("a", "b")
     root = graph.components(links)
     firsts = table.select("key", "first", "n").join(root.withColumnRenamed("node", "key"), "key", "left")
     grouped = common.stored(firsts.where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root")), "line-groups")

@@ -179,6 +179,13 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(table(spark, [])).count() == 0
 
 
+def test_line_dedup_counts_characters_at_any_length(spark):
+    line = prose(11, 40)
+    short, long = line[:198], line[:198] + " or"  # on either side of 200 characters
+    kept = {r.doc_id: r.kept for r in line_dedup.line_dedup(table(spark, [(1, short), (2, long)])).collect()}
+    assert kept == {1: True, 2: False}
+
+
 LANGS = {"xx": ["blorf", "snarg", "plimt", "kruz"], "yy": ["amia", "lueo", "sania", "oreli"]}
 
 
