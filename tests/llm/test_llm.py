@@ -179,6 +179,25 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(table(spark, [])).count() == 0
 
 
+def test_line_blocks_are_compared_whole():
+    rng = np.random.default_rng(3)
+    e = np.zeros(600, dtype=line_dedup.ENTRY)
+    e["sig"], e["key"], e["root"], e["chars"] = rng.integers(0, 3, 600), np.arange(600), np.arange(600) // 2, rng.integers(30, 60, 600)
+    e["sketch"] = rng.integers(0, 1 << 62, 600, dtype=np.uint64)
+    e["sketch"][::7] = e["sketch"][0] ^ (np.uint64(1) << rng.integers(0, 63, 86, dtype=np.uint64))  # alike, far apart in order
+    brute = {
+        (i, j) for i in range(600) for j in range(i + 1, 600)
+        if e["sig"][i] == e["sig"][j] and e["root"][i] != e["root"][j] and int(e["sketch"][i] ^ e["sketch"][j]).bit_count() <= line_dedup.SKETCH_BITS
+        and min(e["chars"][i], e["chars"][j]) >= line_dedup.SIMILARITY * max(e["chars"][i], e["chars"][j])
+    }
+    for tile in (7, 1 << 20):
+        line_dedup.TILE = tile
+        got = [tuple(sorted(p)) for x, y in line_dedup.near(e) for p in zip(x.tolist(), y.tolist(), strict=True)]
+        assert len(got) == len(brute) and set(got) == brute
+    width, blocks = line_dedup.shape()
+    assert 1 - (1 - 0.8**width) ** blocks >= 0.9  # pairs with a fifth of their bits flipped, at any number of lines
+
+
 def test_line_dedup_counts_characters_at_any_length(spark):
     line = prose(11, 40)
     short, long = line[:198], line[:198] + " or"  # on either side of 200 characters
