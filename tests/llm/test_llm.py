@@ -205,6 +205,12 @@ def test_line_dedup_counts_characters_at_any_length(spark):
     assert kept == {1: True, 2: False}
 
 
+def test_line_dedup_measures_shortness_by_characters(spark):
+    line = "本公司董事会及全体董事保证本公告内容不存在任何虚假记载误导性陈述或者重大遗漏并对其内容的真实性承担责任"
+    rows = [(1, line), (2, line), (3, line.replace("重大", "重要")), (4, "x" * 40), (5, "x" * 40), (6, "Contact us"), (7, "contact us!"), (8, "另一行完全不同的文字在这里")]
+    assert [r.doc_id for r in line_dedup.line_dedup(table(spark, rows)).where("kept").orderBy("doc_id").collect()] == [1, 4, 6, 8]
+
+
 LANGS = {"xx": ["blorf", "snarg", "plimt", "kruz"], "yy": ["amia", "lueo", "sania", "oreli"]}
 
 
