@@ -59,6 +59,14 @@ def test_resolution_and_lookup(spark):
     assert got == {(1, 1, False), (2, 3, False), (3, 4, True)}  # the axis name never makes a segment match
 
 
+def test_xbrl_facts_reads_every_order(spark, sf):
+    from siltstone.plans import facts
+
+    keys = [r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()]
+    got = sorted((r.ticker, r.concept, r.value) for r in facts.xbrl_facts(spark, sf).collect() if r.concept.endswith("Revenues"))
+    assert got == sorted((f"T{k}", "us-gaap:Revenues", 1000.0 * k) for k in keys)
+
+
 def test_xbrl(spark):
     html = (
         '<html><xbrli:context id="c"><xbrli:period><xbrli:startDate>2024-01-01</xbrli:startDate><xbrli:endDate>2024-12-31</xbrli:endDate></xbrli:period></xbrli:context>'
