@@ -3,7 +3,8 @@
 A text is normalised to words of letters and digits in lower case, each with its place in the text. A bigram that some template
 has votes for the place where that template would begin, so only windows that share bigrams with a template are
 compared. A window of n words is compared to a template of m only if min / max of their bigram counts can reach the threshold: the
-Dice coefficient is at most 2 * min / (n + m). Texts without any word of ANCHORS are settled by a pattern inside the JVM.
+Dice coefficient is at most 2 * min / (n + m). A window that shares s bigrams has s of them at least, so its coefficient is at most
+2 * s / (s + m): a template with too few shared bigrams in a text, or around a place, is settled by that. Every text is scanned.
 """
 
 from __future__ import annotations
@@ -50,8 +51,6 @@ TEMPLATES = {
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.",),
     "proprietary": ("All rights reserved.",),
 }
-#: A text with none of these has no template's bigrams to a Dice coefficient of THRESHOLD.
-ANCHORS = r"(?i)licen[cs]e|rights[\s\p{P}\p{S}]+reserved|permission|warrant|redistribut|public[\s\p{P}\p{S}]+domain"
 FOUND = "doc_id long, license string, score double, start int, stop int"
 
 
@@ -78,29 +77,47 @@ class Templates:
             for j, pair in enumerate(zip(words, words[1:], strict=False)):
                 self.where[pair].append((i, j))
 
+    def short(self, shared: int, m: int) -> bool:
+        """Whether so many shared bigrams are too few for any window, beside a template of m."""
+        return 2 * shared < self.threshold * (shared + m) - 1e-9
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, score, start, stop) of the best windows that don't overlap, in order."""
-        words, places = normalised(text)
+        words = [w.lower() for w in WORD.findall(text)]
         votes: Counter = Counter()
         for at, pair in enumerate(zip(words, words[1:], strict=False)):
             for i, j in self.where.get(pair, ()):
                 votes[i, at - j] += 1
+        total: Counter = Counter()
+        for (i, _), n in votes.items():
+            total[i] += n
         hits = []
         for (i, begin), n in votes.items():
             name, wanted, own = self.all[i]
+            m = len(wanted) - 1
             slack = max(1, len(wanted) // 4)
             # a window with a Dice coefficient over the threshold has, on one of its diagonals, a vote for each run between edits
-            if n * (2 * slack + 1) < self.threshold * (len(wanted) - 1) / 2:
+            if self.short(total[i], m) or n * (2 * slack + 1) < self.threshold * m / 2:
+                continue
+            low, high = max(0, begin - slack), min(len(words), begin + len(wanted) + slack)
+            if self.short(sum((bigrams(words[low:high]) & own).values()), m):
                 continue
             best = (0.0, 0, 0)
-            for a in range(max(0, begin - slack), min(len(words), begin + slack) + 1):
-                for b in range(max(a + 2, begin + len(wanted) - slack), min(len(words), begin + len(wanted) + slack) + 1):
-                    size = b - a - 1
-                    if 2 * min(size, len(wanted) - 1) < self.threshold * (size + len(wanted) - 1):
-                        continue
-                    best = max(best, (dice(bigrams(words[a:b]), own), a - b, a))
+            for a in range(low, min(len(words), begin + slack) + 1):
+                least = max(a + 2, begin + len(wanted) - slack)
+                left, shared = dict(own), 0
+                for b in range(a + 2, high + 1):
+                    pair = (words[b - 2], words[b - 1])
+                    if left.get(pair, 0) > 0:
+                        left[pair] -= 1
+                        shared += 1
+                    if b >= least:
+                        best = max(best, (2 * shared / (b - a - 1 + m), a - b, a))
             if best[0] >= self.threshold:
                 hits.append((-best[0], best[1], best[2], name))
+        if not hits:
+            return []
+        places = normalised(text)[1]
         taken: list[tuple[int, int, float, str]] = []
         for score, size, a, name in sorted(set(hits)):
             if all(a - size <= x or y <= a for x, y, *_ in taken):
@@ -116,17 +133,14 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, tuple[str, ...
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "license", "score", "start", "stop"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD, anchors: str | None = ANCHORS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per licence text found: doc_id, license, score, and its span in code points, the end exclusive.
 
     Null, empty and licence-free texts give no row. Of windows that overlap the best stays: by score, then length, then
-    place, then name. Repeated rows give repeated answers; other columns are ignored. With templates of your own, give anchors that fit
-    them, or None to scan every text.
+    place, then name. Repeated rows give repeated answers; other columns are ignored.
     """
     common.python_ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    if anchors:
-        rows = rows.where(F.col("text").rlike(anchors))
     templates = templates or TEMPLATES
     return rows.mapInArrow(lambda b: _scan(b, templates, threshold), FOUND)
 

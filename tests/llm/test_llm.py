@@ -245,6 +245,13 @@ def test_licenses(spark):
     assert got[0][2] == "Released under the MIT License"
 
 
+def test_licenses_without_their_usual_words(spark):
+    bsd, mpl = licenses.TEMPLATES["BSD-3-Clause"][1], licenses.TEMPLATES["MPL-2.0"][0]
+    rows = [(1, bsd.replace("Redistribution", "Re-distribution")), (2, bsd.replace("Redistribution", "Distribution")), (3, mpl.replace("License", "Li-\ncense"))]
+    got = [(r.doc_id, r.license) for r in licenses.scan(table(spark, rows)).orderBy("doc_id").collect()]
+    assert got == [(1, "BSD-3-Clause"), (2, "BSD-3-Clause"), (3, "MPL-2.0")]
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
