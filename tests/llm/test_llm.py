@@ -252,6 +252,18 @@ def test_licenses_without_their_usual_words(spark):
     assert got == [(1, "BSD-3-Clause"), (2, "BSD-3-Clause"), (3, "MPL-2.0")]
 
 
+def test_licenses_name_the_right_one(spark):
+    texts = {
+        "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "BSD-2-Clause": licenses._BSD + licenses._BSD_END, "BSD-3-Clause": licenses._BSD + licenses._BSD_THIRD + licenses._BSD_END, "ISC": licenses._ISC, "Unlicense": licenses._UNLICENSE,
+    }
+    got = licenses.scan(table(spark, [(i, f"tek {t} vas") for i, t in enumerate(texts.values())])).orderBy("doc_id").collect()
+    assert [r.license for r in got] == list(texts)
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
