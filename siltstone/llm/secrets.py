@@ -25,9 +25,11 @@ KINDS = (
 #: What a text must hold for a kind to be worth looking for: the pattern with its least length where that is the same.
 HINTS = (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", r"AKIA[A-Z0-9]{16}", r"[0-9a-f]{24}")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
-#: Tokens that the models look at: with a digit, and long enough for a mean of transitions to mean something.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-TOKEN_HINT = r"(?=[A-Za-z+/_=-]{0,40}[0-9])[A-Za-z0-9+/_=-]{20}"
+#: Tokens that the models look at: long enough for a mean of transitions to mean something. Under LONG_TOKEN the mean has to
+#: be higher in proportion: the sum of a token that short has to reach what one of LONG_TOKEN needs.
+LEAST_TOKEN, LONG_TOKEN = 12, 20
+TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}"
+TOKEN_HINT = rf"[A-Za-z0-9+/_=-]{{{LEAST_TOKEN}}}"
 THRESHOLD = 0.9
 #: Words of ordinary identifiers, fixed values.
 WORDS = (
@@ -73,6 +75,8 @@ def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
         .otherwise(F.concat_ws("-", word(1), word(2), number, word(3), word(4)))
     )
     ids = spark.range(n, numPartitions=2)
+    # one in five in capitals, as constants and headings are
+    named = F.when(F.col("id") % 5 == 0, F.upper(named)).otherwise(named)
     return ids.select(drawn.alias("text"), F.lit(True).alias("random")).unionByName(ids.select(named.alias("text"), F.lit(False).alias("random")))
 
 
@@ -142,11 +146,12 @@ def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col:
     rows = rows.select("doc_id", "body", *[found(body, patterns[kind], kind, i, least, group if kind == "assign" else 0, HINTS[i]).alias(kind) for i, (kind, _, least, group) in enumerate(KINDS)])
     base = F.array_sort(F.concat("assign", "access", "hex"))
     rows = rows.select("doc_id", "body", base.alias("base"))
-    tokens = found(body, TOKEN, "random", len(KINDS), 20, 0, TOKEN_HINT)
+    tokens = found(body, TOKEN, "random", len(KINDS), LEAST_TOKEN, 0, TOKEN_HINT)
     ratios = F.array(*[F.lit(x) for x in table])
+    wanted = lambda t: threshold * F.greatest(F.lit(1.0), LONG_TOKEN / F.length(t))
     free = F.filter(
         tokens,
-        lambda t: t["value"].rlike("[0-9]") & ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])) & (ratio(t["value"], ratios) >= threshold),
+        lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])) & (ratio(t["value"], ratios) >= wanted(t["value"])),
     )
     return rows.select("doc_id", "base", free.alias("random"))
 

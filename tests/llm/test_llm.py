@@ -78,6 +78,12 @@ def test_secrets(spark):
     assert got[6].random and not got[7].random
 
 
+def test_secrets_without_digits_and_short_ones(spark):
+    texts = ["id qZxVkJwPmRtBnHgDlCfSyKqWzX", "id Zx9Qv7Lk2Wm8Rt", "load_user_account_settings configurationManager representatives"]
+    got = {r.doc_id: r.random for r in secrets.scan(table(spark, list(enumerate(texts))), secrets.train(secrets.samples(spark))).collect()}
+    assert [[(s.start, s.stop) for s in got[i]] for i in range(3)] == [[(3, 29)], [(3, 17)], []]
+
+
 def brute_components(sets, share):
     parent = {i: i for i in sets}
 
