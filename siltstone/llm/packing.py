@@ -11,11 +11,14 @@ length into its last sequences.
 from __future__ import annotations
 
 import json
+import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,49 +30,44 @@ SMALL = 128
 SEPARATOR = 1
 #: How a byte-level vocabulary of this family cuts text into pieces, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-CACHED, CACHED_LENGTH, FLUSH_BYTES = 200_000, 40, 16 << 20
+SCHEMA = "doc_id long, start long, length long, {ids}, doc_tokens long, sequence_id long, offset long"
+FLUSH_BYTES = 16 << 20
+LONG_RUN = re.compile(r"[^\S\x1C-\x1F]{1000,}")
 
 
 class Encoder:
-    """Ids as little-endian 32-bit integers; a special token's string in a text is ordinary text."""
+    """Ids as little-endian 32-bit integers, as the vocabulary's own library gives them without special tokens added.
 
-    def __init__(self, path: str) -> None:
-        import tiktoken
+    An added token's string in a text is that token; what lies between such strings is encoded part by part.
+    """
 
+    def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in spec.get("added_tokens", [])}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*shown}))}
-        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added}
         self.encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[str, bytes] = {}
-        import re
-
-        self.blank = re.compile(r"\s ").search
-
-    def _encode(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        """Words with the space before them are encoded once and kept: no piece crosses a space that follows a
-        character other than white space, as the pattern takes at most one space before a word."""
-        if not text.isprintable() and self.blank(text) or "  " in text:
-            return self._encode(text)
-        first, *rest = text.split(" ")
-        cache, get = self.cache, self.cache.get
-        out = [self._encode(first)]
-        found = list(map(get, rest))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    word = rest[i]
-                    ids = get(word) or self._encode(" " + word)
-                    if len(cache) < CACHED and len(word) <= CACHED_LENGTH:
-                        cache[word] = ids
-                    found[i] = ids
-        return b"".join(out + found)
+        if self.cut is None or not any(token in text for token in self.added):
+            return self._plain(text)
+        return b"".join(self.added[part] if part in self.added else self._plain(part) for part in self.cut.split(text) if part)
+
+    def _plain(self, text: str) -> bytes:
+        if not LONG_RUN.search(text):
+            return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        # a run of white space is one piece but for its last character, which goes with what follows; said here, as the
+        # pattern's look-ahead can't step back over runs of any length
+        out, at = [], 0
+        for run in LONG_RUN.finditer(text):
+            stop = run.end() - (run.end() < len(text))
+            ids = self.encoding._encode_single_piece(text[run.start() : stop])
+            out += [self._plain(text[at : run.start()]), b"".join(i.to_bytes(4, "little") for i in ids)]
+            at = stop
+        return b"".join([*out, self._plain(text[at:])])
 
 
 @lru_cache(maxsize=2)
@@ -101,13 +99,15 @@ def _first_fit(pieces: list[tuple], capacity: int) -> list[list[tuple]]:
     return bins
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, separator: int | None) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, separator: int | None, digest: bool) -> Iterator[pa.RecordBatch]:
     encode, end = encoder(path), b"" if separator is None else separator.to_bytes(4, "little")
     sequence = TaskContext.get().partitionId() << 40
     classes: dict[int, list] = defaultdict(list)
     ready: list[tuple] = []
     size = 0
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    ids_type = pa.int64() if digest else pa.binary()
+    names = ["doc_id", "start", "length", "ids_crc32" if digest else "ids", "doc_tokens", "sequence_id", "offset"]
+    types = [pa.int64(), pa.int64(), pa.int64(), ids_type, pa.int64(), pa.int64(), pa.int64()]
 
     def close(pieces: list[tuple]) -> None:
         nonlocal sequence, size
@@ -120,19 +120,20 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, separator
 
     def flush() -> pa.RecordBatch:
         nonlocal size
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ready, strict=True), schema.types, strict=True)], schema=schema)
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ready, strict=True), types, strict=True)], names=names)
         ready.clear()
         size = 0
         return out
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = encode(text or "") + end
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids = memoryview(encode(text.as_py() or "") + end)
             tokens, start = len(ids) // 4, 0
             for length in cuts(tokens, capacity):
                 k = capacity // length
                 bin_ = classes[k]
-                bin_.append((doc_id, start, length, ids[4 * start : 4 * (start + length)], tokens))
+                own = ids[4 * start : 4 * (start + length)]
+                bin_.append((doc_id, start, length, zlib.crc32(own) if digest else own.tobytes(), tokens))
                 start += length
                 if len(bin_) == k:
                     close(bin_)
@@ -145,15 +146,17 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, separator
         yield flush()
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, separator: int | None = SEPARATOR) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, separator: int | None = SEPARATOR, digest: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
-    Null texts are empty: a document of the separator alone (without a separator, no piece). Rows that repeat an id are
-    documents of their own; null ids stay null. An empty table gives an empty result. Other columns are ignored.
+    With ``digest`` the ids' crc32 (ids_crc32) comes in place of the ids, so they never leave the task. Null texts are
+    empty: a document of the separator alone (without a separator, no piece). Rows that repeat an id are
+    documents of their own; null ids stay null, ids of any type are kept as longs where they can be. An empty table gives an
+    empty result; texts of any length are packed whole. Other columns are ignored.
     """
     common.python_ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda batches: _pack(batches, path, capacity, separator), SCHEMA)
+    return rows.mapInArrow(lambda batches: _pack(batches, path, capacity, separator, digest), SCHEMA.format(ids="ids_crc32 long" if digest else "ids binary"))
 
 
 def tokenizer_path() -> str:
@@ -162,9 +165,5 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def digests(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(pack(common.table(spark, sf_dir, "documents"), tokenizer_path()))
+    return pack(common.table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)

@@ -275,9 +275,11 @@ def test_packing_round_trip(spark):
 
     path = packing.tokenizer_path()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    texts = ["", None, "a", "a  b\n\n c \t d", " lead", "tail ", "x\n y", "it's 42%  <|endoftext|> é  z", prose(1, 9000), "w" * 5000, "\n\n\n"] + [prose(i, i) for i in range(120)]
-    pieces = packing.digests(packing.pack(table(spark, list(enumerate(texts))), path)).toPandas()
+    texts = ["<|endoftext|>", "<|endoftext|><|endoftext|> x\n", "tail <|endoftext|> x", " " * 3000 + "a", "a" + "\n \t" * 2000, "b" + " " * 1500 + "\nc <|endoftext|>" + " " * 1200, "", None, "a", "a  b\n\n c \t d", " lead", "tail ", "x\n y", "it's 42%  <|endoftext|> é  z", prose(1, 9000), "w" * 5000, "\n\n\n"] + [prose(i, i) for i in range(120)]
+    rows = list(enumerate(texts))
+    pieces = packing.pack(table(spark, rows), path, digest=True).toPandas()
+    ids_of = {(r.doc_id, r.start): zlib.crc32(r.ids) for r in packing.pack(table(spark, rows), path).collect()}
+    assert ids_of == {(r.doc_id, r.start): r.ids_crc32 for r in pieces.itertuples()}
     for i, text in enumerate(texts):
         ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [1], dtype="<u4")
         own = pieces[pieces.doc_id == i].sort_values("start")
@@ -286,6 +288,8 @@ def test_packing_round_trip(spark):
     for _, bin_ in pieces.sort_values("offset").groupby("sequence_id"):
         assert bin_.offset.tolist() == [0, *bin_.length.cumsum().tolist()[:-1]] and bin_.length.sum() <= 2048
     assert packing.pack(table(spark, []), path).count() == 0
+    twice = packing.pack(table(spark, [(5, "a b"), (5, "a b"), (None, "c"), (5, None)]), path, digest=True).collect()
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in twice) == [(0, 2), (5, 1), (5, 3), (5, 3)]
 
 
 def test_cuts():
