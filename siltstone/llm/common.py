@@ -64,6 +64,11 @@ def share_below(share: float, seed: str, *columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) < F.lit(int(min(1.0, share) * (1 << 53)))
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (stored, so that counting is cheap) to broadcast where it has ``rows`` rows at most; any more and it is joined as usual."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def runtime_filters(spark: SparkSession) -> None:
     """Lets Spark prune the large side of a join, before it shuffles, by a Bloom filter of the other side's keys.
 

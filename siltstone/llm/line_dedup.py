@@ -1,21 +1,20 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, verified edit similarity, one occurrence kept per group.
 
-1. Equal lines meet by a 64-bit hash, pre-aggregated; the distinct lines are normalised (lower case, marks to
-   single spaces) and stored bucketed by that hash.
-2. A line's SimHash over its longer words (over runs of characters as well, where words are few or unspaced) is cut into blocks; lines that share a block are compared by a 64-bit sketch and their lengths, within
-   the bucket where the block lands. WIDTH is the same at every size, and the number of blocks follows from it: a pair whose bits
-   differ with probability FLIP shares one with probability RECALL. All pairs of a block are compared, but for those that a
-   first round has put in one group: in it lines share one of few wide blocks (FIRST) and are compared with their neighbours
-   in sketch order and the block's first, which connects large groups in linear work.
-3. Pairs fetch their lines from the bucketed table, which isn't shuffled again, and stay if the edit similarity of their
-   characters reaches SIMILARITY, whatever their length.
-4. Of each connected group the first occurrence, by document id and line, stays.
+1. Lines are known by 128 bits of a digest; equal ones are counted by it, without their texts.
+2. A line is normalised (lower case, marks to single spaces) and sketched by a SimHash of its words. Its blocks come from the
+   pigeonhole principle on its runs of characters: of two similar lines most runs stay whole, so each of TABLES seeded orders of the
+   runs takes the first and the last of a line as its block. Two lines whose runs have a Jaccard similarity J share a block with
+   probability 1 - (1 - J * J) ** TABLES, whatever the number of lines; bits of the SimHash itself as blocks would need
+   many more blocks for that (README has the figures).
+3. Lines that share a block and whose sketches differ in SKETCH_BITS at most are candidates: all pairs of a block of up to SMALL lines. In larger
+   blocks a first round joins neighbours in sketch order and each line with the block's first, and a second round compares all pairs
+   that the first has left in different groups, in tiles of bounded size.
+4. Candidates fetch their lines and stay if the edit similarity of their characters reaches SIMILARITY, whatever their length.
+5. Of each connected group the first occurrence, by document id and line, stays.
 """
 
 from __future__ import annotations
 
-import math
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,30 +24,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, graph
-from .ngram_join import Shingler, mix
+from .ngram_join import mix
 
 #: Lines of fewer words and fewer characters stay: six characters are three words of two in a script without spaces.
 SIMILARITY, LEAST_WORDS, LEAST_CHARS = 0.8, 3, 6
-#: Of pairs of similar lines (edit similarity 0.8, lines up to 157 characters of sf0.01) 0.12 of the bits differ in the median and 0.19 at the 95th percentile.
-FLIP, RECALL, WIDTH = 0.2, 0.9, 12
-FIRST = (24, 4)  # block width and number of blocks of the first round
-SKETCH_BITS = 22  # of 64: what the sketches of lines worth comparing differ in at most; by chance 32 do
-NEIGHBOURS, TILE = 2, 1 << 20
+#: Runs of RUN bytes from each word's start. Lines of up to FEW_WORDS words, or without spaces, have blocks and a sketch of runs of
+#: SHORT_RUN at every byte too.
+TABLES, RUN, SHORT_RUN, FEW_WORDS, UNSPACED = 12, 8, 5, 8, 20
+LONG_WORD = 4  # bytes; shorter words, which all lines share, count in the sketch of a line without longer ones only
+SKETCH_BITS = np.array([36, 42])  # of 128, by kind of block: what the sketches of similar lines differ in at most; by chance 64 do
+SMALL, TILE, HOT = 16, 4096, 256
+FILTER_BITS = 24  # of the filter that picks the lines of candidates: 2 MB, whatever the table's size
 #: Control characters, ASCII and Latin-1 marks and general punctuation: ranges, which a pattern tests fast.
 MARKS = "[\\x00-\\x1F!-/:-@\\[-`{-\\xA9\\xAB-\\xB4\\xB6-\\xB9\\xBB-\\xBF\\u2000-\\u206F]+"
-BUCKET_BYTES, FLUSH_BYTES, SLICE_CHARS = 12 << 20, 8 << 20, 1 << 18
-ENTRY = np.dtype([("sig", "<u4"), ("key", "<u8"), ("root", "<u8"), ("sketch", "<u8"), ("chars", "<u2")])
+BUCKET_BYTES, FLUSH_BYTES, SLICE_CHARS = 12 << 20, 8 << 20, 1 << 20
+ENTRY = np.dtype([("sig", "<u8"), ("key", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("chars", "<u2"), ("kind", "u1"), ("hot", "?")])
 U = np.uint64
-LONG_WORD, LEAST_LONG = 4, 4
-#: Lines of up to so many words, or of so many characters a word, meet by their runs of three characters too.
-FEW_WORDS, UNSPACED, GRAM = 4, 12, 3
+_LETTER = np.ones(256, bool)
+_LETTER[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = False
 _LANES = (np.arange(1 << 16, dtype=np.uint64)[:, None] >> np.arange(16, dtype=np.uint64) & U(1) << U(0)) << (U(4) * np.arange(16, dtype=np.uint64))
 _LANES = _LANES.sum(axis=1, dtype=np.uint64)  # the bits of sixteen, four bits apart
-
-
-def shape(width: int = WIDTH) -> tuple[int, int]:
-    """(block width in bits, number of blocks)."""
-    return width, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - FLIP) ** width))
+_SEEDS = [U(int(x)) for x in np.random.default_rng(29).integers(1, 1 << 63, TABLES, dtype=np.uint64) | U(1)]
+_PRIME = 0x100000001B3
+_INVERSE = pow(_PRIME, -1, 1 << 64)
 
 
 def simhash(words: np.ndarray, begin: np.ndarray, bits: int) -> np.ndarray:
@@ -67,135 +65,214 @@ def simhash(words: np.ndarray, begin: np.ndarray, bits: int) -> np.ndarray:
     return 2 * ones.astype(np.int32) > (ends - begin)[:, None]
 
 
-def features(lines: list[str], shingler: Shingler) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words that tell lines apart (LONG_WORD bytes or more; all of them where a line has few), and where lines start."""
-    words, owner, size = shingler.lines(lines)
-    long = size >= LONG_WORD
-    few = np.bincount(owner[long], minlength=len(lines)) < LEAST_LONG
-    use = long | few[owner]
-    owner = owner[use]
-    return words[use], np.searchsorted(owner, np.arange(len(lines)))
-
-
-def grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of runs of GRAM characters (a line of fewer is one run), and where lines start."""
-    points = [np.frombuffer(x.ljust(GRAM).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for x in lines]
-    runs = [sum((p[k : len(p) - GRAM + 1 + k] << U(21 * k) for k in range(GRAM)), start=U(0)) for p in points]
-    return mix(np.concatenate(runs)), np.cumsum([0, *map(len, runs[:-1])])
-
-
-def _entries(batches: Iterator[pa.RecordBatch], buckets: int, width: int, blocks: int) -> Iterator[pa.RecordBatch]:
-    """Packed block entries of lines (key, line, root)."""
-    shingler = Shingler()
+class Lines:
+    """Normalised lines as one array of bytes: their words and runs as hashes."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, p, dtype=np.uint64)])) for p in (_PRIME, _INVERSE))
+        return self.up, self.down
+
+    def read(self, lines: list[str]) -> tuple[np.ndarray, ...]:
+        """(hashes of the words that tell lines apart, their lines, [(run hashes, their lines) of both kinds], characters a line, words a line). Lines hold no line feed."""
+        data = np.frombuffer("\n".join([*lines, ""]).lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        feed = data == 10
+        space = ~_LETTER[data]
+        space[:-1] |= data[:-1] == 0xC2  # Latin-1 marks: C2 and a second byte
+        space[1:] |= data[:-1] == 0xC2
+        mark = (data[:-2] == 0xE2) & (data[1:-1] >= 0x80) & (data[1:-1] <= 0x81) if len(data) > 2 else np.zeros(0, bool)
+        for k in range(3 if len(mark) else 0):
+            space[k : len(data) - 2 + k] |= mark  # general punctuation: E2, 80 or 81, and a third byte
+        keep = feed | ~space
+        keep[1:] |= ~space[:-1]
+        data, space, feed = data[keep], space[keep], feed[keep]
+        blank = space & ~feed  # single spaces by now: those at a line's edges go
+        keep = ~blank
+        keep[1:-1] |= ~feed[:-2] & ~feed[2:]
+        keep[:1] = ~blank[:1]
+        space, feed = space[keep], feed[keep]
+        data = np.where(space & ~feed, np.uint8(32), data[keep])
+        line = np.cumsum(feed) - feed
+        n_chars = np.bincount(line[(data & 0xC0 != 0x80) & ~feed], minlength=len(lines))
+        edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1), append=np.int8(1)))
+        begin, end = edge[::2], edge[1::2]
+        up, down = self._powers(len(data) + 1)
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + U(1)) * up[: len(data)], dtype=np.uint64)])
+        words = mix((run[end] - run[begin]) * down[begin] + (end - begin).astype(np.uint64))
+        of = line[begin]
+        n_words = np.bincount(of, minlength=len(lines))
+        few = (n_words > 0) & ((n_words <= FEW_WORDS) | (n_chars >= UNSPACED * n_words))
+        stop = np.flatnonzero(feed)
+
+        def runs(start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+            owner = line[start]
+            fits = (start + length <= stop[owner]) | (np.diff(owner, prepend=-1) > 0)  # a line's first run stays, however short
+            start, owner = start[fits], owner[fits]
+            last = np.minimum(start + length, stop[owner])
+            return mix((run[last] - run[start]) * down[start] + (last - start).astype(np.uint64)), owner
+
+        telling = (end - begin >= LONG_WORD) | (np.bincount(of, end - begin >= LONG_WORD, len(lines)) == 0)[of]
+        return words[telling], of[telling], [runs(begin, RUN), runs(np.flatnonzero(few[line] & ~feed), SHORT_RUN)], n_chars, n_words
+
+
+def _entries(batches: Iterator[pa.RecordBatch], buckets: int, least_words: int, least_chars: int) -> Iterator[pa.RecordBatch]:
+    """Packed block entries of lines (key, line)."""
+    reader = Lines()
+    seen: set[int] = set()
     held: list[np.ndarray] = []
-    where: list[np.ndarray] = []
     size = 0
-    place = np.arange(blocks, dtype=np.uint64) + U(1)
 
     def flush() -> pa.RecordBatch:
-        entries, bucket = np.concatenate(held), np.concatenate(where)
+        nonlocal size
+        e = np.concatenate(held)
+        e = e[np.argsort(e["sig"], kind="stable")]
+        place = e["sig"]
+        first = np.flatnonzero(np.diff(place, prepend=place[0] ^ U(1)))
+        many = np.repeat(np.diff(first, append=len(e)), np.diff(first, append=len(e))) > HOT
+        if many.any():  # a block that is hot here is spread over buckets, but for one entry that tells its own bucket
+            e["hot"] = many
+            many[first] = False
+            place = np.where(many, mix(place ^ (e["key"] % U(1021))), place)
+        bucket = ((place >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        entries, bucket = entries[order], bucket[order]
+        e, bucket = e[order], bucket[order]
         cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
         held.clear()
-        where.clear()
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int32()), pa.array([entries[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["bucket", "packed"])
+        size = 0
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int32()), pa.array([e[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["bucket", "packed"])
 
     with np.errstate(over="ignore"):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            roots = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            lines = batch.column(1).to_pylist()
+            fresh = []
+            for i, k in enumerate(keys.tolist()):
+                if k not in seen:
+                    fresh.append(i)
+                    seen.add(k)
+            if len(seen) > 500_000:
+                seen.clear()
+            if not fresh:
+                continue
+            keys, lines = keys[fresh], batch.column(1).take(pa.array(fresh)).to_pylist()
             ends = np.cumsum([len(x) for x in lines])
             a = 0
             while a < len(lines):
                 b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_CHARS)))
-                part = lines[a:b]
-                n_words = np.array([x.count(" ") + 1 for x in part])
-                chars = np.array([len(x) for x in part])
-                few = np.flatnonzero((n_words <= FEW_WORDS) | (chars >= UNSPACED * n_words))
-                kinds = [(np.arange(b - a), place, lambda ls: features(ls, shingler))]
-                if len(few):
-                    kinds.append((few, place + U(blocks), grams))
-                for of, places, made in kinds:
-                    bits = simhash(*made([part[i] for i in of]), width * blocks + 64)
-                    values = (bits[:, : width * blocks].reshape(len(of), blocks, width) * (1 << np.arange(width, dtype=np.int64))).sum(axis=2).astype(np.uint64)
-                    sig = mix(values * U(128) + places).ravel()
-                    e = np.empty(len(sig), dtype=ENTRY)
-                    e["sig"], e["key"] = sig & U(0xFFFFFFFF), np.repeat(keys[a:b][of], blocks)
-                    e["root"] = np.repeat(roots[a:b][of], blocks)
-                    e["sketch"] = np.repeat(np.packbits(bits[:, width * blocks : width * blocks + 64], axis=1).view(np.uint64).ravel(), blocks)
-                    e["chars"] = np.repeat(np.minimum(chars[of], 65535), blocks)
-                    held.append(e)
-                    where.append(((sig >> U(32)) * U(buckets) >> U(32)).astype(np.int32))
-                    size += e.nbytes
+                words, of, kinds, n_chars, n_words = reader.read(lines[a:b])
+                use = (n_words > 0) & ((n_words >= least_words) | (n_chars >= least_chars))
+                for kind, (runs, owner) in enumerate(kinds):
+                    has = np.unique(owner)
+                    if not len(has):
+                        continue
+                    at = np.searchsorted(owner, has)
+                    made = (words, np.searchsorted(of, has)) if kind == 0 else (runs, at)
+                    sketch = np.packbits(simhash(*made, 128), axis=1).view(np.uint64)
+                    e = np.empty((TABLES, len(has)), dtype=ENTRY)
+                    e["key"], e["s0"], e["s1"], e["chars"], e["kind"], e["hot"] = keys[a:b][has], sketch[:, 0], sketch[:, 1], np.minimum(n_chars[has], 65535), kind, False
+                    for t, seed in enumerate(_SEEDS):
+                        x = runs * seed
+                        e["sig"][t] = mix(np.minimum.reduceat(x, at) * U(3) + np.maximum.reduceat(x, at) + U(t + kind * TABLES))
+                    held.append(e[:, use[has]].ravel())
+                    size += held[-1].nbytes
                 a = b
                 if size >= FLUSH_BYTES:
                     yield flush()
-                    size = 0
         if held:
             yield flush()
 
 
 def alike(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether entries look alike and are not of one group yet."""
+    """Whether sketches and lengths of entries allow for similar lines."""
     short, long = np.minimum(e["chars"][i], e["chars"][j]), np.maximum(e["chars"][i], e["chars"][j])
-    return (np.bitwise_count(e["sketch"][i] ^ e["sketch"][j]) <= SKETCH_BITS) & (short >= SIMILARITY * long) & (e["root"][i] != e["root"][j])
-
-
-def close(e: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of keys that share a block and look alike, of neighbours in sketch order and of each with its block's first."""
-    e = e[np.lexsort((e["key"], e["sketch"], e["sig"]))]
-    first = np.flatnonzero(np.diff(e["sig"].astype(np.int64), prepend=-1))
-    leader = np.repeat(first, np.diff(first, append=len(e)))
-    at = np.arange(len(e))
-    for other in [*(at - k for k in range(1, NEIGHBOURS + 1)), leader]:
-        i = np.flatnonzero((other >= leader) & (other < at))
-        j = other[i]
-        ok = alike(e, i, j)
-        yield e["key"][i[ok]], e["key"][j[ok]]
-
-
-def near(e: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of keys that share a block and look alike: all of them, some TILE comparisons at a time."""
-    e = e[np.lexsort((e["key"], e["chars"], e["sig"]))]
-    # a line is compared with those after it in its block, up to the length that can still be similar
-    wide = e["sig"].astype(np.int64) << 20
-    upto = np.searchsorted(wide + e["chars"], wide + np.floor(e["chars"] / SIMILARITY + 1e-6).astype(np.int64), side="right")
-    many = upto - np.arange(len(e)) - 1
-    total = np.cumsum(many)
-    a = 0
-    while a < len(e):
-        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + TILE, side="right")))
-        for c in range(0, int(many[a]), TILE) if b == a + 1 else (0,):
-            n = np.minimum(many[a:b] - c, TILE) if b == a + 1 else many[a:b]
-            i = np.repeat(np.arange(a, b), n)
-            j = i + 1 + c + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            j = j[(ok := np.bitwise_count(e["sketch"][i] ^ e["sketch"][j]) <= SKETCH_BITS)]
-            i = i[ok]
-            ok = alike(e, i, j)
-            yield e["key"][i[ok]], e["key"][j[ok]]
-        a = b
-
-
-def _near(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    far = np.bitwise_count(e["s0"][i] ^ e["s0"][j]) + np.bitwise_count(e["s1"][i] ^ e["s1"][j])
+    return (far <= SKETCH_BITS[e["kind"][i]]) & (short >= np.floor(SIMILARITY * long))
+
+
+def pairs_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of keys, and which entries lie in blocks of more than SMALL lines, hot ones included (in order of the entries returned).
+
+    Small blocks give all their pairs, others neighbours in sketch order and each line with its block's first.
+    """
+    e = e[np.lexsort((e["key"], e["s0"], e["sig"]))]
+    same = (e["sig"][1:] == e["sig"][:-1]) & (e["key"][1:] == e["key"][:-1])
+    e = e[np.concatenate([[True], ~same])]
+    first = np.flatnonzero(np.concatenate([[True], e["sig"][1:] != e["sig"][:-1]]))
+    n = np.diff(first, append=len(e))
+    big = (n > SMALL) | np.logical_or.reduceat(e["hot"], first)
+    leader, large, left = np.repeat(first, n), np.repeat(big, n), np.arange(len(e))
+    found = []
+    for k in range(1, SMALL):
+        i = left[(left - k >= leader) & (~large | (k <= 2))]
+        found.append((i, i - k))
+    i = np.flatnonzero(large & (left > leader))
+    found.append((i, leader[i]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    ok = alike(e, i, j)
+    return e["key"][i[ok]], e["key"][j[ok]], e[large]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b) of candidate pairs, and rows (block, key, s0, s1, chars, kind) of the lines in large blocks."""
     buckets: dict[int, list[bytes]] = defaultdict(list)
     for batch in batches:
         for b, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             buckets[b].append(packed)
-    for b in list(buckets):
-        for x, y in (near if every else close)(np.frombuffer(b"".join(buckets.pop(b)), dtype=ENTRY)):
-            if len(x):
-                x, y = x.view(np.int64), y.view(np.int64)
-                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
+    names = ["a", "b", "block", "key", "s0", "s1", "chars", "kind"]
+    with np.errstate(over="ignore"):
+        for b in list(buckets):
+            x, y, large = pairs_of(np.frombuffer(b"".join(buckets.pop(b)), dtype=ENTRY))
+            x, y = x.view(np.int64), y.view(np.int64)
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+            none = [pa.nulls(len(pairs), pa.int64())] * 4 + [pa.nulls(len(pairs), pa.int32())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *none], names=names)
+            none = [pa.nulls(len(large), pa.int64())] * 2
+            columns = [pa.array(np.ascontiguousarray(large[c]).view(np.int64)) for c in ("sig", "key", "s0", "s1")]
+            yield pa.RecordBatch.from_arrays([*none, *columns, pa.array(large["chars"].astype(np.int32)), pa.array(large["kind"].astype(np.int32))], names=names)
+
+
+def across(keys: np.ndarray, e: np.ndarray, roots: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of a unit between lines of different roots; where a unit has two sides, pairs across them."""
+    _, root, many = np.unique(roots, return_inverse=True, return_counts=True)
+    order = np.argsort(many[root], kind="stable")
+    two = side.min() < side.max()
+    if not two:
+        order = order[: len(order) - many.max()]  # the largest group is compared with the others only
+    open_ = np.ones(len(e), bool)
+    for i in order.tolist():
+        open_[i] = False
+        j = np.flatnonzero(open_ & (root != root[i]) & ((side != side[i]) | (not two)))
+        j = j[alike(e, np.full(len(j), i), j)]
+        if len(j):
+            yield np.full(len(j), keys[i]), keys[j]
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of units: rows (unit, side, key, root, s0, s1, chars, kind) come sorted by unit."""
+    held: list[pa.RecordBatch] = []
+
+    def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        column = {c: rows.column(c).to_numpy() for c in rows.column_names}
+        e = np.empty(len(rows), dtype=ENTRY)
+        e["s0"], e["s1"], e["chars"], e["kind"] = column["s0"].view(np.uint64), column["s1"].view(np.uint64), column["chars"], column["kind"]
+        cut = np.flatnonzero(np.diff(column["unit"], prepend=column["unit"][0] ^ 1, append=column["unit"][-1] ^ 1))
+        for a, b in zip(cut, cut[1:], strict=False):
+            for x, y in across(column["key"][a:b], e[a:b], column["root"][a:b], column["side"][a:b]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, row, line, raw, key): row tells apart rows that repeat an id, key is a hash of the line."""
-    text = F.col(text_col)
-    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("line", "raw"))
-    return rows.withColumn("key", F.xxhash64("raw"))
+    for batch in batches:
+        if not len(batch):
+            continue
+        units = batch.column(0).to_numpy()
+        last = int(np.searchsorted(units, units[-1]))  # where the last unit begins, which may go on
+        if held and units[0] != held[0].column(0)[0].as_py() or last:
+            yield from settle(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield from settle(pa.Table.from_batches(held))
 
 
 def normalised(line: Column) -> Column:
@@ -204,6 +281,139 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(marks, " {2,}", " "))
 
 
+def eligible(raw: Column, least_words: int, least_chars: int) -> Column:
+    """Whether a line has so many words or characters; a line with a long run of letters need not be normalised for that."""
+    norm = normalised(raw)
+    n_words = F.length(norm) - F.length(F.translate(norm, " ", "")) + 1
+    return F.when(raw.rlike(rf"[\p{{L}}\p{{N}}]{{{max(1, least_chars)}}}"), True).otherwise((n_words >= least_words) | (F.length(norm) >= least_chars))
+
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row, line, raw, short): row tells apart rows that repeat an id, short is a hash under which candidates are looked up."""
+    text = F.col(text_col)
+    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("line", "raw"))
+    return rows.withColumn("short", F.xxhash64("raw"))
+
+
+def line_key(raw: Column) -> Column:
+    """The 128 bits that a line is known by."""
+    return F.unhex(F.md5(raw))
+
+
+def edits(x: str, y: str) -> int:
+    """Edit distance, by bit-parallel columns over integers of any length."""
+    if not x or not y:
+        return len(x) + len(y)
+    at: dict[str, int] = {}
+    for i, c in enumerate(x):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top = (1 << len(x)) - 1, 1 << (len(x) - 1)
+    up, down, score = full, 0, len(x)
+    for c in y:
+        eq = at.get(c, 0)
+        across_ = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | ~(across_ | up), up & across_
+        score += 1 if plus & top else -1 if minus & top else 0
+        plus, minus = plus << 1 | 1, minus << 1
+        up, down = (minus | ~(across_ | plus)) & full, plus & across_ & full
+    return score
+
+
+def common_edge(x: str, y: str) -> int:
+    """Length of the longest prefix that two texts share."""
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if x[low:middle] == y[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def similar(x: str, y: str, similarity: float = SIMILARITY) -> bool:
+    """Whether the edit similarity of two lines reaches ``similarity``: 1 - edits / longer length.
+
+    What they share at either end is cut off; if words in place of words are few enough edits, so are the characters' edits.
+    """
+    allowed = int(max(len(x), len(y)) * round(1 - similarity, 9) + 1e-9)
+    a = common_edge(x, y)
+    x, y = x[a:], y[a:]
+    b = common_edge(x[::-1], y[::-1])
+    x, y = x[: len(x) - b], y[: len(y) - b]
+    if max(len(x), len(y)) <= allowed:
+        return True
+    if abs(len(x) - len(y)) > allowed:
+        return False
+    u, v = x.split(" "), y.split(" ")
+    if len(u) == len(v) and sum(max(len(p), len(q)) for p, q in zip(u, v, strict=True) if p != q) <= allowed:
+        return True
+    return edits(x, y) <= allowed
+
+
+def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b) of those of rows (a, x, b, y) whose lines are similar."""
+    for batch in batches:
+        keep = [similar(x, y, similarity) for x, y in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
+
+
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """2 ** FILTER_BITS bits, as bytes: those set that the hashes ``wanted`` fall on. At most 2 ** (FILTER_BITS - 6) rows come to the driver."""
+    slot = F.shiftrightunsigned("short", 64 - FILTER_BITS).cast("int")
+    words = wanted.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(short, {64 - FILTER_BITS}) as int) & 63)").alias("bit"))
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype="<i8")
+    out[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little")
+
+
+def _picked(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (short, raw) whose hash falls on a bit that is set."""
+    for batch in batches:
+        at = batch.column(0).to_numpy().view(np.uint64) >> U(64 - FILTER_BITS)
+        yield batch.filter(pa.array(bits[at.astype(np.int64)].astype(bool)))
+
+
+def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of keys, of the candidate pairs whose lines are similar, and (short, key) of all lines of pairs.
+
+    Of all texts only those move that a filter of bounded size lets through.
+    """
+    wanted = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct(), "line-wanted")
+    bits = np.packbits(_filter(wanted))
+    some = lines.select("short", "raw").mapInArrow(lambda b: _picked(b, np.unpackbits(bits)), "short long, raw string")
+    texts = some.withColumn("key", line_key(F.col("raw"))).dropDuplicates(["key"]).join(wanted, "short", "left_semi")
+    texts = common.stored(texts.select("short", "key", normalised(F.col("raw")).alias("norm")), "line-texts")
+    own = texts.select(F.col("short").alias("sa"), F.col("key").alias("a"), F.col("norm").alias("x"))
+    other = texts.select(F.col("short").alias("sb"), F.col("key").alias("b"), F.col("norm").alias("y"))
+    both = pairs.toDF("sa", "sb").join(own, "sa").join(other, "sb").select("a", "x", "b", "y")
+    links = both.mapInArrow(lambda b: _similar(b, similarity), "a binary, b binary")
+    return common.stored(links, "line-links"), texts.select("short", "key")
+
+
+def candidates(lines: DataFrame, n_chars: int, least_words: int, least_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) of short keys, and the lines (block, key, s0, s1, chars, kind) of large blocks."""
+    # about one line in three hundred characters
+    buckets = int(max(8, n_chars // 300 * TABLES * ENTRY.itemsize // BUCKET_BYTES + 1))
+    packed = lines.select("short", "raw").mapInArrow(lambda b: _entries(b, buckets, least_words, least_chars), "bucket int, packed binary")
+    schema = "a long, b long, block long, key long, s0 long, s1 long, chars int, kind int"
+    met = common.stored(packed.repartition(buckets, "bucket").mapInArrow(_candidates, schema), "line-candidates")
+    return common.stored(met.where("a is not null").select("a", "b").distinct(), "line-pairs"), met.where("block is not null").select("block", "key", "s0", "s1", "chars", "kind").distinct()
+
+
+def second_round(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of large blocks between lines that have not met; ``roots``: (key, root) of short keys."""
+    rows = large.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    blocks = rows.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("root").alias("low"), F.max("root").alias("high"))
+    blocks = common.stored(blocks.where("low < high").select("block", "tiles"), "line-blocks")
+    units = rows.join(blocks, "block").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    low, high = F.least("tile", "other"), F.greatest("tile", "other")
+    units = units.select(F.xxhash64("block", low, high).alias("unit"), (F.col("tile") != low).cast("int").alias("side"), "key", "root", "s0", "s1", "chars", "kind")
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_across, "a long, b long").distinct()
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, row, line, keep_doc_id, keep_line, kept) for every line of every text, lines counted from 0.
 
@@ -211,41 +421,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty line. Of equal or similar lines that are connected, the first by document id (null last) and line stays. Rows that repeat id and
     text are one occurrence: they stay or go together. An empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    common.python_ready(spark)
+    common.python_ready(docs.sparkSession)
     lines = lines_of(docs, id_col, text_col)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "row")
-    met = lines.groupBy("key").agg(F.first("raw").alias("raw"), F.min(place).alias("first"), F.count("*").alias("n"))
-    met = met.select("key", normalised(F.col("raw")).alias("norm"), "first", "n")
-    name = f"siltstone_lines_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_words = F.length("norm") - F.length(F.translate("norm", " ", "")) + 1
-    met = met.where((n_words >= least_words) | (F.length("norm") >= least_chars))
-    met.write.bucketBy(parts, "key").option("compression", "zstd").option("path", common.scratch(spark, "lines")).saveAsTable(name)
-    table = spark.table(name)
-    count = table.count()
-
-    def linked(lines: DataFrame, shape: tuple[int, int], every: bool) -> DataFrame:
-        """Similar pairs (a, b) of lines (key, norm, root) that share a block."""
-        width, blocks = shape
-        buckets = int(max(8, count * blocks * ENTRY.itemsize // BUCKET_BYTES + 1))
-        packed = lines.mapInArrow(lambda b: _entries(b, buckets, width, blocks), "bucket int, packed binary")
-        pairs = common.stored(packed.repartition(buckets, "bucket").mapInArrow(lambda b: _near(b, every), "a long, b long").distinct(), "line-pairs")
-        own = table.select(F.col("key").alias("a"), F.col("norm").alias("x"))
-        other = table.select(F.col("key").alias("b"), F.col("norm").alias("y"))
-        allowed = F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(round(1 - similarity, 9))).cast("int")
-        return pairs.join(own, "a").join(other, "b").withColumn("allowed", allowed).where(F.expr("levenshtein(x, y, allowed) >= 0")).select("a", "b")
-
-    links = common.stored(linked(table.select("key", "norm", F.col("key").alias("root")), FIRST, False), "line-links")
-    root = graph.components(links).withColumnRenamed("node", "key")
-    links = links.unionByName(linked(table.select("key", "norm").join(root, "key", "left").select("key", "norm", F.coalesce("root", "key").alias("root")), shape(), True))
+    n_chars = docs.agg(F.sum(F.length(text_col)).alias("n")).collect()[0]["n"] or 0
+    places = common.stored(lines.select("doc_id", "row", "line", line_key(F.col("raw")).alias("key"), eligible(F.col("raw"), least_words, least_chars).alias("eligible")), "line-places")
+    pairs, large = candidates(lines, n_chars, least_words, least_chars)
+    links, keys = verified(pairs, lines, similarity)
     root = graph.components(links)
-    firsts = table.select("key", "first", "n").join(root.withColumnRenamed("node", "key"), "key", "left")
+    if not large.isEmpty():
+        roots = keys.join(root, F.col("key") == F.col("node")).groupBy(F.col("short").alias("key")).agg(F.min(F.xxhash64("root")).alias("root"))
+        more = common.stored(second_round(large, roots).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+        if not more.isEmpty():
+            root = graph.components(links.unionByName(verified(more, lines, similarity)[0]))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "row")
+    firsts = places.where("eligible").groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(root.withColumnRenamed("node", "key"), "key", "left")
     grouped = common.stored(firsts.where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root")), "line-groups")
     keep = grouped.groupBy("root").agg(F.min("first").alias("keep"))
     kept = common.stored(grouped.join(keep, "root").select("key", "keep"), "line-keeps")
-    spark.sql(f"DROP TABLE {name}")  # its files stay in the shared folder
-    out = lines.drop("raw").join(kept, "key", "left")
+    out = places.join(kept, "key", "left")
     mine = F.col("keep").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep")["doc_id"]) & (F.col("row") == F.col("keep")["row"]) & (F.col("line") == F.col("keep")["line"]))
     return out.select(
         "doc_id", "row", "line",

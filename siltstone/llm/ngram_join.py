@@ -1,15 +1,20 @@
 """N-gram Jaccard join, exact: a partition of the universe with pigeonhole signatures.
 
 A document's set holds 64-bit hashes of its distinct word shingles. Sizes fall into bands; a band fixes how many elements two sets that link may
-differ in (bound H), and cuts the universe, by hash, into segments, SPARE for each of H + 1. Sets that link differ
-in at most H segments, so
+differ in (bound H), and cuts the universe, by hash, into segments, SPARE for each of H + 1. What a set holds of a segment is its
+subset there, and each subset that isn't empty is indexed. Sets that link differ in at most H segments, so
 
-* a set with more than H segments that aren't empty shares one of them whole with each set it links with: one signature a segment;
-* of two sets with fewer, a segment differs in one element at most: these few post one-deletion neighbourhoods too. Where H <= 2 there is
-  one segment, and neighbourhoods go H deep.
+* a set with more than H subsets shares all but H of them, at least, with each set that it links with;
+* sparse sets, with H subsets or fewer, post one-deletion neighbourhoods of their subsets too: if no subset that two of them both have differs in
+  one element at most, they have H subsets or fewer together;
+* for that case sets with H / 2 subsets or fewer look up the elements of their prefix (in hash order), which all sparse sets index: linked
+  sets share one. Where H <= 2 there is one segment, and neighbourhoods go H deep.
 
-Allocation by cost: a segment that no other set has costs nothing and excludes; a set is a candidate only while the segments that it
-shares with any other are as many as a link needs (all but H). That is checked on counts before any pair exists, so a passage in a
+So every link is found, but for equal 64-bit hashes of different shingles or sets.
+
+Allocation by cost: subsets that no other set has cost nothing and exclude. A set is a candidate only while the subsets that it
+shares with any other are as many as a link needs; and of these it looks up the cheapest only (by the length of their postings), leaving out as
+many as a link needs less one. That is settled on counts before any pair exists, so a passage in a
 third of all documents makes no candidates. What is left forms clusters; a cluster goes to tasks in blocks of bounded size, each pair
 of blocks one task, where sizes, a byte for each fine segment (differing bytes bound the difference from below) and union-find
 settle most pairs, and the sets themselves decide the others. Only the links that join something are given out.
@@ -25,13 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common, graph
 
 SHINGLE, JACCARD = 5, (80, 100)
 GROWTH, SPARE, DEEP = 1.6, 1.15, 2
-BUCKET_BYTES, BLOCK_BYTES, FLUSH_BYTES = 12 << 20, 4 << 20, 8 << 20
+BUCKET_BYTES, BLOCK_BYTES, BLOCK_ROWS, FLUSH_BYTES = 12 << 20, 4 << 20, 512, 8 << 20
 ENTRY = np.dtype([("sig", "<u4"), ("key", "<u8"), ("band", "u1"), ("need", "u1")])
 U = np.uint64
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
@@ -141,9 +147,9 @@ def _salt(band: int, kind: int) -> np.uint64:
 
 
 def signatures(s: np.ndarray, bands: Bands) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(band, need, signatures): of all segments that aren't empty, and for sets with few of them their neighbourhoods.
+    """(band, need, signatures): of all subsets that aren't empty, and for sparse sets of their neighbourhoods and prefix.
 
-    ``need`` is how many shared signatures a link takes at least.
+    ``need`` is how many shared signatures a link takes at least; 0 for signatures that are there to be looked up only.
     """
     for band in bands.of_size(len(s)):
         _, h, m = bands.band(band)
@@ -160,9 +166,12 @@ def signatures(s: np.ndarray, bands: Bands) -> Iterator[tuple[int, int, np.ndarr
         full = np.flatnonzero(sizes)
         place = mix(np.arange(m, dtype=np.uint64) + _salt(band, 2))
         yield band, max(1, min(255, len(full) - h)), mix(sums[full] ^ place[full])
-        if len(full) <= h:  # both sets of a pair may have few: whole segments and one-deletions meet here
+        if len(full) <= h:  # both sets of a pair may be sparse: subsets and their one-deletions meet here
             apart = _salt(band, 3)
-            yield band, 1, np.unique(np.concatenate([mix(sums ^ place ^ apart), mix((sums[seg] - s) ^ place[seg] ^ apart)]))
+            less = s[sizes[seg] > 1]
+            yield band, 1, np.unique(np.concatenate([mix(sums[full] ^ place[full] ^ apart), mix((sums[seg[sizes[seg] > 1]] - less) ^ place[seg[sizes[seg] > 1]] ^ apart)]))
+            prefix = s[: len(s) - -(-bands.share * len(s) // bands.of) + 1]
+            yield band, int(2 * len(full) <= h), mix(prefix ^ _salt(band, 3) ^ U(1))
 
 
 def _entries(batches: Iterator[pa.RecordBatch], buckets: int, jaccard: tuple[int, int], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -173,6 +182,8 @@ def _entries(batches: Iterator[pa.RecordBatch], buckets: int, jaccard: tuple[int
     where: list[np.ndarray] = []
     size = 0
 
+    id_type = pa.null()
+
     def row(doc_ids: pa.Array, n: pa.Array, keys: pa.Array, bucket: pa.Array, packed: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([doc_ids, n, keys, bucket, packed], names=["doc_id", "n", "key", "bucket", "packed"])
 
@@ -185,10 +196,11 @@ def _entries(batches: Iterator[pa.RecordBatch], buckets: int, jaccard: tuple[int
         held.clear()
         where.clear()
         none = pa.nulls(len(packed), pa.int64())
-        return row(none, none, none, pa.array(bucket[cut[:-1]].astype(np.int32), pa.int32()), pa.array(packed, pa.binary()))
+        return row(pa.nulls(len(packed), id_type), none, none, pa.array(bucket[cut[:-1]].astype(np.int32), pa.int32()), pa.array(packed, pa.binary()))
 
     with np.errstate(over="ignore"):
         for batch in batches:
+            id_type = batch.column(0).type
             ns, keys = [], []
             for text in batch.column(1).to_pylist():
                 s = shingler.sets(text)
@@ -217,17 +229,17 @@ def _entries(batches: Iterator[pa.RecordBatch], buckets: int, jaccard: tuple[int
             yield flush()
 
 
-SHARED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("run", pa.int64()), ("band", pa.int32()), ("need", pa.int32())])
-
-
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents' rows as they came, and entries of the signatures that two keys or more have: (key, run, band, need)."""
+    """The documents' rows as they came, and entries of the signatures that two keys or more have: (key, run, band, need, cost)."""
+    names = ["doc_id", "n", "key", "run", "band", "need", "cost"]
+    types = [pa.null(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
     buckets: dict[int, list[bytes]] = defaultdict(list)
     for batch in batches:
         doc_id, n, key, bucket, packed = batch.columns
+        types[0] = doc_id.type
         whole = packed.is_null()
         docs = [c.filter(whole) for c in (doc_id, n, key)]
-        yield pa.RecordBatch.from_arrays([*docs, *(pa.nulls(len(docs[0]), t) for t in SHARED.types[3:])], schema=SHARED)
+        yield pa.RecordBatch.from_arrays([*docs, *(pa.nulls(len(docs[0]), t) for t in types[3:])], names=names)
         for b, p in zip(bucket.to_pylist(), packed.to_pylist(), strict=True):
             if p is not None:
                 buckets[b].append(p)
@@ -235,17 +247,23 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = np.frombuffer(b"".join(buckets.pop(b)), dtype=ENTRY)
         e = e[np.argsort(e["sig"])]
         begin = np.flatnonzero(np.diff(e["sig"].astype(np.int64), prepend=-1))
-        apart = np.minimum.reduceat(e["key"], begin) != np.maximum.reduceat(e["key"], begin)
+        # a run is worth something if two sets have it and one of them looks it up
+        apart = (np.minimum.reduceat(e["key"], begin) != np.maximum.reduceat(e["key"], begin)) & (np.maximum.reduceat(e["need"], begin) > 0)
         e = e[np.repeat(apart, np.diff(begin, append=len(e)))]
         e = e[np.lexsort((e["key"], e["sig"]))]
         if len(e):
             e = e[np.concatenate([[True], (e["sig"][1:] != e["sig"][:-1]) | (e["key"][1:] != e["key"][:-1])])]
         run = (np.int64(b) << 32) | e["sig"].astype(np.int64)
+        begin = np.flatnonzero(np.diff(run, prepend=-1))
+        many = np.diff(begin, append=len(e))
+        cost = np.repeat(many, many)
         for a in range(0, len(e), 50_000):
             p = e[a : a + 50_000]
-            none = pa.nulls(len(p), pa.int64())
-            columns = [none, none, pa.array(np.ascontiguousarray(p["key"]).view(np.int64)), pa.array(run[a : a + 50_000]), pa.array(p["band"].astype(np.int32)), pa.array(p["need"].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, schema=SHARED)
+            columns = [pa.nulls(len(p), t) for t in types[:2]] + [
+                pa.array(np.ascontiguousarray(p["key"]).view(np.int64)), pa.array(run[a : a + 50_000]), pa.array(p["band"].astype(np.int32)),
+                pa.array(np.maximum(p["need"], 1).astype(np.int32)), pa.array(cost[a : a + 50_000].astype(np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -334,62 +352,90 @@ def _verified(batches: Iterator[pa.RecordBatch], jaccard: tuple[int, int]) -> It
 
 
 def clusters(shared: DataFrame) -> DataFrame:
-    """(node, root) of the keys that still share as many signatures as a link takes."""
-    enough = shared.groupBy("key", "band").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need")
-    left = common.stored(shared.select("run", "key", "band").join(enough.select("key", "band"), ["key", "band"], "left_semi").select("run", "key"), "candidates")
-    first = left.groupBy("run").agg(F.min("key").alias("a"), F.max("key").alias("last")).where("a <> last").select("run", "a")
+    """(node, root) of the keys that still share as many signatures as a link takes, by the runs that one of them looks up.
+
+    A set leaves out its need - 1 costliest shared signatures: what it links with shares need of them at least.
+    """
+    of = W.partitionBy("key", "band")
+    rows = shared.withColumn("n", F.count("*").over(of)).withColumn("need", F.min("need").over(of)).where("n >= need")
+    rows = rows.withColumn("looks", F.row_number().over(of.orderBy("cost", "run")) <= F.col("n") - F.col("need") + 1)
+    left = common.stored(rows.select("run", "key", "looks"), "candidates")
+    first = left.groupBy("run").agg(F.min("key").alias("a"), F.max("key").alias("last"), F.max("looks").alias("looks")).where("looks and a <> last").select("run", "a")
     return graph.components(left.join(first, "run").select("a", F.col("key").alias("b")))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: tuple[int, int] = JACCARD, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row: component_id is the smallest id reachable by links, its own included.
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text): doc is what a row counts as, its id (null last) and a hash of its text."""
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return docs.select(F.struct(ident.isNull().alias("last"), ident.alias("id"), F.xxhash64(text).alias("row")).alias("doc"), text.alias("text"))
 
-    Null, empty and blank texts have no shingle and no link. Equal sets link. Rows that repeat an id are documents of
-    their own that answer to one name. An empty table gives an empty result; other columns are ignored.
-    """
-    spark = docs.sparkSession
+
+def linked(rows: DataFrame, jaccard: tuple[int, int], shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, n, key) of the rows (doc, text), key being that of a row's set, and (node, root) of the keys that link."""
+    spark = rows.sparkSession
     common.python_ready(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    doc_type = rows.schema["doc"].dataType.simpleString()
     size = rows.agg(F.sum(F.length("text")).alias("n")).collect()[0]["n"] or 0
     # about one word of five characters in three leaves a signature
     buckets = int(max(8, size * ENTRY.itemsize // 15 // BUCKET_BYTES + 1))
-    made = rows.mapInArrow(lambda b: _entries(b, buckets, jaccard, shingle), "doc_id long, n long, key long, bucket int, packed binary")
-    met = common.stored(made.repartition(buckets, "bucket").mapInArrow(_shared, "doc_id long, n long, key long, run long, band int, need int"), "shared")
-    info, shared = met.where("run is null").select("doc_id", "n", "key"), met.where("run is not null").select("run", "key", "band", "need")
+    made = rows.mapInArrow(lambda b: _entries(b, buckets, jaccard, shingle), f"doc {doc_type}, n long, key long, bucket int, packed binary")
+    met = made.repartition(buckets, "bucket").mapInArrow(_shared, f"doc {doc_type}, n long, key long, run long, band int, need int, cost long")
+    met = common.stored(met, "shared")
+    info, shared = met.where("run is null").select("doc", "n", "key"), met.where("run is not null").select("run", "key", "band", "need", "cost")
     cluster = clusters(shared)
-    one = info.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    one = info.where("key is not null").groupBy("key").agg(F.min("doc").alias("doc"))
     common.runtime_filters(spark)
-    picked = common.pruning(cluster.select(F.col("node").alias("key"), F.col("root").alias("cluster")).join(one, "key"), "picked")
-    texts = rows.join(picked, "doc_id").select("cluster", "key", "text")
+    picked = cluster.select(F.col("node").alias("key"), F.col("root").alias("cluster")).join(one, "key")
+    picked = common.pruning(picked.select("cluster", "key", F.col("doc")["id"].alias("_id"), F.col("doc")["row"].alias("_row")), "picked")
+    texts = rows.select(F.col("doc")["id"].alias("id"), F.col("doc")["row"].alias("row"), "text")
+    texts = texts.join(picked, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))).select("cluster", "key", "text")
     sets = texts.mapInArrow(lambda b: _sets(b, shingle), "cluster long, key long, packed binary").dropDuplicates(["cluster", "key"])
     sets = common.stored(sets, "sets")
-    blocks = sets.groupBy("cluster").agg(F.ceil(F.sum(F.length("packed") + 64) / BLOCK_BYTES).cast("int").alias("blocks"))
+    size_of = F.greatest(F.sum(F.length("packed") + 64) / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)
+    blocks = sets.groupBy("cluster").agg(F.ceil(size_of).cast("int").alias("blocks"))
     units = sets.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     units = units.select(F.xxhash64("cluster", low, high).alias("unit"), (F.col("block") != low).cast("int").alias("side"), "key", "packed")
     tasks = int(max(8, size // (64 << 20)))
     units = units.repartition(tasks, "unit").sortWithinPartitions("unit", "key")
-    links = units.mapInArrow(lambda b: _verified(b, jaccard), "a long, b long")
-    found = graph.components(links)
-    return named(info, found)
+    return info, graph.components(units.mapInArrow(lambda b: _verified(b, jaccard), "a long, b long"))
+
 
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: tuple[int, int] = JACCARD, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row: component_id is the smallest id reachable by links, its own included.
 
-def named(info: DataFrame, found: DataFrame) -> DataFrame:
-    """Components by the smallest id of their documents."""
-    by_key = info.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
+    Null, empty and blank texts have no shingle and no link. Equal sets link. Rows that repeat an id are documents of
+    their own that answer to one name; rows without an id have the smallest id that they link with, if any. Ids are of any type that has an order.
+    An empty table gives an empty result; texts of any length are read whole; other columns are ignored.
+    """
+    info, found = linked(rows_of(docs, id_col, text_col), jaccard, shingle)
+    by_key = info.where("key is not null").groupBy("key").agg(F.min("doc").alias("first"))
     rooted = common.stored(by_key.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root")), "rooted")
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = rooted.join(names, "root").select("key", "component_id")
-    return info.join(names, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    names = rooted.groupBy("root").agg(F.min("first").alias("smallest"))
+    names = rooted.join(names, "root").select("key", F.col("smallest")["id"].alias("component_id"))
+    own = F.col("doc")["id"]
+    return info.join(names, "key", "left").select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", own).alias("component_id"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents"), jaccard=(85, 100), shingle=4)
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Of each connected group the rows with the smallest id; all columns as they are. Null ids and texts without words stay."""
-    found = join(docs, id_col, text_col, **how)
-    gone = common.stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")
-    return docs.join(gone, id_col, "left_anti")
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: tuple[int, int] = JACCARD, shingle: int = SHINGLE) -> DataFrame:
+    """Of each connected group the row with the smallest id (null last); all columns as they are.
+
+    Rows count by id and text: of rows that repeat an id with different texts each stays or goes by its own links, and rows
+    that repeat both stay or go together. Texts without words stay. An empty table gives an empty result.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # of our own, so that no column's name clashes
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    ident, text = F.col(names[id_col]), F.col(names[text_col])
+    info, found = linked(rows_of(docs, id_col, text_col), jaccard, shingle)
+    rooted = info.where("key is not null").select("doc", "key").distinct().join(found.withColumnRenamed("node", "key"), "key", "left")
+    rooted = common.stored(rooted.select("doc", F.coalesce("root", "key").alias("root")), "rooted")
+    keep = rooted.groupBy("root").agg(F.min("doc").alias("keep"))
+    gone = rooted.join(keep, "root").where(F.col("doc") != F.col("keep"))
+    gone = common.stored(gone.select(F.col("doc")["id"].alias("_id"), F.col("doc")["row"].alias("_row")), "near-copies")
+    out = rows.join(gone, ident.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_row")), "left_anti")
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])

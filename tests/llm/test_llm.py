@@ -140,6 +140,71 @@ def test_sparse_sets_meet_by_one_deletions():
                     assert a & b, (size, len(t))
 
 
+def test_sparse_sets_without_common_subsets_meet_by_their_prefixes():
+    """Sets so sparse that one-deletions can't tell: found by what very sparse ones look up, even where all elements lie in few segments."""
+    bands = ngram_join.Bands((85, 100))
+    rng = np.random.default_rng(4)
+    with np.errstate(over="ignore"):
+        for size in (14, 20, 33, 48):
+            for band in bands.of_size(size):
+                _, h, m = bands.band(band)
+                if m == 1:
+                    continue
+                pool = rng.integers(0, 1 << 63, 200_000, dtype=np.uint64)
+                seg = ((ngram_join.mix(pool ^ ngram_join._salt(band, 1)) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(int)
+                pool = pool[seg < max(1, h // 2)]  # all of them in few segments
+                for _ in range(20):
+                    s = np.unique(rng.choice(pool, size, replace=False))
+                    t = np.unique(np.concatenate([s[1:], rng.choice(pool, 1)]))
+                    both = len(np.intersect1d(s, t))
+                    if 100 * both < 85 * (len(s) + len(t) - both):
+                        continue
+                    found = [{} for _ in range(2)]
+                    for side, v in zip(found, (s, t), strict=True):
+                        for b, need, sigs in ngram_join.signatures(v, bands):
+                            for x in sigs.tolist():
+                                side[b, x] = max(need, side.get((b, x), 0))
+                    assert any(max(found[0][k], found[1][k]) > 0 for k in found[0].keys() & found[1].keys()), (size, band)
+
+
+def test_unrelated_sparse_sets_share_nothing():
+    bands = ngram_join.Bands((85, 100))
+    rng = np.random.default_rng(8)
+    with np.errstate(over="ignore"):
+        for size in (12, 20, 32):
+            seen = set()
+            for _ in range(1500):
+                sigs = {(b, x) for b, need, g in ngram_join.signatures(np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64)), bands) for x in g.tolist()}
+                assert not sigs & seen
+                seen |= sigs
+
+
+def test_large_clusters_in_blocks(spark, monkeypatch):
+    """A cluster over several blocks gives the same components."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 7)
+    base = prose(77, 120).split()
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for j in range(i % 5):
+            copy[(7 * i + 13 * j) % 120] = f"z{i}_{j}"
+        rows.append((i, " ".join(copy)))
+    got = {r.doc_id: r.component_id for r in ngram_join.join(table(spark, rows), jaccard=(80, 100), shingle=4).collect()}
+    assert got == brute_components({i: shingles(t, 4) for i, t in rows}, 80)
+
+
+def test_without_near_copies(spark):
+    a, b, c = prose(31, 60), prose(32, 60), prose(33, 60)
+    rows = [(1, a), (5, a + " more"), (5, b), (7, b + " more"), (None, c), (None, c + " more"), (9, None), (9, ""), (10, ""), (11, c), (11, c), (12, prose(34, 20_000))]
+    got = sorted(((r.doc_id or 0, r.text or "") for r in ngram_join.without_near_copies(table(spark, rows)).collect()))
+    assert got == sorted([(1, a), (5, b), (9, ""), (9, ""), (10, ""), (11, c), (11, c), (12, rows[-1][1])])
+    assert ngram_join.without_near_copies(table(spark, rows)).columns == table(spark, []).columns
+    assert ngram_join.without_near_copies(table(spark, [])).count() == 0
+    named = spark.createDataFrame([("b2", a), ("a1", a + " more"), ("c", b)], "doc_id string, text string")
+    assert sorted(r.doc_id for r in ngram_join.without_near_copies(named).collect()) == ["a1", "c"]
+    assert {r.doc_id: r.component_id for r in ngram_join.join(named).collect()} == {"a1": "a1", "b2": "a1", "c": "c"}
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.join(table(spark, [])).count() == 0
     assert [(r.n_shingles, r.component_id) for r in ngram_join.join(table(spark, [(3, None)])).collect()] == [(0, 3)]
@@ -185,23 +250,99 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(table(spark, [])).count() == 0
 
 
+def lev(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last[-1]
+
+
+def test_edit_similarity_against_the_full_table():
+    rng = np.random.default_rng(5)
+    for _ in range(1500):
+        a = "".join(rng.choice(list("ab c"), int(rng.integers(0, 30))))
+        b = list(a)
+        for _ in range(int(rng.integers(0, 8)) if b else 0):
+            b[int(rng.integers(0, len(b)))] = str(rng.choice(["a", "bc", "", " d"]))
+        b = "".join(b)
+        assert line_dedup.edits(a, b) == lev(a, b)
+        assert line_dedup.similar(a, b) == (lev(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)), (a, b)
+
+
+def test_line_dedup_recall(spark):
+    """Of lines of 6 to 20 words and copies with one or two words replaced, over 0.9 of the similar pairs are found; no group joins two bases."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghiklmnoprstu"), int(rng.integers(2, 9))))
+    pairs = []
+    for _ in range(1000):
+        base = [word() for _ in range(int(rng.integers(6, 21)))]
+        copy = list(base)
+        for i in rng.choice(len(base), int(rng.integers(1, 3)), replace=False):
+            copy[i] = word()
+        x, y = " ".join(base), " ".join(copy)
+        if lev(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9):
+            pairs.append((x, y))
+    rows = [(i, x) for i, (x, _) in enumerate(pairs)] + [(10_000 + i, y) for i, (_, y) in enumerate(pairs)]
+    got = {r.doc_id: r.keep_doc_id for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert len(pairs) > 500 and all(got[i] == i for i in range(len(pairs)))
+    assert {k - 10_000 - got[k] for k in got if k >= 10_000 and got[k] != k} == {0}
+    assert sum(got[10_000 + i] == i for i in range(len(pairs))) >= 0.95 * len(pairs)
+
+
+def entries_of(rng, n, groups):
+    e = np.zeros(n, dtype=line_dedup.ENTRY)
+    e["sig"], e["key"], e["chars"] = rng.integers(0, groups, n), np.arange(n), rng.integers(30, 60, n)
+    e["s0"], e["s1"] = rng.integers(0, 1 << 62, n, dtype=np.uint64), rng.integers(0, 1 << 62, n, dtype=np.uint64)
+    e["s0"][::7], e["s1"][::7] = e["s0"][0], e["s1"][0] ^ (np.uint64(1) << rng.integers(0, 63, len(e[::7]), dtype=np.uint64))  # alike, far apart in order
+    return e
+
+
 def test_line_blocks_are_compared_whole():
+    """Small blocks give all pairs in the first round; of a large one the second gives all pairs between groups, over one unit or tiles."""
     rng = np.random.default_rng(3)
-    e = np.zeros(600, dtype=line_dedup.ENTRY)
-    e["sig"], e["key"], e["root"], e["chars"] = rng.integers(0, 3, 600), np.arange(600), np.arange(600) // 2, rng.integers(30, 60, 600)
-    e["sketch"] = rng.integers(0, 1 << 62, 600, dtype=np.uint64)
-    e["sketch"][::7] = e["sketch"][0] ^ (np.uint64(1) << rng.integers(0, 63, 86, dtype=np.uint64))  # alike, far apart in order
-    brute = {
-        (i, j) for i in range(600) for j in range(i + 1, 600)
-        if e["sig"][i] == e["sig"][j] and e["root"][i] != e["root"][j] and int(e["sketch"][i] ^ e["sketch"][j]).bit_count() <= line_dedup.SKETCH_BITS
-        and min(e["chars"][i], e["chars"][j]) >= line_dedup.SIMILARITY * max(e["chars"][i], e["chars"][j])
-    }
-    for tile in (7, 1 << 20):
-        line_dedup.TILE = tile
-        got = [tuple(sorted(p)) for x, y in line_dedup.near(e) for p in zip(x.tolist(), y.tolist(), strict=True)]
-        assert len(got) == len(brute) and set(got) == brute
-    width, blocks = line_dedup.shape()
-    assert 1 - (1 - 0.8**width) ** blocks >= 0.9  # pairs with a fifth of their bits flipped, at any number of lines
+    alike = lambda e, i, j: bool(line_dedup.alike(e, np.array([i]), np.array([j]))[0])
+    e = entries_of(rng, 300, 40)
+    x, y, large = line_dedup.pairs_of(e)
+    n = np.bincount(e["sig"].astype(int))
+    brute = {(i, j) for i in range(300) for j in range(i) if e["sig"][i] == e["sig"][j] and n[int(e["sig"][i])] <= line_dedup.SMALL and alike(e, i, j)}
+    assert brute and brute <= {(max(p), min(p)) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    assert set(large["sig"].tolist()) == set(np.flatnonzero(n > line_dedup.SMALL).tolist())
+    e = entries_of(rng, 400, 1)
+    root = np.arange(400) // 3
+    brute = {(i, j) for i in range(400) for j in range(i) if root[i] != root[j] and alike(e, i, j)}
+    keys, side = np.arange(400), rng.integers(0, 2, 400)
+    pairs = lambda *how: [(max(p), min(p)) for x, y in line_dedup.across(*how) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    whole = pairs(keys, e, root, np.zeros(400, int))
+    assert len(whole) == len(brute) and set(whole) == brute
+    tiles = pairs(keys, e, root, side) + [p for t in (0, 1) for p in pairs(keys[side == t], e[side == t], root[side == t], np.zeros((side == t).sum(), int))]
+    assert len(tiles) == len(brute) and set(tiles) == brute
+
+
+def test_hot_line_blocks_are_spread(monkeypatch):
+    """A block that is hot in one task goes to several buckets, and all of its lines to the second round."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(line_dedup, "HOT", 20)
+    lines = [f"the very same opening words of a line {i}" for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(lines)], names=["short", "raw"])
+    out = pa.Table.from_batches(list(line_dedup._candidates(line_dedup._entries(iter([batch]), 64, 3, 6)))).to_pylist()
+    spread = list(line_dedup._entries(iter([batch]), 64, 3, 6))[0]
+    assert len(spread) > 20
+    by = {}
+    for r in out:
+        if r["block"] is not None:
+            by.setdefault(r["block"], set()).add(r["key"])
+    assert max(map(len, by.values())) > 100
+
+
+def test_line_dedup_repeated_rows_clashing_ids_and_very_long_lines(spark):
+    long = prose(21, 30_000)
+    rows = [(1, "same line of five words"), (1, "same line of five words"), (None, "same line of five words"), (2, long), (3, long.replace("lar", "mar", 40)), (4, None)]
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.keep_doc_id, r.kept) for r in line_dedup.line_dedup(table(spark, rows)).collect()))
+    assert got == [(False, 1, 1, True), (False, 1, 1, True), (False, 2, 2, True), (False, 3, 2, False), (True, 0, 1, False)]
 
 
 def test_line_dedup_counts_characters_at_any_length(spark):
@@ -240,7 +381,53 @@ def test_toxicity(spark):
     assert [i for i, (p, _) in got.items() if p] == [1, 5, 6, 7, 8]
     assert all(0 <= s <= 1 for _, s in got.values())
     assert sorted(r.doc_id for r in toxicity.without_toxic(table(spark, rows), model).collect()) == [2, 3, 4]
-    assert toxicity.train([], clean).score(np.array([-1.0]))[0] < 0.7
+    assert toxicity.train([], clean).score(np.array([-1.0]), np.zeros(1), np.ones(1))[0] < 0.7
+    assert sorted(r.doc_id for r in toxicity.score(table(spark, [(1, "zorkwad"), (1, "zorkwad")]), model).where("predicted = 1").collect()) == [1, 1]
+    assert toxicity.score(table(spark, []), model).count() == 0
+
+
+def test_toxicity_by_density():
+    """Pieces that clean texts hold too, but seldom, tell where they come often; held-out recall and precision."""
+    rng = np.random.default_rng(2)
+    texts = []
+    for i in range(360):
+        toxic = i % 3 == 0
+        ws = [w + ("achlik" if rng.random() < (0.12 if toxic else 0.005) else "") for w in prose(9000 + i, 120).split()]
+        texts.append((" ".join(w[: len(w) // 2] + str(rng.integers(9)) + w[len(w) // 2 :] if rng.random() < 0.1 else w for w in ws), toxic))
+    train, held = texts[:240], texts[240:]
+    model = toxicity.train([t for t, x in train if x], [t for t, x in train if not x])
+    words = [sorted(toxicity.tokens(t)) for t, _ in held]
+    value = [model.decide(w) for w in words]
+    score = model.density.score(np.array([v[:, 1].sum() for v in value]) / (np.array([len(w) for w in words]) + toxicity.PRIOR) + model.density.bias)
+    said, truth = score >= toxicity.THRESHOLD, np.array([x for _, x in held])
+    assert (said & truth).sum() >= 0.9 * truth.sum() and (said & ~truth).sum() <= 0.05 * (~truth).sum()
+
+
+def test_string_kernel_against_a_naive_one():
+    """Subsequences of three or four letters that span five at most, a gap costing half for each letter skipped."""
+    from itertools import combinations
+
+    def naive(word):
+        letters = [toxicity.START] + [toxicity.CLASS_OF[ord(c)] for c in word]
+        out = {}
+        for i in range(len(letters)):
+            for n in (2, 3):
+                for rest in combinations(range(i + 1, min(len(letters), i + 5)), n):
+                    if len(rest) == 2 or rest[-1] - i >= 3:
+                        shape = (0, *(j - i for j in rest))
+                        if any(shape == tuple(x) for x, _ in toxicity.SHAPES):
+                            key = tuple(int(letters[j]) for j in (i, *rest))
+                            out[key] = out.get(key, 0) + toxicity.GAP ** (rest[-1] - i - n)
+        return out
+
+    words = ["idiot", "idxiot", "clown", "garden", "idot"]
+    x = toxicity._single(words)
+    made = toxicity.kernel(x, x)
+    own = [naive(w) for w in words]
+    dot = lambda a, b: sum(v * b.get(k, 0) for k, v in a.items())
+    want = np.array([[dot(a, b) / np.sqrt(dot(a, a) * dot(b, b)) for b in own] for a in own])
+    assert np.abs(made - want).max() < 0.02  # hashed features may meet
+    assert min(made[0, 1], made[0, 4]) > 2 * max(made[0, 2], made[0, 3])
 
 
 def test_licenses(spark):
