@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.functions import messages as S
 from siltstone.functions import numbers as N
 
 SLACK_MS = 50.0
@@ -40,20 +41,30 @@ def first_calls(calls: DataFrame) -> DataFrame:
 
 
 def redundant(calls: DataFrame) -> DataFrame:
-    """(item_id, redundant_calls): repetitions of a tool with the same arguments."""
-    same = calls.groupBy("item_id", "tool", "args").agg((F.count("*") - 1).alias("again"))
+    """(item_id, redundant_calls): repetitions of a tool with the same arguments, whatever the order of their keys."""
+    same = calls.where("args is not null").groupBy("item_id", "tool", S.canonical_args(F.col("args")).alias("args")).agg((F.count("*") - 1).alias("again"))
     return same.groupBy("item_id").agg(F.sum("again").alias("redundant_calls"))
 
 
+def batches(calls: DataFrame) -> DataFrame:
+    """batching() of the items whose calls all have a start; the others have no row."""
+    timed = calls.groupBy("item_id").agg(F.bool_and(F.col("start_ms").isNotNull()).alias("timed")).where("timed").select("item_id")
+    return batching(steps(calls.join(timed, "item_id", "left_semi"))).drop("n_calls")
+
+
 def validity(calls: DataFrame, by: list[str]) -> DataFrame:
     """Calls, failed calls and the share that worked."""
     return calls.groupBy(*by).agg(F.count("*").alias("n_calls"), F.count_if("error").alias("failed"), N.ratio(F.count_if(~F.col("error")), F.count("*")).alias("valid"))
 
 
 def conformity(calls: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per labelled item: disallowed and missing tools, and whether the set and the first tool are right."""
+    """Per labelled item: disallowed and missing tools, and whether the set and the first tool are right.
+
+    An item without calls has used no tool: what it had to use is missing, and its first tool is not applicable.
+    """
     used = calls.groupBy("item_id").agg(F.array_sort(F.collect_set("tool")).alias("used"))
-    rows = used.join(first_calls(calls), "item_id").join(labels, "item_id")
+    rows = labels.join(used, "item_id", "left").join(first_calls(calls), "item_id", "left")
+    rows = rows.withColumn("used", F.coalesce("used", F.array().cast("array<string>")))
     rows = rows.withColumn("disallowed", F.array_except("used", "allowed")).withColumn("missing", F.array_except("required", "used"))
     return rows.select(
         "item_id", "first_tool", "disallowed", F.array_sort("missing").alias("missing"),

@@ -71,13 +71,14 @@ NEAREST = "round(list_sort(list(value))[round_even(({p} / 100.0::DOUBLE) * (coun
 
 @query("latency_nearest_rank", f"SELECT event_type, {NEAREST.format(p=50)} AS p50, {NEAREST.format(p=95)} AS p95 FROM events GROUP BY event_type")
 def latency_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(N.nearest_rank(F.col("value"), 50).alias("p50"), N.nearest_rank(F.col("value"), 95).alias("p95"))
+    return N.percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": ("nearest", 50), "p95": ("nearest", 95)})
 
 
 @query("latency_linear", "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 1) AS p50, round(quantile_cont(value, 0.95), 1) AS p95, round(avg(value), 1) AS mean FROM events GROUP BY event_type")
 def latency_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.col("value")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), N.linear_percentile(value, 50).alias("p50"), N.linear_percentile(value, 95).alias("p95"), F.round(F.avg(value), 1).alias("mean"))
+    rows = table(spark, sf_dir, "events")
+    means = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 1).alias("mean"))
+    return means.join(N.percentiles(rows, ["event_type"], "value", {"p50": ("linear", 50), "p95": ("linear", 95)}), "event_type")
 
 
 COST = "round((user_id * 0.75 + event_id * 3.75) / 1e6, 6)"
