@@ -6,8 +6,6 @@ requests: (request_id, ticker, concept, fiscal_year, segment)
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -103,10 +101,9 @@ def segment_matches(dims: Column, token: Column) -> Column:
 def split_segment(text: Column) -> tuple[Column, Column]:
     """(concept, segment): the longest segment name in a phrase is lifted out; what is left, or revenue, is the concept."""
     q = phrase(text)
-    names = sorted(SEGMENTS, key=len, reverse=True)
-    whole = lambda a: rf"\b{re.escape(a)}\b"
-    segment = F.coalesce(*[F.when(q.rlike(whole(a)), F.lit(a)) for a in names])
-    rest = F.coalesce(*[F.when(segment == a, F.trim(F.regexp_replace(F.regexp_replace(q, whole(a), " "), r"\s+", " "))) for a in names])
+    whole = lambda a: F.concat(F.lit(r"\b\Q"), a, F.lit(r"\E\b"))
+    segment = F.get(F.filter(F.array(*map(F.lit, sorted(SEGMENTS, key=len, reverse=True))), lambda a: F.regexp(q, whole(a))), F.lit(0))
+    rest = F.trim(F.regexp_replace(F.regexp_replace(q, whole(segment), F.lit(" ")), r"\s+", " "))
     return F.when(segment.isNull(), text).when(rest == "", "revenue").otherwise(rest), segment
 
 
@@ -137,6 +134,36 @@ def resolve(requests: DataFrame, available: DataFrame) -> DataFrame:
     return rows.select("request_id", "how", F.col("c").alias("concept"), "pos")
 
 
+def asked_facts(requests: DataFrame) -> DataFrame:
+    """Requests with the segment lifted out of their phrase, where they name none themselves."""
+    concept, segment = split_segment(F.col("concept"))
+    given = F.col("segment").isNotNull()
+    return requests.withColumn("_c", F.when(given, F.col("concept")).otherwise(concept)).withColumn("segment", F.coalesce("segment", segment)).withColumn("concept", F.col("_c")).drop("_c")
+
+
+def lookup_phrase(requests: DataFrame, facts: DataFrame, filings: DataFrame, limit: int = LIMIT, annual_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows of lookup(), info) of requests in plain words.
+
+    info has one row for each request: resolved_by (exact, synonym, search or none), concepts, fiscal_year and whether it was
+    defaulted, segment, years_available of those concepts, n_rows, and a note where segments stand in for a consolidated value.
+    """
+    asked = asked_facts(requests).withColumn("ticker", F.upper("ticker"))
+    found = resolve(asked, facts.select("ticker", "concept"))
+    rows = lookup(asked, found, facts, filings, limit, annual_only)
+    names = found.groupBy("request_id").agg(F.first("how").alias("how"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "concept"))), lambda x: x["concept"]).alias("concepts"))
+    years = asked.select("request_id", "ticker").join(found.select("request_id", "concept"), "request_id").join(facts.select("ticker", "concept", "fiscal_year").distinct(), ["ticker", "concept"])
+    years = years.groupBy("request_id").agg(F.array_sort(F.collect_set("fiscal_year")).alias("years_available"))
+    counted = rows.groupBy("request_id").agg(F.count("*").alias("n_rows"), F.bool_or("fallback").alias("fallback"))
+    info = asked.join(filings.select("ticker", "fiscal_year_focus"), "ticker", "left").join(names, "request_id", "left").join(years, "request_id", "left").join(counted, "request_id", "left")
+    none = F.col("how").isNull()
+    return rows, info.select(
+        "request_id", "ticker", F.coalesce("how", F.lit("none")).alias("resolved_by"), F.coalesce("concepts", F.array().cast("array<string>")).alias("concepts"),
+        F.when(none, F.col("fiscal_year")).otherwise(F.coalesce("fiscal_year", "fiscal_year_focus")).alias("fiscal_year"), (~none & F.col("fiscal_year").isNull()).alias("fiscal_year_defaulted"), "segment",
+        F.coalesce("years_available", F.array().cast("array<int>")).alias("years_available"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        F.when(F.col("fallback"), "no consolidated value; segment values returned").alias("note"),
+    )
+
+
 def lookup(requests: DataFrame, resolved: DataFrame, facts: DataFrame, filings: DataFrame, limit: int = LIMIT, annual_only: bool = True) -> DataFrame:
     """(request_id, rank, fallback, id, ...): facts of each request.
 
@@ -149,7 +176,9 @@ def lookup(requests: DataFrame, resolved: DataFrame, facts: DataFrame, filings:
     usable = facts.where((F.col("period_type") == "instant") | (F.col("days") > ANNUAL_DAYS)) if annual_only else facts
     rows = usable.join(wanted.withColumnRenamed("year", "fiscal_year"), ["ticker", "concept", "fiscal_year"])
     segment = F.col("segment").isNotNull()
-    main = F.when(segment, segment_matches(F.col("dims"), segment_token(F.col("segment")))).otherwise(F.col("dim_count") == 0)
+    token = segment_token(F.col("segment"))
+    rows = rows.where(~segment | F.contains(F.lower("dims"), token))  # coarse, on the whole string, before members are taken apart
+    main = F.when(segment, segment_matches(F.col("dims"), token)).otherwise(F.col("dim_count") == 0)
     rows = rows.withColumn("main", main).where(F.col("main") | (~segment & (F.col("dim_count") == 1)))
     rows = rows.withColumn("fallback", ~F.max("main").over(W.partitionBy("request_id"))).where("main or fallback")
     order = W.partitionBy("request_id").orderBy(
@@ -165,31 +194,74 @@ def segment_label(dims: Column) -> Column:
     return F.when(F.coalesce(dims, F.lit("")) == "", "consolidated").otherwise(F.array_join(F.transform(F.split(dims, ";"), pair), "; "))
 
 
+def _trimmed(number: Column) -> Column:
+    """Digits without zeros at the end of decimals."""
+    return F.when(F.contains(number, F.lit(".")), F.regexp_replace(number, r"\.?0+$", "")).otherwise(number)
+
+
+def significant(value: Column, digits: int, grouped: bool = False) -> Column:
+    """A number to so many significant digits: plain, or as mantissa and exponent where it is under 0.0001 or has more digits before the point."""
+    size = F.abs(value)
+    parts = F.split(F.format_string(f"%.{digits - 1}e", value), "e")  # rounding may carry, so the exponent is read from the result
+    power = F.get(parts, F.lit(1)).cast("int")
+    plain = F.coalesce(*[F.when(power == p, F.format_string(f"%{',' if grouped else ''}.{max(0, digits - 1 - p)}f", value)) for p in range(-4, digits)])
+    tail = F.concat(F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    scientific = F.concat(_trimmed(F.get(parts, F.lit(0))), F.lit("e"), tail)
+    return F.when(size == 0, "0").when(plain.isNotNull(), _trimmed(plain)).otherwise(scientific)
+
+
 def formatted_value(value: Column, unit: Column) -> Column:
-    """A value as people write it, by its unit."""
-    u, size = F.lower(unit), F.abs(value)
-    sign = F.when(value < 0, "-").otherwise("")
-    millions = F.when(size == F.bround(size / 1e6, 0) * 1e6, F.format_number(size / 1e6, 0)).otherwise(F.format_number(size / 1e6, 1))
-    share = F.concat(F.regexp_replace(F.format_number(value, 4), r"\.?0+$", ""), F.when(size > 1.5, "").otherwise(F.concat(F.lit(" ("), F.format_number(value * 100, 1), F.lit("%)"))))
+    """A value as people write it. Money is whole, in millions from one million on (one decimal unless they are whole), and to the cent
+    per share; shares are whole; pure numbers have six significant digits, and their percentage up to 1.5; anything else has four and its unit."""
+    kind, size = F.lower(F.coalesce(unit, F.lit(""))), F.abs(value)
+    money, shares = F.contains(kind, F.lit("usd")), F.contains(kind, F.lit("shares"))
+    whole = lambda x, places: F.format_string(f"%,.{places}f", x)
+    millions = F.concat(whole_half_even(size / 1e6, F.when(size == F.bround(size / 1e6, 0) * 1e6, 0).otherwise(1)), F.lit(" million"))
+    dollars = F.concat(F.when(value < 0, "-").otherwise(""), F.lit("$"), F.when(size >= 1e6, millions).otherwise(whole_half_even(size, F.lit(0))))
+    percent = F.when(size <= 1.5, F.concat(F.lit(" ("), F.format_string("%.1f", value * 100), F.lit("%)"))).otherwise("")
     return (
-        F.when(u.contains("usd") & u.contains("shares"), F.concat(F.lit("$"), F.format_number(value, 2), F.lit(" per share")))
-        .when(u.contains("usd") & (size >= 1e6), F.concat(sign, F.lit("$"), millions, F.lit(" million")))
-        .when(u.contains("usd"), F.concat(sign, F.lit("$"), F.format_number(size, 0)))
-        .when(u.contains("shares"), F.concat(F.format_number(value, 0), F.lit(" shares")))
-        .when(u.contains("pure"), share)
-        .otherwise(F.concat(F.format_number(value, 4), F.lit(" "), unit))
+        F.when(money & shares, F.concat(F.lit("$"), whole(value, 2), F.lit(" per share")))
+        .when(money, dollars)
+        .when(shares, F.concat(whole_half_even(value, F.lit(0)), F.lit(" shares")))
+        .when(F.contains(kind, F.lit("pure")), F.concat(significant(value, 6), percent))
+        .otherwise(F.concat(significant(value, 4, grouped=True), F.lit(" "), unit))
     )
 
 
+def whole_half_even(value: Column, places: Column) -> Column:
+    """With thousands separated, to no or one decimal, halves to the even digit."""
+    return F.when(places == 0, F.format_string("%,.0f", F.bround(value, 0))).otherwise(F.format_string("%,.1f", value))
+
+
 def period_label(kind: Column, year: Column, start: Column, end: Column) -> Column:
     return F.when(kind == "instant", F.concat(F.lit("as of "), end)).otherwise(F.concat(F.lit("FY"), year.cast("string"), F.lit(" ("), start, F.lit(" to "), end, F.lit(")")))
 
 
-def observations(found: DataFrame) -> DataFrame:
-    """(request_id, text): numbered blocks of a request's facts, as a tool would show them."""
+NO_CONCEPT = "Try a standard line item (revenue, net income, operating income, gross profit, diluted EPS, total assets, operating cash flow, capital expenditures) or a segment name, or search the filing text."
+
+
+def observations(found: DataFrame, info: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """(request_id, text): numbered blocks of a request's facts, as a tool would show them.
+
+    With the info of lookup_phrase() and the requests, a first line says how the phrase was resolved, and requests
+    without facts get the text that says what was tried.
+    """
+    tagged = F.concat(F.lit('tagged "'), F.coalesce("raw_text", F.lit("")), F.lit('" x10^'), F.coalesce("scale", F.lit(0)).cast("string"), F.lit(" "), "unit") if "raw_text" in found.columns else None
     block = F.concat(
         F.lit("["), F.col("rank").cast("string"), F.lit("] ticker="), "ticker", F.lit("  fact_id="), F.col("id").cast("string"), F.lit("\n    "), "concept", F.lit(" | "),
         period_label(F.col("period_type"), F.col("fiscal_year"), F.col("period_start"), F.col("period_end")), F.lit(" | "), formatted_value(F.col("value"), F.col("unit")), F.lit(" | "), segment_label(F.col("dims")),
+        *([] if tagged is None else [F.lit(" | "), tagged, F.lit(" | source: "), "ticker", F.lit(" 10-K inline XBRL")]),
     )
-    rows = F.array_sort(F.collect_list(F.struct("rank", block.alias("b"))))
-    return found.groupBy("request_id").agg(F.array_join(F.transform(rows, lambda x: x["b"]), "\n\n").alias("text"))
+    rows = F.array_sort(F.collect_list(F.struct("rank", block.alias("b"))))  # LIMIT facts at most
+    text = found.groupBy("request_id").agg(F.array_join(F.transform(rows, lambda x: x["b"]), "\n\n").alias("text"))
+    if info is None:
+        return text
+    quoted = F.concat(F.lit("'"), F.col("phrase"), F.lit("'"))
+    concepts, year = F.array_join("concepts", ", "), F.coalesce(F.col("fiscal_year").cast("string"), F.lit("None"))
+    note = F.when(F.col("fiscal_year_defaulted"), " (the most recent fiscal year in the filing; pass fiscal_year for another)").otherwise("")
+    segment = F.when(F.col("segment").isNotNull(), F.concat(F.lit(" segment '"), "segment", F.lit("'"))).otherwise("")
+    nothing = F.concat(F.lit("No XBRL concept matches "), quoted, F.lit(" for "), "ticker", F.lit(". " + NO_CONCEPT))
+    untagged = F.concat(F.lit("Resolved "), quoted, F.lit(" to "), concepts, F.lit(" for "), "ticker", F.lit(", but no annual value is tagged for fiscal year "), year, segment, note, F.lit(". The filing covers fiscal years "), F.array_join(F.transform("years_available", lambda y: y.cast("string")), ", "), F.lit("."))
+    head = F.concat(F.lit("XBRL facts for "), "ticker", F.lit(": "), quoted, F.lit(" resolved by "), "resolved_by", F.lit(" to "), concepts, F.lit("; fiscal year "), year, note, F.lit("."), F.coalesce(F.concat(F.lit(" Note: "), F.col("note"), F.lit(".")), F.lit("")))
+    all_ = info.join(asked.select("request_id", F.col("concept").alias("phrase")), "request_id").join(text, "request_id", "left")
+    return all_.select("request_id", F.when(F.size("concepts") == 0, nothing).when(F.col("text").isNull(), untagged).otherwise(F.concat(head, F.lit("\n\n"), "text")).alias("text"))

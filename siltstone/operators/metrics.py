@@ -18,6 +18,28 @@ def group_ranks(ranked: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.join(ranked, ["item_id", "doc_id"], "left").groupBy("item_id", "group_id").agg(F.min("rank").alias("hit"))
 
 
+def label_items(items: DataFrame, references: DataFrame, located: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(item_id, groups, method, n_references, note): the label groups of each item.
+
+    references: (item_id, ref_pos); located: (item_id, ref_pos, doc_id, method exact or prefix); overrides: (item_id, groups, unlocatable, note), which win.
+    An item whose references are all found whole is exact, with some by their beginning prefix, with some not at all partial, with none of them none.
+    """
+    per = located.groupBy("item_id", "ref_pos").agg(F.array_sort(F.collect_set("doc_id")).alias("group"), F.min("method").alias("how"))
+    rows = references.select("item_id", "ref_pos").distinct().join(per, ["item_id", "ref_pos"], "left")
+    groups = F.transform(F.array_sort(F.collect_list(F.when(F.col("group").isNotNull(), F.struct("ref_pos", "group")))), lambda x: x["group"])
+    found, exact = F.count("group"), F.count_if(F.col("how") == "exact")
+    how = F.when(exact == F.count("*"), "exact").when(found == F.count("*"), "prefix").when(found > 0, "partial").otherwise("none")
+    made = rows.groupBy("item_id").agg(groups.alias("made"), how.alias("how"), F.count("*").alias("n"))
+    all_ = items.select("item_id").join(made, "item_id", "left").join(overrides.withColumnRenamed("groups", "given").withColumn("_o", F.lit(True)), "item_id", "left")
+    override, lost = F.coalesce("_o", F.lit(False)), F.coalesce("unlocatable", F.lit(False))
+    none = F.array().cast(located.schema["doc_id"].dataType.simpleString().join(("array<array<", ">>")))
+    final = F.when(override & lost, none).when(override, F.coalesce("given", none)).otherwise(F.coalesce("made", none))
+    return all_.select(
+        "item_id", final.alias("groups"), F.when(override & lost, "unlocatable").when(override, "manual").otherwise(F.coalesce("how", F.lit("none"))).alias("method"),
+        F.when(override & lost, 0).when(override, F.coalesce(F.size("given"), F.lit(0))).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_references"), F.coalesce(F.when(override, F.col("note")), F.lit("")).alias("note"),
+    )
+
+
 def item_metrics(hits: DataFrame, ks: tuple[int, ...] = KS, ndcg_k: int = 5) -> DataFrame:
     """Per item: n_groups, first_hit_rank, mrr, ndcg@5, hit and recall at each k, rounded to 4 places."""
     gain = F.sum(F.when(F.col("hit") <= ndcg_k, 1 / F.log2(F.col("hit") + 1)).otherwise(0.0))

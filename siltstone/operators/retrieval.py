@@ -30,8 +30,8 @@ class RetrievalConfig:
     def __post_init__(self) -> None:
         if self.mode not in ("dense", "bm25", "hybrid"):
             raise ValueError(f"mode {self.mode!r} is none of dense, bm25, hybrid")
-        if self.ticker_filter not in ("none", "inferred"):
-            raise ValueError(f"ticker_filter {self.ticker_filter!r} is neither none nor inferred")
+        if self.ticker_filter not in ("none", "inferred", "oracle"):
+            raise ValueError(f"ticker_filter {self.ticker_filter!r} is none of none, inferred, oracle")
 
     def depth(self, k: int | None = None) -> int:
         """Candidates to fetch: k alone for plain dense ranking. A k of 0 or None is the default."""
@@ -98,21 +98,24 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def dense(queries: DataFrame, vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(query_id, doc_id, score) of a stated query set against all rows; a query never finds itself."""
+    """(query_id, doc_id, score) of a stated query set against all rows; a query never finds itself. Scores are exact, in double precision."""
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"))
     v = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector_col).alias("v"), *[c for c in vectors.columns if c not in (id_col, vector_col)])
-    return v.join(q, F.col("doc_id") != F.col("query_id")).select("query_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"), *[c for c in v.columns if c != "v"])
+    return v.join(q, F.col("doc_id") != F.col("query_id")).select("query_id", dot(F.col("q"), F.col("v")).alias("score"), *[c for c in v.columns if c != "v"])
 
 
 def dense_top(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
-    return top(dense(queries, vectors, id_col, vector_col), k, [F.desc("score"), F.asc("doc_id")]).select("query_id", "rank", "doc_id", "score")
+    """The ``k`` nearest by exact score; scores are rounded to 6 places only to be shown."""
+    ranked = top(dense(queries, vectors, id_col, vector_col), k, [F.desc("score"), F.asc("doc_id")])
+    return ranked.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def fuse(lists: list[tuple[DataFrame, float]], rrf_k: int = 60) -> DataFrame:
-    """(query_id, doc_id, score, first_seen): weighted reciprocal rank fusion of ranked lists, first list first."""
+    """(query_id, doc_id, score, first_seen): weighted reciprocal rank fusion of ranked lists, first list first, however deep they are."""
     tagged = None
     for i, (ranked, weight) in enumerate(lists):
-        one = ranked.select("query_id", "doc_id", (F.lit(float(weight)) / (F.lit(rrf_k) + F.col("rank"))).alias("part"), (F.col("rank") + F.lit(i * 1_000_000)).alias("seen"))
+        part = F.lit(float(weight)) / (F.lit(rrf_k) + F.col("rank"))
+        one = ranked.select("query_id", "doc_id", part.alias("part"), F.struct(F.lit(i).alias("list"), F.col("rank").alias("rank")).alias("seen"))
         tagged = one if tagged is None else tagged.unionByName(one)
     return tagged.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"), F.min("seen").alias("first_seen"))
 
@@ -142,28 +145,70 @@ def rerank(candidates: DataFrame, scorer: Scorer, k: int) -> DataFrame:
     return top(ranked, k, [F.desc("rerank_score"), F.asc("prior")])
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, config: RetrievalConfig, dense_ranked: DataFrame | None = None, scorer: Scorer | None = None, **columns) -> DataFrame:
-    """(query_id, rank, doc_id, score) by a configuration. Dense lists come ranked; sparse ones are computed here."""
-    depth = config.depth()
-    if config.mode == "dense":
-        ranked = dense_ranked.where(F.col("rank") <= depth)
-    else:
-        ranked = bm25_top(queries, docs, depth, **columns)
-        if config.mode == "hybrid":
-            ranked = fuse_top([(dense_ranked.where(F.col("rank") <= depth), config.dense_weight), (ranked, config.sparse_weight)], depth, config.rrf_k)
-    if config.rerank and scorer is not None:
-        texts = docs.select(F.col(columns["id_col"]).alias("doc_id"), F.col(columns["text_col"]).alias("text"))
-        asked = queries.select(F.col(columns["query_id"]).alias("query_id"), F.col(columns["query_text"]).alias("query_text"))
-        ranked = rerank(ranked.join(texts, "doc_id").join(asked, "query_id"), scorer, config.k)
-    return ranked.where(F.col("rank") <= config.k).select("query_id", "rank", "doc_id", "score")
+def retrieve(
+    queries: DataFrame, docs: DataFrame, config: RetrievalConfig, vectors: DataFrame | None = None, scorer: Scorer | None = None, k: int | None = None,
+    query_id: str = "query_id", query_text: str = "query_text", id_col: str = "doc_id", text_col: str = "text", ticker_col: str = "ticker",
+) -> DataFrame:
+    """(query_id, rank, doc_id, ticker, text): the passages of each question by a configuration.
+
+    queries: (query_id, query_text[, ticker][, vector]); docs: (doc_id, text[, ticker]); vectors: (doc_id, vector), needed by dense
+    and hybrid ranking. A question's own ticker always filters; with ``inferred`` the one company that its text names does, with
+    ``oracle`` only its own. Filters act before dense ranking and after BM25 scoring, whose statistics cover the corpus. A ``k`` of 0 or None is the
+    configuration's. Reranking without a scorer is an error, as is dense ranking without vectors.
+    """
+    if config.rerank and scorer is None:
+        raise ValueError("the configuration reranks, but there is no scorer")
+    if config.mode != "bm25" and vectors is None:
+        raise ValueError(f"{config.mode} ranking needs vectors")
+    depth, k = config.depth(k), k or config.k
+    own = F.upper(F.col(ticker_col)) if ticker_col in queries.columns else F.lit(None).cast("string")
+    wanted = F.coalesce(own, T.single_company(F.col(query_text))) if config.ticker_filter == "inferred" else own
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("query_text"), wanted.alias("wanted"), *(["vector"] if config.mode != "bm25" else []))
+    held = F.upper(F.col(ticker_col)) if ticker_col in docs.columns else F.lit("UNKNOWN")
+    passages = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit("UNKNOWN")).alias("ticker"))
+    fits, order = F.col("wanted").isNull() | (F.col("wanted") == F.col("ticker")), [F.desc("score"), F.asc("doc_id")]
+    lists = []
+    if config.mode != "bm25":
+        rows = vectors.select(F.col(id_col).alias("doc_id"), F.col("vector").alias("v")).join(passages.select("doc_id", "ticker"), "doc_id")
+        near = rows.join(asked.select("query_id", "wanted", F.col("vector").alias("q")), fits).select("query_id", "doc_id", dot(F.col("q"), F.col("v")).alias("score"))
+        lists.append((top(near, depth, order), config.dense_weight))
+    if config.mode != "dense":
+        scored = bm25(asked, passages, "query_id", "query_text", "doc_id", "text").join(asked.select("query_id", "wanted"), "query_id")
+        if config.ticker_filter != "none" or ticker_col in queries.columns:
+            scored = scored.join(passages.select("doc_id", "ticker"), "doc_id").where(fits)
+        lists.append((top(scored, depth, order), config.sparse_weight))
+    ranked = lists[0][0] if len(lists) == 1 else fuse_top(lists, depth, config.rrf_k)
+    found = ranked.select("query_id", "rank", "doc_id").join(passages, "doc_id")
+    if config.rerank:
+        found = rerank(found.join(asked.select("query_id", "query_text"), "query_id"), scorer, k)
+    return found.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "ticker", "text")
+
+
+def answer_context(found: DataFrame) -> DataFrame:
+    """(query_id, context): a question's passages numbered and headed, as a prompt shows them; a question without any has no row."""
+    block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "ticker", F.lit(" "), F.col("doc_id").cast("string"), F.lit("\n"), T.snippet(F.col("text")))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", block.alias("b"))))  # k passages at most
+    return found.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["b"]), "\n\n").alias("context"))
 
 
 def located(references: DataFrame, docs: DataFrame, ref_id: str, ref_text: str, id_col: str, text_col: str, prefix: int = 60) -> DataFrame:
-    """(ref_id, doc_id, method) of the documents that hold a passage: exact, else by its first ``prefix`` characters if 20 or more."""
+    """(ref_id, doc_id, method) of the documents that hold a passage: exact, else by its first ``prefix`` characters if 20 or more.
+
+    A document that holds a passage's beginning holds all but its first and last words whole and in order, so passages are looked up by a
+    hash of the second to fourth word; only beginnings of fewer than five words are held against every document.
+    """
     refs = references.select(F.col(ref_id).alias("ref_id"), T.normalize(F.col(ref_text)).alias("needle")).where("needle <> ''")
+    refs = refs.withColumn("start", F.left("needle", F.lit(prefix))).withColumn("words", F.split("start", " "))
     texts = docs.select(F.col(id_col).alias("doc_id"), T.normalize(F.col(text_col)).alias("hay"))
-    start = F.left("needle", F.lit(prefix))
-    hits = texts.join(refs, F.col("hay").contains(start)).select("ref_id", "doc_id", F.col("hay").contains(F.col("needle")).alias("exact"), (F.length(start) >= 20).alias("long"))
+    three = lambda words, i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    short, long = refs.where(F.size("words") < 5), refs.where(F.size("words") >= 5).withColumn("run", three(F.col("words"), F.lit(1)))
+    words = texts.select("doc_id", F.split("hay", " ").alias("w"))
+    runs = words.where(F.size("w") > 2).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: three(F.col("w"), i)))).alias("run"))
+    pairs = runs.join(long.select("run", "ref_id"), "run").select("doc_id", "ref_id")
+    hits = pairs.join(texts, "doc_id").join(long, "ref_id").where(F.contains("hay", "start"))
+    few = texts.join(short, F.col("hay").contains(F.col("start")))
+    hits = hits.select("ref_id", "doc_id", "hay", "needle", "start").unionByName(few.select("ref_id", "doc_id", "hay", "needle", "start"))
+    hits = hits.select("ref_id", "doc_id", F.contains("hay", "needle").alias("exact"), (F.length("start") >= 20).alias("long"))
     any_exact = F.max("exact").over(W.partitionBy("ref_id"))
     hits = hits.withColumn("any_exact", any_exact).where("exact or (not any_exact and long)")
     return hits.select("ref_id", "doc_id", F.when(F.col("exact"), "exact").otherwise("prefix").alias("method"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import figures as G
+from siltstone.functions import messages as S
 
 #: Lines that structure an observation, fixed patterns.
 SECTION = r"^===\s*(\S+)\s*==="
@@ -61,6 +62,31 @@ def by_id(parsed: DataFrame, run: str, order: list[str]) -> DataFrame:
     return parsed.groupBy(run, "id").agg(F.array_join(F.transform(texts, lambda x: x["snippet"]), "\n").alias("text"))
 
 
+def contexts(parsed: DataFrame, run: str, order: list[str]) -> DataFrame:
+    """(run, contexts): each passage, fact and result with where it comes from, in the order seen."""
+    label = F.when(F.col("kind") == "chunk", F.concat(F.lit("chunk "), "ref")).when(F.col("kind") == "fact", F.concat(F.lit("fact "), "ref")).otherwise(F.col("id"))
+    shown = parsed.select(run, *order, S.context(F.col("ticker"), label, F.col("kind"), F.col("snippet")).alias("c"))
+    return shown.groupBy(run).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "c"))), lambda x: x["c"]).alias("contexts"))
+
+
+def sources(observations: DataFrame, parsed: DataFrame, run: str, order: list[str], text: str) -> DataFrame:
+    """(run, pos, ticker, id, snippet): what an answer may cite, once each, in the order seen; results of calculations are no sources.
+
+    A run of which nothing could be parsed falls back on the bare marks in its texts, without snippets.
+    """
+    first = W.partitionBy(run, "ticker", "id").orderBy(*order)
+    own = parsed.where("kind <> 'calc'").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    marks = F.regexp_extract_all(text, F.lit(FALLBACK), F.lit(1)), F.regexp_extract_all(text, F.lit(FALLBACK), F.lit(2))
+    bare = observations.join(own.select(run).distinct(), run, "left_anti")
+    found = bare.select(run, *[c for c in order if c in bare.columns], F.posexplode(F.arrays_zip(marks[0].alias("t"), marks[1].alias("i"))).alias("_at", "m"))
+    ref = F.regexp_replace(F.col("m.i"), ",+$", "")
+    place = [*[c for c in order if c in bare.columns], "_at"]
+    found = found.select(run, F.struct(*place).cast("string").alias("_p"), *place, F.upper("m.t").alias("ticker"), F.concat(F.upper("m.t"), F.lit("_10K_chunk_"), ref).alias("id"))
+    found = found.withColumn("_n", F.row_number().over(W.partitionBy(run, "ticker", "id").orderBy(*place))).where("_n = 1")
+    numbered = lambda df, by: df.withColumn("pos", F.row_number().over(W.partitionBy(run).orderBy(*by)).cast("long"))
+    return numbered(own, order).select(run, "pos", "ticker", "id", "snippet").unionByName(numbered(found, place).select(run, "pos", "ticker", "id", F.lit("").alias("snippet")))
+
+
 def check_claims(records: DataFrame, sources: DataFrame) -> DataFrame:
     """(run, n_claims, n_figures, n_supported, failures, cited, status) of each record.
 

@@ -111,25 +111,100 @@ def fact_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ticker", "concept", "rank", "id", "value", "fallback")
 
 
-@query("concept_resolve")
+#: What the requests resolve to: (request_id, ticker, how, concept, pos, fiscal_year, segment token).
+RESOLVED = [
+    (1, "T0", "synonym", "Revenues", 1, None, None), (2, "T1", "synonym", "NetIncomeLoss", 1, 1997, None), (3, "T2", "synonym", "OperatingIncomeLoss", 1, 1996, "service"), (4, "T3", "exact", "Revenues", 1, 1998, None),
+    (6, "T0", "search", "NetIncomeLoss", 1, 1995, None), (6, "T0", "search", "OperatingIncomeLoss", 2, 1995, None), (8, "T2", "synonym", "Revenues", 1, 1999, "product"),
+]
+_sql = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+
+
+def _resolved_sql(rows: list[tuple]) -> str:
+    values = ", ".join("(" + ", ".join(_sql(f"us-gaap:{x}" if i == 3 else x) for i, x in enumerate(r)) + ")" for r in rows)
+    return f"rs(request_id, ticker, how, concept, pos, fy, tok) AS (SELECT request_id::BIGINT, ticker, how, concept, pos::BIGINT, fy::INTEGER, tok::VARCHAR FROM (VALUES {values}) v(request_id, ticker, how, concept, pos, fy, tok))"
+
+
+def _requests_sql(rows: list[tuple]) -> str:
+    return f"""WITH {FACTS}, {_resolved_sql(rows)}, mm AS (SELECT rs.request_id, rs.tok, f.*, CASE WHEN tok IS NULL THEN dim_count = 0 ELSE contains(lower(regexp_extract(dims, ':([^:]*)$', 1)), tok) END AS main
+  FROM rs JOIN filings USING (ticker) JOIN facts f ON f.ticker = rs.ticker AND f.concept = rs.concept AND f.fiscal_year = coalesce(fy, fiscal_year_focus) WHERE period_type = 'instant' OR days > 300),
+kk AS (SELECT *, NOT bool_or(main) OVER (PARTITION BY request_id) AS fallback FROM mm WHERE main OR (tok IS NULL AND dim_count = 1)),
+found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN NOT fallback THEN dim_count END, CASE WHEN NOT fallback THEN days END DESC NULLS LAST, abs(value) DESC, id) AS rank FROM kk WHERE main OR fallback) WHERE rank <= 12)"""
+
+
+@query("concept_resolve", f"WITH {_resolved_sql(RESOLVED)} SELECT request_id, how, concept, pos FROM rs")
 def concept_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.resolve(requests(spark), facts(spark, sf_dir))
 
 
-@query("fact_requests")
+@query("fact_requests", _requests_sql(RESOLVED) + " SELECT request_id, rank, fallback, concept, id, value FROM found")
 def fact_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain-language requests from resolving to facts."""
     asked, f = requests(spark), facts(spark, sf_dir)
     return X.lookup(asked, X.resolve(asked, f), f, filings(spark, sf_dir)).select("request_id", "rank", "fallback", "concept", "id", "value")
 
 
-@query("fact_observation")
+BLOCK = """'[' || rank || '] ticker=' || ticker || '  fact_id=' || id || chr(10) || '    ' || concept || ' | ' || CASE WHEN period_type = 'instant' THEN 'as of ' || fiscal_year || '-12-31' ELSE 'FY' || fiscal_year || ' (' || fiscal_year || '-01-01 to ' || fiscal_year || '-12-31)' END
+  || ' | $' || format('{:,}', round_even(value, 0)::BIGINT) || ' | ' || CASE WHEN dims = '' THEN 'consolidated' ELSE 'ProductOrService=' || replace(regexp_extract(dims, ':([^:]*)$', 1), 'Member', '') END"""
+
+
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    year = F.col("fiscal_year").cast("string")
+    return facts(spark, sf_dir).withColumns({"unit": F.lit("USD"), "period_start": F.concat(year, F.lit("-01-01")), "period_end": F.concat(year, F.lit("-12-31"))})
+
+
+@query("fact_observation", _requests_sql(RESOLVED) + f" SELECT request_id, string_agg({BLOCK}, chr(10) || chr(10) ORDER BY rank) AS text FROM found GROUP BY request_id")
 def fact_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = requests(spark)
-    f = facts(spark, sf_dir).withColumns({"unit": F.lit("USD"), "period_start": F.concat(F.col("fiscal_year").cast("string"), F.lit("-01-01")), "period_end": F.concat(F.col("fiscal_year").cast("string"), F.lit("-12-31"))})
+    asked, f = requests(spark), _dated(spark, sf_dir)
     return X.observations(X.lookup(asked, X.resolve(asked, f), f, filings(spark, sf_dir)))
 
 
+#: Requests in plain words, their segment inside the phrase: (request_id, ticker, concept, fiscal_year, segment).
+ASKED = [
+    (1, "t0", "services revenue", None, None), (2, "T1", "net sales", 1996, None), (3, "T2", "no such thing", None, None), (4, "T3", "AWS", 1997, None),
+    (5, "T4", "operating income", None, "product"), (6, "T2", "revenue", 1850, None), (7, "T1", "income loss", 1994, None),
+]
+ASKED_RESOLVED = [
+    (1, "T0", "synonym", "Revenues", 1, None, "service"), (2, "T1", "synonym", "Revenues", 1, 1996, None), (4, "T3", "synonym", "Revenues", 1, 1997, "amazonwebservices"), (5, "T4", "synonym", "OperatingIncomeLoss", 1, None, "product"),
+    (6, "T2", "synonym", "Revenues", 1, 1850, None), (7, "T1", "search", "NetIncomeLoss", 1, 1994, None), (7, "T1", "search", "OperatingIncomeLoss", 2, 1994, None),
+]
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ASKED, "request_id long, ticker string, concept string, fiscal_year int, segment string")
+
+
+@query("fact_phrase_lookup", _requests_sql(ASKED_RESOLVED) + " SELECT request_id, rank, fallback, concept, id, value FROM found")
+def fact_phrase_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.lookup_phrase(_asked(spark), facts(spark, sf_dir), filings(spark, sf_dir))[0].select("request_id", "rank", "fallback", "concept", "id", "value")
+
+
+ASKED_INFO = f"""{_requests_sql(ASKED_RESOLVED)}, aq(request_id, ticker, fy, segment) AS (SELECT request_id::BIGINT, ticker, fy::INTEGER, segment::VARCHAR FROM (VALUES (1, 'T0', NULL, 'services'), (2, 'T1', 1996, NULL), (3, 'T2', NULL, NULL), (4, 'T3', 1997, 'aws'), (5, 'T4', NULL, 'product'), (6, 'T2', 1850, NULL), (7, 'T1', 1994, NULL)) v(request_id, ticker, fy, segment)),
+yy AS (SELECT request_id, list_sort(list(DISTINCT fiscal_year)) AS years FROM rs JOIN facts USING (ticker, concept) GROUP BY request_id), nn AS (SELECT request_id, count(*) AS n, bool_or(fallback) AS fb FROM found GROUP BY request_id),
+cc AS (SELECT request_id, any_value(how) AS how, list(concept ORDER BY pos) AS concepts FROM rs GROUP BY request_id)
+SELECT request_id, aq.ticker, coalesce(how, 'none') AS resolved_by, coalesce(concepts, []) AS concepts, CASE WHEN how IS NULL THEN fy ELSE coalesce(fy, fiscal_year_focus) END AS fiscal_year, how IS NOT NULL AND fy IS NULL AS fiscal_year_defaulted, segment, coalesce(years, []) AS years_available, coalesce(n, 0) AS n_rows,
+ CASE WHEN fb THEN 'no consolidated value; segment values returned' END AS note FROM aq LEFT JOIN filings USING (ticker) LEFT JOIN cc USING (request_id) LEFT JOIN yy USING (request_id) LEFT JOIN nn USING (request_id)"""
+
+
+@query("fact_phrase_info", ASKED_INFO)
+def fact_phrase_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a phrase was resolved, the year that was used, and the years that there are."""
+    return X.lookup_phrase(_asked(spark), facts(spark, sf_dir), filings(spark, sf_dir))[1]
+
+
+UNITS = "CASE l_linenumber % 6 WHEN 0 THEN 'USD' WHEN 1 THEN 'USDPerShares' WHEN 2 THEN 'shares' WHEN 3 THEN 'pure' WHEN 4 THEN 'kg' ELSE 'USD' END"
+VALUE = "CASE l_linenumber % 6 WHEN 0 THEN round(l_extendedprice) WHEN 1 THEN round(l_discount * 1000) / 100 WHEN 2 THEN round(l_extendedprice) WHEN 3 THEN CASE WHEN l_suppkey % 2 = 0 THEN l_discount / 8192 ELSE l_extendedprice * 0.7310585 END WHEN 4 THEN l_extendedprice * 0.9173331 / (1 + l_suppkey % 3 * 977) ELSE -round(l_extendedprice) * 1e4 END"
+SHOWN = """CASE l_linenumber % 6 WHEN 0 THEN '$' || format('{:,}', v::BIGINT) WHEN 1 THEN '$' || format('{:.2f}', v) || ' per share' WHEN 2 THEN format('{:,}', v::BIGINT) || ' shares'
+ WHEN 3 THEN format('{:g}', v) || CASE WHEN abs(v) > 1.5 THEN '' ELSE ' (' || format('{:.1f}', v * 100) || '%)' END WHEN 4 THEN CASE WHEN v >= 1000 AND v < 9999.5 THEN format('{:,}', round(v)::BIGINT) ELSE format('{:.4g}', v) END || ' kg'
+ ELSE '-$' || CASE WHEN v::BIGINT % 1000000 = 0 THEN format('{:,}', (-v / 1e6)::BIGINT) ELSE format('{:,}', floor(round(-v / 1e5) / 10)::BIGINT) || '.' || (round(-v / 1e5)::BIGINT % 10) END || ' million' END"""
+
+
+@query("formatted_values", f"SELECT l_orderkey, l_linenumber, {SHOWN} AS shown FROM (SELECT *, {VALUE} AS v FROM lineitem WHERE l_linenumber % 6 <> 5 OR abs(round(l_extendedprice) * 1e4) >= 1e6)")
+def formatted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as values of six kinds of units."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("u", F.expr(UNITS)).withColumn("v", F.expr(VALUE)).where("l_linenumber % 6 <> 5 or abs(v) >= 1e6")
+    return rows.select("l_orderkey", "l_linenumber", X.formatted_value(F.col("v"), F.col("u")).alias("shown"))
+
+
 @query("camel_words", f"WITH {FACTS} SELECT DISTINCT concept, lower(regexp_replace(regexp_replace(concept, '^[^:]*:', ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')) AS words FROM facts")
 def camel_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).select("concept").distinct().select("concept", X.concept_words(F.col("concept")).alias("words"))
@@ -197,7 +272,7 @@ def price_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", N.cost_usd(model, F.col("user_id"), F.col("event_id")).alias("cost"))
 
 
-@query("xbrl_facts")
+@query("xbrl_facts", "SELECT 'T' || o_orderkey AS ticker, id, concept, value, 'iso4217:USD' AS unit, 2024 AS fiscal_year, 365 AS days, 0 AS dim_count FROM (SELECT o_orderkey, 1::BIGINT AS id, 'us-gaap:Revenues' AS concept, o_orderkey * 1000.0::DOUBLE AS value FROM orders UNION ALL SELECT o_orderkey, 2, 'us-gaap:NetIncomeLoss', -15.0 FROM orders)")
 def xbrl_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of submissions put together from orders: a context a year, a scaled and signed number each, one repeated."""
     tag = F.concat(

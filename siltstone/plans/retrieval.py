@@ -93,9 +93,9 @@ def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
 DENSE = f"""
-dsc AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, b.label, round({DOT.format('a.embedding', 'b.embedding')}, 6) AS score
+dsc AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, b.label, {DOT.format('a.embedding', 'b.embedding')} AS score
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
-dranked AS (SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dsc) WHERE rank <= {{k}})"""
+dranked AS (SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dsc) WHERE rank <= {{k}})"""
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +109,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense_top(*_vectors(spark, sf_dir), 10, "vec_id", "embedding")
 
 
-@query("dense_filtered", f"WITH {DENSE.format(k=10)} SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dsc WHERE label = 3) WHERE rank <= 10")
+@query("dense_filtered", f"WITH {DENSE.format(k=10)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dsc WHERE label = 3) WHERE rank <= 10")
 def dense_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter goes into the scan, before any distance."""
     queries, vectors = _vectors(spark, sf_dir)
@@ -129,39 +129,105 @@ def dense_l2_equals_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(closer, "query_id", "left").select("query_id", F.transform("r", lambda x: x["doc_id"]).alias("by_dot"), (F.coalesce("n", F.lit(0)) <= 10).alias("same"))
 
 
-HEAD = "split_part(text, '.', 1)"
+#: Passages: documents, their language as a company, and the vector of the same id; questions name companies, and some have a company of their own.
+PASSAGES = """p AS (SELECT doc_id, text, CASE lang WHEN 'en' THEN 'AAPL' WHEN 'de' THEN 'MSFT' WHEN 'fr' THEN 'META' ELSE 'AMZN' END AS ticker FROM documents),
+aq AS (SELECT item_id, text || CASE item_id % 4 WHEN 0 THEN ' Apple' WHEN 1 THEN ' in MICROSOFT filings' WHEN 2 THEN ' Apple or Microsoft' ELSE '' END AS text, CASE item_id % 4 WHEN 0 THEN 'AAPL' WHEN 1 THEN 'MSFT' END AS named, CASE WHEN item_id % 5 = 0 THEN 'META' END AS own FROM benchmark)"""
+_DENSE_OF = f"""SELECT aq.item_id AS query_id, p.doc_id, {DOT.format('a.embedding', 'b.embedding')} AS score FROM aq JOIN embeddings a ON a.vec_id = aq.item_id JOIN p ON {{fits}} JOIN embeddings b ON b.vec_id = p.doc_id"""
+_SPARSE_OF = "SELECT sc.query_id, sc.doc_id, sc.score FROM sc JOIN aq ON aq.item_id = sc.query_id JOIN p ON p.doc_id = sc.doc_id WHERE sc.score > 0 AND {fits}"
+NO_FILTER, OWN, INFERRED = "true", "(own IS NULL OR own = p.ticker)", "(coalesce(own, named) IS NULL OR coalesce(own, named) = p.ticker)"
 
 
-def _rrf_sql(wa: float, wb: float, k: int) -> str:
-    return f"""WITH {bm25_sql(k=25)}, {bm25_sql(k=25, doc_text=HEAD, prefix='h_')},
-fused AS (SELECT query_id, doc_id, {wa}::DOUBLE / ({k} + rank) AS part, rank AS seen FROM ranked UNION ALL SELECT query_id, doc_id, {wb}::DOUBLE / ({k} + rank), rank + 1000000 FROM h_ranked),
-summed AS (SELECT query_id, doc_id, round(sum(part), 9) AS score, min(seen) AS first_seen FROM fused GROUP BY ALL)
-SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_seen) AS rank FROM summed) WHERE rank <= 5"""
+def retrieve_sql(mode: str, k: int, fetch: int, fits: str = NO_FILTER, wa: float = 1, wb: float = 1, rrf_k: int = 60) -> str:
+    """The rows (query_id, rank, doc_id) of a configuration, from its lists."""
+    head = f"WITH {PASSAGES}, {bm25_sql(queries='aq', k=fetch)}, de AS ({_DENSE_OF.format(fits=fits)}), sp AS ({_SPARSE_OF.format(fits=fits)})"
+    ranked = ", ".join(f"{n}_r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {n}) WHERE rank <= {fetch})" for n in ("de", "sp"))
+    if mode != "hybrid":
+        return f"{head}, {ranked}, found AS (SELECT query_id, rank, doc_id FROM {'de' if mode == 'dense' else 'sp'}_r WHERE rank <= {k})"
+    return f"""{head}, {ranked}, fu AS (SELECT query_id, doc_id, {wa}::DOUBLE / ({rrf_k} + rank) AS part, rank AS seen FROM de_r UNION ALL SELECT query_id, doc_id, {wb}::DOUBLE / ({rrf_k} + rank), rank + 1000000 FROM sp_r),
+su AS (SELECT query_id, doc_id, round(sum(part), 9) AS score, min(seen) AS first_seen FROM fu GROUP BY ALL), found AS (SELECT query_id, rank, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_seen) AS rank FROM su) WHERE rank <= {k})"""
 
 
-def _two_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The same questions against whole texts and against first sentences."""
-    queries, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    heads = docs.withColumn("text", F.split_part("text", F.lit("."), F.lit(1)))
-    return R.bm25_top(queries, docs, 25, **COLUMNS), R.bm25_top(queries, heads, 25, **COLUMNS)
+def _retrieved(spark: SparkSession, sf_dir: str, config: R.RetrievalConfig, scorer: R.Scorer | None = None) -> DataFrame:
+    docs, items, vectors = (table(spark, sf_dir, t) for t in ("documents", "benchmark", "embeddings"))
+    symbol = F.when(F.col("lang") == "en", "AAPL").when(F.col("lang") == "de", "MSFT").when(F.col("lang") == "fr", "META").otherwise("AMZN")
+    n = F.col("item_id")
+    asked = items.select(n.alias("query_id"), F.concat("text", F.when(n % 4 == 0, " Apple").when(n % 4 == 1, " in MICROSOFT filings").when(n % 4 == 2, " Apple or Microsoft").otherwise("")).alias("query_text"), F.when(n % 5 == 0, "META").alias("ticker"))
+    if config.ticker_filter == "none":
+        asked = asked.drop("ticker")
+    if config.mode != "bm25":
+        asked = asked.join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    return R.retrieve(asked, docs.select("doc_id", "text", symbol.alias("ticker")), config, vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), scorer)
+
+
+FOUND = " SELECT query_id, rank, doc_id FROM found"
+
+
+@query("retrieve_dense", retrieve_sql("dense", 5, 5) + FOUND)
+def retrieve_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir, R.RetrievalConfig()).select("query_id", "rank", "doc_id")
+
+
+@query("retrieve_bm25", retrieve_sql("bm25", 5, 25) + FOUND)
+def retrieve_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir, R.RetrievalConfig(mode="bm25")).select("query_id", "rank", "doc_id")
+
+
+@query("retrieve_hybrid", retrieve_sql("hybrid", 5, 25) + FOUND)
+def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir, R.RetrievalConfig(mode="hybrid")).select("query_id", "rank", "doc_id")
+
+
+@query("retrieve_filtered", retrieve_sql("hybrid", 5, 25, INFERRED) + FOUND)
+def retrieve_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question's own company, else the one that its text names, filters both lists."""
+    return _retrieved(spark, sf_dir, R.RetrievalConfig(mode="hybrid", ticker_filter="inferred")).select("query_id", "rank", "doc_id")
+
+
+@query("retrieve_oracle_filter", retrieve_sql("dense", 5, 5, OWN) + FOUND)
+def retrieve_oracle_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir, R.RetrievalConfig(ticker_filter="oracle")).select("query_id", "rank", "doc_id")
+
+
+@query(
+    "retrieve_reranked",
+    retrieve_sql("hybrid", 25, 25)
+    + f""", rc AS (SELECT f.query_id, f.doc_id, f.rank AS prior, list_distinct(regexp_extract_all(lower(aq.text), '{TOK}')) AS asked, regexp_extract_all(lower(p.text), '{TOK}') AS had FROM found f JOIN aq ON aq.item_id = f.query_id JOIN p USING (doc_id)),
+rs AS (SELECT query_id, doc_id, prior, round(len(list_intersect(asked, had))::DOUBLE / greatest(len(asked), 1), 6) AS score FROM rc)
+SELECT query_id, rank, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, prior) AS rank FROM rs) WHERE rank <= 5""",
+)
+def retrieve_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir, R.RetrievalConfig(mode="hybrid", rerank=True), R.overlap_scorer()).select("query_id", "rank", "doc_id")
+
+
+@query("answer_contexts", retrieve_sql("dense", 5, 5) + " SELECT query_id, string_agg('[' || rank || '] ' || ticker || ' ' || doc_id || chr(10) || trim(replace(left(text, 500), chr(10), ' ')), chr(10) || chr(10) ORDER BY rank) AS context FROM found JOIN p USING (doc_id) GROUP BY query_id")
+def answer_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a single question is answered from: plain dense ranking, whatever is configured."""
+    return R.answer_context(_retrieved(spark, sf_dir, R.RetrievalConfig()))
+
+
+@query("search_snippets", retrieve_sql("hybrid", 5, 25, INFERRED) + " SELECT query_id, rank, ticker || '_10K_chunk_' || doc_id AS chunk_id, trim(replace(left(text, 500), chr(10), ' ')) AS snippet FROM found JOIN p USING (doc_id)")
+def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _retrieved(spark, sf_dir, R.RetrievalConfig(mode="hybrid", ticker_filter="inferred"))
+    return found.select("query_id", "rank", T.chunk_id(F.col("ticker"), F.col("doc_id")).alias("chunk_id"), T.snippet(F.col("text")).alias("snippet"))
+
+
+def _rrf_sql(wa: float, wb: float, k: int) -> str:
+    return retrieve_sql("hybrid", 5, 25, NO_FILTER, wa, wb, k) + FOUND
 
 
 @query("hybrid_rrf", _rrf_sql(1, 1, 60))
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _two_views(spark, sf_dir)
-    return R.fuse_top([(a, 1), (b, 1)], 5)
+    return _retrieved(spark, sf_dir, R.RetrievalConfig(mode="hybrid")).select("query_id", "rank", "doc_id")
 
 
 @query("hybrid_rrf_weighted", _rrf_sql(2, 0.5, 60))
 def hybrid_rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _two_views(spark, sf_dir)
-    return R.fuse_top([(a, 2), (b, 0.5)], 5)
+    return _retrieved(spark, sf_dir, R.RetrievalConfig(mode="hybrid", dense_weight=2.0, sparse_weight=0.5)).select("query_id", "rank", "doc_id")
 
 
 @query("rrf_k20", _rrf_sql(1, 1, 20))
 def rrf_k20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _two_views(spark, sf_dir)
-    return R.fuse_top([(a, 1), (b, 1)], 5, 20)
+    return _retrieved(spark, sf_dir, R.RetrievalConfig(mode="hybrid", rrf_k=20)).select("query_id", "rank", "doc_id")
 
 
 @query(
@@ -218,6 +284,21 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.item_metrics(M.group_ranks(ranked, groups))
 
 
+GATE = [("mrr", 0.01, True), ("recall_25", 0.99, True), ("hit_5", 0.0, True), ("ndcg_10", 0.1, True)]
+
+
+@query(
+    "retrieval_gate",
+    f"WITH {bm25_sql(k=25)}, {LOCATED}, {_item_sql()}, a AS (SELECT avg(mrr) AS mrr, avg(recall_25) AS recall_25, avg(hit_5) AS hit_5 FROM items), v AS (SELECT 'mrr' AS metric, round(mrr, 4) AS value FROM a UNION ALL SELECT 'recall_25', round(recall_25, 4) FROM a UNION ALL SELECT 'hit_5', round(hit_5, 4) FROM a), "
+    "t(metric, threshold) AS (VALUES ('mrr', 0.01::DOUBLE), ('recall_25', 0.99), ('hit_5', 0.0), ('ndcg_10', 0.1)) SELECT metric, value, threshold, coalesce(value >= threshold, false) AS passed FROM t LEFT JOIN v USING (metric)",
+)
+def retrieval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration's metrics against the thresholds set for it; a metric that it hasn't measured fails."""
+    means = M.mean_metrics(_items(spark, sf_dir))
+    values = means.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("mrr", "recall_25", "hit_5")])))
+    return M.gate(values, spark.createDataFrame(GATE, "metric string, threshold double, higher_is_better boolean"))
+
+
 MEANS = "count(*) AS n_items, " + ", ".join(f"round(avg({m}), 4) AS {m}" for m in M.METRICS)
 
 

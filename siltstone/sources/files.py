@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions import text as T
+
 BENCHMARK = ("id", "ticker", "question", "ground_truth", "reference_contexts", "question_type", "section", "difficulty", "requires_table", "notes")
 RESULT = "schema_version int, result_kind string, run_id string, run_status string, benchmark_version string, config map<string,string>, aggregates map<string,double>, results array<struct<id:string,question_type:string,answer:string,terminal_failure:string,latency_ms:double,input_tokens:long,output_tokens:long,cost_usd:double,retrieved_chunk_ids:array<string>,observations:array<string>>>"
 
@@ -59,8 +61,8 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 
 def write_facts(facts: DataFrame, filings: DataFrame, path: str) -> None:
-    """Both tables, built anew; facts sorted inside their company for range skipping."""
-    facts.repartition("ticker").sortWithinPartitions("concept", "fiscal_year").write.mode("overwrite").partitionBy("ticker").parquet(f"{path}/facts")
+    """Both tables, built anew; facts in ranges of company and concept, so that no company falls to one task and a look-up skips files."""
+    facts.repartitionByRange("ticker", "concept", "fiscal_year").sortWithinPartitions("ticker", "concept", "fiscal_year").write.mode("overwrite").partitionBy("ticker").parquet(f"{path}/facts")
     filings.write.mode("overwrite").parquet(f"{path}/filings")
 
 
@@ -69,13 +71,89 @@ def read_facts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def load_or_build(spark: SparkSession, path: str, expected: int, build) -> DataFrame:
-    """A stored index if its manifest has the expected row count, else one built and stored now."""
-    try:
-        if spark.read.json(f"{path}/manifest").first()["rows"] == expected:
-            return spark.read.parquet(f"{path}/data")
-    except Exception as e:  # no manifest yet, or one that can't be read: build
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e) and "rows" not in str(e):
-            raise
+    """A stored index if its manifest has the expected row count, else one built and stored now.
+
+    The manifest says how many rows were written; a build that doesn't give the expected count is an error, and isn't kept.
+    """
+    manifest = Stored(spark, f"{path}/manifest")
+    if manifest.exists() and (held := spark.read.schema("rows long").json(f"{path}/manifest").first()) and held["rows"] == expected:
+        return spark.read.parquet(f"{path}/data")
+    manifest.delete()  # from here to the end there is no index
     build().write.mode("overwrite").parquet(f"{path}/data")
-    spark.createDataFrame([(expected,)], "rows long").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
-    return spark.read.parquet(f"{path}/data")
+    data = spark.read.parquet(f"{path}/data")
+    if (rows := data.count()) != expected:
+        raise ValueError(f"the index at {path} has {rows} rows, {expected} are expected")
+    spark.createDataFrame([(rows,)], "rows long").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return data
+
+
+class Stored:
+    """A path in any file system that Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        jvm = spark.sparkContext._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        return self.fs.exists(self.path)
+
+    def delete(self) -> None:
+        self.fs.delete(self.path, True)
+
+
+def upsert(spark: SparkSession, rows: DataFrame, path: str, key: str) -> DataFrame:
+    """The table at ``path`` with ``rows`` put in by ``key``: of a key that both have the new row stays. Nothing to put in changes nothing.
+
+    The new table is written beside the old one and takes its place only when it is whole.
+    """
+    place, beside, before = Stored(spark, path), Stored(spark, f"{path}.new"), Stored(spark, f"{path}.old")
+    if not place.exists():
+        rows.write.mode("error").parquet(path)
+        return spark.read.parquet(path)
+    if rows.isEmpty():
+        return spark.read.parquet(path)
+    held = spark.read.parquet(path)
+    held.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True).write.mode("overwrite").parquet(f"{path}.new")
+    before.delete()
+    place.fs.rename(place.path, before.path)
+    place.fs.rename(beside.path, place.path)
+    before.delete()
+    return spark.read.parquet(path)
+
+
+def index_chunks(chunks: DataFrame, ticker: str = "ticker", source: str = "source") -> DataFrame:
+    """Chunks (ticker, source, chunk_idx, text) with their id; a chunk without a source has an empty one."""
+    symbol = F.upper(F.col(ticker))
+    return chunks.select(T.chunk_id(symbol, F.col("chunk_idx")).alias("chunk_id"), symbol.alias("ticker"), F.coalesce(F.col(source), F.lit("")).alias("source"), "chunk_idx", "text")
+
+
+def write_results(rows: DataFrame, path: str) -> None:
+    """Records as JSON lines; readers see the old files until all new ones are there."""
+    rows.write.mode("overwrite").json(path)
+
+
+def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records that write_results() stored; a cache that isn't there, or lines that can't be read, hold nothing."""
+    if not Stored(spark, path).exists():
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    return rows.where("_broken is null").drop("_broken")
+
+
+def read_probe(spark: SparkSession, path: str) -> DataFrame:
+    """(conversation, kind, turn, question, ground_truth, depends_on_history) of a probe's conversations."""
+    turn = "struct<question:string,ground_truth:string,depends_on_history:boolean>"
+    rows = spark.read.schema(f"conversations array<struct<id:string,kind:string,turns:array<{turn}>>>").option("multiLine", True).json(path)
+    rows = rows.select(F.explode("conversations").alias("c")).select(F.col("c.id").alias("conversation"), F.col("c.kind").alias("kind"), F.posexplode("c.turns").alias("turn", "t"))
+    return rows.select("conversation", "kind", "turn", "t.*")
+
+
+def read_gate(spark: SparkSession, path: str, lower_is_better: tuple[str, ...] = ("terminal_failures", "unexplained_nan")) -> DataFrame:
+    """(scope, metric, threshold, higher_is_better) of a gate file's retrieval configurations and its judged section."""
+    schema = "retrieval struct<configs:array<struct<label:string,thresholds:map<string,double>>>>, judged struct<thresholds:map<string,double>,max_terminal_failures:double>"
+    gate = spark.read.schema(schema).option("multiLine", True).json(path)
+    configs = gate.select(F.explode("retrieval.configs").alias("c")).select(F.col("c.label").alias("scope"), F.explode("c.thresholds").alias("metric", "threshold"))
+    limits = F.map_concat("judged.thresholds", F.create_map(F.lit("terminal_failures"), F.coalesce("judged.max_terminal_failures", F.lit(0.0)), F.lit("unexplained_nan"), F.lit(0.0)))
+    judged = gate.where("judged is not null").select(F.lit("judged").alias("scope"), F.explode(limits).alias("metric", "threshold"))
+    return configs.unionByName(judged).withColumn("higher_is_better", ~F.col("metric").isin(*lower_is_better))

@@ -62,6 +62,6 @@ def test_matching_is_not_symmetric(spark):
 
 
 def test_nearest_rank_rounds_half_even(spark):
-    rows = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4)], "v double")
-    assert rows.agg(N.nearest_rank(F.col("v"), 50)).first()[0] == 3.0
-    assert rows.where("v > 9").agg(N.nearest_rank(F.col("v"), 50)).first()[0] is None
+    rows = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "v double").withColumn("g", F.lit(1))
+    assert N.percentiles(rows, ["g"], "v", {"p": ("nearest", 50)}).first().p == 3.0
+    assert N.percentiles(rows.where("v > 9"), ["g"], "v", {"p": ("nearest", 50)}).count() == 0

@@ -87,13 +87,126 @@ def test_xbrl(spark):
 def test_manifest_reuse(spark, tmp_path):
     built = []
 
-    def build():
-        built.append(1)
-        return spark.range(3)
+    def build(n):
+        return lambda: built.append(n) or spark.range(n)
 
-    for expected in (3, 3, 4):
-        files.load_or_build(spark, str(tmp_path / "index"), expected, build)
-    assert len(built) == 2
+    path = str(tmp_path / "index")
+    assert files.load_or_build(spark, path, 3, build(3)).count() == 3
+    assert files.load_or_build(spark, path, 3, build(3)).count() == 3 and built == [3]
+    with pytest.raises(ValueError, match="has 3 rows, 4 are expected"):
+        files.load_or_build(spark, path, 4, build(3))
+    assert files.load_or_build(spark, path, 3, build(3)).count() == 3 and built == [3, 3, 3]  # what went wrong wasn't kept
+
+
+def test_upsert_and_caches(spark, tmp_path):
+    path, rows = str(tmp_path / "t"), lambda *r: spark.createDataFrame(r, "chunk_id string, text string")
+    files.upsert(spark, rows(("a", "1"), ("b", "1")), path, "chunk_id")
+    files.upsert(spark, rows(("b", "2"), ("c", "2")), path, "chunk_id")
+    got = files.upsert(spark, rows(("x", "")).limit(0), path, "chunk_id")
+    assert sorted(map(tuple, got.collect())) == [("a", "1"), ("b", "2"), ("c", "2")]
+    cache = str(tmp_path / "cache")
+    assert files.read_cache(spark, cache, "id string, n long").count() == 0
+    files.write_results(spark.createDataFrame([("q1", 3)], "id string, n long"), cache)
+    (tmp_path / "cache" / "part-broken.json").write_text('{"id": "q2", "n": \n')
+    assert [tuple(r) for r in files.read_cache(spark, cache, "id string, n long").collect()] == [("q1", 3)]
+    made = files.index_chunks(spark.createDataFrame([("aapl", None, 0, "t")], "ticker string, source string, chunk_idx int, text string")).first()
+    assert (made.chunk_id, made.ticker, made.source) == ("AAPL_10K_chunk_0", "AAPL", "")
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "probe.json").write_text('{"conversations": [{"id": "c", "kind": "k", "turns": [{"question": "q", "ground_truth": "1", "depends_on_history": false}, {"question": "r", "depends_on_history": true}]}]}')
+    assert [(r.conversation, r.turn, r.question, r.depends_on_history) for r in files.read_probe(spark, str(tmp_path / "probe.json")).collect()] == [("c", 0, "q", False), ("c", 1, "r", True)]
+    (tmp_path / "gate.json").write_text('{"retrieval": {"configs": [{"label": "dense", "thresholds": {"mrr": 0.3}}]}, "judged": {"thresholds": {"faithfulness": 0.8}, "max_terminal_failures": 1}}')
+    got = sorted(tuple(r) for r in files.read_gate(spark, str(tmp_path / "gate.json")).collect())
+    assert got == [("dense", "mrr", 0.3, True), ("judged", "faithfulness", 0.8, True), ("judged", "terminal_failures", 1.0, False), ("judged", "unexplained_nan", 0.0, False)]
+    (tmp_path / "labels.json").write_text('{"items": {"a": {"groups": [["x"]], "method": "exact"}}}')
+    assert files.read_labels(spark, str(tmp_path / "labels.json"), "struct<groups:array<array<string>>,method:string>").first().label.method == "exact"
+    for company, name, text in (("AAPL", "1", "old"), ("AAPL", "2", "caf\u00e9"), ("MSFT", "1", "new")):
+        folder = tmp_path / "filings" / company
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{name}.txt").write_bytes(text.encode("latin-1"))
+    assert {r.ticker: r.text for r in files.newest_filings(spark, str(tmp_path / "filings")).collect()} == {"AAPL": "caf\u00e9", "MSFT": "new"}
+    assert {r.text for r in files.read_texts(spark, str(tmp_path / "filings" / "MSFT")).collect()} == {"new"}
+    (tmp_path / "run.json").write_text('{"result_kind": "retrieval", "run_id": "r", "benchmark_version": "v", "aggregates": {"mrr": 0.5}, "results": [{"id": "1"}]}')
+    (tmp_path / "bad.json").write_text("{nonsense")
+    runs = files.read_results(spark, str(tmp_path / "*.json"), "v")
+    assert [r.run_id for r in runs.collect()] == ["r"] and files.records(runs).first().observations == []
+
+
+def test_facts_are_stored_and_read(spark, tmp_path):
+    facts = spark.createDataFrame([(1, "T", "c", 2024), (2, "U", "c", 2024)], "id long, ticker string, concept string, fiscal_year int")
+    files.write_facts(facts, spark.createDataFrame([("T", 2024)], "ticker string, fiscal_year_focus int"), str(tmp_path / "facts"))
+    held, filed = files.read_facts(spark, str(tmp_path / "facts"))
+    assert held.where("ticker = 'U'").first().id == 2 and filed.count() == 1
+    files.write_chunks(spark.createDataFrame([("T", 0, "x")], "ticker string, chunk_idx int, text string"), str(tmp_path / "chunks"))
+    assert spark.read.parquet(str(tmp_path / "chunks")).count() == 1
+
+
+def test_redundant_calls_and_conformity(spark):
+    calls = spark.createDataFrame([(1, 0, "a", '{"a":1,"b":2}', 0.0), (1, 1, "a", '{"b":2, "a":1}', 1.0), (2, 0, "b", None, 0.0), (9, 0, "z", "{}", 0.0)], "item_id long, pos long, tool string, args string, start_ms double")
+    assert {r.item_id: r.redundant_calls for r in O.redundant(calls).collect()} == {1: 1, 9: 0}
+    labels = spark.createDataFrame([(1, ["a"], ["a"], ["a"]), (3, ["a"], ["a"], ["a"])], "item_id long, allowed array<string>, required array<string>, first_ok array<string>")
+    got = {r.item_id: (r.tool_set_ok, r.first_tool_ok, r.missing) for r in O.conformity(calls, labels).collect()}
+    assert got == {1: (True, True, []), 3: (False, None, ["a"])}
+
+
+def test_labels_of_items(spark):
+    items = spark.createDataFrame([(i,) for i in range(1, 8)], "item_id long")
+    refs = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 0), (3, 1), (4, 0), (5, 0), (6, 0)], "item_id long, ref_pos int")
+    found = spark.createDataFrame([(1, 0, 10, "exact"), (1, 0, 11, "exact"), (1, 1, 12, "exact"), (2, 0, 10, "prefix"), (3, 0, 10, "exact"), (5, 0, 1, "exact")], "item_id long, ref_pos int, doc_id long, method string")
+    overrides = spark.createDataFrame([(5, [[7, 8]], None, "by hand"), (6, None, True, "gone")], "item_id long, groups array<array<long>>, unlocatable boolean, note string")
+    got = {r.item_id: (r.groups, r.method, r.n_references, r.note) for r in M.label_items(items, refs, found, overrides).collect()}
+    assert got == {1: ([[10, 11], [12]], "exact", 2, ""), 2: ([[10]], "prefix", 1, ""), 3: ([[10]], "partial", 2, ""), 4: ([], "none", 1, ""), 5: ([[7, 8]], "manual", 1, "by hand"), 6: ([], "unlocatable", 0, "gone"), 7: ([], "none", 0, "")}
+
+
+def test_sources_of_an_answer(spark):
+    from siltstone.operators import verify as V
+
+    seen = spark.createDataFrame([(1, 0, "[1] ticker=aapl  chunk_idx=5\nsome text\n\n[2] ticker=AAPL  chunk_idx=5\nagain"), (1, 1, "[1] calc=ratio\nratio = 0.5"), (2, 0, "see ticker=msft chunk_idx=9, and ticker=msft chunk_idx=9 there")], "run long, seq long, text string")
+    parsed = V.parse(seen, ["run", "seq"], "text")
+    got = [tuple(r) for r in V.sources(seen, parsed, "run", ["seq", "pos"], "text").orderBy("run", "pos").collect()]
+    assert got == [(1, 1, "AAPL", "AAPL_10K_chunk_5", "some text"), (2, 1, "MSFT", "MSFT_10K_chunk_9", "")]
+    assert {r.run: r.contexts for r in V.contexts(parsed, "run", ["seq", "pos"]).collect()} == {1: ["[AAPL 10-K, chunk 5] some text", "[AAPL 10-K, chunk 5] again", "[calc_ratio] ratio = 0.5"]}
+    assert V.by_id(parsed, "run", ["seq", "pos"]).where("id like 'AAPL%'").first().text == "some text\nagain"
+
+
+def test_memory_admits_and_expires(spark):
+    from siltstone.operators import memory as H
+
+    rows = spark.createDataFrame([(1, "t", 0, "a", "verified"), (2, "t", 60, "b", "refused"), (3, "t", 120, " ", "verified"), (4, "t", 180, "c", "skipped"), (5, "t", 5000, "d", "verified"), (6, "t", 5001, "e", None)], "event_id long, thread string, at long, answer string, status string")
+    rows = rows.withColumn("ts", F.timestamp_seconds("at"))
+    got = H.remembered(rows, "thread", "ts", H.admitted(F.col("thread"), F.col("answer"), F.col("status")))
+    assert [r.remembered for r in got.orderBy("event_id").collect()] == [0, 1, 1, 1, 0, 1]
+
+
+def test_percentiles_over_ranges(spark):
+    import numpy as np
+    from siltstone.functions import numbers as N
+
+    rng = np.random.default_rng(0)
+    data = [("a", float(x)) for x in rng.normal(size=3000).round(3)] + [("a", 0.5)] * 4000 + [("b", 1.0), ("b", None), ("c", None)]
+    rows = spark.createDataFrame(data, "g string, v double")
+    got = {r.g: r for r in N.percentiles(rows, ["g"], "v", {"near": ("nearest", 37), "p99": ("linear", 99.5), "top": ("nearest", 100)}, 6).collect()}
+    a = np.sort([v for g, v in data if g == "a"])
+    assert (got["a"].near, got["a"].top) == (a[round(0.37 * (len(a) - 1))], a[-1]) and abs(got["a"].p99 - np.percentile(a, 99.5)) < 1e-6
+    assert got["b"].near == got["b"].p99 == 1.0 and set(got) == {"a", "b"}
+
+
+def test_located_by_runs_of_words(spark):
+    import random
+
+    random.seed(4)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
+    docs = [(i, " ".join(random.choices(words, k=200))) for i in range(30)]
+    refs = [(j, docs[j][1][a : a + n]) for j, (a, n) in enumerate([(0, 80), (3, 90), (17, 25), (40, 61), (5, 8), (0, 400)])] + [(90, docs[9][1][10:75] + " never seen"), (91, ""), (92, "alpha beta gamma delta eps nowhere at all")]
+    got = {tuple(r) for r in R.located(spark.createDataFrame(refs, "rid long, t string"), spark.createDataFrame(docs, "did long, t string"), "rid", "t", "did", "t").collect()}
+    norm = lambda t: " ".join(t.split()).lower()
+    want = set()
+    for rid, t in refs:
+        t = norm(t)
+        exact = {(rid, d, "exact") for d, x in docs if t and t in norm(x)}
+        want |= exact or {(rid, d, "prefix") for d, x in docs if len(t[:60]) >= 20 and t[:60] in norm(x)}
+    assert got == want and len({r for r, *_ in want}) >= 7
 
 
 def test_benchmark_checks(spark, tmp_path):
@@ -107,7 +220,49 @@ def test_benchmark_checks(spark, tmp_path):
 
 
 def test_retrieve_modes(spark):
-    docs = spark.createDataFrame([(i, f"word{i} shared") for i in range(6)], "doc_id long, text string")
-    asked = spark.createDataFrame([(1, "word3")], "q long, text string")
-    ranked = R.retrieve(asked, docs, R.RetrievalConfig(mode="bm25", k=2, rerank=True), scorer=R.overlap_scorer(), **COLUMNS)
-    assert [r.doc_id for r in ranked.orderBy(F.col("rank")).collect()] == [3]
+    docs = spark.createDataFrame([(i, f"word{i} shared", "AAPL" if i % 2 else "MSFT") for i in range(6)], "doc_id long, text string, ticker string")
+    vectors = spark.createDataFrame([(i, [float(i == j) for j in range(6)]) for i in range(6)], "doc_id long, vector array<double>")
+    asked = spark.createDataFrame([(1, "word3 microsoft", [0.0, 0.9, 0.8, 0.0, 0.7, 0.0])], "query_id long, query_text string, vector array<double>")
+    ids = lambda config, **how: [r.doc_id for r in R.retrieve(asked, docs, config, vectors, **how).orderBy("rank").collect()]
+    assert ids(R.RetrievalConfig(mode="bm25", k=2)) == [3]
+    assert ids(R.RetrievalConfig(k=2)) == [1, 2]
+    assert ids(R.RetrievalConfig(k=2, ticker_filter="inferred")) == [2, 4]
+    assert ids(R.RetrievalConfig(mode="hybrid", k=2)) == [3, 1]  # in both lists
+    assert ids(R.RetrievalConfig(mode="hybrid", k=3, ticker_filter="inferred"))[:2] == [2, 4]
+    assert ids(R.RetrievalConfig(k=1, rerank=True, fetch_k=6), scorer=R.overlap_scorer()) == [3]
+    with pytest.raises(ValueError, match="scorer"):
+        R.retrieve(asked, docs, R.RetrievalConfig(rerank=True), vectors)
+    with pytest.raises(ValueError, match="vectors"):
+        R.retrieve(asked, docs, R.RetrievalConfig())
+    own = asked.withColumn("ticker", F.lit("aapl"))
+    assert [r.doc_id for r in R.retrieve(own, docs, R.RetrievalConfig(k=2, ticker_filter="inferred"), vectors).orderBy("rank").collect()] == [1, 3]
+
+
+def test_phrase_lookup_says_what_it_did(spark):
+    facts = spark.createDataFrame(
+        [(1, "T", "us-gaap:Revenues", 5e6, "x", "USD", 0, "duration", "2024-01-01", "2024-12-31", 365, 2024, "", 0), (2, "T", "us-gaap:Revenues", 2.5e6, "2.5", "USD", 6, "duration", "2024-01-01", "2024-12-31", 365, 2024, "srt:ProductOrServiceAxis=us-gaap:ServiceMember", 1)],
+        "id long, ticker string, concept string, value double, raw_text string, unit string, scale int, period_type string, period_start string, period_end string, days int, fiscal_year int, dims string, dim_count int",
+    )
+    asked = spark.createDataFrame([(1, "t", "services revenue", None, None), (2, "T", "gibberish", None, None), (3, "T", "revenue", 1999, None)], "request_id long, ticker string, concept string, fiscal_year int, segment string")
+    rows, info = X.lookup_phrase(asked, facts, spark.createDataFrame([("T", 2024)], "ticker string, fiscal_year_focus int"))
+    said = {r.request_id: r for r in info.collect()}
+    assert (said[1].segment, said[1].fiscal_year, said[1].fiscal_year_defaulted, said[1].years_available, said[1].n_rows) == ("services", 2024, True, [2024], 1)
+    assert (said[2].resolved_by, said[2].concepts, said[2].fiscal_year, said[3].n_rows, said[3].fiscal_year) == ("none", [], None, 0, 1999)
+    text = {r.request_id: r.text for r in X.observations(rows, info, asked).collect()}
+    assert "[1] ticker=T  fact_id=2\n    us-gaap:Revenues | FY2024 (2024-01-01 to 2024-12-31) | $2.5 million | ProductOrService=Service | tagged \"2.5\" x10^6 USD" in text[1]
+    assert text[2].startswith("No XBRL concept matches 'gibberish' for T.") and "no annual value is tagged for fiscal year 1999. The filing covers fiscal years 2024." in text[3]
+
+
+def test_values_as_people_write_them(spark):
+    values = [(1.2e-05, "pure"), (0.25, "pure"), (1234567.0, "pure"), (12345.678, "kg"), (1234.4, "kg"), (0.0, "pure"), (99999.6, "kg"), (1e6, "USD"), (-2.5e6, "USD"), (999.5, "usd"), (3.14159, "USD/shares"), (1234.0, "shares")]
+    got = [r.x for r in spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "i int, v double, u string").orderBy("i").select(X.formatted_value(F.col("v"), F.col("u")).alias("x")).collect()]
+    assert got == ["1.2e-05 (0.0%)", "0.25 (25.0%)", "1.23457e+06", "1.235e+04 kg", "1,234 kg", "0 (0.0%)", "1e+05 kg", "$1 million", "-$2.5 million", "$1,000", "$3.14 per share", "1,234 shares"]
+
+
+def test_streams_of_served_answers_are_bounded(spark):
+    from siltstone.functions import messages as S
+
+    long = {"a": "x" * 300, "b": "y"}
+    rows = spark.createDataFrame([(long,), ({str(i): "z" * 190 for i in range(5)},)], "m map<string,string>").select(S.safe_args(F.col("m")).alias("s"))
+    first, second = (r.s for r in rows.collect())
+    assert first == '{"a":"' + "x" * 200 + '","b":"y"}' and second.startswith('{"_truncated":') and len(second) < 800
