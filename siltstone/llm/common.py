@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 #: ASCII white space that ends a word, as a character class for Java and RE2 patterns.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,21 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. It is set here only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a local master gets a temporary one; elsewhere that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         sc = spark.sparkContext
         at = sc._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
         if at is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             at = "file://" + tempfile.mkdtemp(prefix="siltstone-")
             sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/siltstone/{what}-{uuid.uuid4().hex}"
+    """A new path under this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application has stored; for when no result is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -46,8 +57,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def python_ready(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of ``rows`` texts at most, which bound a Python worker's memory, and this package on the workers' path."""
+    """Arrow batches of ``rows`` texts and BATCH_BYTES at most, which bound a Python worker's memory, and this package on the workers' path.
+
+    The options stay: plans are lazy, and run after an operator has returned.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     here = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if here not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -69,15 +84,22 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def runtime_filters(spark: SparkSession) -> None:
-    """Lets Spark prune the large side of a join, before it shuffles, by a Bloom filter of the other side's keys.
+@contextmanager
+def runtime_filters(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark prunes the large side of a join that runs there, before it shuffles, by a Bloom filter of the other side's keys.
 
     The filter is what is broadcast, and Spark bounds it (maxNumBits, 8 MB), whatever the number of keys; with more keys it
     prunes less and the join stays right.
     """
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "100g")
+    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "100g"}
+    held = {k: spark.conf.get(f"spark.sql.optimizer.runtime.bloomFilter.{k}") for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(f"spark.sql.optimizer.runtime.bloomFilter.{k}", v)
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.set(f"spark.sql.optimizer.runtime.bloomFilter.{k}", v)
 
 
 def pruning(keys: DataFrame, what: str) -> DataFrame:

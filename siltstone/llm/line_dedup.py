@@ -7,9 +7,9 @@
    probability 1 - (1 - J * J) ** TABLES, whatever the number of lines; bits of the SimHash itself as blocks would need
    many more blocks for that (README has the figures).
 3. Lines that share a block and whose sketches differ in SKETCH_BITS at most are candidates: all pairs of a block of up to SMALL lines. In larger
-   blocks a first round joins neighbours in sketch order and each line with the block's first, and a second round compares all pairs
-   that the first has left in different groups, in tiles of bounded size.
-4. Candidates fetch their lines and stay if the edit similarity of their characters reaches SIMILARITY, whatever their length.
+   blocks a first round joins each line with the block's smallest, and a second compares all
+   pairs that the first has left in different groups, each in the first block that it shares, in tiles of bounded size that hold their lines' texts.
+4. Candidates of the first round fetch their lines; pairs stay if the edit similarity of their characters reaches SIMILARITY, whatever their length.
 5. Of each connected group the first occurrence, by document id and line, stays.
 """
 
@@ -33,7 +33,7 @@ SIMILARITY, LEAST_WORDS, LEAST_CHARS = 0.8, 3, 6
 TABLES, RUN, SHORT_RUN, FEW_WORDS, UNSPACED = 12, 8, 5, 8, 20
 LONG_WORD = 4  # bytes; shorter words, which all lines share, count in the sketch of a line without longer ones only
 SKETCH_BITS = np.array([36, 42])  # of 128, by kind of block: what the sketches of similar lines differ in at most; by chance 64 do
-SMALL, TILE, HOT = 16, 4096, 256
+SMALL, TILE, HOT = 16, 2048, 256
 FILTER_BITS = 24  # of the filter that picks the lines of candidates: 2 MB, whatever the table's size
 #: Control characters, ASCII and Latin-1 marks and general punctuation: ranges, which a pattern tests fast.
 MARKS = "[\\x00-\\x1F!-/:-@\\[-`{-\\xA9\\xAB-\\xB4\\xB6-\\xB9\\xBB-\\xBF\\u2000-\\u206F]+"
@@ -194,9 +194,10 @@ def alike(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def pairs_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs of keys, and which entries lie in blocks of more than SMALL lines, hot ones included (in order of the entries returned).
 
-    Small blocks give all their pairs, others neighbours in sketch order and each line with its block's first.
+    Small blocks give all their pairs; of others each line meets its block's smallest key, which is mostly the same in all its blocks, and in one
+    block of four its neighbour in sketch order.
     """
-    e = e[np.lexsort((e["key"], e["s0"], e["sig"]))]
+    e = e[np.lexsort((e["key"], e["sig"]))]
     same = (e["sig"][1:] == e["sig"][:-1]) & (e["key"][1:] == e["key"][:-1])
     e = e[np.concatenate([[True], ~same])]
     first = np.flatnonzero(np.concatenate([[True], e["sig"][1:] != e["sig"][:-1]]))
@@ -205,10 +206,14 @@ def pairs_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     leader, large, left = np.repeat(first, n), np.repeat(big, n), np.arange(len(e))
     found = []
     for k in range(1, SMALL):
-        i = left[(left - k >= leader) & (~large | (k <= 2))]
+        i = left[(left - k >= leader) & ~large]
         found.append((i, i - k))
     i = np.flatnonzero(large & (left > leader))
     found.append((i, leader[i]))
+    some = np.flatnonzero(large & (e["sig"] % U(4) == 0))
+    some = some[np.lexsort((e["s0"][some], e["sig"][some]))]
+    next_ = np.flatnonzero(e["sig"][some[1:]] == e["sig"][some[:-1]])
+    found.append((some[next_ + 1], some[next_]))
     i, j = (np.concatenate(x) for x in zip(*found, strict=True))
     ok = alike(e, i, j)
     return e["key"][i[ok]], e["key"][j[ok]], e[large]
@@ -233,34 +238,59 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*none, *columns, pa.array(large["chars"].astype(np.int32)), pa.array(large["kind"].astype(np.int32))], names=names)
 
 
-def across(keys: np.ndarray, e: np.ndarray, roots: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of a unit between lines of different roots; where a unit has two sides, pairs across them."""
+def across(e: np.ndarray, roots: np.ndarray, side: np.ndarray, block: int, blocks: np.ndarray, texts: list[str], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links of a unit that join lines of different roots, the likeliest pairs first; where a unit has two sides, of pairs across them.
+
+    ``blocks`` has the large blocks of each line, in order, padded with the unit's own: two lines are compared in the first that they share.
+    """
     _, root, many = np.unique(roots, return_inverse=True, return_counts=True)
+    up = list(range(len(many)))
+
+    def find(r: int) -> int:
+        while up[r] != r:
+            up[r] = up[up[r]]
+            r = up[r]
+        return r
+
     order = np.argsort(many[root], kind="stable")
     two = side.min() < side.max()
     if not two:
         order = order[: len(order) - many.max()]  # the largest group is compared with the others only
-    open_ = np.ones(len(e), bool)
+    open_, top = np.ones(len(e), bool), root.copy()
     for i in order.tolist():
         open_[i] = False
-        j = np.flatnonzero(open_ & (root != root[i]) & ((side != side[i]) | (not two)))
+        j = np.flatnonzero(open_ & (top != top[i]) & ((side != side[i]) | (not two)))
         j = j[alike(e, np.full(len(j), i), j)]
-        if len(j):
-            yield np.full(len(j), keys[i]), keys[j]
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of units: rows (unit, side, key, root, s0, s1, chars, kind) come sorted by unit."""
+        for b in blocks[i]:
+            if b >= block:
+                break
+            j = j[(blocks[j] != b).all(axis=1)]
+        far = np.bitwise_count(e["s0"][j] ^ e["s0"][i]) + np.bitwise_count(e["s1"][j] ^ e["s1"][i])
+        for k in j[np.argsort(far, kind="stable")].tolist():
+            x, y = find(int(root[i])), find(int(root[k]))
+            if x != y and similar(texts[i], texts[k], similarity):
+                up[max(x, y)] = min(x, y)
+                yield i, k
+        top = np.array([find(r) for r in range(len(up))])[root] if len(j) else top
+
+
+def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of units: rows (unit, side, block, blocks, root, s0, s1, chars, kind, key, norm) come sorted by unit."""
     held: list[pa.RecordBatch] = []
 
     def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        column = {c: rows.column(c).to_numpy() for c in rows.column_names}
+        column = {c: rows.column(c).to_numpy() for c in ("unit", "side", "block", "root", "s0", "s1", "chars", "kind")}
+        keys, texts, own = (rows.column(c).to_pylist() for c in ("key", "norm", "blocks"))
         e = np.empty(len(rows), dtype=ENTRY)
         e["s0"], e["s1"], e["chars"], e["kind"] = column["s0"].view(np.uint64), column["s1"].view(np.uint64), column["chars"], column["kind"]
         cut = np.flatnonzero(np.diff(column["unit"], prepend=column["unit"][0] ^ 1, append=column["unit"][-1] ^ 1))
-        for a, b in zip(cut, cut[1:], strict=False):
-            for x, y in across(column["key"][a:b], e[a:b], column["root"][a:b], column["side"][a:b]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+        for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+            block = int(column["block"][a])
+            wide = max(len(x) for x in own[a:b])
+            blocks = np.array([x + [block] * (wide - len(x)) for x in own[a:b]], dtype=np.int64)
+            found = list(across(e[a:b], column["root"][a:b], column["side"][a:b], block, blocks, texts[a:b], similarity))
+            x, y = ([keys[a + p[k]] for p in found] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
 
     for batch in batches:
         if not len(batch):
@@ -300,8 +330,8 @@ def line_key(raw: Column) -> Column:
     return F.unhex(F.md5(raw))
 
 
-def edits(x: str, y: str) -> int:
-    """Edit distance, by bit-parallel columns over integers of any length."""
+def edits(x: str, y: str, most: int | None = None) -> int:
+    """Edit distance, by bit-parallel columns over integers of any length; over ``most``, a number over it, found as soon as that is certain."""
     if not x or not y:
         return len(x) + len(y)
     at: dict[str, int] = {}
@@ -309,11 +339,18 @@ def edits(x: str, y: str) -> int:
         at[c] = at.get(c, 0) | 1 << i
     full, top = (1 << len(x)) - 1, 1 << (len(x) - 1)
     up, down, score = full, 0, len(x)
+    left = len(y) + (len(x) + len(y) if most is None else most)
     for c in y:
+        left -= 1
         eq = at.get(c, 0)
         across_ = (((eq & up) + up) ^ up) | eq | down
         plus, minus = down | ~(across_ | up), up & across_
-        score += 1 if plus & top else -1 if minus & top else 0
+        if plus & top:
+            score += 1
+            if score > left:  # each column to come takes one off at most
+                return score
+        elif minus & top:
+            score -= 1
         plus, minus = plus << 1 | 1, minus << 1
         up, down = (minus | ~(across_ | plus)) & full, plus & across_ & full
     return score
@@ -348,7 +385,7 @@ def similar(x: str, y: str, similarity: float = SIMILARITY) -> bool:
     u, v = x.split(" "), y.split(" ")
     if len(u) == len(v) and sum(max(len(p), len(q)) for p, q in zip(u, v, strict=True) if p != q) <= allowed:
         return True
-    return edits(x, y) <= allowed
+    return edits(x, y, allowed) <= allowed
 
 
 def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -375,16 +412,18 @@ def _picked(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.
         yield batch.filter(pa.array(bits[at.astype(np.int64)].astype(bool)))
 
 
-def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of keys, of the candidate pairs whose lines are similar, and (short, key) of all lines of pairs.
-
-    Of all texts only those move that a filter of bounded size lets through.
-    """
-    wanted = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct(), "line-wanted")
+def texts_of(wanted: DataFrame, lines: DataFrame) -> DataFrame:
+    """(short, key, norm) of the lines whose hash is among ``wanted`` (short). Of all texts only those move that a filter of bounded size lets through."""
+    wanted = common.stored(wanted.distinct(), "line-wanted")
     bits = np.packbits(_filter(wanted))
     some = lines.select("short", "raw").mapInArrow(lambda b: _picked(b, np.unpackbits(bits)), "short long, raw string")
     texts = some.withColumn("key", line_key(F.col("raw"))).dropDuplicates(["key"]).join(wanted, "short", "left_semi")
-    texts = common.stored(texts.select("short", "key", normalised(F.col("raw")).alias("norm")), "line-texts")
+    return common.stored(texts.select("short", "key", normalised(F.col("raw")).alias("norm")), "line-texts")
+
+
+def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of keys, of the candidate pairs whose lines are similar, and (short, key) of all lines of pairs."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("short")), lines)
     own = texts.select(F.col("short").alias("sa"), F.col("key").alias("a"), F.col("norm").alias("x"))
     other = texts.select(F.col("short").alias("sb"), F.col("key").alias("b"), F.col("norm").alias("y"))
     both = pairs.toDF("sa", "sb").join(own, "sa").join(other, "sb").select("a", "x", "b", "y")
@@ -402,16 +441,21 @@ def candidates(lines: DataFrame, n_chars: int, least_words: int, least_chars: in
     return common.stored(met.where("a is not null").select("a", "b").distinct(), "line-pairs"), met.where("block is not null").select("block", "key", "s0", "s1", "chars", "kind").distinct()
 
 
-def second_round(large: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of large blocks between lines that have not met; ``roots``: (key, root) of short keys."""
-    rows = large.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+def second_round(large: DataFrame, roots: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of keys in large blocks, between lines that have not met; ``roots``: (short, root).
+
+    Lines come to a unit with their texts, so that no pair is written down but those that link.
+    """
+    rows = large.withColumnRenamed("key", "short").join(roots, "short", "left").withColumn("root", F.coalesce("root", "short"))
     blocks = rows.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("root").alias("low"), F.max("root").alias("high"))
-    blocks = common.stored(blocks.where("low < high").select("block", "tiles"), "line-blocks")
-    units = rows.join(blocks, "block").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
-    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = common.stored(rows.join(blocks.where("low < high").select("block", "tiles"), "block"), "line-blocks")
+    of = rows.groupBy("short").agg(F.array_sort(F.collect_set("block")).alias("blocks"))  # 2 * TABLES at most
+    texts = texts_of(rows.select("short"), lines).join(of, "short")
+    units = rows.withColumn("tile", F.pmod(F.xxhash64("short"), F.col("tiles")).cast("int"))
+    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).join(texts, "short")
     low, high = F.least("tile", "other"), F.greatest("tile", "other")
-    units = units.select(F.xxhash64("block", low, high).alias("unit"), (F.col("tile") != low).cast("int").alias("side"), "key", "root", "s0", "s1", "chars", "kind")
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_across, "a long, b long").distinct()
+    units = units.select(F.xxhash64("block", low, high).alias("unit"), (F.col("tile") != low).cast("int").alias("side"), "block", "blocks", "root", "s0", "s1", "chars", "kind", "key", "norm")
+    return common.stored(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda b: _across(b, similarity), "a binary, b binary"), "line-links")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -429,10 +473,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links, keys = verified(pairs, lines, similarity)
     root = graph.components(links)
     if not large.isEmpty():
-        roots = keys.join(root, F.col("key") == F.col("node")).groupBy(F.col("short").alias("key")).agg(F.min(F.xxhash64("root")).alias("root"))
-        more = common.stored(second_round(large, roots).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-        if not more.isEmpty():
-            root = graph.components(links.unionByName(verified(more, lines, similarity)[0]))
+        roots = keys.join(root, F.col("key") == F.col("node")).groupBy("short").agg(F.min(F.xxhash64("root")).alias("root"))
+        root = graph.components(links.unionByName(second_round(large, roots, lines, similarity)))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "row")
     firsts = places.where("eligible").groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(root.withColumnRenamed("node", "key"), "key", "left")
     grouped = common.stored(firsts.where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root")), "line-groups")

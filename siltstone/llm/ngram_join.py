@@ -384,13 +384,13 @@ def linked(rows: DataFrame, jaccard: tuple[int, int], shingle: int) -> tuple[Dat
     info, shared = met.where("run is null").select("doc", "n", "key"), met.where("run is not null").select("run", "key", "band", "need", "cost")
     cluster = clusters(shared)
     one = info.where("key is not null").groupBy("key").agg(F.min("doc").alias("doc"))
-    common.runtime_filters(spark)
     picked = cluster.select(F.col("node").alias("key"), F.col("root").alias("cluster")).join(one, "key")
     picked = common.pruning(picked.select("cluster", "key", F.col("doc")["id"].alias("_id"), F.col("doc")["row"].alias("_row")), "picked")
     texts = rows.select(F.col("doc")["id"].alias("id"), F.col("doc")["row"].alias("row"), "text")
     texts = texts.join(picked, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))).select("cluster", "key", "text")
     sets = texts.mapInArrow(lambda b: _sets(b, shingle), "cluster long, key long, packed binary").dropDuplicates(["cluster", "key"])
-    sets = common.stored(sets, "sets")
+    with common.runtime_filters(spark):
+        sets = common.stored(sets, "sets")
     size_of = F.greatest(F.sum(F.length("packed") + 64) / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)
     blocks = sets.groupBy("cluster").agg(F.ceil(size_of).cast("int").alias("blocks"))
     units = sets.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))

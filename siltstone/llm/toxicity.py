@@ -37,8 +37,8 @@ GAP, LANDMARKS, DENSE_MARKS, CLASSES = 0.5, 288, 128, 64
 WIDTHS, SLICE = (8, 12, words.WIDTH), 2000
 #: Of the density machine: documents that it learns from (toxic ones, and twice as many others), and letters, documents and t
 #: statistic of the runs that become landmarks.
-DENSE_DOCS, LANDMARK_LETTERS, LEAST_DOCS, LEAST_T, RUNS = 1000, (5, 6, 7), 5, 2.5, 1 << 20
-FOLDS, COST, DENSE_HARM = 3, 0.1, 10
+DENSE_DOCS, LANDMARK_LETTERS, LEAST_DOCS, LEAST_T, RUNS = 800, (5, 6, 7), 5, 2.5, 1 << 20
+FOLDS, COST, DENSE_HARM = 2, 0.1, 10
 PRIOR = 20  # words that add nothing: a short text has to be dense in earnest
 START = CLASSES - 1  # the class of a word's beginning
 #: Offsets of a subsequence's letters, which span five at most, and its weight.
@@ -191,19 +191,35 @@ def _grams(word: str) -> set[str]:
     return {word[i : i + n] for n in (3, 4, 5) for i in range(len(word) - n + 1)} | {word}
 
 
-def witnesses(positive: list[set[str]], negative: list[set[str]]) -> list[str]:
+@dataclass
+class Corpus:
+    """Documents as arrays of word numbers: the toxic ones, the others, and the words."""
+
+    bad: list[np.ndarray]
+    good: list[np.ndarray]
+    words: list[str]
+
+    @classmethod
+    def of(cls, positive: list[str], negative: list[str]) -> Corpus:
+        at: dict[str, int] = {}
+        read = lambda texts: [np.array(sorted(at.setdefault(w, len(at)) for w in sorted(tokens(t))), dtype=np.int32) for t in texts]
+        bad, good = read(positive), read(negative)
+        return cls(bad, good, list(at))
+
+
+def witnesses(corpus: Corpus) -> list[str]:
     """Words that speak for toxicity: in each toxic document those with the best n-gram, by a likelihood ratio over documents.
 
     The ratio has to beat what the best of all n-grams would reach by chance, and the n-gram to be ten times as frequent in
     toxic documents.
     """
     df: list[Counter] = [Counter(), Counter()]
-    for d in positive:
-        df[1].update({g for w in d for g in _grams(w)})
+    for d in corpus.bad:
+        df[1].update({g for w in d for g in _grams(corpus.words[w])})
     df[1] = Counter({g: n for g, n in df[1].items() if n > 1})
-    for d in negative:
-        df[0].update({g for w in d for g in _grams(w) if g in df[1]})
-    n1, n0 = max(1, len(positive)), max(1, len(negative))
+    for d in corpus.good:
+        df[0].update({g for w in d for g in _grams(corpus.words[w]) if g in df[1]})
+    n1, n0 = max(1, len(corpus.bad)), max(1, len(corpus.good))
 
     def evidence(a: int, b: int) -> float:
         if a < 2 or a / n1 <= 10 * b / n0:
@@ -211,11 +227,12 @@ def witnesses(positive: list[set[str]], negative: list[set[str]]) -> list[str]:
         p = (a + b) / (n1 + n0)
         return 2 * (a * np.log(a / (n1 * p)) + (b * np.log(b / (n0 * p)) if b else 0.0))
 
-    least = 2 * np.log(max(2, sum(a > 1 for a in df[1].values())))
-    weight = {g: x for g, a in df[1].items() if a > 1 and (x := evidence(a, df[0][g])) >= least}
+    least = 2 * np.log(max(2, len(df[1])))
+    weight = {g: x for g, a in df[1].items() if (x := evidence(a, df[0][g])) >= least}
     out: set[str] = set()
-    for d in positive:
-        best = {w: max((weight.get(g, 0.0) for g in _grams(w)), default=0.0) for w in d if df[1][w] * n0 >= 10 * df[0][w] * n1}
+    for d in corpus.bad:
+        ws = [corpus.words[i] for i in d]
+        best = {w: max((weight.get(g, 0.0) for g in _grams(w)), default=0.0) for w in ws if df[1][w] * n0 >= 10 * df[0][w] * n1}
         top = max(best.values(), default=0.0)
         if top > 0:
             out |= {w for w, x in best.items() if x >= 0.6 * top}
@@ -268,17 +285,20 @@ def _folded(marks: tuple[np.ndarray, np.ndarray], beta: np.ndarray) -> np.ndarra
     return table.astype(np.float32)
 
 
-def _worst_word(bad: list[set[str]], good: list[set[str]], rng: np.random.Generator) -> Machine:
+def _worst_word(corpus: Corpus, rng: np.random.Generator) -> Machine:
     """The machine of single words: witnesses of toxic documents against the words of others, the hardest in two more rounds."""
-    found = witnesses(bad, good)
-    pool = sorted({w for d in good for w in d})
+    found = witnesses(corpus)
+    seen = np.zeros(len(corpus.words), bool)
+    for d in corpus.good:
+        seen[d] = True
+    pool = [corpus.words[i] for i in np.flatnonzero(seen)]
     none = Machine(np.zeros(FEATURES, dtype=np.float32), -1.0, 0.0, 4.0)
     if not found or not pool:
         return none
     if len(found) > 3000:
         found = sorted(rng.choice(found, 3000, replace=False).tolist())
-    ones = found + _varied(found, rng)
-    zeros = rng.choice(pool, min(3000, len(pool)), replace=False).tolist()
+    some = lambda n: [pool[i] for i in rng.choice(len(pool), min(n, len(pool)), replace=False)]
+    ones, zeros = found + _varied(found, rng), some(3000)
     model = Model(none, none)
     for _ in range(3):
         x1, x0 = _single(ones), _single(zeros)
@@ -291,12 +311,11 @@ def _worst_word(bad: list[set[str]], good: list[set[str]], rng: np.random.Genera
         size = np.linalg.norm(w) + 1e-9
         model.word = Machine(_folded(marks, root @ w / size / np.maximum(norms(*marks), 1e-9)), bias / size)
         value = model.decide(pool)[:, 0]
-        hard = [pool[i] for i in np.argsort(-value, kind="stable")[:3000]]
-        zeros = sorted({*hard, *rng.choice(pool, min(2000, len(pool)), replace=False).tolist()})
-    of = dict(zip(pool, value.tolist(), strict=True))
-    more = sorted({w for d in bad for w in d} - of.keys())
-    of |= dict(zip(more, model.decide(more)[:, 0].tolist(), strict=True))
-    high, low = (np.array([max((of[w] for w in d), default=-9.0) for d in docs]) for docs in (bad, good))
+        zeros = sorted({*(pool[i] for i in np.argsort(-value, kind="stable")[:3000]), *some(2000)})
+    every = np.full(len(corpus.words), -9.0)
+    every[seen] = value
+    every[~seen] = model.decide([corpus.words[i] for i in np.flatnonzero(~seen)])[:, 0]
+    high, low = (np.array([every[d].max() if len(d) else -9.0 for d in docs]) for docs in (corpus.bad, corpus.good))
     model.word.cut(high, low)
     return model.word
 
@@ -381,17 +400,16 @@ def _near(vocabulary: list[str], marks: tuple[np.ndarray, np.ndarray]) -> Iterat
         yield a, near
 
 
-def _density(bad: list[set[str]], good: list[set[str]], rng: np.random.Generator) -> Machine:
+def _density(corpus: Corpus, rng: np.random.Generator) -> Machine:
     """The machine of whole documents: the mean of their words' Nystroem features. Its cut comes from documents left out of the fit."""
     none = Machine(np.zeros(FEATURES, dtype=np.float32), 0.0)
-    bad, good = ([docs[i] for i in sorted(rng.permutation(len(docs))[:n].tolist())] for docs, n in ((bad, DENSE_DOCS), (good, 2 * DENSE_DOCS)))
+    bad, good = ([docs[i] for i in sorted(rng.permutation(len(docs))[:n].tolist())] for docs, n in ((corpus.bad, DENSE_DOCS), (corpus.good, 2 * DENSE_DOCS)))
     docs = bad + good
     if len(bad) < 8 or len(good) < 8:
         return none
-    vocabulary = sorted({w for d in docs for w in d})
-    at = {w: i for i, w in enumerate(vocabulary)}
     n = np.array([len(d) for d in docs])
-    doc, word = np.repeat(np.arange(len(docs)), n), np.fromiter((at[w] for d in docs for w in d), np.int64, int(n.sum()))
+    used, word = np.unique(np.concatenate(docs), return_inverse=True)
+    vocabulary, doc = [corpus.words[i] for i in used], np.repeat(np.arange(len(docs)), n)
     order = np.lexsort((doc, word))
     doc, word = doc[order], word[order]
     share, begin = 1 / (n + PRIOR)[doc], np.searchsorted(word, np.arange(len(vocabulary) + 1))
@@ -427,8 +445,8 @@ def _density(bad: list[set[str]], good: list[set[str]], rng: np.random.Generator
 def train(positive: list[str], negative: list[str], seed: int = 5) -> Model:
     """A model from the texts of toxic and other documents. Without witnesses, and without a density that tells, no text is toxic."""
     rng = np.random.default_rng(seed)
-    bad, good = ([tokens(t) for t in texts] for texts in (positive, negative))
-    return Model(_worst_word(bad, good, rng), _density(bad, good, rng))
+    corpus = Corpus.of(positive, negative)
+    return Model(_worst_word(corpus, rng), _density(corpus, rng))
 
 
 def sample(docs: DataFrame, labels: DataFrame, where: Column, positive: int = SAMPLE_POSITIVE, negative: int = SAMPLE_NEGATIVE) -> tuple[list[str], list[str]]:

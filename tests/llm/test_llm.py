@@ -35,9 +35,71 @@ def test_exact_dedup(spark):
 
 
 def test_directory_doubles_and_chains():
-    slots, pages = exact_dedup.directory({0: 100, 1: 3, 4095: 3}, capacity=4)
-    assert len(slots) == 4096 and pages[slots[0]] == 25 and slots[0] != slots[1] and pages[slots[4095]] == 1
-    assert exact_dedup.directory({}, 4) == ([0] * 4096, {0: 1})
+    made = exact_dedup.split([(0, 0)], {0: 100, 1: 3, 4095: 3}, 12, 4)
+    assert made[12, 0] == 100 and made[12, 1] == 3 and made[1, 1] == 3 and sum(made.values()) == 106
+    assert exact_dedup.split([(0, 0)], {}, 12, 4) == {(0, 0): 0}
+
+
+def test_a_second_batch_splits_buckets(spark):
+    """Entries go into an index that exists: overfull buckets split, others stay, and its answers are those of one built at once."""
+    first = [(i, f"text {i}") for i in range(300)]
+    second = [(1000 + i, f"text {i % 200}") for i in range(400)] + [(5000, None), (5001, "")]
+    a, b = table(spark, first), table(spark, second)
+    held, _ = exact_dedup._entries(a, "doc_id", F.col("text"))
+    more, _ = exact_dedup._entries(b, "doc_id", F.col("text"))
+    index = exact_dedup.build(held, capacity=64)
+    grown = exact_dedup.insert(index, more)
+    assert len(grown.buckets) > len(index.buckets) and grown.depth > index.depth and sum(grown.buckets.values()) == 702
+    assert all(any(l >= m and p >> (l - m) == q for m, q in index.buckets) for l, p in grown.buckets)  # each new bucket lies in an old one
+    assert max(grown.buckets.values()) <= 64
+    owners = grown.owned().groupBy("owner").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.count("*").alias("n")).collect()
+    key = lambda h: h % (1 << 64)
+    spans = sorted((key(r.low), key(r.high)) if key(r.low) <= key(r.high) else (key(r.high), key(r.low)) for r in owners)
+    assert max(r.n for r in owners) <= 64 and all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))  # owners hold ranges
+    texts = table(spark, first + second).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body")).withColumn("hash", F.xxhash64("body"))
+    one = exact_dedup.exact_dedup(table(spark, first + second), capacity=64)
+    assert sorted(map(tuple, exact_dedup.answers(grown, texts).collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_exact_dedup_against_its_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = exact_dedup.op10_exact_dedup(spark, sf)
+    want = con.execute(exact_dedup.OP10_SQL).fetchall()
+    assert sorted(tuple(r) for r in got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()) == sorted(want)
+
+
+def test_exact_dedup_null_ids(spark):
+    rows = [(None, "a"), (None, "a"), (1, "a"), (None, "b"), (None, "b")]
+    got = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.exact_dedup(table(spark, rows)).collect())
+    assert got == [(0, 0, 2, True), (0, 0, 2, True), (0, 1, 3, False), (0, 1, 3, False), (1, 1, 3, True)]
+
+
+def test_shared_folder_off_local_masters(spark):
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            class _jsc:  # noqa: N801
+                @staticmethod
+                def sc():
+                    class Sc:
+                        @staticmethod
+                        def getCheckpointDir():
+                            class None_:
+                                isDefined = staticmethod(lambda: False)
+
+                            return None_
+
+                    return Sc
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster)
 
 
 def test_mixing(spark):
@@ -268,7 +330,7 @@ def test_edit_similarity_against_the_full_table():
         for _ in range(int(rng.integers(0, 8)) if b else 0):
             b[int(rng.integers(0, len(b)))] = str(rng.choice(["a", "bc", "", " d"]))
         b = "".join(b)
-        assert line_dedup.edits(a, b) == lev(a, b)
+        assert line_dedup.edits(a, b) == lev(a, b) and (line_dedup.edits(a, b, 3) <= 3) == (lev(a, b) <= 3)
         assert line_dedup.similar(a, b) == (lev(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)), (a, b)
 
 
@@ -304,21 +366,48 @@ def test_line_blocks_are_compared_whole():
     """Small blocks give all pairs in the first round; of a large one the second gives all pairs between groups, over one unit or tiles."""
     rng = np.random.default_rng(3)
     alike = lambda e, i, j: bool(line_dedup.alike(e, np.array([i]), np.array([j]))[0])
-    e = entries_of(rng, 300, 40)
+    e = entries_of(rng, 300, 90)
     x, y, large = line_dedup.pairs_of(e)
     n = np.bincount(e["sig"].astype(int))
     brute = {(i, j) for i in range(300) for j in range(i) if e["sig"][i] == e["sig"][j] and n[int(e["sig"][i])] <= line_dedup.SMALL and alike(e, i, j)}
     assert brute and brute <= {(max(p), min(p)) for p in zip(x.tolist(), y.tolist(), strict=True)}
     assert set(large["sig"].tolist()) == set(np.flatnonzero(n > line_dedup.SMALL).tolist())
-    e = entries_of(rng, 400, 1)
-    root = np.arange(400) // 3
-    brute = {(i, j) for i in range(400) for j in range(i) if root[i] != root[j] and alike(e, i, j)}
-    keys, side = np.arange(400), rng.integers(0, 2, 400)
-    pairs = lambda *how: [(max(p), min(p)) for x, y in line_dedup.across(*how) for p in zip(x.tolist(), y.tolist(), strict=True)]
-    whole = pairs(keys, e, root, np.zeros(400, int))
-    assert len(whole) == len(brute) and set(whole) == brute
-    tiles = pairs(keys, e, root, side) + [p for t in (0, 1) for p in pairs(keys[side == t], e[side == t], root[side == t], np.zeros((side == t).sum(), int))]
-    assert len(tiles) == len(brute) and set(tiles) == brute
+    # the second round, over texts: lines of a few families, some pairs of which are compared in another block
+    base = [prose(500 + f, 30).split() for f in range(6)]
+    texts = []
+    for i in range(90):
+        ws = list(base[i % 6])
+        for _ in range(int(rng.integers(0, 9))):
+            ws[int(rng.integers(0, 30))] = f"x{rng.integers(99)}"
+        texts.append(" ".join(ws))
+    e = np.zeros(90, dtype=line_dedup.ENTRY)
+    e["chars"] = [len(t) for t in texts]
+    roots, side = np.arange(90) // 2, rng.integers(0, 2, 90)
+    blocks = np.where(rng.random((90, 1)) < 0.3, 3, 7) + np.zeros((90, 2), int)  # block 3 comes before the unit's, 7
+    want = {(i, j) for i in range(90) for j in range(i) if roots[i] != roots[j] and not (blocks[i] == 3).any() * (blocks[j] == 3).any() and line_dedup.similar(texts[i], texts[j])}
+
+    def groups(links):
+        up = list(range(90))
+        for i, j in [*links, *((2 * r, 2 * r + 1) for r in range(45))]:
+            while up[i] != i:
+                i = up[i]
+            while up[j] != j:
+                j = up[j]
+            up[max(i, j)] = min(i, j)
+        out = []
+        for i in range(90):
+            while up[i] != i:
+                i = up[i]
+            out.append(i)
+        return out
+
+    def links(rows, two):
+        s = side[rows] if two else np.zeros(len(rows), int)
+        return [(int(rows[i]), int(rows[j])) for i, j in line_dedup.across(e[rows], roots[rows], s, 7, blocks[rows], [texts[r] for r in rows], 0.8)]
+
+    whole = links(np.arange(90), False)
+    assert len(whole) < 90 and groups(whole) == groups(want) != groups([])
+    assert groups(links(np.arange(90), True) + links(np.flatnonzero(side == 0), False) + links(np.flatnonzero(side == 1), False)) == groups(want)
 
 
 def test_hot_line_blocks_are_spread(monkeypatch):
