@@ -107,6 +107,8 @@ def by_width(ws: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
 
 def norms(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Length of each row as a vector over subsequences; one that comes twice adds up first."""
+    if len(ids) > SLICE:
+        return np.concatenate([norms(ids[a : a + SLICE], weights[a : a + SLICE]) for a in range(0, len(ids), SLICE)])
     order = np.argsort(ids, axis=1)
     ids, weights = np.take_along_axis(ids, order, axis=1), np.take_along_axis(weights, order, axis=1)
     run = np.cumsum(weights.astype(np.float64), axis=1)
@@ -423,8 +425,9 @@ def _density(corpus: Corpus, rng: np.random.Generator) -> Machine:
         marks = _single(found)
         mean = np.zeros((len(docs), len(found)))
         for a, near in _near(vocabulary, marks):
-            part = slice(begin[a], begin[a + len(near)])
-            np.add.at(mean, doc[part], near[word[part] - a] * share[part, None])
+            for low in range(begin[a], begin[a + len(near)], 4 * SLICE):
+                part = slice(low, min(low + 4 * SLICE, begin[a + len(near)]))
+                np.add.at(mean, doc[part], near[word[part] - a] * share[part, None])
         root = _nystroem(marks)
         z = mean @ root
         middle = z[use].mean(axis=0)

@@ -278,24 +278,49 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
-def test_neighbours_against_brute_force(spark):
+def brute_neighbours(vectors, queries, k):
+    out = {}
+    for q in queries:
+        score = vectors @ vectors[q]
+        score[q] = -np.inf
+        out[q] = (np.lexsort((np.arange(len(vectors)), -score))[:k], score)
+    return out
+
+
+def test_neighbours_odd_rows(spark):
+    """All rows ranked again (share 1): exactly the brute-force answers, ties to the smaller id; rows that take no part; unlike lengths."""
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(500, 16))
     vectors[300:360] = vectors[0]  # one vector in many rows
-    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
-    rows += [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] + [1.0] * 15), (1060, [None] + [1.0] * 15), (1080, [1.0] * 3), (None, [1.0] * 16)]
+    vectors[410:420, 12:] = 0
+    rows = [(i, v.tolist()[: 12 if 410 <= i < 420 else 16]) for i, v in enumerate(vectors)]
+    rows += [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] + [1.0] * 15), (1060, [None] + [1.0] * 15), (None, [1.0] * 16), (7, vectors[7].tolist())]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1))
     got = {}
-    for r in neighbours.nearest(frame, F.col("vec_id") % 20 == 0, 20, shard_rows=200, block_rows=10).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(frame, F.col("vec_id") % 20 == 0, 20, share=1.0, shard_rows=200, block_rows=10).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert set(got) == set(range(0, 500, 20))
+    want = brute_neighbours(vectors, range(0, 500, 20), 20)
+    assert set(got) == set(want)
     for q, found in got.items():
-        score = (vectors * vectors[q]).sum(axis=1)
-        score[q] = -np.inf
-        want = np.lexsort((np.arange(500), -score))[:20]
-        assert [v for v, _ in found] == want.tolist()
-        assert np.allclose([s for _, s in found], score[want], atol=1e-12)
+        assert [v for v, _ in found] == want[q][0].tolist()
+        assert np.allclose([s for _, s in found], want[q][1][want[q][0]], atol=1e-12)
     assert neighbours.nearest(frame.where("vec_id is null"), F.lit(True), 3).count() == 0
+    assert neighbours.nearest(frame.limit(0), F.lit(True), 3).count() == 0
+    assert sorted((r.query_id, r.vec_id) for r in neighbours.nearest(frame.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0, 20).collect()) == [(0, 1), (0, 2)]
+
+
+def test_neighbours_recall_of_the_index(spark):
+    """With production parameters, where only a share of a shard is ranked again: recall at 20 of the query over sf0.1, scores exact."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    got = {}
+    for r in neighbours.op2_neighbours(spark, "/root/testdata/sf0.1").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    place = {v: i for i, v in enumerate(ids.tolist())}
+    want = brute_neighbours(vectors, [place[q] for q in got], 20)
+    recall = [len({place[v] for v, _ in found} & set(want[place[q]][0].tolist())) / 20 for q, found in got.items()]
+    assert neighbours.SHARE * len(ids) < 0.2 * len(ids) and np.mean(recall) >= 0.9 and min(recall) >= 0.5, (np.mean(recall), min(recall))
+    assert all(len(found) == 20 and np.allclose([s for _, s in found], [vectors[place[v]] @ vectors[place[q]] for v, _ in found]) for q, found in got.items())
 
 
 def test_line_dedup(spark):
