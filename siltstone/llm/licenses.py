@@ -1,14 +1,15 @@
 """License scans: normalised text compared to licence templates by the Dice coefficient over word bigrams.
 
-A text is normalised to words of letters and digits in lower case, each with its place in the text. A bigram that some template
-has votes for the place where that template would begin, so only windows that share bigrams with a template are
-compared. A window of n words is compared to a template of m only if min / max of their bigram counts can reach the threshold: the
-Dice coefficient is at most 2 * min / (n + m). A window that shares s bigrams has s of them at least, so its coefficient is at most
-2 * s / (s + m): a template with too few shared bigrams in a text, or around a place, is settled by that. Every text is scanned.
+A text is normalised to words of letters and digits in lower case, each with its place in the text. The best windows begin and end at a bigram
+of the template, as any other bigram at an edge only lowers the coefficient. A window of n bigrams that shares s with a template of m has a
+coefficient of 2 * s / (n + m), and s is n at most; so for the threshold t, s is t / (2 - t) * m at least (and n with it), and n is (2 - t) / t * m at
+most. Only templates are compared that have so many bigrams within such a stretch of the text; windows grow bigram by bigram there,
+and all that reach the threshold are found. Every text is scanned.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -122,60 +123,55 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 class Templates:
+    """Templates as bigram counts, and the templates that hold a bigram."""
+
     def __init__(self, templates: dict[str, tuple[str, ...]], threshold: float) -> None:
         self.threshold = threshold
-        self.all = [(name, words, bigrams(words)) for name, texts in sorted(templates.items()) for t in texts if len(words := normalised(t)[0]) > 1]
-        self.where: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
-        for i, (_, words, _) in enumerate(self.all):
-            for j, pair in enumerate(zip(words, words[1:], strict=False)):
-                self.where[pair].append((i, j))
-
-    def short(self, shared: int, m: int) -> bool:
-        """Whether so many shared bigrams are too few for any window, beside a template of m."""
-        return 2 * shared < self.threshold * (shared + m) - 1e-9
+        self.all = [(name, bigrams(words)) for name, texts in sorted(templates.items()) for t in texts if len(words := normalised(t)[0]) > 1]
+        self.where: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for i, (_, own) in enumerate(self.all):
+            for pair in own:
+                self.where[pair].append(i)
+        sizes = [sum(own.values()) for _, own in self.all]
+        #: of each template: its bigrams, the least number that a window shares with it, and a window's greatest length
+        self.bounds = [(m, math.ceil(threshold / (2 - threshold) * m - 1e-9), math.floor((2 - threshold) / threshold * m + 1e-9)) for m in sizes]
+
+    def windows(self, words: list[str], i: int, at: list[int]) -> Iterator[tuple[float, int, int]]:
+        """(score, first word, end) of all windows that begin and end at the places ``at`` of a template's bigrams and reach the threshold."""
+        own = self.all[i][1]
+        m, least, longest = self.bounds[i]
+        for u in range(len(at) - least + 1):
+            begin = at[u]
+            if at[u + least - 1] - begin >= longest:
+                continue
+            left, shared = dict(own), 0
+            for place in at[u:]:
+                n = place - begin + 1
+                if n > longest:
+                    break
+                pair = (words[place], words[place + 1])
+                if left[pair]:
+                    left[pair] -= 1
+                    shared += 1
+                    if 2 * shared >= self.threshold * (n + m) - 1e-9:
+                        yield 2 * shared / (n + m), begin, place + 2
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, score, start, stop) of the best windows that don't overlap, in order."""
         words = [w.lower() for w in WORD.findall(text)]
-        votes: Counter = Counter()
+        places: dict[int, list[int]] = defaultdict(list)
         for at, pair in enumerate(zip(words, words[1:], strict=False)):
-            for i, j in self.where.get(pair, ()):
-                votes[i, at - j] += 1
-        total: Counter = Counter()
-        for (i, _), n in votes.items():
-            total[i] += n
-        hits = []
-        for (i, begin), n in votes.items():
-            name, wanted, own = self.all[i]
-            m = len(wanted) - 1
-            slack = max(1, len(wanted) // 4)
-            # a window with a Dice coefficient over the threshold has, on one of its diagonals, a vote for each run between edits
-            if self.short(total[i], m) or n * (2 * slack + 1) < self.threshold * m / 2:
-                continue
-            low, high = max(0, begin - slack), min(len(words), begin + len(wanted) + slack)
-            if self.short(sum((bigrams(words[low:high]) & own).values()), m):
-                continue
-            best = (0.0, 0, 0)
-            for a in range(low, min(len(words), begin + slack) + 1):
-                least = max(a + 2, begin + len(wanted) - slack)
-                left, shared = dict(own), 0
-                for b in range(a + 2, high + 1):
-                    pair = (words[b - 2], words[b - 1])
-                    if left.get(pair, 0) > 0:
-                        left[pair] -= 1
-                        shared += 1
-                    if b >= least:
-                        best = max(best, (2 * shared / (b - a - 1 + m), a - b, a))
-            if best[0] >= self.threshold:
-                hits.append((-best[0], best[1], best[2], name))
+            for i in self.where.get(pair, ()):
+                places[i].append(at)
+        hits = {(-score, a - b, a, self.all[i][0]) for i, at in places.items() if len(at) >= self.bounds[i][1] for score, a, b in self.windows(words, i, at)}
         if not hits:
             return []
-        places = normalised(text)[1]
         taken: list[tuple[int, int, float, str]] = []
-        for score, size, a, name in sorted(set(hits)):
+        for score, size, a, name in sorted(hits):
             if all(a - size <= x or y <= a for x, y, *_ in taken):
                 taken.append((a, a - size, -score, name))
-        return [(name, score, places[a][0], places[b - 1][1]) for a, b, score, name in sorted(taken)]
+        spans = normalised(text)[1]
+        return [(name, score, spans[a][0], spans[b - 1][1]) for a, b, score, name in sorted(taken)]
 
 
 def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, tuple[str, ...]], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -189,7 +185,7 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, tuple[str, ...
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per licence text found: doc_id, license, score, and its span in code points, the end exclusive.
 
-    Null, empty and licence-free texts give no row. Of windows that overlap the best stays: by score, then length, then
+    Null, empty and licence-free texts give no row, an empty table neither; texts of any length are read whole. Ids are numbers or null. Of windows that overlap the best stays: by score, then length, then
     place, then name. Repeated rows give repeated answers; other columns are ignored.
     """
     common.python_ready(docs.sparkSession)

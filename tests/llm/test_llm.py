@@ -552,6 +552,57 @@ def test_licenses(spark):
     assert got[0][2] == "Released under the MIT License"
 
 
+def test_licenses_against_all_windows():
+    """Every window of every text, of any length, against what the bounds let through."""
+    rng = np.random.default_rng(9)
+    templates = {n: licenses.TEMPLATES[n] for n in ("MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "proprietary", "LGPL-2.1")} | {"short": ("a b a b a",), "X": ("one two three four five six seven",)}
+    known = licenses.Templates(templates, 0.8)
+    pool = [licenses.normalised(t)[0] for texts in templates.values() for t in texts]
+    counts = [(n, licenses.bigrams(licenses.normalised(t)[0])) for n, texts in sorted(templates.items()) for t in texts]
+    found = 0
+    for _ in range(60):
+        words = []
+        for _ in range(int(rng.integers(1, 4))):
+            w = list(pool[int(rng.integers(0, len(pool)))])
+            a, b = sorted(rng.integers(0, len(w) + 1, 2)) if rng.random() < 0.5 else (0, len(w))
+            w = w[a:b] if b - a > 0.55 * len(w) else w
+            for _ in range(int(rng.integers(0, 5))):
+                i = int(rng.integers(0, len(w)))
+                w[i : i + int(rng.integers(0, 2))] = [str(rng.choice(["zig", "the", "of", "a", "b"]))] * int(rng.integers(0, 3))
+                w = w or ["x"]
+            words += [*w, *["zag"] * int(rng.integers(0, 3))]
+        hits = set()
+        for name, own in counts:
+            m = sum(own.values())
+            for a in range(len(words)):
+                left, shared = dict(own), 0
+                for b in range(a + 2, min(len(words), a + 2 * m + 2) + 1):
+                    pair = (words[b - 2], words[b - 1])
+                    if left.get(pair, 0):
+                        left[pair] -= 1
+                        shared += 1
+                    if 2 * shared >= 0.8 * (b - a - 1 + m) - 1e-9:
+                        hits.add((-2 * shared / (b - a - 1 + m), a - b, a, name))
+        taken = []
+        for score, size, a, name in sorted(hits):
+            if all(a - size <= x or y <= a for x, y, *_ in taken):
+                taken.append((a, a - size, -score, name))
+        text = " ".join(words)
+        spans = licenses.normalised(text)[1]
+        assert known.scan(text) == [(n, s, spans[a][0], spans[b - 1][1]) for a, b, s, n in sorted(taken)]
+        found += len(taken)
+    assert found > 60
+
+
+def test_licenses_cut_short_and_odd_rows(spark):
+    gpl, apache = licenses.TEMPLATES["GPL-3.0"][1], licenses.TEMPLATES["Apache-2.0"][2]
+    ws = gpl.split()
+    rows = [(1, " ".join(ws[int(len(ws) * 0.28) :])), (2, "under CC BY 4.0"), (3, apache), (3, apache), (4, "w " * 200_000 + apache), (None, apache)]
+    got = sorted((r.doc_id or 0, r.license) for r in licenses.scan(table(spark, rows)).collect())
+    assert got == [(0, "Apache-2.0"), (1, "GPL-3.0"), (2, "CC-BY-4.0"), (3, "Apache-2.0"), (3, "Apache-2.0"), (4, "Apache-2.0")]
+    assert licenses.scan(table(spark, [])).count() == 0
+
+
 def test_licenses_without_their_usual_words(spark):
     bsd, mpl = licenses.TEMPLATES["BSD-3-Clause"][1], licenses.TEMPLATES["MPL-2.0"][0]
     rows = [(1, bsd.replace("Redistribution", "Re-distribution")), (2, bsd.replace("Redistribution", "Distribution")), (3, mpl.replace("License", "Li-\ncense"))]
