@@ -2,7 +2,7 @@
 
 A text is the mean of the embeddings of its words' character n-grams (1 to 4, with word boundaries), hashed into
 BUCKETS rows. Embeddings and softmax are trained together by stochastic gradient descent in numpy on the driver, over
-a bounded sample of labelled rows (SAMPLE_ROWS rows, SAMPLE_CHARS characters of each; parameters). After training the two fold into
+a bounded sample of labelled rows (SAMPLE_ROWS of them, whole; a parameter), in windows of random place and length. After training the two fold into
 one table of class scores by bucket, so a text's scores are a sum over its words, and workers keep the sums of the words they have
 seen. A temperature fitted on held-back rows of the sample calibrates the probability; below ``reject`` the answer is
 ``und``. Every text is read whole.
@@ -23,7 +23,7 @@ from . import common, words
 
 UNKNOWN = "und"
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (1, 2, 3, 4)
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 3000
+SAMPLE_ROWS = 4000
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -132,12 +132,12 @@ def train(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 0.
     return model
 
 
-def sample(docs: DataFrame, where: Column, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
-    """Texts and labels of about ``rows`` labelled rows, by a hash of the id."""
+def sample(docs: DataFrame, where: Column, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
+    """Whole texts and labels of about ``rows`` labelled rows, by a hash of the id."""
     labelled = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     share = rows / max(1, labelled.count())
     picked = labelled.where(common.share_below(share, "language", F.col(id_col)))
-    got = picked.select(F.substring(F.col(text_col), 1, chars).alias("text"), F.col(lang_col).alias("lang")).collect()
+    got = picked.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).collect()
     got.sort()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
@@ -165,7 +165,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """Columns doc_id, held_out, lang_pred, score for each row.
 
     Null texts and texts without a letter are ``und`` with score 0, and so are texts scored under ``reject`` (with
-    their score). Repeated rows give repeated answers; an empty table gives an empty result; other columns are ignored.
+    their score). Repeated rows give repeated answers; an empty table gives an empty result; texts of any length are read whole; ids are numbers or null;
+    other columns are ignored.
     """
     common.python_ready(docs.sparkSession)
     held = F.lit(False) if held_out is None else held_out

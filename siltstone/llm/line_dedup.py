@@ -238,13 +238,42 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*none, *columns, pa.array(large["chars"].astype(np.int32)), pa.array(large["kind"].astype(np.int32))], names=names)
 
 
+def _open(e: np.ndarray, i: int, top: np.ndarray, side: np.ndarray, block: int, blocks: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The lines of ``rest`` that line i is a candidate with in this block: of another group, on the other side where there are two, in no block before."""
+    j = rest[(top[rest] != top[i]) & ((side[rest] != side[i]) | (side[0] == 0 and not side.any()))]
+    j = j[alike(e, np.full(len(j), i), j)]
+    for b in blocks[i] if len(j) else ():
+        if b >= block:
+            break
+        j = j[(blocks[j] != b).all(axis=1)]
+    return j
+
+
+def _order(roots: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Roots by number, lines with those of the largest group last, and how many have to be compared with those after them."""
+    _, root, many = np.unique(roots, return_inverse=True, return_counts=True)
+    return root, np.argsort(many[root], kind="stable"), len(root) - (0 if side.any() else many.max())
+
+
+def partnered(e: np.ndarray, roots: np.ndarray, side: np.ndarray, block: int, blocks: np.ndarray) -> np.ndarray:
+    """Which lines of a unit are a candidate with another one."""
+    root, order, n = _order(roots, side)
+    good = np.zeros(len(e), bool)
+    for place, i in enumerate(order[:n].tolist()):
+        j = _open(e, i, root, side, block, blocks, order[place + 1 :])
+        if len(j):
+            good[i] = True
+            good[j] = True
+    return good
+
+
 def across(e: np.ndarray, roots: np.ndarray, side: np.ndarray, block: int, blocks: np.ndarray, texts: list[str], similarity: float) -> Iterator[tuple[int, int]]:
     """Links of a unit that join lines of different roots, the likeliest pairs first; where a unit has two sides, of pairs across them.
 
     ``blocks`` has the large blocks of each line, in order, padded with the unit's own: two lines are compared in the first that they share.
     """
-    _, root, many = np.unique(roots, return_inverse=True, return_counts=True)
-    up = list(range(len(many)))
+    root, order, n = _order(roots, side)
+    up = list(range(int(root.max()) + 1))
 
     def find(r: int) -> int:
         while up[r] != r:
@@ -252,35 +281,28 @@ def across(e: np.ndarray, roots: np.ndarray, side: np.ndarray, block: int, block
             r = up[r]
         return r
 
-    order = np.argsort(many[root], kind="stable")
-    two = side.min() < side.max()
-    if not two:
-        order = order[: len(order) - many.max()]  # the largest group is compared with the others only
-    open_, top = np.ones(len(e), bool), root.copy()
-    for i in order.tolist():
-        open_[i] = False
-        j = np.flatnonzero(open_ & (top != top[i]) & ((side != side[i]) | (not two)))
-        j = j[alike(e, np.full(len(j), i), j)]
-        for b in blocks[i]:
-            if b >= block:
-                break
-            j = j[(blocks[j] != b).all(axis=1)]
+    top = root.copy()
+    for place, i in enumerate(order[:n].tolist()):
+        j = _open(e, i, top, side, block, blocks, order[place + 1 :])
         far = np.bitwise_count(e["s0"][j] ^ e["s0"][i]) + np.bitwise_count(e["s1"][j] ^ e["s1"][i])
+        met = False
         for k in j[np.argsort(far, kind="stable")].tolist():
             x, y = find(int(root[i])), find(int(root[k]))
             if x != y and similar(texts[i], texts[k], similarity):
                 up[max(x, y)] = min(x, y)
+                met = True
                 yield i, k
-        top = np.array([find(r) for r in range(len(up))])[root] if len(j) else top
+        if met:
+            top = np.array([find(r) for r in range(len(up))])[root]
 
 
-def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of units: rows (unit, side, block, blocks, root, s0, s1, chars, kind, key, norm) come sorted by unit."""
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]]:
+    """(rows, entries, roots, sides, block, blocks) of each unit: rows (unit, side, block, blocks, root, s0, s1, chars, kind, ...) come sorted by unit."""
     held: list[pa.RecordBatch] = []
 
-    def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def settle(rows: pa.RecordBatch) -> Iterator[tuple]:
         column = {c: rows.column(c).to_numpy() for c in ("unit", "side", "block", "root", "s0", "s1", "chars", "kind")}
-        keys, texts, own = (rows.column(c).to_pylist() for c in ("key", "norm", "blocks"))
+        own = rows.column("blocks").to_pylist()
         e = np.empty(len(rows), dtype=ENTRY)
         e["s0"], e["s1"], e["chars"], e["kind"] = column["s0"].view(np.uint64), column["s1"].view(np.uint64), column["chars"], column["kind"]
         cut = np.flatnonzero(np.diff(column["unit"], prepend=column["unit"][0] ^ 1, append=column["unit"][-1] ^ 1))
@@ -288,9 +310,7 @@ def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
             block = int(column["block"][a])
             wide = max(len(x) for x in own[a:b])
             blocks = np.array([x + [block] * (wide - len(x)) for x in own[a:b]], dtype=np.int64)
-            found = list(across(e[a:b], column["root"][a:b], column["side"][a:b], block, blocks, texts[a:b], similarity))
-            x, y = ([keys[a + p[k]] for p in found] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
+            yield rows.slice(a, b - a), e[a:b], column["root"][a:b], column["side"][a:b], block, blocks
 
     for batch in batches:
         if not len(batch):
@@ -298,11 +318,28 @@ def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         units = batch.column(0).to_numpy()
         last = int(np.searchsorted(units, units[-1]))  # where the last unit begins, which may go on
         if held and units[0] != held[0].column(0)[0].as_py() or last:
-            yield from settle(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            yield from settle(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks().to_batches()[0])
             held = []
         held.append(batch.slice(last))
     if held:
-        yield from settle(pa.Table.from_batches(held))
+        yield from settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of units that have a candidate partner there."""
+    for rows, e, roots, side, block, blocks in _units(batches):
+        good = partnered(e, roots, side, block, blocks)
+        if good.any():
+            yield rows.filter(pa.array(good))
+
+
+def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of units, whose rows have key and norm too."""
+    for rows, e, roots, side, block, blocks in _units(batches):
+        keys = rows.column("key").to_pylist()
+        found = list(across(e, roots, side, block, blocks, rows.column("norm").to_pylist(), similarity))
+        x, y = ([keys[p[k]] for p in found] for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
 
 
 def normalised(line: Column) -> Column:
@@ -444,18 +481,21 @@ def candidates(lines: DataFrame, n_chars: int, least_words: int, least_chars: in
 def second_round(large: DataFrame, roots: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) of keys in large blocks, between lines that have not met; ``roots``: (short, root).
 
-    Lines come to a unit with their texts, so that no pair is written down but those that link.
+    Lines with a partner come to a unit with their texts, so that no pair is written down but those that link.
     """
     rows = large.withColumnRenamed("key", "short").join(roots, "short", "left").withColumn("root", F.coalesce("root", "short"))
     blocks = rows.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("root").alias("low"), F.max("root").alias("high"))
     rows = common.stored(rows.join(blocks.where("low < high").select("block", "tiles"), "block"), "line-blocks")
     of = rows.groupBy("short").agg(F.array_sort(F.collect_set("block")).alias("blocks"))  # 2 * TABLES at most
-    texts = texts_of(rows.select("short"), lines).join(of, "short")
     units = rows.withColumn("tile", F.pmod(F.xxhash64("short"), F.col("tiles")).cast("int"))
-    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).join(texts, "short")
+    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).join(of, "short")
     low, high = F.least("tile", "other"), F.greatest("tile", "other")
-    units = units.select(F.xxhash64("block", low, high).alias("unit"), (F.col("tile") != low).cast("int").alias("side"), "block", "blocks", "root", "s0", "s1", "chars", "kind", "key", "norm")
-    return common.stored(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda b: _across(b, similarity), "a binary, b binary"), "line-links")
+    units = units.select(F.xxhash64("block", low, high).alias("unit"), (F.col("tile") != low).cast("int").alias("side"), "block", "blocks", "root", "s0", "s1", "chars", "kind", "short")
+    # most lines of large blocks are unlike all others there: only those with a partner come back with their texts
+    some = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_partnered, units.schema)
+    some = common.stored(some, "line-partners")
+    whole = some.join(texts_of(some.select("short"), lines), "short").select("unit", "side", "block", "blocks", "root", "s0", "s1", "chars", "kind", "key", "norm")
+    return common.stored(whole.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda b: _across(b, similarity), "a binary, b binary"), "line-links")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:

@@ -5,7 +5,7 @@ is shared by the others by weight until none is above its cap. With caps c and w
 min(c, level * w): sources in order of c / w saturate first, so the level follows from two running sums over the
 sources (one row each). A source's target is met by whole repetitions of all its documents, and for the rest by a
 seeded sample: documents in hash order until the fraction is filled. The order is cut by a histogram of BUCKETS hash
-ranges for each source, so only one of those ranges is ever sorted, whatever the source's size.
+ranges for each source, and the range where the sample ends by BUCKETS finer ones, so only a millionth of a source is ever sorted.
 """
 
 from __future__ import annotations
@@ -40,44 +40,58 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return by.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
-def plan(rows: DataFrame, id_col: str = "doc_id", seed: int = SEED, **shares) -> DataFrame:
-    """``rows`` (with source and size) and the columns source_size, target and copies: how often each is taken.
+def draw(ident: Column, text: Column, seed: int) -> Column:
+    """The place of a row in its source's sample: by its id, or by its text where it has none."""
+    return F.when(ident.isNull(), F.xxhash64(F.lit(seed), text)).otherwise(F.xxhash64(F.lit(seed), ident))
 
-    Rows without words are taken as often as their whole source is. Null sources are a source; null ids hash as one.
+
+def _cut(rows: DataFrame, bucket: Column, need: DataFrame, level: str) -> DataFrame:
+    """``rows`` with _at_<level>, the hash range of its source that the sample ends in, and _left: what is still needed there.
+
+    ``need`` has a row for each source: (_s, _left). Only BUCKETS sums of each source are put in order.
     """
-    drawn = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = rows.withColumn("_draw", drawn).withColumn("_bucket", F.pmod("_draw", F.lit(BUCKETS)).cast("int"))
-    buckets = common.stored(rows.groupBy("source", "_bucket").agg(F.sum("size").alias("size")), "mix-buckets")
-    by = targets(buckets.select("source", "size"), **shares)
-    by = by.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
-    by = by.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
+    sums = common.stored(rows.groupBy("source", bucket.alias("_bucket")).agg(F.sum("size").alias("size")), "mix-ranges")
     run = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cut = (
-        buckets.withColumn("_to", F.sum("size").over(run))
-        .join(by.select(F.col("source").alias("_s"), "_rest"), F.col("source").eqNullSafe(F.col("_s")))
-        .where(F.col("_to") > F.col("_rest"))
-        .groupBy("source")
-        .agg(F.min(F.struct("_bucket", (F.col("_to") - F.col("size")).alias("below"))).alias("_cut"))
-    )
-    by = by.join(cut.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select(
-        F.col("source").alias("_s"), "source_size", "target", "_whole", F.coalesce(F.col("_cut")["_bucket"], F.lit(BUCKETS)).alias("_at"), (F.col("_rest") - F.coalesce(F.col("_cut")["below"], F.lit(0))).alias("_left")
-    )
-    rows = rows.join(common.stored(by, "mix-sources"), F.col("source").eqNullSafe(F.col("_s")))
-    clear = rows.where("_bucket <> _at").withColumn("copies", F.col("_whole") + (F.col("_bucket") < F.col("_at")).cast("int"))
+    to = sums.withColumn("_to", F.sum("size").over(run)).join(need, F.col("source").eqNullSafe(F.col("_s"))).where(F.col("_to") > F.col("_left"))
+    ends = to.groupBy(F.col("source").alias("_e")).agg(F.min(F.struct("_bucket", (F.col("_to") - F.col("size")).alias("below"))).alias("_end"))
+    by = need.join(ends, F.col("_s").eqNullSafe(F.col("_e")), "left")
+    by = by.select("_s", F.coalesce(F.col("_end")["_bucket"], F.lit(BUCKETS)).alias(f"_at_{level}"), (F.col("_left") - F.coalesce(F.col("_end")["below"], F.lit(0))).alias("_left"))
+    return rows.drop("_left").join(common.stored(by, "mix-ends"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+
+
+def plan(rows: DataFrame, **shares) -> DataFrame:
+    """``rows`` (with source, size and _draw) and the columns source_size, target and copies: how often each is taken.
+
+    Rows without words are taken as often as their whole source is. Null sources are a source.
+    """
+    sizes = common.stored(rows.groupBy("source").agg(F.sum("size").alias("size")), "mix-sources")
+    by = targets(sizes, **shares)
+    by = by.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
+    by = common.stored(by.select(F.col("source").alias("_s"), "source_size", "target", "_whole", (F.col("target") - F.col("_whole") * F.col("source_size")).alias("_left")), "mix-sources")
+    rows = rows.join(by.drop("_left"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    coarse, fine = F.pmod("_draw", F.lit(BUCKETS)).cast("int"), F.pmod(F.shiftright("_draw", 10), F.lit(BUCKETS)).cast("int")
+    rows = _cut(rows, coarse, by.select("_s", "_left"), "coarse")
+    need = rows.select(F.col("source").alias("_s"), "_left").distinct()  # a row for each source
+    clear = rows.where(coarse != F.col("_at_coarse")).withColumn("copies", F.col("_whole") + (coarse < F.col("_at_coarse")).cast("int"))
+    edge = _cut(rows.where(coarse == F.col("_at_coarse")), fine, need, "fine")
+    inner = edge.where(fine != F.col("_at_fine")).withColumn("copies", F.col("_whole") + (fine < F.col("_at_fine")).cast("int"))
     order = W.partitionBy("source").orderBy("_draw", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    edge = rows.where("_bucket = _at").withColumn("_end", F.sum("size").over(order))
-    edge = edge.withColumn("copies", F.col("_whole") + (F.col("_end") - F.col("size") / 2 < F.col("_left")).cast("int")).drop("_end")
-    return clear.unionByName(edge).drop("_draw", "_bucket", "_s", "_whole", "_at", "_left")
+    last = edge.where(fine == F.col("_at_fine")).withColumn("_end", F.sum("size").over(order))
+    last = last.withColumn("copies", F.col("_whole") + (F.col("_end") - F.col("size") / 2 < F.col("_left")).cast("int"))
+    kept = [c for c in clear.columns if c not in ("_draw", "_whole", "_at_coarse", "_left")]
+    return clear.select(kept).unionByName(inner.select(kept)).unionByName(last.select(kept))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **shares) -> DataFrame:
     """Columns id, size, source_size, target, taken for each row of ``docs``.
 
     Null texts have size 0 and null sources are a source, the last. An empty table gives an empty result; if no text has
-    words, targets and taken are 0. Rows that repeat an id are taken one by one. Other columns are ignored.
+    words, targets and taken are 0. Rows that repeat an id are taken one by one; rows without an id are drawn by their text. Texts of any length
+    are counted whole. Other columns are ignored.
     """
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), common.n_words(F.col(text_col)).alias("size"))
-    out = plan(common.stored(sizes, "mix-sizes"), seed=seed, **shares)
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    sizes = docs.select(ident.alias("doc_id"), F.col(f"`{source_col}`").alias("source"), common.n_words(text).alias("size"), draw(ident, text, seed).alias("_draw"))
+    out = plan(common.stored(sizes, "mix-sizes"), **shares)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
@@ -85,8 +99,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """``docs`` as mixed: each row as often as it is taken, rows without words once. Columns stay as they are."""
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    rows = rows.withColumn("source", F.col(names[source_col])).withColumn("size", common.n_words(F.col(names[text_col])))
-    out = plan(rows, names[id_col], seed, **shares)
+    ident, text = F.col(names[id_col]), F.col(names[text_col])
+    rows = rows.withColumn("source", F.col(names[source_col])).withColumn("size", common.n_words(text)).withColumn("_draw", draw(ident, text, seed))
+    out = plan(rows, **shares)
     copies: Column = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
     out = out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(copies > 0)
     return out.select(*[F.col(n).alias(c) for c, n in names.items()])

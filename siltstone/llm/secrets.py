@@ -89,7 +89,7 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> list[float]:
     """The log-likelihood ratio of each transition: row by row, (len(ALPHABET) + 1) ** 2 numbers."""
     k = len(ALPHABET) + 1
     codes = labelled.select("random", _codes(F.col("text")).alias("c"))
-    steps = codes.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.element_at("c", i) * k + F.element_at("c", i + 1))).alias("step"))
+    steps = codes.select("random", F.explode(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: a * k + b)).alias("step"))
     counts = {(r["random"], r["step"]): r["n"] for r in steps.groupBy("random", "step").agg(F.count("*").alias("n")).collect()}
     table = []
     for a in range(k):
@@ -101,11 +101,11 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> list[float]:
 
 
 def ratio(token: Column, table: Column) -> Column:
-    """Mean log-likelihood ratio of a token's transitions."""
+    """Mean log-likelihood ratio of a token's transitions. Its codes are read twice, whatever its length."""
     k = len(ALPHABET) + 1
-    codes = _codes(token)
-    steps = F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.element_at(table, F.element_at(codes, i) * k + F.element_at(codes, i + 1) + 1))
-    return F.when(F.length(token) > 1, F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / (F.length(token) - 1)).otherwise(0.0)
+    codes, steps = _codes(token), F.length(token) - 1
+    each = F.zip_with(F.slice(codes, 1, F.greatest(steps, F.lit(0))), F.slice(codes, 2, F.greatest(steps, F.lit(0))), lambda a, b: F.element_at(table, a * k + b + 1))
+    return F.when(steps > 0, F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / steps).otherwise(0.0)
 
 
 def found(text: Column, pattern: str, kind: str, order: int, least: int, group: int, hint: str) -> Column:
@@ -136,7 +136,8 @@ def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col:
     """(id, base, random): arrays of the spans that patterns and models find in each text.
 
     Spans are structs (start, ord, kind, stop, value), ends exclusive, in code points. Null and empty texts have none.
-    Tokens that touch a span of a pattern are that span's; equal rows give equal rows.
+    Tokens that touch a span of a pattern are that span's; equal rows give equal rows, an empty table none. Texts of any length are read whole;
+    other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("body"))

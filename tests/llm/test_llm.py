@@ -128,6 +128,9 @@ def test_mixing(spark):
     assert mixing.mix(table(spark, rows)).exceptAll(mixing.mix(table(spark, rows))).isEmpty()
     assert mixing.mix(table(spark, [])).count() == 0
     assert mixing.repeated(table(spark, rows)).columns == table(spark, []).columns
+    loose = [(None, prose(i, 9), "a") for i in range(200)]  # without ids: drawn one by one, not all alike
+    assert sorted(mixing.mix(table(spark, loose)).toPandas().taken.unique()) == [9, 18]
+    assert mixing.mix(table(spark, [(1, prose(9, 30_000), "b")])).first().taken in (30_000, 60_000)  # one text can't be halved
 
 
 def test_secrets(spark):
@@ -140,6 +143,38 @@ def test_secrets(spark):
     assert got[6].random and not got[7].random
 
 
+def test_secret_models_against_brute_force_and_held_out(spark):
+    """Ratios as counted by hand, and precision and recall on random strings and identifiers that the models haven't seen."""
+    import math
+
+    alphabet = {c: i + 1 for i, c in enumerate(secrets.ALPHABET)}
+    labelled = [tuple(r) for r in secrets.samples(spark).select("text", "random").collect()]
+    count = {}
+    for t, label in labelled:
+        for a, b in zip(t, t[1:], strict=False):
+            count[label, alphabet.get(a, 0), alphabet.get(b, 0)] = count.get((label, alphabet.get(a, 0), alphabet.get(b, 0)), 0) + 1
+    k = len(alphabet) + 1
+    total = {(label, a): sum(count.get((label, a, b), 0) for b in range(k)) for label in (True, False) for a in range(k)}
+    p = lambda label, a, b: (count.get((label, a, b), 0) + 0.5) / (total[label, a] + 0.5 * k)
+    model = secrets.train(secrets.samples(spark))
+    rng = np.random.default_rng(12)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    drawn = ["".join(rng.choice(letters, int(rng.integers(20, 50)))) for _ in range(150)]
+    join = lambda i, ws: ("_".join(ws), ws[0] + "".join(w.title() for w in ws[1:]), "-".join(ws).upper())[i % 3]
+    plain = [join(i, [str(w) for w in rng.choice(["gather", "orbit", "velvet", "monthly", "squirrel", "harbor", "client", "ledger", "purple"], 4)]) for i in range(150)]
+    tokens = drawn + plain
+    want = [sum(math.log(p(True, alphabet[a], alphabet[b]) / p(False, alphabet[a], alphabet[b])) for a, b in zip(t, t[1:], strict=False)) / (len(t) - 1) for t in tokens]
+    rows = spark.createDataFrame(list(enumerate(tokens)), "i long, t string").repartition(2).select("i", secrets.ratio(F.col("t"), F.array(*[F.lit(x) for x in model])).alias("r"))
+    got = {r.i: r.r for r in rows.collect()}
+    assert max(abs(got[i] - w) for i, w in enumerate(want)) < 1e-4
+    found = {r.doc_id for r in secrets.scan(table(spark, [(i, f"see {t} here") for i, t in enumerate(tokens)]).repartition(2), model).where("size(random) > 0").collect()}
+    hits = len([i for i in found if i < 150])
+    assert hits >= 0.95 * 150 and hits >= 0.95 * len(found)
+    odd = [(1, None), (1, ""), (2, "x" * 200_000 + " token=abcdefgh"), (2, "x" * 200_000 + " token=abcdefgh")]
+    assert sorted((r.doc_id, len(r.base)) for r in secrets.scan(table(spark, odd).repartition(2), model).collect()) == [(1, 0), (1, 0), (2, 1), (2, 1)]
+    assert secrets.scan(table(spark, []), model).count() == 0
+
+
 def test_secrets_without_digits_and_short_ones(spark):
     texts = ["id qZxVkJwPmRtBnHgDlCfSyKqWzX", "id Zx9Qv7Lk2Wm8Rt", "load_user_account_settings configurationManager representatives"]
     got = {r.doc_id: r.random for r in secrets.scan(table(spark, list(enumerate(texts))), secrets.train(secrets.samples(spark))).collect()}
@@ -430,6 +465,9 @@ def test_line_blocks_are_compared_whole():
         s = side[rows] if two else np.zeros(len(rows), int)
         return [(int(rows[i]), int(rows[j])) for i, j in line_dedup.across(e[rows], roots[rows], s, 7, blocks[rows], [texts[r] for r in rows], 0.8)]
 
+    good = line_dedup.partnered(e, roots, np.zeros(90, int), 7, blocks)
+    alike = {(i, j) for i in range(90) for j in range(90) if roots[i] != roots[j] and not (blocks[i] == 3).any() * (blocks[j] == 3).any() and min(e["chars"][i], e["chars"][j]) >= np.floor(0.8 * max(e["chars"][i], e["chars"][j]))}
+    assert good.tolist() == [any(i == x for x, _ in alike) for i in range(90)]
     whole = links(np.arange(90), False)
     assert len(whole) < 90 and groups(whole) == groups(want) != groups([])
     assert groups(links(np.arange(90), True) + links(np.flatnonzero(side == 0), False) + links(np.flatnonzero(side == 1), False)) == groups(want)
@@ -486,6 +524,27 @@ def test_language(spark):
     assert language.train([], []).labels == ["und"]
 
 
+def test_language_is_calibrated_and_rejects(spark):
+    """Short texts: the mean score of a bin is near the share that is right there; texts of a language never seen mostly go."""
+    rng = np.random.default_rng(3)
+    sounds = {x: ["".join(rng.choice(list(letters), int(rng.integers(2, 4)))) for _ in range(25)] for x, letters in {"aa": "abcdefgr", "bb": "abcghijk", "cc": "cdklmnor", "zz": "pqstuvwxyz"}.items()}
+    word = lambda x: "".join(rng.choice(sounds[x], 2))
+    text = lambda x, n: " ".join(word(x) for _ in range(n))
+    known = [x for x in ("aa", "bb", "cc") for _ in range(300)]
+    model = language.train([text(x, 40) for x in known], known)
+    held = [(x, text(x, 1)) for x in ("aa", "bb", "cc") for _ in range(700)]
+    got = language.identify(table(spark, [(i, t) for i, (_, t) in enumerate(held)]), model).toPandas().set_index("doc_id").sort_index()
+    right = (got.lang_pred.to_numpy() == np.array([x for x, _ in held])).astype(float)
+    score = got.score.to_numpy()
+    bins = np.minimum((score * 5).astype(int), 4)
+    error = sum(abs(right[bins == b].mean() - score[bins == b].mean()) * (bins == b).mean() for b in set(bins.tolist()))
+    assert right.mean() > 0.8 and error < 0.1, (right.mean(), error)
+    cut = float(np.quantile(score, 0.1))
+    kept = language.identify(table(spark, [(i, text("zz", 3)) for i in range(300)]), model, reject=cut)
+    assert kept.where("lang_pred = 'und'").count() > 0.3 * 300  # one in ten of the known ones goes
+    assert language.identify(table(spark, []), model).count() == 0
+
+
 def test_toxicity(spark):
     clean = [prose(i, 40) for i in range(150)]
     bad = [prose(1000 + i, 20) + (" zorkwad " if i % 2 else " Fleebnik! ") + prose(2000 + i, 20) for i in range(60)]
