@@ -142,3 +142,26 @@ def audit_by(docs: DataFrame, key: str, text: str) -> DataFrame:
     """A row for each key: all chunks and those of each class."""
     rows = docs.select(key, T.classify(F.col(text)).alias("class"))
     return rows.groupBy(key).agg(F.count("*").alias("n_chunks"), *[F.count_if(F.col("class") == c).alias(c) for c in T.CLASSES])
+
+
+def cleaned(filings: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, DataFrame]:
+    """(keys, text) of the clean text of submissions, and (keys, reason) of those that give none: one bad filing never stops the others.
+
+    The primary document's page becomes text, one line a text node, from the first prose line on, with white space in order.
+    """
+    docs = _envelope(text)
+    main = F.get(F.filter(docs, lambda d: F.upper(d["type"]).startswith("10-K")), F.lit(0))["body"]
+    body = F.when(F.size(docs) == 0, F.col(text)).otherwise(main)
+    page = filings.select(*keys, F.col(text).isNull().alias("_none"), page_text(body).alias("_page"))
+    made = page.select(*keys, "_none", F.col("_page").isNull().alias("_lost"), T.clean_whitespace(T.without_preamble(F.col("_page"))).alias("text"))
+    reason = F.when(F.col("_none"), "no text").when(F.col("_lost"), "no primary document").when(F.col("text") == "", "nothing to read")
+    made = made.withColumn("reason", reason)
+    return made.where("reason is null").select(*keys, "text"), made.where("reason is not null").select(*keys, "reason")
+
+
+def ingest(filings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks (chunk_id, ticker, source, chunk_idx, text) of filings (ticker, source, text), and (ticker, source, reason) of those left out."""
+    clean, failed = cleaned(filings, ["ticker", "source"], "text")
+    cut = chunks(clean, ["ticker", "source"], "text").withColumnRenamed("chunk", "text")
+    symbol = F.upper("ticker")
+    return cut.select(T.chunk_id(symbol, F.col("chunk_idx")).alias("chunk_id"), symbol.alias("ticker"), F.coalesce("source", F.lit("")).alias("source"), "chunk_idx", "text"), failed

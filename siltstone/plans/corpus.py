@@ -142,9 +142,9 @@ def infer_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked(spark, sf_dir).select("conv_id", "turn", T.single_company(F.col("text")).alias("ticker"))
 
 
-@query("split_references", "SELECT item_id, list_filter(list_transform(string_split_regex(f, '\\|\\||;;'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS refs FROM (SELECT item_id, left(text, 40) || ' || ' || right(text, 30) || ' ;; ;;tail' AS f FROM benchmark)")
+@query("split_references", "SELECT item_id, list_filter(list_transform(string_split_regex(f, '\\|\\||;;'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS refs FROM (SELECT item_id, text || ' || ' || text || '1 ;; ;;tail' AS f FROM benchmark)")
 def split_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    field = F.concat(F.left("text", F.lit(40)), F.lit(" || "), F.right("text", F.lit(30)), F.lit(" ;; ;;tail"))
+    field = F.concat("text", F.lit(" || "), "text", F.lit("1 ;; ;;tail"))
     return table(spark, sf_dir, "benchmark").select("item_id", T.references(field).alias("refs"))
 
 

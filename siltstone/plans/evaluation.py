@@ -10,6 +10,7 @@ from siltstone.functions import numbers as N
 from siltstone.operators import experiment as E
 from siltstone.operators import memory as H
 from siltstone.operators import metrics as M
+from siltstone.operators import runs as R
 from siltstone.operators import tools as O
 from siltstone.operators import verify as V
 from siltstone.plans.catalog import query
@@ -122,19 +123,11 @@ def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.gate(values, spark.createDataFrame(THRESHOLDS, "metric string, threshold double, higher_is_better boolean"))
 
 
-@query("ablation_matrix", "SELECT event_type AS config, round(avg(value), 4) AS metric, row_number() OVER (ORDER BY coalesce(round(avg(value), 4), 0) DESC, event_type) AS place FROM events GROUP BY event_type")
+@query("ablation_matrix", "SELECT lang || '-' || source AS run_id, metric, row_number() OVER (ORDER BY coalesce(metric, 0) DESC, lang || '-' || source) AS place FROM (SELECT lang, source, round(avg(quality), 4) AS metric FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL)")
 def ablation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configurations (a handful of rows) by their metric, missing ones as 0."""
-    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("config")).agg(F.round(F.avg("value"), 4).alias("metric"))
-    from pyspark.sql import Window as W
-
-    return rows.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.coalesce("metric", F.lit(0.0))), "config")).cast("long"))
-
-
-@query("leaderboard_rows", "SELECT event_type AS kind, user_id, left(max(ts)::VARCHAR, 10) AS day FROM events GROUP BY event_type, user_id")
-def leaderboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest day of each kind and run."""
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind"), "user_id").agg(F.date_format(F.max("ts"), "yyyy-MM-dd").alias("day"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", F.lit("-"), "source").alias("run_id")).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return R.rank_runs(rows.groupBy("run_id").agg(F.round(F.avg("quality"), 4).alias("metric")), "metric")
 
 
 # memory
@@ -145,9 +138,9 @@ def thread_history_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.history(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "back")
 
 
-@query("thread_compose", "SELECT conv_id, string_agg(role || ': ' || left(text, 100), chr(10) ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6 GROUP BY conv_id")
+@query("thread_compose", "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6 GROUP BY conv_id")
 def thread_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat("role", F.lit(": "), F.left("text", F.lit(100)))
+    line = F.concat("role", F.lit(": "), "text")
     return H.composed(table(spark, sf_dir, "conversations"), "conv_id", "turn", line)
 
 
@@ -156,28 +149,25 @@ def thread_expire(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.sessions(table(spark, sf_dir, "events"), "user_id", "ts").select("user_id", "event_id", "session")
 
 
+@query(
+    "thread_admission",
+    """WITH s AS (SELECT *, event_type <> 'error' AND event_id % 4 <> 0 AS admits, floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS idle FROM events),
+ a AS (SELECT *, sum(CASE WHEN idle IS NULL OR idle > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS alive FROM s)
+SELECT user_id, event_id, least(coalesce(sum(admits::INTEGER) OVER (PARTITION BY user_id, alive ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6)::BIGINT AS remembered FROM a""",
+)
+def thread_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only turns that were verified, or not asked to be, and say something are remembered; idle threads start anew."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    admits = H.admitted(F.col("user_id"), F.when(n % 4 == 0, " ").otherwise("text"), F.when(kind == "error", "refused").when(kind == "view", "skipped").otherwise("verified"))
+    return H.remembered(table(spark, sf_dir, "events"), "user_id", "ts", admits).select("user_id", "event_id", "remembered")
+
+
 @query("thread_lru", "SELECT user_id, left(max(ts)::VARCHAR, 19) AS last_used FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 20")
 def thread_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threads that a bounded store still holds."""
     return H.live_threads(table(spark, sf_dir, "events"), "user_id", "ts", 20).select("user_id", F.date_format("last_used", "yyyy-MM-dd HH:mm:ss").alias("last_used"))
 
 
-@query("probe_plan", "SELECT conv_id, turn, mode, row_number() OVER (PARTITION BY conv_id ORDER BY mode, turn) AS seq FROM (SELECT conv_id, turn, unnest(['isolated', 'memory']) AS mode FROM conversations WHERE role = 'user')")
-def probe_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.explode(F.array(F.lit("isolated"), F.lit("memory"))).alias("mode"))
-    return rows.withColumn("seq", F.row_number().over(W.partitionBy("conv_id").orderBy("mode", "turn")).cast("long"))
-
-
-@query("probe_summary", "SELECT a.turn, count(*) AS n, count(*) FILTER (length(a.text) > length(b.text)) AS longer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 GROUP BY a.turn")
-def probe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns against the turn after them, as a memory run is held against an isolated one."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
-    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("n").alias("m"))
-    return rows.join(after, ["conv_id", "turn"]).groupBy("turn").agg(F.count("*").alias("n"), F.count_if(F.col("n") > F.col("m")).alias("longer"))
-
-
 @query("spend_cap", "SELECT user_id, event_id, spent FROM (SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS spent FROM events) WHERE spent <= 100")
 def spend_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.within_budget(table(spark, sf_dir, "events"), "event_id", "value", 100.0, "user_id").select("user_id", "event_id", "spent")
@@ -258,7 +248,7 @@ def figures_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations put together from documents, in the layouts that tools use."""
-    line = F.left(F.regexp_replace("text", r"\s+", " "), F.lit(60))
+    line = F.trim(F.regexp_replace("text", r"\s+", " "))
     ident = F.col("doc_id").cast("string")
     text = (
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("[1] ticker=aapl  chunk_idx="), ident, F.lit("\n"), line, F.lit("\n\n[2] ticker=MSFT  chunk_idx=7\nrevenue 5 million")))
@@ -268,7 +258,7 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 10).alias("run"), text.alias("text"))
 
 
-CLEAN = "trim(left(regexp_replace(text, '\\s+', ' ', 'g'), 60))"
+CLEAN = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 PARSED = f"""parsed AS (SELECT doc_id, 1::BIGINT AS pos, CASE doc_id % 3 WHEN 2 THEN 'fact' ELSE 'chunk' END AS kind, CASE doc_id % 3 WHEN 0 THEN 'AAPL_10K_chunk_' || doc_id WHEN 1 THEN 'META_10K_chunk_' || doc_id ELSE 'AMZN_10K_fact_' || doc_id END AS id,
   CASE doc_id % 3 WHEN 2 THEN 'us-gaap:Revenues | 12' ELSE {CLEAN} END AS snippet FROM documents
 UNION ALL SELECT doc_id, 2, CASE doc_id % 3 WHEN 0 THEN 'chunk' ELSE 'calc' END, CASE doc_id % 3 WHEN 0 THEN 'MSFT_10K_chunk_7' ELSE 'calc_ratio' END, CASE doc_id % 3 WHEN 0 THEN 'revenue 5 million' ELSE 'ratio = 0.5' END FROM documents WHERE doc_id % 3 <> 1)"""
@@ -319,3 +309,30 @@ def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("verdict_policy", "SELECT * FROM (VALUES (1, 'verified', 'skipped', 'verified'), (2, 'refused', 'skipped', 'unverified'), (3, 'refused', 'skipped', 'unverified'), (4, 'refused', 'skipped', 'unverified'), (5, 'refused', 'skipped', 'unverified'), (6, 'verified', 'skipped', 'verified'), (7, 'verified', 'skipped', 'verified')) AS v(run, strict, off, warn)")
 def verdict_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(spark).select("run", *[V.served(F.col("status"), F.lit(m)).alias(m) for m in ("strict", "off", "warn")])
+
+
+@query("answer_contexts_parsed", f"WITH {PARSED}, c AS (SELECT doc_id, pos, CASE WHEN kind = 'calc' THEN '[calc_ratio] ' || snippet ELSE '[' || split_part(id, '_10K_', 1) || ' 10-K, ' || replace(split_part(id, '_10K_', 2), '_', ' ') || '] ' || snippet END AS c FROM parsed) SELECT doc_id, list(c ORDER BY pos) AS contexts FROM c GROUP BY doc_id")
+def answer_contexts_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages, facts and results with where they come from, as a judge sees them."""
+    return V.contexts(V.parse(_observations(spark, sf_dir), ["doc_id"], "text"), "doc_id", ["pos"])
+
+
+@query("answer_sources", f"WITH {PARSED}, f AS (SELECT doc_id % 10 AS run, split_part(id, '_10K_', 1) AS ticker, id, min({{'d': doc_id, 'p': pos}}) AS seen FROM parsed WHERE kind <> 'calc' GROUP BY ALL) SELECT run, row_number() OVER (PARTITION BY run ORDER BY seen) AS pos, ticker, id FROM f")
+def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an answer may cite, once each, in the order seen."""
+    seen = _observations(spark, sf_dir)
+    return V.sources(seen, V.parse(seen, ["run", "doc_id"], "text"), "run", ["doc_id", "pos"], "text").select("run", "pos", "ticker", "id")
+
+
+@query("observation_texts", f"WITH {PARSED} SELECT doc_id % 10 AS run, id, string_agg(snippet, chr(10) ORDER BY doc_id, pos) AS text FROM parsed GROUP BY ALL")
+def observation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of one id, joined in the order seen."""
+    return V.by_id(V.parse(_observations(spark, sf_dir), ["run", "doc_id"], "text"), "run", ["doc_id", "pos"])
+
+
+@query("refusal_texts", "SELECT doc_id, array_to_string(list_transform(range(1, least(doc_id % 7, 4) + 1), lambda i: 'uncited_figure: ' || i), '; ') || CASE WHEN doc_id % 7 > 4 THEN '; and ' || (doc_id % 7 - 4) || ' more' ELSE '' END AS reasons FROM documents")
+def refusal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("doc_id") % 7).cast("int")
+    none = F.array().cast("array<struct<check:string,detail:string>>")
+    failures = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(F.lit("uncited_figure").alias("check"), i.cast("string").alias("detail")))).otherwise(none)
+    return table(spark, sf_dir, "documents").select("doc_id", V.refusal(failures).alias("reasons"))

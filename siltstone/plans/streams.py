@@ -16,11 +16,25 @@ def stream_thread_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.run_once(found, f"threads_{uuid.uuid4().hex}").select("conv_id", "turn", "remembered")
 
 
-@query("stream_tool_steps", "SELECT user_id, session, count(*) AS n_calls FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOUR > ts THEN 0 ELSE 1 END AS new FROM events)) GROUP BY ALL")
+@query(
+    "stream_tool_steps",
+    """WITH g AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOUR > ts THEN 0 ELSE 1 END AS new FROM events),
+ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM g), z AS (SELECT user_id, session, count(*) AS n_calls, max(ts) AS last FROM s GROUP BY ALL)
+SELECT user_id, session, n_calls FROM z WHERE last + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+)
 def stream_tool_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions by gap, numbered by user; in complete mode, so open ones count too."""
+    """Sessions by gap, numbered by user: those that the watermark has closed."""
     from pyspark.sql import Window as W
     from pyspark.sql import functions as F
 
-    found = S.run_once(S.tool_sessions(S.read_table(spark, sf_dir, "events")), f"steps_{uuid.uuid4().hex}", mode="complete")
+    found = S.run_once(S.tool_sessions(S.read_table(spark, sf_dir, "events")), f"steps_{uuid.uuid4().hex}", event_time=True)
     return found.select("user_id", F.row_number().over(W.partitionBy("user_id").orderBy("start")).cast("long").alias("session"), "n_calls")
+
+
+@query("stream_thread_admission", "SELECT conv_id, turn, least(coalesce(sum((role = 'user')::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6)::BIGINT AS remembered FROM conversations")
+def stream_thread_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that aren't admitted read a thread, and leave nothing in it."""
+    from pyspark.sql import functions as F
+
+    turns = S.read_table(spark, sf_dir, "conversations").withColumn("admitted", F.col("role") == "user")
+    return S.run_once(S.thread_memory(turns), f"admitted_{uuid.uuid4().hex}").select("conv_id", "turn", "remembered")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltstone.operators.memory import MAX_TURNS, TTL_SECONDS
+from siltstone.session import shared_dir
 
 MAX_CHARS = 400
 HISTORY = "conv_id long, turn long, remembered long, history string"
@@ -32,12 +33,12 @@ def _step(ttl_ms: int) -> Callable[[Any, Iterator[pd.DataFrame], GroupState], It
             state.remove()
             return
         turns = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            out = []
-            for row in batch.sort_values("turn").itertuples():
-                out.append((key[0], row.turn, len(turns), "\n".join(turns)))
+        out = []
+        for row in pd.concat(list(batches)).sort_values("turn", kind="stable").itertuples():  # a thread's new turns, however they are batched
+            out.append((key[0], row.turn, len(turns), "\n".join(turns)))
+            if row.admitted:
                 turns = remember(turns, [f"{row.role}: {row.text}"])
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "remembered", "history"])
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "remembered", "history"])
         state.update((turns,))
         state.setTimeoutDuration(ttl_ms)
 
@@ -45,7 +46,9 @@ def _step(ttl_ms: int) -> Callable[[Any, Iterator[pd.DataFrame], GroupState], It
 
 
 def thread_memory(turns: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
-    """For each turn of a stream (conv_id, turn, role, text) what its thread remembers when it comes."""
+    """For each turn of a stream (conv_id, turn, role, text[, admitted]) what its thread remembers when it comes; only admitted turns are stored."""
+    if "admitted" not in turns.columns:
+        turns = turns.withColumn("admitted", F.lit(True))
     return turns.groupBy("conv_id").applyInPandasWithState(_step(ttl_seconds * 1000), HISTORY, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
@@ -61,14 +64,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append") -> DataFrame:
-    """What a stream gives over the files that are there now, by way of a memory table.
+def run_once(stream: DataFrame, name: str, checkpoint: str | None = None, event_time: bool = False) -> DataFrame:
+    """What a stream appends over the files that are there now, written to the shared folder as it comes and read from there.
 
-    Idle limits in processing time would ask for batches without end, so none are run without data.
+    With ``event_time`` a last batch without data lets the watermark close what it has passed. Idle limits in processing time would ask
+    for such batches without end, so there are none for them.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    option, path = "spark.sql.streaming.noDataMicroBatches.enabled", f"{shared_dir(spark)}/streams/{name}"
+    held = spark.conf.get(option)
+    spark.conf.set(option, str(event_time).lower())
+    try:
+        writer = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", checkpoint or f"{path}/checkpoint").outputMode("append")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(option, held)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")

@@ -266,3 +266,47 @@ def test_streams_of_served_answers_are_bounded(spark):
     rows = spark.createDataFrame([(long,), ({str(i): "z" * 190 for i in range(5)},)], "m map<string,string>").select(S.safe_args(F.col("m")).alias("s"))
     first, second = (r.s for r in rows.collect())
     assert first == '{"a":"' + "x" * 200 + '","b":"y"}' and second.startswith('{"_truncated":') and len(second) < 800
+
+
+def test_ingest_sets_bad_filings_aside(spark):
+    from siltstone.operators import corpus as C
+
+    page = "<html><p>Item: x</p><p>The company makes things and sells them to people.</p><script>no</script><p>More &nbsp; text</p></html>"
+    filing = f"<SEC>\n<DOCUMENT><TYPE>EX-1\n<TEXT>{page}</TEXT></DOCUMENT><DOCUMENT><TYPE>10-K\n<TEXT>{page}</TEXT></DOCUMENT>"
+    rows = [("aapl", "a.txt", filing), ("msft", None, page), ("bad", "b", "<DOCUMENT><TYPE>EX-99\n<TEXT>x</TEXT></DOCUMENT>"), ("none", "n", None), ("void", "v", "  ")]
+    chunks, failed = C.ingest(spark.createDataFrame(rows, "ticker string, source string, text string"))
+    got = sorted((r.chunk_id, r.source, r.text) for r in chunks.collect())
+    text = "The company makes things and sells them to people.\nMore   text"
+    assert got == [("AAPL_10K_chunk_0", "a.txt", text), ("MSFT_10K_chunk_0", "", text)]
+    assert {(r.ticker, r.reason) for r in failed.collect()} == {("bad", "no primary document"), ("none", "no text"), ("void", "nothing to read")}
+
+
+def test_thread_memory_expires_and_admits(spark, tmp_path):
+    import pandas as pd
+
+    from siltstone.streaming import threads as S
+
+    class State:
+        hasTimedOut, exists, held, removed = False, False, None, False  # noqa: N815
+
+        @property
+        def get(self):
+            return self.held
+
+        def update(self, x):
+            self.held, self.exists = x, True
+
+        def setTimeoutDuration(self, ms):  # noqa: N802
+            self.ms = ms
+
+        def remove(self):
+            self.removed, self.exists = True, False
+
+    state, step = State(), S._step(1000)
+    batch = lambda *r: pd.DataFrame(r, columns=["turn", "role", "text", "admitted"])
+    out = pd.concat(step((1,), iter([batch((3, "user", "c", True)), batch((1, "user", "a", True), (2, "bot", "b", False))]), state))
+    assert out.turn.tolist() == [1, 2, 3] and out.remembered.tolist() == [0, 1, 1] and state.held == (["user: a", "user: c"],) and state.ms == 1000
+    state.hasTimedOut = True
+    assert list(step((1,), iter([]), state)) == [] and state.removed
+    state.hasTimedOut = False
+    assert next(iter(step((1,), iter([batch((9, "user", "z", True))]), state))).remembered.tolist() == [0]
