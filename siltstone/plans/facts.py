@@ -10,7 +10,8 @@ from siltstone.functions import numbers as N
 from siltstone.operators import facts as X
 from siltstone.operators import xbrl
 from siltstone.plans.catalog import query
-from siltstone.session import table
+from siltstone.session import kept, table
+from siltstone.sources import files
 
 NAMES = {"A": "us-gaap:Revenues", "N": "us-gaap:NetIncomeLoss", "R": "us-gaap:OperatingIncomeLoss"}
 FACTS = """facts AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'T' || (l_suppkey % 5) AS ticker,
@@ -21,6 +22,22 @@ filings AS (SELECT ticker, max(fiscal_year) AS fiscal_year_focus FROM facts GROU
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored fact table, in ranges of company and concept."""
+
+    def build(path: str) -> DataFrame:
+        made = _derived(spark, sf_dir)
+        files.write_facts(made, made.groupBy("ticker").agg(F.max("fiscal_year").alias("fiscal_year_focus")), path)
+        return files.read_facts(spark, path)
+
+    return kept(spark, sf_dir, "lineitem", "facts", build)[0]
+
+
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts(spark, sf_dir)
+    return kept(spark, sf_dir, "lineitem", "facts", lambda path: None)[1]
+
+
+def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     odd, small = F.col("l_linenumber") % 2 == 1, F.col("l_quantity") < 10
     member = F.when(F.col("l_linestatus") == "O", "ServiceMember").otherwise("ProductMember")
@@ -32,10 +49,6 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir).groupBy("ticker").agg(F.max("fiscal_year").alias("fiscal_year_focus"))
-
-
 #: (request_id, ticker, concept, fiscal_year, segment)
 REQUESTS = [
     (1, "t0", "Net sales", None, None), (2, "T1", "net income", 1997, None), (3, "T2", "operating profit", 1996, "services"), (4, "T3", "us-gaap:revenues", 1998, None),

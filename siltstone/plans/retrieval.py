@@ -9,9 +9,8 @@ from siltstone.functions import text as T
 from siltstone.operators import metrics as M
 from siltstone.operators import retrieval as R
 from siltstone.plans.catalog import query
-from siltstone.session import table
+from siltstone.session import kept, table
 
-COLUMNS = {"query_id": "item_id", "query_text": "text", "id_col": "doc_id", "text_col": "text"}
 TOK = "[a-z0-9]+(?:[.,][0-9]+)*"
 
 
@@ -38,8 +37,17 @@ loc1 AS (SELECT *, max(exact) OVER (PARTITION BY item_id) AS any_exact FROM loc0
 located AS (SELECT item_id, doc_id, CASE WHEN exact THEN 'exact' ELSE 'prefix' END AS method FROM loc1 WHERE exact OR (NOT any_exact AND long))"""
 
 
+def index(spark: SparkSession, sf_dir: str) -> R.TermIndex:
+    """The documents' stored term index."""
+    return kept(spark, sf_dir, "documents", "bm25", lambda path: R.term_index(table(spark, sf_dir, "documents"), "doc_id", "text", path))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.bm25_index(table(spark, sf_dir, "benchmark"), index(spark, sf_dir), "item_id", "text")
+
+
 def _bm25(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    return R.bm25_top(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k, **COLUMNS)
+    return R.bm25_top(table(spark, sf_dir, "benchmark"), index(spark, sf_dir), k, "item_id", "text")
 
 
 @query("bm25_topk", f"WITH {bm25_sql()} SELECT * FROM ranked")
@@ -51,7 +59,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter acts after scoring: corpus statistics stay those of all documents."""
     docs = table(spark, sf_dir, "documents")
-    scored = R.bm25(table(spark, sf_dir, "benchmark"), docs, **COLUMNS).join(docs.where("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
+    scored = _scored(spark, sf_dir).join(docs.where("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
     return R.top(scored, 5, [F.desc("score"), F.asc("doc_id")]).select("query_id", "rank", "doc_id", "score")
 
 
@@ -62,7 +70,7 @@ def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compare_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of each source for each question."""
     docs = table(spark, sf_dir, "documents")
-    scored = R.bm25(table(spark, sf_dir, "benchmark"), docs, **COLUMNS).join(docs.select("doc_id", "source"), "doc_id")
+    scored = _scored(spark, sf_dir).join(docs.select("doc_id", "source"), "doc_id")
     keyed = scored.withColumn("pair", F.struct("query_id", "source"))
     return R.top(keyed, 2, [F.desc("score"), F.asc("doc_id")], within="pair").select("query_id", "source", "rank", "doc_id", "score")
 
@@ -156,7 +164,7 @@ def _retrieved(spark: SparkSession, sf_dir: str, config: R.RetrievalConfig, scor
         asked = asked.drop("ticker")
     if config.mode != "bm25":
         asked = asked.join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
-    return R.retrieve(asked, docs.select("doc_id", "text", symbol.alias("ticker")), config, vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), scorer)
+    return R.retrieve(asked, docs.select("doc_id", "text", symbol.alias("ticker")), config, vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), scorer, index=index(spark, sf_dir) if config.mode != "dense" else None)
 
 
 FOUND = " SELECT query_id, rank, doc_id FROM found"
