@@ -171,7 +171,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     common.python_ready(docs.sparkSession)
     held = F.lit(False) if held_out is None else held_out
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out"))
-    return rows.mapInArrow(lambda b: _predict(b, model, reject), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(common.in_arrow(lambda b: _predict(b, model, reject)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,7 +191,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     common.python_ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     templates = templates or TEMPLATES
-    return rows.mapInArrow(lambda b: _scan(b, templates, threshold), FOUND)
+    return rows.mapInArrow(common.in_arrow(lambda b: _scan(b, templates, threshold)), FOUND)
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ SIMILARITY, LEAST_WORDS, LEAST_CHARS = 0.8, 3, 6
 #: SHORT_RUN at every byte too.
 TABLES, RUN, SHORT_RUN, FEW_WORDS, UNSPACED = 12, 8, 5, 8, 20
 LONG_WORD = 4  # bytes; shorter words, which all lines share, count in the sketch of a line without longer ones only
-SKETCH_BITS = np.array([36, 42])  # of 128, by kind of block: what the sketches of similar lines differ in at most; by chance 64 do
+SKETCH_BITS = np.array([40, 44])  # of 128, by kind of block: what the sketches of similar lines differ in at most; by chance 64 do
 SMALL, TILE, HOT = 16, 2048, 256
 FILTER_BITS = 24  # of the filter that picks the lines of candidates: 2 MB, whatever the table's size
 #: Control characters, ASCII and Latin-1 marks and general punctuation: ranges, which a pattern tests fast.
@@ -453,7 +453,7 @@ def texts_of(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     """(short, key, norm) of the lines whose hash is among ``wanted`` (short). Of all texts only those move that a filter of bounded size lets through."""
     wanted = common.stored(wanted.distinct(), "line-wanted")
     bits = np.packbits(_filter(wanted))
-    some = lines.select("short", "raw").mapInArrow(lambda b: _picked(b, np.unpackbits(bits)), "short long, raw string")
+    some = lines.select("short", "raw").mapInArrow(common.in_arrow(lambda b: _picked(b, np.unpackbits(bits))), "short long, raw string")
     texts = some.withColumn("key", line_key(F.col("raw"))).dropDuplicates(["key"]).join(wanted, "short", "left_semi")
     return common.stored(texts.select("short", "key", normalised(F.col("raw")).alias("norm")), "line-texts")
 
@@ -464,7 +464,7 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> tuple[Dat
     own = texts.select(F.col("short").alias("sa"), F.col("key").alias("a"), F.col("norm").alias("x"))
     other = texts.select(F.col("short").alias("sb"), F.col("key").alias("b"), F.col("norm").alias("y"))
     both = pairs.toDF("sa", "sb").join(own, "sa").join(other, "sb").select("a", "x", "b", "y")
-    links = both.mapInArrow(lambda b: _similar(b, similarity), "a binary, b binary")
+    links = both.mapInArrow(common.in_arrow(lambda b: _similar(b, similarity)), "a binary, b binary")
     return common.stored(links, "line-links"), texts.select("short", "key")
 
 
@@ -472,9 +472,9 @@ def candidates(lines: DataFrame, n_chars: int, least_words: int, least_chars: in
     """Candidate pairs (a, b) of short keys, and the lines (block, key, s0, s1, chars, kind) of large blocks."""
     # about one line in three hundred characters
     buckets = int(max(8, n_chars // 300 * TABLES * ENTRY.itemsize // BUCKET_BYTES + 1))
-    packed = lines.select("short", "raw").mapInArrow(lambda b: _entries(b, buckets, least_words, least_chars), "bucket int, packed binary")
+    packed = lines.select("short", "raw").mapInArrow(common.in_arrow(lambda b: _entries(b, buckets, least_words, least_chars)), "bucket int, packed binary")
     schema = "a long, b long, block long, key long, s0 long, s1 long, chars int, kind int"
-    met = common.stored(packed.repartition(buckets, "bucket").mapInArrow(_candidates, schema), "line-candidates")
+    met = common.stored(packed.repartition(buckets, "bucket").mapInArrow(common.in_arrow(_candidates), schema), "line-candidates")
     return common.stored(met.where("a is not null").select("a", "b").distinct(), "line-pairs"), met.where("block is not null").select("block", "key", "s0", "s1", "chars", "kind").distinct()
 
 
@@ -492,10 +492,10 @@ def second_round(large: DataFrame, roots: DataFrame, lines: DataFrame, similarit
     low, high = F.least("tile", "other"), F.greatest("tile", "other")
     units = units.select(F.xxhash64("block", low, high).alias("unit"), (F.col("tile") != low).cast("int").alias("side"), "block", "blocks", "root", "s0", "s1", "chars", "kind", "short")
     # most lines of large blocks are unlike all others there: only those with a partner come back with their texts
-    some = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_partnered, units.schema)
+    some = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(common.in_arrow(_partnered), units.schema)
     some = common.stored(some, "line-partners")
     whole = some.join(texts_of(some.select("short"), lines), "short").select("unit", "side", "block", "blocks", "root", "s0", "s1", "chars", "kind", "key", "norm")
-    return common.stored(whole.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda b: _across(b, similarity), "a binary, b binary"), "line-links")
+    return common.stored(whole.repartition("unit").sortWithinPartitions("unit").mapInArrow(common.in_arrow(lambda b: _across(b, similarity)), "a binary, b binary"), "line-links")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:

@@ -154,7 +154,7 @@ def nearest(
     queries = queries.select(F.col("part").alias("block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
     pairs = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, "part").repartition(int(shards * blocks), "part", "block")
     how = {"k": k, "prefix": prefix, "share": share}
-    found = pairs.mapInArrow(lambda b: _search(b, marks, **how), "query_id long, vec_id long, score double")
+    found = pairs.mapInArrow(common.in_arrow(lambda b: _search(b, marks, **how)), "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

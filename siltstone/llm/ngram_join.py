@@ -378,8 +378,8 @@ def linked(rows: DataFrame, jaccard: tuple[int, int], shingle: int) -> tuple[Dat
     size = rows.agg(F.sum(F.length("text")).alias("n")).collect()[0]["n"] or 0
     # about one word of five characters in three leaves a signature
     buckets = int(max(8, size * ENTRY.itemsize // 15 // BUCKET_BYTES + 1))
-    made = rows.mapInArrow(lambda b: _entries(b, buckets, jaccard, shingle), f"doc {doc_type}, n long, key long, bucket int, packed binary")
-    met = made.repartition(buckets, "bucket").mapInArrow(_shared, f"doc {doc_type}, n long, key long, run long, band int, need int, cost long")
+    made = rows.mapInArrow(common.in_arrow(lambda b: _entries(b, buckets, jaccard, shingle)), f"doc {doc_type}, n long, key long, bucket int, packed binary")
+    met = made.repartition(buckets, "bucket").mapInArrow(common.in_arrow(_shared), f"doc {doc_type}, n long, key long, run long, band int, need int, cost long")
     met = common.stored(met, "shared")
     info, shared = met.where("run is null").select("doc", "n", "key"), met.where("run is not null").select("run", "key", "band", "need", "cost")
     cluster = clusters(shared)
@@ -388,7 +388,7 @@ def linked(rows: DataFrame, jaccard: tuple[int, int], shingle: int) -> tuple[Dat
     picked = common.pruning(picked.select("cluster", "key", F.col("doc")["id"].alias("_id"), F.col("doc")["row"].alias("_row")), "picked")
     texts = rows.select(F.col("doc")["id"].alias("id"), F.col("doc")["row"].alias("row"), "text")
     texts = texts.join(picked, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))).select("cluster", "key", "text")
-    sets = texts.mapInArrow(lambda b: _sets(b, shingle), "cluster long, key long, packed binary").dropDuplicates(["cluster", "key"])
+    sets = texts.mapInArrow(common.in_arrow(lambda b: _sets(b, shingle)), "cluster long, key long, packed binary").dropDuplicates(["cluster", "key"])
     with common.runtime_filters(spark):
         sets = common.stored(sets, "sets")
     size_of = F.greatest(F.sum(F.length("packed") + 64) / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)
@@ -399,7 +399,7 @@ def linked(rows: DataFrame, jaccard: tuple[int, int], shingle: int) -> tuple[Dat
     units = units.select(F.xxhash64("cluster", low, high).alias("unit"), (F.col("block") != low).cast("int").alias("side"), "key", "packed")
     tasks = int(max(8, size // (64 << 20)))
     units = units.repartition(tasks, "unit").sortWithinPartitions("unit", "key")
-    return info, graph.components(units.mapInArrow(lambda b: _verified(b, jaccard), "a long, b long"))
+    return info, graph.components(units.mapInArrow(common.in_arrow(lambda b: _verified(b, jaccard)), "a long, b long"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: tuple[int, int] = JACCARD, shingle: int = SHINGLE) -> DataFrame:

@@ -156,7 +156,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """
     common.python_ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda batches: _pack(batches, path, capacity, separator, digest), SCHEMA.format(ids="ids_crc32 long" if digest else "ids binary"))
+    return rows.mapInArrow(common.in_arrow(lambda batches: _pack(batches, path, capacity, separator, digest)), SCHEMA.format(ids="ids_crc32 long" if digest else "ids binary"))
 
 
 def tokenizer_path() -> str:

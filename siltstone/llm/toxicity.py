@@ -498,7 +498,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     common.python_ready(docs.sparkSession)
     held = F.lit(False) if held_out is None else held_out
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out"))
-    return rows.mapInArrow(lambda b: _scored(b, model), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(common.in_arrow(lambda b: _scored(b, model)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _kept(batches: Iterator[pa.RecordBatch], model: Model, text: int) -> Iterator[pa.RecordBatch]:
@@ -510,7 +510,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     """Rows of ``docs`` that are not judged toxic, all columns as they are."""
     common.python_ready(docs.sparkSession)
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda b: _kept(b, model, at), docs.schema)
+    return docs.mapInArrow(common.in_arrow(lambda b: _kept(b, model, at)), docs.schema)
 
 
 def held_out_rows() -> Column:
