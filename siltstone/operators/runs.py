@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.functions import figures as G
 from siltstone.functions import numbers as N
+from siltstone.operators import metrics as M
 from siltstone.operators import tools as O
 
 #: What names a provider's refusal for quota or rate, fixed values.
@@ -103,6 +105,34 @@ def generation_aggregates(records: DataFrame, metrics: tuple[str, ...]) -> DataF
     return block.join(latency(records, "latency_ms").drop("n", "mean"), "stratum", "left")
 
 
+def attach_deterministic(records: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Records with their judge-free checks: figure_*, draft_primary, grounding_*, and by labels labelled, n_groups, hit, recall, mrr, first_rank.
+
+    records: (id, ground_truth, answer, draft_answer, status, observations, retrieved); groups: (item_id, group_id, doc_id), without which what the records
+    hold of an agent's retrieval is kept as it is. A refused answer states no figure; a draft counts where it isn't the answer; items without a label have nulls.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    seen = F.array_join(F.coalesce("observations", F.array().cast("array<string>")), "\n")
+    rows = records.withColumn("_truth", G.extract(text("ground_truth"))).withColumn("_said", G.extract(text("answer"))).withColumn("_drafted", G.extract(F.coalesce("draft_answer", text("answer")))).withColumn("_seen", G.extract(seen))
+    rows = rows.withColumn("_f", G.figure_match(F.col("_truth"), F.col("_said"))).withColumn("_d", G.figure_match(F.col("_truth"), F.col("_drafted"))).withColumn("_g", G.grounding(F.col("_drafted"), F.col("_seen")))
+    refused, use = F.coalesce(F.col("status") == "refused", F.lit(False)), F.col("_f.applicable")
+    other = F.col("draft_answer").isNotNull() & ~F.col("draft_answer").eqNullSafe(F.col("answer"))
+    checked = {
+        "figure_applicable": use, "figure_recall": F.when(use, F.when(refused, 0.0).otherwise(F.col("_f.recall"))), "figure_exact": F.when(use, ~refused & F.col("_f.exact")), "figure_primary": F.when(use, ~refused & F.col("_f.primary_found")),
+        "draft_primary": F.when(other & use, F.col("_d.primary_found")), "grounding_applicable": F.col("_g.applicable"), "n_figures": F.col("_g.n_figures"), "n_grounded": F.col("_g.n_grounded"),
+    }
+    rows = rows.withColumns(checked).drop("_truth", "_said", "_drafted", "_seen", "_f", "_d", "_g")
+    if groups is None:
+        return rows
+    ranked = records.select(F.col("id").alias("item_id"), F.posexplode("retrieved").alias("_at", "doc_id")).groupBy("item_id", "doc_id").agg((F.min("_at") + 1).alias("rank"))
+    hits = M.group_ranks(ranked, groups).groupBy("item_id").agg(
+        F.count("*").alias("n_groups"), F.min("hit").alias("first_rank"), F.round(F.avg(F.when(F.col("hit").isNotNull(), 1.0).otherwise(0.0)), 4).alias("recall"), F.round(F.coalesce(1 / F.min("hit"), F.lit(0.0)), 4).alias("mrr")
+    )
+    rows = rows.drop("labelled", "n_groups", "hit", "recall", "mrr", "first_rank").join(hits.withColumnRenamed("item_id", "id"), "id", "left")
+    labelled = F.col("n_groups").isNotNull()
+    return rows.withColumn("labelled", labelled).withColumn("hit", F.when(labelled, F.col("first_rank").isNotNull())).withColumn("n_groups", F.coalesce("n_groups", F.lit(0)))
+
+
 def tool_totals(records: DataFrame) -> DataFrame:
     """(stratum, tool, n): calls of each tool over the metered records."""
     rows = records.where("latency_ms is not null").select("question_type", F.explode("tools_used").alias("tool", "calls"))

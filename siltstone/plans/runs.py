@@ -176,6 +176,32 @@ def unknown_item_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(40).join(records(spark, sf_dir), "id", "left_anti")
 
 
+#: Answers to figures: one in three is right, one in five refused, half of the drafts' figures were seen; two groups of relevant documents for two items in three.
+ANSWERED = """an AS (SELECT doc_id AS id, doc_id % 3 = 0 AS right_, doc_id % 5 = 0 AS refused, doc_id % 2 = 0 AS seen, doc_id % 7 = 0 AS bare FROM documents)"""
+
+
+@query(
+    "deterministic_records",
+    f"""WITH {ANSWERED} SELECT id, NOT bare AS figure_applicable, CASE WHEN NOT bare THEN CASE WHEN right_ AND NOT refused THEN 1.0 ELSE 0.0 END END::DOUBLE AS figure_recall, CASE WHEN NOT bare THEN right_ AND NOT refused END AS figure_exact,
+ CASE WHEN NOT bare THEN right_ AND NOT refused END AS figure_primary, CASE WHEN NOT bare AND refused THEN true END AS draft_primary, 1 AS n_figures, seen::INTEGER AS n_grounded, id % 3 <> 1 AS labelled,
+ CASE WHEN id % 3 <> 1 THEN id % 4 < 2 END AS hit, CASE WHEN id % 3 <> 1 THEN CASE WHEN id % 4 = 0 THEN 1.0 WHEN id % 4 = 1 THEN 0.5 ELSE 0.0 END END::DOUBLE AS recall, CASE WHEN id % 3 <> 1 THEN CASE WHEN id % 4 = 0 THEN 1.0 WHEN id % 4 = 1 THEN 0.3333 ELSE 0.0 END END::DOUBLE AS mrr FROM an""",
+)
+def deterministic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The judge-free checks of answers that were made up from ids."""
+    n = F.col("doc_id")
+    value = lambda x: F.concat(F.lit("It was $"), x.cast("string"), F.lit(" million."))
+    truth, wrong = n * 10 + 3_000, n * 10 + 907_003
+    answer = F.when((n % 3 == 0) | (n % 5 == 0), value(truth)).otherwise(value(wrong))
+    rows = table(spark, sf_dir, "documents").select(
+        n.alias("id"), F.when(n % 7 == 0, "In 2024.").otherwise(value(truth)).alias("ground_truth"), F.when(n % 5 == 0, F.concat(F.lit("Not served: "), answer)).otherwise(answer).alias("answer"), answer.alias("draft_answer"),
+        F.when(n % 5 == 0, "refused").otherwise("verified").alias("status"), F.when(n % 2 == 0, F.array(F.lit("a"), answer)).otherwise(F.array(F.lit("nothing"))).alias("observations"),
+        F.when(n % 4 == 0, F.array(F.lit("a"), F.lit("b"), F.lit("a"))).when(n % 4 == 1, F.array(F.lit("x"), F.lit("y"), F.lit("c"))).otherwise(F.array(F.lit("x"))).alias("retrieved"),
+    )
+    groups = rows.where("id % 3 <> 1").select(F.col("id").alias("item_id"), F.explode(F.array(F.struct(F.lit(1).alias("group_id"), F.lit("a").alias("doc_id")), F.struct(F.lit(1).alias("group_id"), F.lit("c").alias("doc_id")), F.struct(F.lit(2).alias("group_id"), F.lit("b").alias("doc_id")))).alias("g")).select("item_id", "g.*")
+    out = R.attach_deterministic(rows, groups)
+    return out.select("id", "figure_applicable", "figure_recall", "figure_exact", "figure_primary", F.when(F.col("status") == "refused", F.col("draft_primary")).alias("draft_primary"), "n_figures", "n_grounded", "labelled", "hit", "recall", "mrr")
+
+
 # tool blocks
 
 LABELS = "lab AS (SELECT id AS item_id, ['click', 'view', 'signup', 'error'] AS allowed, ['click', 'view'] AS required, ['click', 'view'] AS first_ok FROM records WHERE id % 5 <> 0)"

@@ -310,3 +310,39 @@ def test_thread_memory_expires_and_admits(spark, tmp_path):
     assert list(step((1,), iter([]), state)) == [] and state.removed
     state.hasTimedOut = False
     assert next(iter(step((1,), iter([batch((9, "user", "z", True))]), state))).remembered.tolist() == [0]
+
+
+def test_recursive_chunks_hold_the_text():
+    """Chunks are short enough, stand in the text in order, leave out nothing but white space, and overlap by little."""
+    import random
+
+    from siltstone.operators import corpus as C
+
+    random.seed(3)
+    for n in (0, 1, 40, 300, 900):
+        text = "".join(f"{i}" + random.choice(["word ", "longerword ", "a ", "-".join(f"{i}x{j}" for j in range(random.randint(1, 120))) + " ", "\n", "\n\n", " ends. "]) for i in range(n))
+        at, covered = 0, 0
+        for chunk in C.split_text(text):
+            place = text.find(chunk, at)
+            assert chunk == chunk.strip() and 0 < len(chunk) <= C.CHUNK_CHARS and place >= at
+            assert not text[covered:place].strip() or place <= covered
+            assert covered - place <= C.CHUNK_OVERLAP
+            at, covered = place, max(covered, place + len(chunk))
+        assert not text[covered:].strip()
+
+
+def test_page_text_against_patterns():
+    """A parser's text of well-formed pages, against taking out scripts and tags by hand."""
+    import html
+    import random
+    import re
+
+    from siltstone.operators import corpus as C
+
+    random.seed(5)
+    for _ in range(200):
+        page = "".join(random.choice(["<p>", "</p>", "plain text", " &amp; more ", "<b>bold</b>", "<script>var x = '<p>';</script>", "<style>p {}</style>", "<!-- note -->", "<br/>", "\n  \n", "<ix:hidden><p>unseen</p></ix:hidden>"]) for _ in range(30))
+        bare = re.sub(r"(?s)<(script|style|ix:hidden)>.*?</\1>|<!--.*?-->", "", page)
+        want = [x for x in (html.unescape(t).strip() for t in re.split(r"<[^>]*>", bare)) if x]
+        assert re.sub(r"\s+", "", C.html_text(page)) == re.sub(r"\s+", "", "".join(want))
+    assert C.html_text(None) is None and C.html_text("") == ""
