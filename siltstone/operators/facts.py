@@ -237,6 +237,7 @@ def period_label(kind: Column, year: Column, start: Column, end: Column) -> Colu
     return F.when(kind == "instant", F.concat(F.lit("as of "), end)).otherwise(F.concat(F.lit("FY"), year.cast("string"), F.lit(" ("), start, F.lit(" to "), end, F.lit(")")))
 
 
+#: What an unresolved phrase is told, a fixed value.
 NO_CONCEPT = "Try a standard line item (revenue, net income, operating income, gross profit, diluted EPS, total assets, operating cash flow, capital expenditures) or a segment name, or search the filing text."
 
 
