@@ -71,12 +71,12 @@ def cost_usd(model: Column, tokens_in: Column, tokens_out: Column, prices: dict[
 
 
 def _steps(pct: float, kind: str, n: Column) -> list[tuple[Column, Column]]:
-    """(index from 0, share) of the ordered values that a percentile is made of."""
+    """(index from 0, share of the way to it) of the ordered values that a percentile lies between: the lower first, and for linear ones the higher."""
     place = F.lit(pct / 100) * (n - 1)
     if kind == "nearest":
-        return [(F.bround(place, 0).cast("long"), F.lit(1.0))]
+        return [(F.bround(place, 0).cast("long"), F.lit(0.0))]
     low = F.floor(place).cast("long")
-    return [(low, 1 - (place - low)), (F.least(low + 1, n - 1), place - low)]
+    return [(low, F.lit(0.0)), (F.least(low + 1, n - 1), place - low)]
 
 
 def percentiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[str, float]], digits: int = 1) -> DataFrame:
@@ -90,13 +90,15 @@ def percentiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, tu
     counted = counted.join(splits, by).withColumn("_range", F.size(F.filter("_splits", lambda s: s < F.col("_v")))).drop("_splits")
     ranges = counted.groupBy(*by, "_range", "_n").agg(F.sum("_c").alias("_in"))
     ranges = ranges.withColumn("_upto", F.sum("_in").over(W.partitionBy(*by).orderBy("_range")))
-    steps = [F.struct(F.lit(name).alias("name"), at.alias("at"), share.cast("double").alias("share")) for name, (kind, pct) in wanted.items() for at, share in _steps(pct, kind, F.col("_n"))]
+    steps = [F.struct(F.lit(name).alias("name"), F.lit(i).alias("upper"), at.alias("at"), share.cast("double").alias("share")) for name, (kind, pct) in wanted.items() for i, (at, share) in enumerate(_steps(pct, kind, F.col("_n")))]
     places = ranges.select(*by, "_range", (F.col("_upto") - F.col("_in")).alias("_below"), "_upto", F.explode(F.array(*steps)).alias("_step")).where("_below <= _step.at and _step.at < _upto")
     run = W.partitionBy(*by, "_range").orderBy("_v")
     ordered = counted.join(places.select(*by, "_range").distinct(), [*by, "_range"], "left_semi").withColumn("_to", F.sum("_c").over(run))
     found = ordered.join(places, [*by, "_range"]).where("_below + _to > _step.at and _below + _to - _c <= _step.at")
-    out = [F.round(F.sum(F.when(F.col("_step")["name"] == name, F.col("_v") * F.col("_step")["share"])), digits).alias(name) for name in wanted]
-    return found.groupBy(*by).agg(*out)
+    step = F.col("_step")
+    of = lambda name, upper, c: F.max(F.when((step["name"] == name) & (step["upper"] == upper), c))
+    between = lambda name: of(name, 0, F.col("_v")) + F.coalesce((of(name, 1, F.col("_v")) - of(name, 0, F.col("_v"))) * of(name, 1, step["share"]), F.lit(0.0))
+    return found.groupBy(*by).agg(*[F.round(between(name), digits).alias(name) for name in wanted])
 
 
 def ratio(n: Column, of: Column) -> Column:

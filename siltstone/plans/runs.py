@@ -58,6 +58,8 @@ SCORES = ", ".join(
 )
 PLACE = "CASE stratum WHEN 'overall' THEN -1 WHEN 'lookup' THEN 1 WHEN 'comparison' THEN 2 WHEN 'trend' THEN 3 ELSE 4 END::BIGINT AS place"
 BOTH = f"r AS (SELECT *, {SEARCHED} AS searched FROM records), both_ AS (SELECT 'overall' AS stratum, * FROM r UNION ALL SELECT question_type, * FROM r WHERE question_type <> '')"
+_SORTED, _PLACE = "list_sort(list({v}) FILTER ({v} IS NOT NULL))", "({p} / 100.0::DOUBLE * (count({v}) - 1))"
+LINEAR = f"round(({_SORTED}[floor({_PLACE})::BIGINT + 1] + ({_SORTED}[least(floor({_PLACE})::BIGINT + 2, count({{v}}))] - {_SORTED}[floor({_PLACE})::BIGINT + 1]) * ({_PLACE} - floor({_PLACE})))::DECIMAL(38, 12), 1)::DOUBLE"
 NEAR = "round(list_sort(list({v}) FILTER ({v} IS NOT NULL))[round_even(({p} / 100.0::DOUBLE) * (count({v}) - 1), 0)::BIGINT + 1], 1)"
 
 
@@ -84,7 +86,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("generation_aggregates", f"WITH {RECORDS}, {BOTH}, a AS (SELECT stratum, count(*) AS n_items, {SCORES}, {DETERMINISTIC}, {COST}, {', '.join(NEAR.format(v='latency_ms', p=p) + f' AS p{p}' for p in (50, 95))}, round(quantile_cont(latency_ms, 0.5), 1) AS p50_linear, round(quantile_cont(latency_ms, 0.95), 1) AS p95_linear FROM both_ GROUP BY stratum) SELECT *, {PLACE} FROM a")
+@query("generation_aggregates", f"WITH {RECORDS}, {BOTH}, a AS (SELECT stratum, count(*) AS n_items, {SCORES}, {DETERMINISTIC}, {COST}, {', '.join(NEAR.format(v='latency_ms', p=p) + f' AS p{p}' for p in (50, 95))}, {LINEAR.format(v='latency_ms', p=50)} AS p50_linear, {LINEAR.format(v='latency_ms', p=95)} AS p95_linear FROM both_ GROUP BY stratum) SELECT *, {PLACE} FROM a")
 def generation_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.generation_aggregates(records(spark, sf_dir), METRICS)
 
@@ -99,7 +101,7 @@ def verification_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.failure_counts(records(spark, sf_dir))
 
 
-LATENCY = "stratum, count(latency_ms) AS n, round(avg(latency_ms), 1) AS mean, " + ", ".join(NEAR.format(v="latency_ms", p=p) + f" AS p{p}" for p in (50, 95)) + ", round(quantile_cont(latency_ms, 0.5), 1) AS p50_linear, round(quantile_cont(latency_ms, 0.95), 1) AS p95_linear"
+LATENCY = "stratum, count(latency_ms) AS n, round(avg(latency_ms), 1) AS mean, " + ", ".join(NEAR.format(v="latency_ms", p=p) + f" AS p{p}" for p in (50, 95)) + f", {LINEAR.format(v='latency_ms', p=50)} AS p50_linear, {LINEAR.format(v='latency_ms', p=95)} AS p95_linear"
 
 
 @query("latency_block", f"WITH {RECORDS}, {BOTH} SELECT {LATENCY} FROM both_ WHERE latency_ms IS NOT NULL GROUP BY stratum")
