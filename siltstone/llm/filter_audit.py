@@ -150,7 +150,9 @@ def failures(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     seen = rows.mapInArrow(common.in_arrow(_scanned), f"id {id_type}, part string, high long, low long, fails int")
     seen = seen.groupBy("id", "part", "high", "low", "fails").agg(F.count("*").alias("n"))
     label = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    known = seen.where("id is not null").join(label, "id", "left").unionByName(seen.where("id is null"), allowMissingColumns=True)
+    # rows without an id match no label, and are dealt out by their text
+    spread = F.when(F.col("id").isNull(), F.col("high")).otherwise(0)
+    known = seen.withColumn("spread", spread).join(label.withColumn("spread", F.lit(0).cast("long")), ["id", "spread"], "left")
     good, toxic = (F.coalesce(F.col(c) == 1, F.lit(False)) for c in ("quality", "toxic"))
     first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n"))).alias("first")
     nameless = F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)).alias("nameless")
