@@ -22,6 +22,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
@@ -30,7 +31,7 @@ SMALL = 128
 SEPARATOR = 1
 #: How a byte-level vocabulary of this family cuts text into pieces, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SCHEMA = "doc_id long, start long, length long, {ids}, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id {id}, start long, length long, {ids}, doc_tokens long, sequence_id long, offset long"
 FLUSH_BYTES = 16 << 20
 LONG_RUN = re.compile(r"[^\S\x1C-\x1F]{1000,}")
 
@@ -50,13 +51,15 @@ class Encoder:
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*shown}))}
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added}
         self.encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.piece = tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
         if self.cut is None or not any(token in text for token in self.added):
-            return self._plain(text)
-        return b"".join(self.added[part] if part in self.added else self._plain(part) for part in self.cut.split(text) if part)
+            return self.plain(text)
+        return b"".join(self.added[part] if part in self.added else self.plain(part) for part in self.cut.split(text) if part)
 
-    def _plain(self, text: str) -> bytes:
+    def plain(self, text: str) -> bytes:
+        """Ids of a text whose strings of added tokens are text like any other."""
         if not LONG_RUN.search(text):
             return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
         # a run of white space is one piece but for its last character, which goes with what follows; said here, as the
@@ -64,10 +67,10 @@ class Encoder:
         out, at = [], 0
         for run in LONG_RUN.finditer(text):
             stop = run.end() - (run.end() < len(text))
-            ids = self.encoding._encode_single_piece(text[run.start() : stop])
-            out += [self._plain(text[at : run.start()]), b"".join(i.to_bytes(4, "little") for i in ids)]
+            ids = self.piece.encode_to_numpy(text[run.start() : stop], disallowed_special=()).astype("<u4")
+            out += [self.plain(text[at : run.start()]), ids.tobytes()]
             at = stop
-        return b"".join([*out, self._plain(text[at:])])
+        return b"".join([*out, self.plain(text[at:])])
 
 
 @lru_cache(maxsize=2)
@@ -99,7 +102,7 @@ def _first_fit(pieces: list[tuple], capacity: int) -> list[list[tuple]]:
     return bins
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, separator: int | None, digest: bool) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, path: str, capacity: int, separator: int | None, digest: bool) -> Iterator[pa.RecordBatch]:
     encode, end = encoder(path), b"" if separator is None else separator.to_bytes(4, "little")
     sequence = TaskContext.get().partitionId() << 40
     classes: dict[int, list] = defaultdict(list)
@@ -107,7 +110,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, separator
     size = 0
     ids_type = pa.int64() if digest else pa.binary()
     names = ["doc_id", "start", "length", "ids_crc32" if digest else "ids", "doc_tokens", "sequence_id", "offset"]
-    types = [pa.int64(), pa.int64(), pa.int64(), ids_type, pa.int64(), pa.int64(), pa.int64()]
+    types = [id_type, pa.int64(), pa.int64(), ids_type, pa.int64(), pa.int64(), pa.int64()]
 
     def close(pieces: list[tuple]) -> None:
         nonlocal sequence, size
@@ -151,12 +154,15 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     With ``digest`` the ids' crc32 (ids_crc32) comes in place of the ids, so they never leave the task. Null texts are
     empty: a document of the separator alone (without a separator, no piece). Rows that repeat an id are
-    documents of their own; null ids stay null, ids of any type are kept as longs where they can be. An empty table gives an
+    documents of their own; ids of any type stay as they are, nulls too. An empty table gives an
     empty result; texts of any length are packed whole. Other columns are ignored.
     """
     common.python_ready(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(common.in_arrow(lambda batches: _pack(batches, path, capacity, separator, digest)), SCHEMA.format(ids="ids_crc32 long" if digest else "ids binary"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    id_type = rows.schema["doc_id"].dataType
+    arrow_type = to_arrow_type(id_type)
+    schema = SCHEMA.format(id=id_type.simpleString(), ids="ids_crc32 long" if digest else "ids binary")
+    return rows.mapInArrow(common.in_arrow(lambda batches: _pack(batches, arrow_type, path, capacity, separator, digest)), schema)
 
 
 def tokenizer_path() -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, filter_audit, language, licenses, line_dedup, mixing, neighbours, ngram_join, packing, secrets, simhash_tiles, toxicity
+from . import alignment, exact_dedup, filter_audit, language, licenses, line_dedup, mixing, neighbours, ngram_join, packing, secrets, simhash_tiles, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.op8_packing,
     "op9_secrets": secrets.op9_secrets,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_alignment": alignment.op11_alignment,
     "op12_simhash": simhash_tiles.op12_simhash,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
