@@ -22,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common, packing
 
-BLOCK_CHARS, SLICE = 6 << 20, 1 << 20
+BLOCK_CHARS, SLICE, LINKS_AT_ONCE = 4 << 20, 1 << 19, 1 << 19
 MARK = "▁"  # the space of B; a text that holds one can't be told from a text with a space
 ODD = re.compile(r"\s ")  # in a space and a text: some space is no cut
 COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps"]
@@ -98,34 +99,40 @@ class Aligned:
 
     def __init__(self, keys: list[str], a_path: str, b_path: str) -> None:
         a, size_a, b, text_of = vocabularies(a_path, b_path)
-        made_a = [np.frombuffer(a.plain(" " + k), dtype="<u4") for k in keys]
-        made_b = [np.array(ids, dtype=np.int64) for ids in b(keys)]
-        self.bad = np.array([b" " + k.encode() != b"".join(map(b.bytes.__getitem__, ids.tolist())) for k, ids in zip(keys, made_b, strict=True)], dtype=bool)
+        parts_a = [a.plain(" " + k) for k in keys]
+        parts_b = b(keys)
+        # ids of all segments end to end, and where each one's begin
+        self.bad = np.array([b" " + k.encode() != b"".join(map(b.bytes.__getitem__, ids)) for k, ids in zip(keys, parts_b, strict=True)], dtype=bool)
+        ids_a = np.frombuffer(b"".join(parts_a), dtype="<u4").astype(np.int64)
+        ids_b = np.fromiter(chain.from_iterable(parts_b), dtype=np.int64)
+        up_a = np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts_a], dtype=np.int64)])
+        up_b = np.concatenate([[0], np.cumsum([len(x) for x in parts_b], dtype=np.int64)])
+        del parts_a, parts_b
         self.counts = np.zeros((len(keys), len(COUNTS)), np.int64)
         self.text = [""] * len(keys)
         links = [np.zeros((3, 0), np.int64)]
-        many = np.array([max(len(x), len(y)) for x, y in zip(made_a, made_b, strict=True)], np.int64)
         good = np.flatnonzero(~self.bad)
-        ends = np.cumsum(many[good])
+        ends = np.cumsum(np.maximum(np.diff(up_a), np.diff(up_b))[good])
         at = 0
         with duckdb.connect(config={"threads": 1, "temp_directory": ""}) as con:
             while at < len(good):
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE)))
                 own = good[at:to]
-                links.append(self._slice(con, own, [made_a[i] for i in own], [made_b[i] for i in own], size_a, b.size, text_of))
+                sides = []
+                for ids, up, size in ((ids_a, up_a, size_a), (ids_b, up_b, b.size)):
+                    many = up[own + 1] - up[own]
+                    seg = np.repeat(np.arange(len(own)), many)
+                    sides.append((ids[np.arange(len(seg)) + np.repeat(up[own] - np.cumsum(many) + many, many)], seg, size))
+                links.append(self._slice(con, own, sides, text_of))
                 at = to
         self.links = np.concatenate(links, axis=1)
 
-    def _slice(self, con: duckdb.DuckDBPyConnection, own: np.ndarray, a: list[np.ndarray], b: list[np.ndarray], size_a: np.ndarray, size_b: np.ndarray, text_of: list[str]) -> np.ndarray:
-        sides = []
-        for name, made, size in (("a", a, size_a), ("b", b, size_b)):
-            ids = np.concatenate(made).astype(np.int64)
-            seg = np.repeat(np.arange(len(own)), [len(x) for x in made])
+    def _slice(self, con: duckdb.DuckDBPyConnection, own: np.ndarray, sides: list[tuple], text_of: list[str]) -> np.ndarray:
+        for name, (ids, seg, size) in zip("ab", sides, strict=True):
             last = np.cumsum(size[ids])
             con.register(name, pa.table({"seg": seg, "place": np.arange(len(ids)), "id": ids, "first": last - size[ids], "last": last}))
-            sides.append((ids, seg))
         con.execute(GROUPED)
-        (ids_a, seg_a), (ids_b, seg_b) = sides
+        (ids_a, seg_a, _), (ids_b, seg_b, size_b) = sides
         grp_a, grp_b = (con.sql(GROUPS_OF.format(t)).to_arrow_table()["grp"].to_numpy() for t in ("ga", "gb"))
         held = con.sql(LINKS).to_arrow_table()
         seg, x, y, times, overlaps = (held[c].to_numpy() for c in ("seg", "a", "b", "times", "overlaps"))
@@ -169,42 +176,49 @@ def _blocks(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, a_path: str
         nonlocal block
         known: dict[str, int] = {}
         texts = [t or "" for _, t in held]
-        own = [[known.setdefault(k, len(known)) for k in segments(t)] if t and MARK not in t else [] for t in texts]
+        own = [np.array([known.setdefault(k, len(known)) for k in segments(t)] if t and MARK not in t else [], dtype=np.int64) for t in texts]
+        del texts
         segs = Aligned(list(known), a_path, b_path)
         known.clear()
         if segs.bad.any():
-            bad = segs.bad.tolist()
-            own = [[] if any(bad[k] for k in o) else o for o in own]
-        flat = np.fromiter((k for o in own for k in o), dtype=np.int64)
+            own = [o[:0] if segs.bad[o].any() else o for o in own]
+        flat = np.concatenate(own)
         end = np.cumsum([len(o) for o in own])
         up = np.concatenate([np.zeros((1, len(COUNTS)), np.int64), np.cumsum(segs.counts[flat], axis=0)])
         counts = np.diff(up[np.concatenate([[0], end])], axis=0)
-        joined = [";".join(map(segs.text.__getitem__, o)) for o in own]
-        groups = joined if whole else [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in joined]
-        # the links of each text, equal ones added up
-        keys, pair = np.unique(segs.links[1], return_inverse=True)
+        joined = (";".join(map(segs.text.__getitem__, o.tolist())) for o in own)
+        groups = list(joined) if whole else [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in joined]
+        # the links of each text, equal ones added up; of so many texts at once that memory is bounded
+        keys, pair_of = np.unique(segs.links[1], return_inverse=True)
         first = np.searchsorted(segs.links[0], np.arange(len(segs.text) + 1))
-        many = np.diff(first)[flat]
-        of = np.repeat(np.repeat(np.arange(len(own)), [len(o) for o in own]), many)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[flat], many)
-        joint = of * max(1, len(keys)) + pair[at]
-        order = np.argsort(joint)
-        joint = joint[order]
-        new = np.flatnonzero(np.diff(joint, prepend=-1))
-        times = np.add.reduceat(segs.links[2][at[order]], new) if len(new) else np.zeros(0, np.int64)
-        joint = joint[new]
-        of, pair = joint // max(1, len(keys)), joint % max(1, len(keys))
-        cut = np.searchsorted(of, np.arange(len(own) + 1))
-        packed = []
-        for p, q in zip(cut.tolist(), cut[1:].tolist(), strict=False):
-            (w, steps), (v, own_times) = _narrow(np.diff(pair[p:q], prepend=0)), _narrow(times[p:q])
-            packed.append(bytes([w, v]) + steps + own_times)
+        times_of, n_keys = segs.links[2], max(1, len(keys))
+        n_links = np.concatenate([[0], np.cumsum(np.diff(first)[flat])])[np.concatenate([[0], end])]
+        start = np.concatenate([[0], end])
+        packed, held_by, a = [], np.zeros(n_keys, np.int64), 0
+        while a < len(own):
+            b = max(a + 1, int(np.searchsorted(n_links, n_links[a] + LINKS_AT_ONCE, side="right")) - 1)
+            segs_of = flat[start[a] : start[b]]
+            many = np.diff(first)[segs_of]
+            of = np.repeat(np.repeat(np.arange(b - a), np.diff(start[a : b + 1])), many)
+            at = np.arange(len(of)) + np.repeat(first[segs_of] - np.cumsum(many) + many, many)
+            joint = of * n_keys + pair_of[at]
+            order = np.argsort(joint)
+            joint = joint[order]
+            new = np.flatnonzero(np.diff(joint, prepend=-1))
+            times = np.add.reduceat(times_of[at[order]], new) if len(new) else np.zeros(0, np.int64)
+            of, pair = joint[new] // n_keys, joint[new] % n_keys
+            held_by += np.bincount(pair, minlength=n_keys)
+            cut = np.searchsorted(of, np.arange(b - a + 1))
+            for p, q in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+                (w, steps), (v, own_times) = _narrow(np.diff(pair[p:q], prepend=0)), _narrow(times[p:q])
+                packed.append(bytes([w, v]) + steps + own_times)
+            a = b
         n, none = len(own), pa.nulls
         columns = [pa.array(np.full(n, block)), none(n, types[1]), pa.array([i for i, _ in held], id_type), *[pa.array(counts[:, k]) for k in range(len(COUNTS))], pa.array(groups, pa.string()), pa.array(packed, pa.binary()), *[none(n, pa.int64())] * 3]
         for a in range(0, n, 1000):
             yield pa.RecordBatch.from_arrays([c[a : a + 1000] for c in columns], names=names)
         m = len(keys)
-        columns = [pa.array(np.full(m, block)), pa.array(np.arange(m)), none(m, id_type), *[none(m, t) for t in types[3:10]], pa.array(keys // n_b), pa.array(keys % n_b), pa.array(np.bincount(pair, minlength=m))]
+        columns = [pa.array(np.full(m, block)), pa.array(np.arange(m)), none(m, id_type), *[none(m, t) for t in types[3:10]], pa.array(keys // n_b), pa.array(keys % n_b), pa.array(held_by[:m])]
         yield pa.RecordBatch.from_arrays(columns, names=names)
         held.clear()
         block += 1

@@ -26,10 +26,12 @@ def own_libraries():
     return a, sentencepiece.SentencePieceProcessor(model_file=B_PATH)
 
 
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE = {chr(b): b for b in SHOWN} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
+
+
 def bytes_of_a(token):
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    table = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    return bytes(table[c] for c in token)
+    return bytes(BYTE[c] for c in token)
 
 
 def plain(texts, libraries):
