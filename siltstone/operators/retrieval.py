@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.operators.inverted import TermIndex
+from siltstone.operators.nearest import nearest
 from siltstone.session import shared_dir
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
-
 
 @dataclass(frozen=True)
 class RetrievalConfig:
@@ -64,63 +61,21 @@ def document_frequencies(counts: DataFrame) -> DataFrame:
     return counts.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-@dataclass(frozen=True)
-class TermIndex:
-    """A stored index: postings (doc_id, dl, term, tf) laid out by document, so that a task scores its documents whole whatever a
-    term's frequency, and terms (term, df, idf)."""
-
-    postings: DataFrame
-    terms: DataFrame
-
-
-ASKED_ROWS = 200_000  # query terms that are broadcast; more of them are joined by term
+def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, id_col: str, text_col: str) -> DataFrame:
+    """(query_id, doc_id, score) of all pairs with a positive score, over an index made for the occasion."""
+    return indexed(docs, id_col, text_col).scores(queries, query_id, query_text)
 
 
-def term_index(docs: DataFrame, id_col: str, text_col: str, path: str) -> TermIndex:
-    """Tokenises every document once and stores the index under ``path``. Documents without tokens count in the statistics."""
+def indexed(docs: DataFrame, id_col: str, text_col: str) -> TermIndex:
+    """An index of ``docs`` in a folder of its own."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).repartition(parts, "doc_id")
-    counts = term_counts(rows, "doc_id", "_text")
-    postings = counts.select("doc_id", "dl", F.explode_outer("terms").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    name = "siltstone_postings_" + hashlib.sha256(path.encode()).hexdigest()[:16]
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    postings.write.mode("overwrite").bucketBy(parts, "doc_id").sortBy("doc_id", "term").option("path", f"{path}/postings").saveAsTable(name)
-    held = spark.table(name)
-    totals = held.select("doc_id", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = held.where("term is not null").groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
-    terms.select("term", "df", raw.alias("raw"), "avgdl").write.mode("overwrite").parquet(f"{path}/terms")
-    terms = spark.read.parquet(f"{path}/terms")
-    mean = terms.agg(F.avg("raw")).first()[0]
-    idf = F.when(F.col("raw") < 0, EPSILON * F.lit(mean)).otherwise(F.col("raw"))
-    return TermIndex(held.where("term is not null"), terms.select("term", "df", "raw", idf.alias("idf"), "avgdl"))
-
-
-def bm25_index(queries: DataFrame, index: TermIndex, query_id: str, query_text: str) -> DataFrame:
-    """(query_id, doc_id, score) of all pairs with a positive score, rounded to 6 places.
-
-    Corpus statistics cover all documents, so a filter on the result leaves them alone. Repeated query terms count
-    again. No text is read: postings are scanned where their documents lie, and scores are summed there.
-    """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(T.tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    asked = asked.join(index.terms, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight"), "avgdl")
-    size = queries.agg(F.sum(F.size(T.tokens(F.col(query_text))))).first()[0] or 0
-    asked = F.broadcast(asked) if size <= ASKED_ROWS else asked
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / norm
-    return index.postings.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-
-
-def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, id_col: str, text_col: str) -> DataFrame:
-    """bm25_index() over an index made for the occasion."""
-    return bm25_index(queries, term_index(docs, id_col, text_col, f"{shared_dir(docs.sparkSession)}/bm25/{uuid.uuid4().hex}"), query_id, query_text)
+    return TermIndex.open(spark, f"{shared_dir(spark)}/bm25/{uuid.uuid4().hex}").put(docs, id_col, text_col)
 
 
 def bm25_top(queries: DataFrame, docs: DataFrame | TermIndex, k: int, query_id: str, query_text: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, rank, doc_id, score) over documents or their index: ties go to the smaller id."""
-    scored = bm25_index(queries, docs, query_id, query_text) if isinstance(docs, TermIndex) else bm25(queries, docs, query_id, query_text, id_col, text_col)
-    return top(scored, k, [F.desc("score"), F.asc("doc_id")]).select("query_id", "rank", "doc_id", "score")
+    index = docs if isinstance(docs, TermIndex) else indexed(docs, id_col, text_col)
+    return index.top(queries, k, query_id, query_text)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -132,48 +87,10 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(query_id, doc_id, score) of a stated query set against all rows; a query never finds itself. Scores are exact, in double precision."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"))
-    v = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector_col).alias("v"), *[c for c in vectors.columns if c not in (id_col, vector_col)])
-    return v.join(q, F.col("doc_id") != F.col("query_id")).select("query_id", dot(F.col("q"), F.col("v")).alias("score"), *[c for c in v.columns if c != "v"])
-
-
-QUERY_ROWS = 4096  # queries that go to every task as one matrix
-
-
-def _nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, matrix: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """Of each batch of vectors (doc_id, v) the ``k`` nearest of each query."""
-    for batch in batches:
-        at = np.array([i for i, v in enumerate(batch.column(1).to_pylist()) if v is not None and len(v) == matrix.shape[1] and None not in v])
-        if not len(at):
-            continue
-        docs = batch.column(0).take(pa.array(at)).to_numpy(zero_copy_only=False)
-        vectors = np.array(batch.column(1).take(pa.array(at)).to_pylist(), dtype=np.float64)
-        scores = np.where(docs[None, :] == ids[:, None], -np.inf, matrix @ vectors.T)
-        for i in range(len(ids)):
-            edge = np.partition(scores[i], -k)[-k] if len(docs) > k else -np.inf
-            best = np.flatnonzero(scores[i] >= edge)
-            best = best[np.lexsort((docs[best], -scores[i][best]))][:k]
-            best = best[np.isfinite(scores[i][best])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[i])), pa.array(scores[i][best]), pa.array(docs[best])], names=["query_id", "score", "doc_id"])
-
-
 def dense_top(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
-    """The ``k`` nearest by exact score; scores are rounded to 6 places only to be shown.
-
-    Up to QUERY_ROWS queries of whole-number ids go to every task as a matrix, and each batch of vectors gives its best; beyond, or for other ids, pairs are joined.
-    """
-    kind = vectors.schema[id_col].dataType.simpleString()
-    asked = queries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull()).limit(QUERY_ROWS + 1).collect() if kind in ("int", "bigint") else []
-    if 0 < len(asked) <= QUERY_ROWS and len({len(r["v"]) for r in asked}) == 1:
-        ids, matrix = np.array([r["id"] for r in asked]), np.array([r["v"] for r in asked], dtype=np.float64)
-        rows = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector_col).alias("v")).where("doc_id is not null")
-        scored = rows.mapInArrow(lambda batches: _nearest(batches, ids, matrix, k), f"query_id {kind}, score double, doc_id {kind}")
-    else:
-        scored = dense(queries, vectors, id_col, vector_col)
-    ranked = top(scored, k, [F.desc("score"), F.asc("doc_id")])
-    return ranked.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    """The ``k`` nearest of each query by exact score, itself left out; scores are rounded to 6 places only to be shown."""
+    found = nearest(queries, vectors, k, id_col, vector_col, id_col=id_col, vector_col=vector_col, others=True)
+    return found.withColumn("score", F.round("score", 6))
 
 
 def fuse(lists: list[tuple[DataFrame, float]], rrf_k: int = 60) -> DataFrame:
@@ -235,15 +152,15 @@ def retrieve(
     fits, order = F.col("wanted").isNull() | (F.col("wanted") == F.col("ticker")), [F.desc("score"), F.asc("doc_id")]
     lists = []
     if config.mode != "bm25":
-        rows = vectors.select(F.col(id_col).alias("doc_id"), F.col("vector").alias("v")).join(passages.select("doc_id", "ticker"), "doc_id")
-        near = rows.join(asked.select("query_id", "wanted", F.col("vector").alias("q")), fits).select("query_id", "doc_id", dot(F.col("q"), F.col("v")).alias("score"))
-        lists.append((top(near, depth, order), config.dense_weight))
+        rows = vectors.select(F.col(id_col).alias("doc_id"), "vector").join(passages.select("doc_id", "ticker"), "doc_id")
+        lists.append((nearest(asked, rows, depth, wanted="wanted", value_col="ticker"), config.dense_weight))
     if config.mode != "dense":
-        scored = bm25(asked, passages, "query_id", "query_text", "doc_id", "text") if index is None else bm25_index(asked, index, "query_id", "query_text")
-        scored = scored.join(asked.select("query_id", "wanted"), "query_id")
-        if config.ticker_filter != "none" or ticker_col in queries.columns:
-            scored = scored.join(passages.select("doc_id", "ticker"), "doc_id").where(fits)
-        lists.append((top(scored, depth, order), config.sparse_weight))
+        index = index or indexed(passages, "doc_id", "text")
+        if config.ticker_filter == "none" and ticker_col not in queries.columns:
+            lists.append((index.top(asked, depth), config.sparse_weight))
+        else:
+            scored = index.scores(asked).join(asked.select("query_id", "wanted"), "query_id").join(passages.select("doc_id", "ticker"), "doc_id").where(fits)
+            lists.append((top(scored, depth, order), config.sparse_weight))
     ranked = lists[0][0] if len(lists) == 1 else fuse_top(lists, depth, config.rrf_k)
     found = ranked.select("query_id", "rank", "doc_id").join(passages, "doc_id")
     if config.rerank:

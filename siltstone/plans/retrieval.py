@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.operators import inverted
 from siltstone.operators import metrics as M
 from siltstone.operators import retrieval as R
+from siltstone.operators.nearest import nearest
 from siltstone.plans.catalog import query
-from siltstone.session import kept, table
+from siltstone.session import place_of, shared_dir, table
 
 TOK = "[a-z0-9]+(?:[.,][0-9]+)*"
 
@@ -37,13 +41,14 @@ loc1 AS (SELECT *, max(exact) OVER (PARTITION BY item_id) AS any_exact FROM loc0
 located AS (SELECT item_id, doc_id, CASE WHEN exact THEN 'exact' ELSE 'prefix' END AS method FROM loc1 WHERE exact OR (NOT any_exact AND long))"""
 
 
-def index(spark: SparkSession, sf_dir: str) -> R.TermIndex:
-    """The documents' stored term index."""
-    return kept(spark, sf_dir, "documents", "bm25", lambda path: R.term_index(table(spark, sf_dir, "documents"), "doc_id", "text", path))
+def index(spark: SparkSession, sf_dir: str) -> inverted.TermIndex:
+    """The documents' stored term index: built at its first use, read from then on."""
+    docs = table(spark, sf_dir, "documents")
+    return inverted.load_or_build(spark, place_of(spark, sf_dir, "documents", "terms"), docs, docs.count())
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25_index(table(spark, sf_dir, "benchmark"), index(spark, sf_dir), "item_id", "text")
+    return index(spark, sf_dir).scores(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
@@ -55,6 +60,18 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir)
 
 
+@query("bm25_index_in_batches", f"WITH {bm25_sql()} SELECT * FROM ranked")
+def bm25_index_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a corpus that came in batches: a first one with some texts cut short and some documents that don't belong, a second that
+    replaces and adds, a deletion. Its answers are those of an index of the documents as they are."""
+    docs, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    early = docs.where(n % 3 != 1).select("doc_id", F.when(n % 3 == 2, F.left("text", F.lit(200))).otherwise(F.col("text")).alias("text"))
+    alien = docs.where(n % 7 == 0).select((-1 - n).alias("doc_id"), "text")
+    made = inverted.TermIndex.open(spark, f"{shared_dir(spark)}/bm25/{uuid.uuid4().hex}").put(early.unionByName(alien))
+    made = made.put(docs.where(n % 3 != 0)).delete(alien)
+    return made.top(table(spark, sf_dir, "benchmark"), 5, "item_id", "text")
+
+
 @query("bm25_filtered", f"WITH {bm25_sql(where='JOIN documents USING (doc_id) WHERE lang = $$en$$'.replace('$$', chr(39)))} SELECT * FROM ranked")
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter acts after scoring: corpus statistics stay those of all documents."""
@@ -124,17 +141,35 @@ def dense_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense_top(queries, vectors.where("label = 3"), 10, "vec_id", "embedding")
 
 
-@query("dense_l2_equals_cosine", f"WITH {DENSE.format(k=10)} SELECT query_id, list(doc_id ORDER BY rank) AS by_dot, true AS same FROM dranked GROUP BY query_id")
+L2 = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))"
+
+
+@query(
+    "dense_l2_equals_cosine",
+    f"""WITH l2 AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {L2} AS distance, {DOT.format('a.embedding', 'b.embedding')} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), doc_id) AS by_l2, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS by_dot FROM l2)
+SELECT query_id, list(doc_id ORDER BY by_l2) AS by_l2, list(doc_id ORDER BY by_l2) = (SELECT list(x.doc_id ORDER BY x.by_dot) FROM r x WHERE x.query_id = r.query_id AND x.by_dot <= 10) AS same FROM r WHERE by_l2 <= 10 GROUP BY query_id""",
+)
 def dense_l2_equals_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On unit vectors the order by distance is the order by inner product."""
+    """On unit vectors the order by distance is the order by inner product: both are ranked, the distance as a product with one component more."""
+    queries, vectors = _vectors(spark, sf_dir)
+    twice = lambda v: F.transform(v, lambda x: 2 * x.cast("double"))
+    norm = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    # -|q - v|^2 + |q|^2 = (2 q, -1) (v, |v|^2)
+    q = queries.select(F.col("vec_id").alias("query_id"), F.concat(twice("embedding"), F.array(F.lit(-1.0))).alias("vector"))
+    v = vectors.select(F.col("vec_id").alias("doc_id"), F.concat(F.transform("embedding", lambda x: x.cast("double")), F.array(norm("embedding"))).alias("vector"))
+    ids = lambda found, name: found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias(name))
+    by_l2 = ids(nearest(q, v, 10, others=True), "by_l2")
+    by_dot = ids(R.dense_top(queries, vectors, 10, "vec_id", "embedding"), "by_dot")
+    return by_l2.join(by_dot, "query_id").select("query_id", "by_l2", (F.col("by_l2") == F.col("by_dot")).alias("same"))
+
+
+@query("dense_blocks", f"WITH {DENSE.format(k=10)} SELECT * FROM dranked")
+def dense_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as dense_topk by blocks of queries and shards of vectors, as for more queries than a task holds."""
     queries, vectors = _vectors(spark, sf_dir)
-    pairs = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")).join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), F.col("doc_id") != F.col("query_id"))
-    pairs = pairs.select("query_id", "doc_id", F.round(R.dot(F.col("q"), F.col("v")), 6).alias("dot"), F.round(R.squared_distance(F.col("q"), F.col("v")), 5).alias("l2"))
-    by_dot = R.top(pairs, 10, [F.desc("dot"), F.asc("doc_id")])
-    worst = F.max("l2")
-    near = by_dot.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("r"), worst.alias("worst"))
-    closer = pairs.join(near, "query_id").where("l2 < worst - 0.0001").groupBy("query_id").agg(F.count("*").alias("n"))
-    return near.join(closer, "query_id", "left").select("query_id", F.transform("r", lambda x: x["doc_id"]).alias("by_dot"), (F.coalesce("n", F.lit(0)) <= 10).alias("same"))
+    found = nearest(queries, vectors, 10, "vec_id", "embedding", id_col="vec_id", vector_col="embedding", others=True, held=0, block=8, shard=200)
+    return found.withColumn("score", F.round("score", 6))
 
 
 #: Passages: documents, their language as a company, and the vector of the same id; questions name companies, and some have a company of their own.

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Puts this package on the path of Python workers, where functions of it run."""
+    here = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (here, env.get("PYTHONPATH", "")) if x)
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that what uses it twice computes it once."""
+    path = f"{shared_dir(df.sparkSession)}/stored/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def place_of(spark: SparkSession, sf_dir: str, name: str, what: str) -> str:
+    """A folder in the shared one for what is made of a table's present files: another one as soon as they change."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    state = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+    return f"{shared_dir(spark)}/kept/{what}-{hashlib.sha256(repr(state).encode()).hexdigest()[:24]}"
+
+
 _KEPT: dict[tuple, object] = {}
 
 
