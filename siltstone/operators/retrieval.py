@@ -173,26 +173,3 @@ def answer_context(found: DataFrame) -> DataFrame:
     block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "ticker", F.lit(" "), F.col("doc_id").cast("string"), F.lit("\n"), T.snippet(F.col("text")))
     ordered = F.array_sort(F.collect_list(F.struct("rank", block.alias("b"))))  # k passages at most
     return found.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["b"]), "\n\n").alias("context"))
-
-
-def located(references: DataFrame, docs: DataFrame, ref_id: str, ref_text: str, id_col: str, text_col: str, prefix: int = 60) -> DataFrame:
-    """(ref_id, doc_id, method) of the documents that hold a passage: exact, else by its first ``prefix`` characters if 20 or more.
-
-    A document that holds a passage's beginning holds all but its first and last words whole and in order, so passages are looked up by a
-    hash of the second to fourth word; only beginnings of fewer than five words are held against every document.
-    """
-    refs = references.select(F.col(ref_id).alias("ref_id"), T.normalize(F.col(ref_text)).alias("needle")).where("needle <> ''")
-    refs = refs.withColumn("start", F.left("needle", F.lit(prefix))).withColumn("words", F.split("start", " "))
-    texts = docs.select(F.col(id_col).alias("doc_id"), T.normalize(F.col(text_col)).alias("hay"))
-    three = lambda words, i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-    short, long = refs.where(F.size("words") < 5), refs.where(F.size("words") >= 5).withColumn("run", three(F.col("words"), F.lit(1)))
-    words = texts.select("doc_id", F.split("hay", " ").alias("w"))
-    runs = words.where(F.size("w") > 2).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: three(F.col("w"), i)))).alias("run"))
-    pairs = runs.join(long.select("run", "ref_id"), "run").select("doc_id", "ref_id")
-    hits = pairs.join(texts, "doc_id").join(long, "ref_id").where(F.contains("hay", "start"))
-    few = texts.join(short, F.col("hay").contains(F.col("start")))
-    hits = hits.select("ref_id", "doc_id", "hay", "needle", "start").unionByName(few.select("ref_id", "doc_id", "hay", "needle", "start"))
-    hits = hits.select("ref_id", "doc_id", F.contains("hay", "needle").alias("exact"), (F.length("start") >= 20).alias("long"))
-    any_exact = F.max("exact").over(W.partitionBy("ref_id"))
-    hits = hits.withColumn("any_exact", any_exact).where("exact or (not any_exact and long)")
-    return hits.select("ref_id", "doc_id", F.when(F.col("exact"), "exact").otherwise("prefix").alias("method"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import inverted
+from siltstone.operators import inverted, passages
 from siltstone.operators import metrics as M
 from siltstone.operators import retrieval as R
 from siltstone.operators.nearest import nearest
@@ -309,7 +309,7 @@ def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.located(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text").withColumnRenamed("ref_id", "item_id")
+    return passages.located(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text").withColumnRenamed("ref_id", "item_id")
 
 
 def _item_sql(cte: str = "ranked") -> str:

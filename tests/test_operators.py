@@ -192,23 +192,6 @@ def test_percentiles_over_ranges(spark):
     assert got["b"].near == got["b"].p99 == 1.0 and set(got) == {"a", "b"}
 
 
-def test_located_by_runs_of_words(spark):
-    import random
-
-    random.seed(4)
-    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
-    docs = [(i, " ".join(random.choices(words, k=200))) for i in range(30)]
-    refs = [(j, docs[j][1][a : a + n]) for j, (a, n) in enumerate([(0, 80), (3, 90), (17, 25), (40, 61), (5, 8), (0, 400)])] + [(90, docs[9][1][10:75] + " never seen"), (91, ""), (92, "alpha beta gamma delta eps nowhere at all")]
-    got = {tuple(r) for r in R.located(spark.createDataFrame(refs, "rid long, t string"), spark.createDataFrame(docs, "did long, t string"), "rid", "t", "did", "t").collect()}
-    norm = lambda t: " ".join(t.split()).lower()
-    want = set()
-    for rid, t in refs:
-        t = norm(t)
-        exact = {(rid, d, "exact") for d, x in docs if t and t in norm(x)}
-        want |= exact or {(rid, d, "prefix") for d, x in docs if len(t[:60]) >= 20 and t[:60] in norm(x)}
-    assert got == want and len({r for r, *_ in want}) >= 7
-
-
 def test_benchmark_checks(spark, tmp_path):
     path = tmp_path / "b.csv"
     path.write_text("id,ticker,question,ground_truth,reference_contexts\n1,T,q,g,r\n1,T,q,g,r\n")

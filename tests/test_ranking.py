@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from siltstone.operators import inverted
+from siltstone.operators import inverted, passages
 from siltstone.operators.nearest import nearest
 from siltstone.sources.versions import Conflict, Versions, read_table, write_table
 
@@ -135,3 +135,27 @@ def test_tables_by_version(spark, tmp_path):
     assert sorted(map(tuple, held.collect())) == sorted(map(tuple, read_table(spark, path).collect())) == [(1, "a"), (2, "b")]
     assert [tuple(r) for r in write_table(held.where("n = 2"), path).collect()] == [(2, "b")]  # reads what it replaces
     assert sorted(map(tuple, held.collect())) == [(1, "a"), (2, "b")]
+
+
+@pytest.mark.parametrize("block_chars", [passages.BLOCK_CHARS, 300])
+def test_located(spark, block_chars):
+    import random
+
+    random.seed(4)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
+    docs = [(i, " ".join(random.choices(words, k=200))) for i in range(30)]
+    refs = [(j, docs[j][1][a : a + n]) for j, (a, n) in enumerate([(0, 80), (3, 90), (17, 25), (40, 61), (5, 8), (0, 400)])] + [(90, docs[9][1][10:75] + " never seen"), (91, ""), (92, "alpha beta gamma delta eps nowhere at all"), (93, None), (94, "ta"), (95, "Beta  GAMMA"), (96, "beta gamma"), (97, "zetax"), (98, docs[9][1][10:75] + " other end")]
+    docs += [(40, None), (41, ""), (42, "alpha beta gamma delta eps no"), (43, "A" * 100_000 + "lpha beta gamma")]
+    got = {tuple(r) for r in passages.located(spark.createDataFrame(refs, "rid long, t string"), spark.createDataFrame(docs, "did long, t string"), "rid", "t", "did", "t", block_chars=block_chars).collect()}
+    norm = lambda t: " ".join((t or "").split()).lower()
+    want = set()
+    for rid, t in refs:
+        t = norm(t)
+        exact = {(rid, d, "exact") for d, x in docs if t and t in norm(x)}
+        want |= exact or {(rid, d, "prefix") for d, x in docs if len(t[:60]) >= 20 and t[:60] in norm(x)}
+    assert got == want and len({r for r, *_ in want}) >= 7
+
+
+def test_no_passages(spark):
+    none = spark.createDataFrame([(1, " ")], "rid long, t string")
+    assert passages.located(none, spark.createDataFrame([("x", "a")], "did string, t string"), "rid", "t", "did", "t").count() == 0
