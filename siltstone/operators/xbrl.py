@@ -1,22 +1,28 @@
-"""Inline-XBRL: one Arrow pass over submissions gives contexts, units, names and tagged numbers; joins make the facts."""
+"""Inline-XBRL: filings to facts, a table of the filings, and a quarantine of what couldn't be read.
+
+A filing may come in several documents, and a number in one may name a context in another. So filings are read by a table
+function that is called with all documents of a filing at once, in order: it keeps their contexts, units and names, and gives a row
+for each number, one for the filing, and one for each thing that is wrong with it. A bad attribute costs its number, a
+bad document that document; neither stops the job. Values, days and years are Spark's expressions over these rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import numbers as N
+from siltstone.session import on_workers, stored
 
-PARTS = (
-    "contexts array<struct<id:string,kind:string,start:string,stop:string,dims:string>>, units array<struct<id:string,unit:string>>, "
-    "names array<struct<name:string,value:string>>, cik string, "
-    "numbers array<struct<pos:int,concept:string,context_id:string,unit_id:string,format:string,scale:int,sign:string,decimals:string,fact_id:string,raw:string>>"
+ROW = (
+    "filing string, ticker string, kind string, pos int, concept string, raw string, format string, scale int, sign string, unit string, decimals string, fact_id string, context_id string, "
+    "period_type string, period_start string, period_end string, dims string, cik string, year_focus string, document_type string, registrant string, reason string"
 )
+COLUMNS = [c.split()[0] for c in ROW.split(", ")]
 
 
 class _Tags(HTMLParser):
@@ -68,66 +74,116 @@ class _Tags(HTMLParser):
         elif name == "nonnumeric" and attrs.get("name", "").startswith("dei:"):
             self.names.append({"name": attrs["name"], "value": text})
         elif name == "nonfraction":
-            scale = attrs.get("scale") or "0"
             self.numbers[int(attrs["pos"])] = {
-                "pos": int(attrs["pos"]), "concept": attrs.get("name"), "context_id": attrs.get("contextref"), "unit_id": attrs.get("unitref", ""), "format": attrs.get("format"),
-                "scale": int(scale), "sign": attrs.get("sign"), "decimals": attrs.get("decimals"), "fact_id": attrs.get("id"), "raw": text,
+                "concept": attrs.get("name"), "context_id": attrs.get("contextref"), "unit_id": attrs.get("unitref", ""), "format": attrs.get("format"),
+                "scale": attrs.get("scale") or "0", "sign": attrs.get("sign"), "decimals": attrs.get("decimals"), "fact_id": attrs.get("id"), "raw": text,
             }
 
 
 def parse(html: str | None) -> dict:
+    """Contexts and units by id, names and numbers of one document."""
     tags = _Tags()
     tags.feed(html or "")
     tags.close()
-    contexts = []
+    contexts: dict[str, dict] = {}
     for c in tags.contexts:
         dims = ";".join(sorted(c["dims"]))
         if c.get("instant"):
-            contexts.append({"id": c["id"], "kind": "instant", "start": None, "stop": c["instant"], "dims": dims})
+            contexts.setdefault(c["id"], {"period_type": "instant", "period_start": None, "period_end": c["instant"], "dims": dims})
         elif c.get("enddate"):
-            contexts.append({"id": c["id"], "kind": "duration", "start": c.get("startdate"), "stop": c["enddate"], "dims": dims})
-    units = [{"id": u["id"], "unit": "/".join(u["measures"]) or u["id"]} for u in tags.units]
-    return {"contexts": contexts, "units": units, "names": tags.names, "cik": tags.cik, "numbers": [n for n in tags.numbers if n]}
-
+            contexts.setdefault(c["id"], {"period_type": "duration", "period_start": c.get("startdate"), "period_end": c["enddate"], "dims": dims})
+    units = {u["id"]: "/".join(u["measures"]) or u["id"] for u in reversed(tags.units)}
+    names = {n["name"]: n["value"] for n in reversed(tags.names)}
+    return {"contexts": contexts, "units": units, "names": names, "cik": tags.cik, "numbers": [n for n in tags.numbers if n]}
 
-def parts(documents: DataFrame, keys: list[str], html: str) -> DataFrame:
-    """``keys`` and what each document holds."""
-    schema = ", ".join(f"`{k}` {dict(documents.dtypes)[k]}" for k in keys) + ", " + PARTS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = pd.DataFrame([parse(x) for x in batch[html]], columns=["contexts", "units", "names", "cik", "numbers"])
-            yield pd.concat([batch[keys].reset_index(drop=True), found], axis=1)
+class Filing:
+    """The table function: rows (filing, ticker, part, html) of one filing, in order of their parts, to rows of ROW."""
 
-    return documents.select(*keys, html).mapInPandas(run, schema)
+    def __init__(self) -> None:
+        self.key: tuple[str | None, str | None] | None = None
+        self.contexts: dict = {}
+        self.units: dict = {}
+        self.names: dict = {}
+        self.cik: str | None = None
+        self.numbers: list[dict] = []
+        self.wrong: list[str] = []
 
+    def _row(self, **held: object) -> tuple:
+        filing, ticker = self.key or (None, None)
+        row = {"filing": filing, "ticker": ticker, **held}
+        return tuple(row.get(c) for c in COLUMNS)
 
-def facts(found: DataFrame, ticker: str) -> DataFrame:
-    """Facts of each document: numbers with a known context and a readable value, repeats left out, the first staying."""
-    numbers = found.select(F.col(ticker).alias("ticker"), F.coalesce("cik", F.lit("")).alias("cik"), "contexts", "units", F.explode("numbers").alias("x"))
-    one = lambda array, key: F.get(F.filter(array, lambda c: c["id"] == key), F.lit(0))
-    # ids are the document's own, so the join stays inside its row
-    rows = numbers.withColumn("c", one("contexts", F.col("x.context_id"))).withColumn("u", one("units", F.col("x.unit_id"))).where("c is not null and x.concept is not null")
-    rows = rows.withColumn("value", N.parse_number(F.col("x.raw"), F.col("x.format"), F.col("x.scale"), F.col("x.sign"))).where("value is not null")
+    def eval(self, row: Row) -> None:
+        self.key = self.key or (row["filing"], row["ticker"])
+        if row["html"] is None:
+            self.wrong.append(f"document {row['part']}: no text")
+            return
+        try:
+            found = parse(row["html"])
+        except Exception as e:  # noqa: BLE001  a parser of other people's pages may meet anything
+            self.wrong.append(f"document {row['part']}: {type(e).__name__}")
+            return
+        for held, new in ((self.contexts, found["contexts"]), (self.units, found["units"]), (self.names, found["names"])):
+            for k, v in new.items():
+                held.setdefault(k, v)
+        self.cik = self.cik or found["cik"]
+        self.numbers += found["numbers"]
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.key is None:
+            return
+        for pos, n in enumerate(self.numbers):
+            context = self.contexts.get(n["context_id"])
+            if context is None or n["concept"] is None:
+                continue
+            try:
+                scale = int(n["scale"])
+            except ValueError:
+                self.wrong.append(f"number {pos} ({n['concept']}): scale {n['scale']!r}")
+                continue
+            yield self._row(kind="fact", pos=pos, unit=self.units.get(n["unit_id"], n["unit_id"]), cik=self.cik or "", **context, **(n | {"scale": scale}))
+        names = self.names.get
+        yield self._row(kind="filing", cik=self.cik or "", year_focus=names("dei:DocumentFiscalYearFocus"), document_type=names("dei:DocumentType"), registrant=names("dei:EntityRegistrantName"))
+        for pos, reason in enumerate(self.wrong):
+            yield self._row(kind="error", pos=pos, reason=reason)
+
+
+def extracted(submissions: DataFrame, filing: str, ticker: str, html: str, part: str | None = None) -> DataFrame:
+    """The rows of all filings, stored. ``filing`` says which documents are one filing, ``part`` their order in it."""
+    on_workers(submissions.sparkSession)
+    read = F.udtf(Filing, returnType=ROW, useArrow=True)
+    order = F.col(part).cast("int") if part else F.lit(0)
+    rows = submissions.select(F.col(filing).cast("string").alias("filing"), F.col(ticker).cast("string").alias("ticker"), order.alias("part"), F.col(html).alias("html"))
+    return stored(read(rows.asTable().partitionBy("filing").orderBy("part")), "xbrl")
+
+
+def facts(found: DataFrame) -> DataFrame:
+    """Facts of extracted() filings: numbers with a known context and a readable value; of those that a filing repeats the first. ``id`` counts them in their filing."""
+    value = N.parse_number(F.col("raw"), F.col("format"), F.col("scale"), F.col("sign"))
+    rows = found.where("kind = 'fact'").withColumn("value", value).where("value is not null")
     rows = rows.select(
-        "ticker", "cik", F.col("x.concept").alias("concept"), "value", F.col("x.raw").alias("raw_text"), F.coalesce("u.unit", "x.unit_id").alias("unit"), F.col("x.decimals").alias("decimals"),
-        F.col("x.scale").alias("scale"), F.col("c.kind").alias("period_type"), F.col("c.start").alias("period_start"), F.col("c.stop").alias("period_end"), N.days_between(F.col("c.start"), F.col("c.stop")).alias("days"),
-        F.left("c.stop", F.lit(4)).cast("int").alias("fiscal_year"), F.col("c.dims").alias("dims"), F.regexp_count("c.dims", F.lit("=")).alias("dim_count"), F.col("x.context_id").alias("context_id"),
-        F.col("x.fact_id").alias("fact_id"), F.col("x.pos").alias("pos"),
+        "filing", "ticker", "cik", "concept", "value", F.col("raw").alias("raw_text"), "unit", "decimals", "scale", "period_type", "period_start", "period_end", N.days_between(F.col("period_start"), F.col("period_end")).alias("days"),
+        F.left("period_end", F.lit(4)).try_cast("int").alias("fiscal_year"), "dims", F.regexp_count("dims", F.lit("=")).alias("dim_count"), "context_id", "fact_id", "pos",
     )
-    again = F.row_number().over(W.partitionBy("ticker", "concept", "context_id", "unit", "value").orderBy("pos"))
+    # context ids are a filing's own; a filing is what a task holds, a company may be any number of filings
+    again = F.row_number().over(W.partitionBy("filing", "concept", "context_id", "unit", "value").orderBy("pos"))
     rows = rows.withColumn("_again", again).where("_again = 1").drop("_again")
-    return rows.withColumn("id", F.row_number().over(W.partitionBy("ticker").orderBy("pos")).cast("long")).drop("pos")
+    return rows.withColumn("id", F.row_number().over(W.partitionBy("filing").orderBy("pos")).cast("long")).drop("pos")
+
+
+def quarantine(found: DataFrame) -> DataFrame:
+    """(filing, ticker, reason): what was left out of extracted() filings."""
+    return found.where("kind = 'error'").select("filing", "ticker", "reason")
 
 
-def filings(found: DataFrame, all_facts: DataFrame, ticker: str) -> DataFrame:
-    """A row per document: its year, period end, type, registrant, number of facts, and a note where years disagree."""
-    named = lambda n: F.get(F.filter("names", lambda x: x["name"] == n), F.lit(0))["value"]
-    focus = F.regexp_extract(F.coalesce(named("dei:DocumentFiscalYearFocus"), F.lit("")), r"\d{4}", 0)
-    rows = found.select(F.col(ticker).alias("ticker"), F.coalesce("cik", F.lit("")).alias("cik"), F.when(focus != "", focus.cast("int")).alias("fiscal_year_focus"), named("dei:DocumentType").alias("document_type"), named("dei:EntityRegistrantName").alias("registrant"))
+def filings(found: DataFrame, all_facts: DataFrame) -> DataFrame:
+    """A row per filing: its year, period end, type, registrant, number of facts, and a note where years disagree."""
+    focus = F.regexp_extract(F.coalesce("year_focus", F.lit("")), r"\d{4}", 0)
+    rows = found.where("kind = 'filing'").select("filing", "ticker", "cik", F.when(focus != "", focus.cast("int")).alias("fiscal_year_focus"), "document_type", "registrant")
     whole = (F.col("period_type") == "duration") & (F.col("days") > 300) & (F.col("dims") == "")
-    ends = all_facts.groupBy("ticker").agg(F.max(F.when(whole, F.col("period_end"))).alias("period_end"), F.count("*").alias("n_facts"))
-    rows = rows.join(ends, "ticker", "left").withColumn("n_facts", F.coalesce("n_facts", F.lit(0)))
-    year = F.left("period_end", F.lit(4)).cast("int")
+    ends = all_facts.groupBy("filing").agg(F.max(F.when(whole, F.col("period_end"))).alias("period_end"), F.count("*").alias("n_facts"))
+    rows = rows.join(ends.withColumnRenamed("filing", "_filing"), F.col("filing").eqNullSafe(F.col("_filing")), "left").drop("_filing").withColumn("n_facts", F.coalesce("n_facts", F.lit(0)))
+    year = F.left("period_end", F.lit(4)).try_cast("int")
     note = F.when(F.col("fiscal_year_focus") != year, F.concat(F.lit("year focus "), F.col("fiscal_year_focus").cast("string"), F.lit(" is not the period end's "), year.cast("string")))
     return rows.withColumn("notes", F.array_compact(F.array(note)))

@@ -285,15 +285,44 @@ def price_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", N.cost_usd(model, F.col("user_id"), F.col("event_id")).alias("cost"))
 
 
-@query("xbrl_facts", "SELECT 'T' || o_orderkey AS ticker, id, concept, value, 'iso4217:USD' AS unit, 2024 AS fiscal_year, 365 AS days, 0 AS dim_count FROM (SELECT o_orderkey, 1::BIGINT AS id, 'us-gaap:Revenues' AS concept, o_orderkey * 1000.0::DOUBLE AS value FROM orders UNION ALL SELECT o_orderkey, 2, 'us-gaap:NetIncomeLoss', -15.0 FROM orders)")
-def xbrl_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of submissions put together from orders: a context a year, a scaled and signed number each, one repeated."""
-    tag = F.concat(
-        F.lit('<html><xbrli:context id="c1"><xbrli:entity><xbrli:identifier>77</xbrli:identifier></xbrli:entity><xbrli:period><xbrli:startDate>2024-01-01</xbrli:startDate><xbrli:endDate>2024-12-31</xbrli:endDate></xbrli:period></xbrli:context>'
-              '<xbrli:unit id="u"><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit><ix:nonNumeric name="dei:DocumentFiscalYearFocus">2024</ix:nonNumeric>'),
-        F.lit('<ix:nonFraction name="us-gaap:Revenues" contextRef="c1" unitRef="u" scale="3" id="f1">'), F.col("o_orderkey").cast("string"), F.lit("</ix:nonFraction>"),
-        F.lit('<ix:nonFraction name="us-gaap:Revenues" contextRef="c1" unitRef="u" scale="3">'), F.col("o_orderkey").cast("string"), F.lit("</ix:nonFraction>"),
-        F.lit('<ix:nonFraction name="us-gaap:NetIncomeLoss" contextRef="c1" unitRef="u" sign="-"><b>1</b>,5</ix:nonFraction><ix:nonFraction name="x" contextRef="none">1</ix:nonFraction></html>'),
+#: Filings put together from orders: every customer's orders are filings of one company, each with the same context and unit ids, one
+#: number that all of them have, one that is given twice, one of a context that isn't there, and one whose scale is no number in every
+#: fiftieth. The contexts stand in a second document.
+FILED = "filed AS (SELECT 'F' || o_orderkey AS filing, 'T' || o_custkey AS ticker, o_orderkey, 2000 + o_orderkey % 20 AS year FROM orders)"
+
+
+def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, year = F.col("o_orderkey").cast("string"), (2000 + F.col("o_orderkey") % 20).cast("string")
+    number = lambda name, at, text: F.concat(F.lit(f'<ix:nonFraction name="{name}" contextRef="c1" unitRef="u" '), at, F.lit(">"), text, F.lit("</ix:nonFraction>"))
+    scale = F.when(F.col("o_orderkey") % 50 == 0, 'scale="three"').otherwise('scale="3"')
+    numbers = F.concat(
+        F.lit("<html>"), number("us-gaap:Revenues", F.lit('scale="3" id="f1"'), key), number("us-gaap:Revenues", F.lit('scale="3"'), key), number("us-gaap:Assets", scale, F.lit("(1,5<b>00</b>)")),
+        number("us-gaap:NetIncomeLoss", F.lit('sign="-"'), F.lit("<b>1</b>,5")), F.lit('<ix:nonFraction name="x" contextRef="none">1</ix:nonFraction></html>'),
+    )
+    contexts = F.concat(
+        F.lit('<html><xbrli:context id="c1"><xbrli:entity><xbrli:identifier>77</xbrli:identifier></xbrli:entity><xbrli:period><xbrli:startDate>'), year, F.lit("-01-01</xbrli:startDate><xbrli:endDate>"), year,
+        F.lit('-12-31</xbrli:endDate></xbrli:period></xbrli:context><xbrli:unit id="u"><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit><ix:nonNumeric name="dei:DocumentFiscalYearFocus">2010</ix:nonNumeric></html>'),
     )
-    docs = table(spark, sf_dir, "orders").select(F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("ticker"), tag.alias("html"))
-    return xbrl.facts(xbrl.parts(docs, ["ticker"], "html"), "ticker").select("ticker", "id", "concept", "value", "unit", "fiscal_year", "days", "dim_count")
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("F"), key).alias("filing"), F.concat(F.lit("T"), F.col("o_custkey").cast("string")).alias("ticker"), F.posexplode(F.array(numbers, contexts)).alias("part", "html"))
+    return xbrl.extracted(rows, "filing", "ticker", "html", "part")
+
+
+_FACTS_SQL = "f AS (SELECT *, 'us-gaap:Revenues' AS concept, o_orderkey * 1000.0::DOUBLE AS value, 0 AS place FROM filed UNION ALL SELECT *, 'us-gaap:Assets', -1500000.0, 2 FROM filed WHERE o_orderkey % 50 <> 0 UNION ALL SELECT *, 'us-gaap:NetIncomeLoss', -15.0, 3 FROM filed)"
+
+
+@query("xbrl_facts", f"WITH {FILED}, {_FACTS_SQL} SELECT filing, ticker, row_number() OVER (PARTITION BY filing ORDER BY place) AS id, concept, value, 'iso4217:USD' AS unit, year::INTEGER AS fiscal_year, (CASE WHEN year % 4 = 0 THEN 365 ELSE 364 END)::INTEGER AS days, 0 AS dim_count FROM f")
+def xbrl_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of all filings, by a table function called with a filing at a time."""
+    return xbrl.facts(_filed(spark, sf_dir)).select("filing", "ticker", "id", "concept", "value", "unit", "fiscal_year", "days", F.col("dim_count").cast("int").alias("dim_count"))
+
+
+@query("xbrl_filings", f"WITH {FILED} SELECT filing, ticker, '77' AS cik, 2010 AS fiscal_year_focus, year || '-12-31' AS period_end, (CASE WHEN o_orderkey % 50 = 0 THEN 2 ELSE 3 END)::BIGINT AS n_facts, CASE WHEN year <> 2010 THEN ['year focus 2010 is not the period end''s ' || year] ELSE [] END AS notes FROM filed")
+def xbrl_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _filed(spark, sf_dir)
+    return xbrl.filings(found, xbrl.facts(found)).select("filing", "ticker", "cik", "fiscal_year_focus", "period_end", "n_facts", "notes")
+
+
+@query("xbrl_quarantine", f"WITH {FILED} SELECT filing, ticker, 'number 2 (us-gaap:Assets): scale ''three''' AS reason FROM filed WHERE o_orderkey % 50 = 0")
+def xbrl_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What couldn't be read: the rest of these filings is there."""
+    return xbrl.quarantine(_filed(spark, sf_dir))

@@ -63,8 +63,8 @@ def test_xbrl_facts_reads_every_order(spark, sf):
     from siltstone.plans import facts
 
     keys = [r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()]
-    got = sorted((r.ticker, r.concept, r.value) for r in facts.xbrl_facts(spark, sf).collect() if r.concept.endswith("Revenues"))
-    assert got == sorted((f"T{k}", "us-gaap:Revenues", 1000.0 * k) for k in keys)
+    got = sorted((r.filing, r.concept, r.value) for r in facts.xbrl_facts(spark, sf).collect() if r.concept.endswith("Revenues"))
+    assert got == sorted((f"F{k}", "us-gaap:Revenues", 1000.0 * k) for k in keys)
 
 
 def test_xbrl(spark):
@@ -75,13 +75,18 @@ def test_xbrl(spark):
         '<ix:nonFraction name="A" contextRef="c" unitRef="p" scale="6">(<b>1,5</b>00)</ix:nonFraction><ix:nonFraction name="A" contextRef="c" unitRef="p" scale="6">(1,500)</ix:nonFraction>'
         '<ix:nonFraction name="B" contextRef="i" unitRef="u9" format="ixt:fixed-zero">-</ix:nonFraction><ix:nonFraction name="C" contextRef="gone">5</ix:nonFraction></html>'
     )
-    docs = spark.createDataFrame([("T", html), ("E", None)], "ticker string, html string")
-    found = xbrl.parts(docs, ["ticker"], "html")
-    facts = xbrl.facts(found, "ticker")
-    got = {r.concept: (r.value, r.unit, r.period_type, r.dims, r.days) for r in facts.collect()}
-    assert got == {"A": (-1.5e9, "iso4217:USD/xbrli:shares", "duration", "", 365), "B": (0.0, "u9", "instant", "x:SegAxis=x:CloudMember", None)}
-    filed = {r.ticker: (r.fiscal_year_focus, r.period_end, r.n_facts, len(r.notes)) for r in xbrl.filings(found, facts, "ticker").collect()}
-    assert filed == {"T": (2023, "2024-12-31", 2, 1), "E": (None, None, 0, 0)}
+    bad = '<xbrli:context id="c"><xbrli:period><xbrli:instant>2024</xbrli:instant></xbrli:period></xbrli:context><ix:nonFraction name="A" contextRef="c" scale="much">1</ix:nonFraction><ix:nonFraction name="B" contextRef="c">2</ix:nonFraction>'
+    docs = spark.createDataFrame([("1", "T", 0, html), ("2", "T", 0, html), ("3", "E", 0, None), ("4", "T", 0, bad), (None, "N", 0, bad), ("5", "T", 1, html), ("5", "T", 0, html)], "filing string, ticker string, n int, html string")
+    found = xbrl.extracted(docs, "filing", "ticker", "html", "n")
+    facts = xbrl.facts(found)
+    got = {(r.filing, r.concept): (r.value, r.unit, r.period_type, r.dims, r.days) for r in facts.collect()}
+    two = {"A": (-1.5e9, "iso4217:USD/xbrli:shares", "duration", "", 365), "B": (0.0, "u9", "instant", "x:SegAxis=x:CloudMember", None)}
+    one = {"B": (2.0, "", "instant", "", None)}
+    assert got == {(f, c): v for f, held in {"1": two, "2": two, "5": two, "4": one, None: one}.items() for c, v in held.items()}
+    assert facts.count() == len(got)  # neither of the two filings of a company loses a fact to the other
+    filed = {r.filing: (r.ticker, r.fiscal_year_focus, r.period_end, r.n_facts, len(r.notes)) for r in xbrl.filings(found, facts).collect()}
+    assert filed == {**dict.fromkeys("125", ("T", 2023, "2024-12-31", 2, 1)), "3": ("E", None, None, 0, 0), "4": ("T", None, None, 1, 0), None: ("N", None, None, 1, 0)}
+    assert {(r.filing, r.reason) for r in xbrl.quarantine(found).collect()} == {("3", "document 0: no text"), ("4", "number 0 (A): scale 'much'"), (None, "number 0 (A): scale 'much'")}
 
 
 def test_manifest_reuse(spark, tmp_path):
