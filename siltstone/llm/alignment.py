@@ -39,6 +39,8 @@ from . import common, packing
 BLOCK_CHARS, SLICE, LINKS_AT_ONCE = 4 << 20, 1 << 19, 1 << 19
 MARK = "▁"  # the space of B; a text that holds one can't be told from a text with a space
 ODD = re.compile(r"\s ")  # in a space and a text: some space is no cut
+SIGNS = (",", "|", ";", "")
+RUN = 200  # segments that are encoded as one text
 COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps"]
 
 #: On tables a and b (seg, place, id, first, last): intervals of tokens in order of their bytes.
@@ -71,13 +73,14 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def vocabularies(a_path: str, b_path: str) -> tuple[packing.Encoder, np.ndarray, Pieces, list[str]]:
-    """(A, the bytes that each id of A has, B, ids as text)."""
+def vocabularies(a_path: str, b_path: str) -> tuple[packing.Encoder, np.ndarray, Pieces, np.ndarray]:
+    """(A, the number of bytes that each id of A has, B, ids as text with each of the SIGNS that may follow)."""
     a, b = packing.encoder(a_path), Pieces(b_path)
     size = np.zeros(a.encoding.max_token_value + 1, np.int64)
     for token in a.encoding.token_byte_values():
         size[a.encoding.encode_single_token(token)] = len(token)
-    return a, size, b, [str(i) for i in range(max(len(size), len(b.bytes)))]
+    text = np.array([[f"{i}{sign}" for i in range(max(len(size), len(b.bytes)))] for sign in SIGNS], dtype=object)
+    return a, size, b, text
 
 
 def segments(text: str) -> list[str]:
@@ -94,20 +97,50 @@ def segments(text: str) -> list[str]:
     return out
 
 
+def runs(keys: list[str]) -> Iterator[tuple[int, int]]:
+    """(first, last) of segments that may be encoded as one text: what ends in white space, or is nothing but its space, ends a run or stands alone."""
+    first = 0
+    for i, k in enumerate(keys):
+        if not k:  # B adds no space to a text that goes on after it
+            if first < i:
+                yield first, i
+            yield i, i + 1
+            first = i + 1
+        elif k[-1].isspace() or i + 1 - first == RUN:
+            yield first, i + 1
+            first = i + 1
+    if first < len(keys):
+        yield first, len(keys)
+
+
 class Aligned:
     """What different segments have: counts (a row a segment, columns COUNTS), groups as text, and links as (segment, pair key, times), sorted."""
 
     def __init__(self, keys: list[str], a_path: str, b_path: str) -> None:
         a, size_a, b, text_of = vocabularies(a_path, b_path)
-        parts_a = [a.plain(" " + k) for k in keys]
-        parts_b = b(keys)
+        self.bad = np.zeros(len(keys), bool)
+        ids_a, ids_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        n_a, n_b = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for p, q in runs(keys):
+            run = keys[p:q]
+            whole = " " + " ".join(run)
+            stops = np.cumsum([len(k.encode()) + 1 for k in run])
+            made = np.frombuffer(a.plain(whole), dtype="<u4").astype(np.int64)
+            ids_a.append(made)
+            n_a[p:q] = np.diff(np.searchsorted(np.cumsum(size_a[made]), stops, side="right"), prepend=0)
+            made = b([whole[1:]])[0]
+            if b"".join(map(b.bytes.__getitem__, made)) == whole.encode():
+                made = np.array(made, dtype=np.int64)
+                n_b[p:q] = np.diff(np.searchsorted(np.cumsum(b.size[made]), stops, side="right"), prepend=0)
+            else:  # one by one, to tell which can't be given back
+                each = b(run)
+                self.bad[p:q] = [(" " + k).encode() != b"".join(map(b.bytes.__getitem__, ids)) for k, ids in zip(run, each, strict=True)]
+                n_b[p:q] = [len(ids) for ids in each]
+                made = np.fromiter(chain.from_iterable(each), dtype=np.int64)
+            ids_b.append(made)
         # ids of all segments end to end, and where each one's begin
-        self.bad = np.array([b" " + k.encode() != b"".join(map(b.bytes.__getitem__, ids)) for k, ids in zip(keys, parts_b, strict=True)], dtype=bool)
-        ids_a = np.frombuffer(b"".join(parts_a), dtype="<u4").astype(np.int64)
-        ids_b = np.fromiter(chain.from_iterable(parts_b), dtype=np.int64)
-        up_a = np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts_a], dtype=np.int64)])
-        up_b = np.concatenate([[0], np.cumsum([len(x) for x in parts_b], dtype=np.int64)])
-        del parts_a, parts_b
+        ids_a, ids_b = np.concatenate(ids_a), np.concatenate(ids_b)
+        up_a, up_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
         self.counts = np.zeros((len(keys), len(COUNTS)), np.int64)
         self.text = [""] * len(keys)
         links = [np.zeros((3, 0), np.int64)]
@@ -127,7 +160,7 @@ class Aligned:
                 at = to
         self.links = np.concatenate(links, axis=1)
 
-    def _slice(self, con: duckdb.DuckDBPyConnection, own: np.ndarray, sides: list[tuple], text_of: list[str]) -> np.ndarray:
+    def _slice(self, con: duckdb.DuckDBPyConnection, own: np.ndarray, sides: list[tuple], text_of: np.ndarray) -> np.ndarray:
         for name, (ids, seg, size) in zip("ab", sides, strict=True):
             last = np.cumsum(size[ids])
             con.register(name, pa.table({"seg": seg, "place": np.arange(len(ids)), "id": ids, "first": last - size[ids], "last": last}))
@@ -146,10 +179,9 @@ class Aligned:
         up_a, up_b = (np.concatenate([[0], np.cumsum(np.bincount(g, minlength=n_group))]) for g in (grp_a, grp_b))
         written = np.empty(len(ids_a) + len(ids_b), dtype=object)
         at_a, at_b = np.arange(len(ids_a)) + up_b[grp_a], np.arange(len(ids_b)) + up_a[grp_b + 1]
-        sign_a = np.where(np.diff(grp_a, append=n_group) > 0, "|", ",").tolist()
-        sign_b = np.where(np.diff(grp_b, append=n_group) > 0, np.where(np.diff(seg_b, append=n) > 0, "", ";"), ",").tolist()
-        written[at_a] = [text_of[i] + s for i, s in zip(ids_a.tolist(), sign_a, strict=True)]
-        written[at_b] = [text_of[i] + s for i, s in zip(ids_b.tolist(), sign_b, strict=True)]
+        sign_a = np.where(np.diff(grp_a, append=n_group) > 0, 1, 0)
+        sign_b = np.where(np.diff(grp_b, append=n_group) > 0, np.where(np.diff(seg_b, append=n) > 0, 3, 2), 0)
+        written[at_a], written[at_b] = text_of[sign_a, ids_a], text_of[sign_b, ids_b]
         written = written.tolist()
         stop = np.cumsum(self.counts[own, 0] + self.counts[own, 1]).tolist()
         for i, p, q in zip(own.tolist(), [0, *stop], stop, strict=False):
