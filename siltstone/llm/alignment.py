@@ -40,7 +40,7 @@ BLOCK_CHARS, SLICE, LINKS_AT_ONCE = 4 << 20, 1 << 19, 1 << 19
 MARK = "▁"  # the space of B; a text that holds one can't be told from a text with a space
 ODD = re.compile(r"\s ")  # in a space and a text: some space is no cut
 SIGNS = (",", "|", ";", "")
-RUN = 200  # segments that are encoded as one text
+RUN = 2000  # segments that A encodes as one text
 COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps"]
 
 #: On tables a and b (seg, place, id, first, last): intervals of tokens in order of their bytes.
@@ -98,15 +98,10 @@ def segments(text: str) -> list[str]:
 
 
 def runs(keys: list[str]) -> Iterator[tuple[int, int]]:
-    """(first, last) of segments that may be encoded as one text: what ends in white space, or is nothing but its space, ends a run or stands alone."""
+    """(first, last) of segments that A may encode as one text: what ends in white space, or is nothing but its space, ends a run."""
     first = 0
     for i, k in enumerate(keys):
-        if not k:  # B adds no space to a text that goes on after it
-            if first < i:
-                yield first, i
-            yield i, i + 1
-            first = i + 1
-        elif k[-1].isspace() or i + 1 - first == RUN:
+        if not k or k[-1].isspace() or i + 1 - first == RUN:
             yield first, i + 1
             first = i + 1
     if first < len(keys):
@@ -128,16 +123,12 @@ class Aligned:
             made = np.frombuffer(a.plain(whole), dtype="<u4").astype(np.int64)
             ids_a.append(made)
             n_a[p:q] = np.diff(np.searchsorted(np.cumsum(size_a[made]), stops, side="right"), prepend=0)
-            made = b([whole[1:]])[0]
-            if b"".join(map(b.bytes.__getitem__, made)) == whole.encode():
-                made = np.array(made, dtype=np.int64)
-                n_b[p:q] = np.diff(np.searchsorted(np.cumsum(b.size[made]), stops, side="right"), prepend=0)
-            else:  # one by one, to tell which can't be given back
-                each = b(run)
+            each = b(run)
+            n_b[p:q] = [len(ids) for ids in each]
+            flat = list(chain.from_iterable(each))
+            if b"".join(map(b.bytes.__getitem__, flat)) != whole.encode():
                 self.bad[p:q] = [(" " + k).encode() != b"".join(map(b.bytes.__getitem__, ids)) for k, ids in zip(run, each, strict=True)]
-                n_b[p:q] = [len(ids) for ids in each]
-                made = np.fromiter(chain.from_iterable(each), dtype=np.int64)
-            ids_b.append(made)
+            ids_b.append(np.array(flat, dtype=np.int64))
         # ids of all segments end to end, and where each one's begin
         ids_a, ids_b = np.concatenate(ids_a), np.concatenate(ids_b)
         up_a, up_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
