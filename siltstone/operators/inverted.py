@@ -53,11 +53,13 @@ class TermIndex:
         version = versions.last()
         return TermIndex(spark, path, version, versions.read(version) or {"segments": [], "dead": [], "id": None, "n": 0, "tokens": 0, "mean": None})
 
-    def put(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TermIndex:
+    def put(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int | None = None) -> TermIndex:
         """The index with ``docs`` as a segment of its own; documents that it has under the same ids are replaced.
 
-        Rows without an id aren't indexed; an id that ``docs`` repeats is an error. Documents without tokens count in the statistics.
+        A ``batch`` of a stream is put once: one whose number isn't above the last one's changes nothing. Rows without an id aren't indexed; an id that ``docs`` repeats is an error. Documents without tokens count in the statistics.
         """
+        if batch is not None and batch <= self.state.get("batch", -1):
+            return self
         versions = Versions(self.spark, self.path)
         name = versions.folder("segment")
         rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), T.tokens(F.col(f"`{text_col}`")).alias("terms")).where("doc_id is not null")
@@ -76,13 +78,13 @@ class TermIndex:
         if size["n"] != size["ids"] or size["n"] != rows.count():
             raise ValueError("a batch repeats ids")
         held.where("term is not null").groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("most"), F.min("dl").alias("least")).write.parquet(f"{name}/terms")
-        return self._replaced(versions, own.select("doc_id"), [*self.state["segments"], name.rsplit("/", 1)[1]], size["n"], size["tokens"], id_type)
+        return self._replaced(versions, own.select("doc_id"), [*self.state["segments"], name.rsplit("/", 1)[1]], size["n"], size["tokens"], id_type, batch)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> TermIndex:
         """The index without the documents of these ids."""
-        return self._replaced(Versions(self.spark, self.path), ids.select(F.col(f"`{id_col}`").alias("doc_id")).where("doc_id is not null").distinct(), self.state["segments"], 0, 0, self.state["id"])
+        return self._replaced(Versions(self.spark, self.path), ids.select(F.col(f"`{id_col}`").alias("doc_id")).where("doc_id is not null").distinct(), self.state["segments"], 0, 0, self.state["id"], None)
 
-    def _replaced(self, versions: Versions, ids: DataFrame, segments: list[str], n: int, tokens: int, id_type: str | None) -> TermIndex:
+    def _replaced(self, versions: Versions, ids: DataFrame, segments: list[str], n: int, tokens: int, id_type: str | None, batch: int | None) -> TermIndex:
         dead, gone = list(self.state["dead"]), {"n": 0, "tokens": 0}
         if self.state["segments"]:
             path = versions.folder("dead")
@@ -92,6 +94,7 @@ class TermIndex:
             if gone["n"]:
                 dead.append(path.rsplit("/", 1)[1])
         state = {"segments": segments, "dead": dead, "id": id_type, "n": self.state["n"] + n - gone["n"], "tokens": self.state["tokens"] + tokens - gone["tokens"], "mean": None}
+        state["batch"] = self.state.get("batch", -1) if batch is None else batch
         made = TermIndex(self.spark, self.path, self.version, state)
         state["mean"] = made._raw().agg(F.avg("raw")).first()[0] if state["n"] else None
         return TermIndex(self.spark, self.path, versions.commit(state, self.version), state)

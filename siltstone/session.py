@@ -63,13 +63,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Changes with the layout of what is kept, so that nothing of an older one is read.
+LAYOUT = 2
+
+
 def place_of(spark: SparkSession, sf_dir: str, name: str, what: str) -> str:
     """A folder in the shared one for what is made of a table's present files: another one as soon as they change."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
     state = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
-    return f"{shared_dir(spark)}/kept/{what}-{hashlib.sha256(repr(state).encode()).hexdigest()[:24]}"
+    return f"{shared_dir(spark)}/kept/{what}-{hashlib.sha256(repr((LAYOUT, state)).encode()).hexdigest()[:24]}"
 
 
 _KEPT: dict[tuple, object] = {}
