@@ -152,7 +152,7 @@ class Filing:
 def extracted(submissions: DataFrame, filing: str, ticker: str, html: str, part: str | None = None) -> DataFrame:
     """The rows of all filings, stored. ``filing`` says which documents are one filing, ``part`` their order in it."""
     on_workers(submissions.sparkSession)
-    read = F.udtf(Filing, returnType=ROW, useArrow=True)
+    read = F.udtf(Filing, returnType=ROW, useArrow=False)
     order = F.col(part).cast("int") if part else F.lit(0)
     rows = submissions.select(F.col(filing).cast("string").alias("filing"), F.col(ticker).cast("string").alias("ticker"), order.alias("part"), F.col(html).alias("html"))
     return stored(read(rows.asTable().partitionBy("filing").orderBy("part")), "xbrl")
