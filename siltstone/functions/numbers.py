@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 256
+from siltstone.session import stored
 
 #: Dollars per million tokens (in, out) by model, fixed values, in order.
 PRICES = {
@@ -79,26 +79,64 @@ def _steps(pct: float, kind: str, n: Column) -> list[tuple[Column, Column]]:
     return [(low, F.lit(0.0)), (F.least(low + 1, n - 1), place - low)]
 
 
+ACCURACY = 2000
+GROUPS = 20_000  # groups that go through the driver, a row each, and are broadcast; more are stored and joined
+
+
 def percentiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[str, float]], digits: int = 1) -> DataFrame:
     """``by`` and a column for each of ``wanted``: name -> (nearest or linear, percent), rounded; null values don't count.
 
-    Equal values are counted first. A group's values are cut into RANGES ranges by approximate quantiles, counts say which
-    range holds a wanted place, and only that range is put in order: no task sees more than a range of a group.
+    A first pass gives each group's number of values and, from a mergeable sketch, a bracket of values around each wanted percent;
+    small groups are brackets whole. A second pass counts what lies below a bracket and each value inside it, in the task that reads
+    it, and only these counts are put in order. Should a bracket have missed a place, its group is done again with a bracket of all its values.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    splits = counted.groupBy(*by).agg(F.sum("_c").alias("_n"), F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 4 * RANGES).alias("_splits"))
-    counted = counted.join(splits, by).withColumn("_range", F.size(F.filter("_splits", lambda s: s < F.col("_v")))).drop("_splits")
-    ranges = counted.groupBy(*by, "_range", "_n").agg(F.sum("_c").alias("_in"))
-    ranges = ranges.withColumn("_upto", F.sum("_in").over(W.partitionBy(*by).orderBy("_range")))
-    steps = [F.struct(F.lit(name).alias("name"), F.lit(i).alias("upper"), at.alias("at"), share.cast("double").alias("share")) for name, (kind, pct) in wanted.items() for i, (at, share) in enumerate(_steps(pct, kind, F.col("_n")))]
-    places = ranges.select(*by, "_range", (F.col("_upto") - F.col("_in")).alias("_below"), "_upto", F.explode(F.array(*steps)).alias("_step")).where("_below <= _step.at and _step.at < _upto")
-    run = W.partitionBy(*by, "_range").orderBy("_v")
-    ordered = counted.join(places.select(*by, "_range").distinct(), [*by, "_range"], "left_semi").withColumn("_to", F.sum("_c").over(run))
-    found = ordered.join(places, [*by, "_range"]).where("_below + _to > _step.at and _below + _to - _c <= _step.at")
-    step = F.col("_step")
-    of = lambda name, upper, c: F.max(F.when((step["name"] == name) & (step["upper"] == upper), c))
-    between = lambda name: of(name, 0, F.col("_v")) + F.coalesce((of(name, 1, F.col("_v")) - of(name, 0, F.col("_v"))) * of(name, 1, step["share"]), F.lit(0.0))
-    return found.groupBy(*by).agg(*[F.round(between(name), digits).alias(name) for name in wanted])
+    values = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    around = [max(0.0, min(1.0, pct / 100 + side * 3 / ACCURACY)) for _, pct in wanted.values() for side in (-1, 1)]
+    sketched = values.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", around, ACCURACY).alias("_q"))
+    small = F.col("_n") <= ACCURACY
+    ends = lambda i: F.struct(F.lit(i).alias("i"), F.when(~small, F.col("_q")[2 * i]).alias("low"), F.when(~small, F.col("_q")[2 * i + 1]).alias("high"))
+    brackets, few = _settled(sketched.select(*by, "_n", F.array(*[ends(i) for i in range(len(wanted))]).alias("_ends")))
+    found, rows_found = _settled(_placed(values, brackets, few is not None, by, wanted))
+    whole = F.forall("_found", lambda x: x.isNotNull())
+    complete = len(rows_found) == len(few) and all(None not in r["_found"] for r in rows_found) if few is not None and rows_found is not None else None
+    if complete is None:
+        complete = brackets.join(found.where(whole), by, "left_anti").isEmpty()
+    if not complete:
+        missed = brackets.join(found.where(whole), by, "left_anti")
+        wide = missed.withColumn("_ends", F.transform("_ends", lambda e: F.struct(e["i"].alias("i"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))))
+        found = found.where(whole).unionByName(_placed(values, wide, few is not None, by, wanted))
+    return found.select(*by, *[F.round(F.col("_found")[i], digits).alias(name) for i, name in enumerate(wanted)])
+
+
+def _settled(df: DataFrame) -> tuple[DataFrame, list | None]:
+    """``df`` computed once: its rows too where they are few."""
+    rows = df.take(GROUPS + 1)
+    if len(rows) <= GROUPS:
+        return df.sparkSession.createDataFrame(rows, df.schema), rows
+    return stored(df, "groups"), None
+
+
+def _placed(values: DataFrame, brackets: DataFrame, few: bool, by: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """(by, _found): the wanted percentiles of each group, in order, null where its bracket doesn't hold them."""
+    held = F.broadcast(brackets) if few else brackets
+    names = {c: f"_by_{i}" for i, c in enumerate(by)}
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    held = held.withColumnsRenamed(names)
+    each = F.filter("_ends", lambda e: e["high"].isNull() | (F.col("_v") <= e["high"]))  # what lies above takes no part
+    key = lambda e: F.struct(e["i"].alias("i"), F.when(e["low"].isNull() | (F.col("_v") >= e["low"]), F.col("_v")).alias("v"))  # noqa: E731  null: below
+    counted = values.join(held, same).select(*by, "_n", F.explode(F.transform(each, key)).alias("_k")).groupBy(*by, "_n", "_k.i", "_k.v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy(*by, "i").orderBy(F.col("v").asc_nulls_first()))
+    counted = counted.withColumn("_to", upto).where("v is not null")
+    parts = []
+    for i, (kind, pct) in enumerate(wanted.values()):
+        steps = _steps(pct, kind, F.col("_n"))
+        at = lambda place, i=i: F.max(F.when((F.col("i") == i) & (F.col("_to") > place) & (F.col("_to") - F.col("_c") <= place), F.col("v")))
+        low = at(steps[0][0])
+        if len(steps) == 2:
+            share = F.max(steps[1][1])
+            low = low + (at(steps[1][0]) - low) * share
+        parts.append(low)
+    return counted.groupBy(*by).agg(F.array(*parts).alias("_found"))
 
 
 def ratio(n: Column, of: Column) -> Column:

@@ -91,18 +91,20 @@ def check_claims(records: DataFrame, sources: DataFrame) -> DataFrame:
     """(run, n_claims, n_figures, n_supported, failures, cited, status) of each record.
 
     records: (run, draft, claims array<struct<text, sources>>, parsed boolean); sources: (run, id, text). Failures are structs (check, detail):
-    no_contract, empty_record, unknown_source, uncited_figure, unsupported_figure, dropped_figure.
+    no_contract, empty_record, unknown_source, uncited_figure, unsupported_figure, dropped_figure. An id may come with several texts, and a run have any number of sources.
     """
-    known = sources.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("id", G.extract(F.col("text")).alias("f")))).alias("known"))
-    empty = F.create_map().cast(f"map<string,{G.TYPE}>")
-    claims = records.select("run", F.posexplode("claims").alias("pos", "c")).select("run", "pos", F.col("c.text").alias("text"), F.col("c.sources").alias("cites"))
-    claims = claims.withColumn("figures", G.extract(F.col("text"))).join(known, "run", "left").withColumn("known", F.coalesce("known", empty))
+    own = sources.groupBy("run", "id").agg(F.flatten(F.collect_list(G.extract(F.col("text")))).alias("f"))  # a source that is observed again says more
+    claims = records.select("run", F.posexplode("claims").alias("pos", "c")).select("run", "pos", F.col("c.text").alias("text"), F.coalesce("c.sources", F.array().cast("array<string>")).alias("cites"))
+    claims = claims.withColumn("figures", G.extract(F.col("text")))
+    cites = claims.select("run", "pos", F.posexplode("cites").alias("at", "id")).join(own, ["run", "id"], "left")
+    cites = cites.groupBy("run", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "id", F.col("f").isNotNull().alias("known"), F.coalesce("f", F.array().cast(G.TYPE)).alias("f")))).alias("seen"))
+    claims = claims.join(cites, ["run", "pos"], "left").withColumn("seen", F.coalesce("seen", F.array().cast(cites.schema["seen"].dataType)))
     claims = claims.withColumn("own", G.content(F.col("figures")))
     fails = lambda check, items: F.transform(items, lambda d: F.struct(F.lit(check).alias("check"), d.alias("detail")))
     raws = lambda fs: F.transform(fs, lambda f: f["raw"])
-    unknown = F.filter("cites", lambda s: ~F.map_contains_key("known", s))
-    evidence = F.flatten(F.transform(F.filter("cites", lambda s: F.map_contains_key("known", s)), lambda s: F.element_at("known", s)))
-    claims = claims.withColumn("evidence", evidence).withColumn("cited", F.filter("cites", lambda s: F.map_contains_key("known", s)))
+    ids = lambda seen: F.transform(seen, lambda s: s["id"])
+    unknown = ids(F.filter("seen", lambda s: ~s["known"]))
+    claims = claims.withColumn("evidence", F.flatten(F.transform("seen", lambda s: s["f"]))).withColumn("cited", ids(F.filter("seen", lambda s: s["known"])))
     lost = F.filter("own", lambda f: ~G.supported(f, F.col("evidence")))
     none = F.array().cast("array<struct<check:string,detail:string>>")
     bare = F.size("cites") == 0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import inverted, passages
+from siltstone.operators import inverted, models, passages
 from siltstone.operators import metrics as M
 from siltstone.operators import retrieval as R
 from siltstone.operators.nearest import nearest
@@ -287,6 +287,32 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rerank(candidates, R.overlap_scorer(), 5).select("query_id", "rank", "doc_id", "rerank_score")
 
 
+HEX = "(instr('0123456789abcdef', substr(m, {0}, 1)) - 1)"
+ENCODED = f"""et AS (SELECT kind, id, md5(t) AS m FROM (SELECT 'd' AS kind, doc_id AS id, unnest(regexp_extract_all(lower(text), '{TOK}')) AS t FROM documents UNION ALL SELECT 'q', item_id, unnest(regexp_extract_all(lower(text), '{TOK}')) FROM benchmark)),
+ep AS (SELECT kind, id, ({HEX.format(3)} * 16 + {HEX.format(4)}) % 64 AS at_, sum(CASE WHEN {HEX.format(5)} < 8 THEN 1 ELSE -1 END)::DOUBLE AS v FROM et GROUP BY ALL),
+en AS (SELECT kind, id, sqrt(sum(v * v)) AS norm FROM ep GROUP BY ALL),
+ev AS (SELECT kind, id, at_, CASE WHEN norm > 0 THEN v / norm ELSE 0.0 END AS v FROM ep JOIN en USING (kind, id))"""
+
+
+@query("encode_documents", f"WITH {ENCODED}, p AS (SELECT doc_id, unnest(range(64)) AS at_ FROM documents) SELECT doc_id, list(round(coalesce(v, 0.0), 6) ORDER BY p.at_) AS vector FROM p LEFT JOIN ev ON ev.kind = 'd' AND ev.id = p.doc_id AND ev.at_ = p.at_ GROUP BY doc_id")
+def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of whole texts by an encoder that takes batches."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return models.encoded(docs, "text", models.projection()).select("doc_id", F.transform("vector", lambda x: F.round(x, 6) + F.lit(0.0)).alias("vector"))
+
+
+@query(
+    "rerank_encoded",
+    f"""WITH {bm25_sql(k=25)}, {ENCODED}, c AS (SELECT r.query_id, r.doc_id, r.rank AS prior, round(coalesce(sum(a.v * b.v), 0), 6) AS score FROM ranked r LEFT JOIN ev a ON a.kind = 'q' AND a.id = r.query_id LEFT JOIN ev b ON b.kind = 'd' AND b.id = r.doc_id AND b.at_ = a.at_ GROUP BY ALL)
+SELECT query_id, rank, doc_id, score AS rerank_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, prior) AS rank FROM c) WHERE rank <= 5""",
+)
+def rerank_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same candidates as rerank_topk, reranked by an encoder's inner products."""
+    queries, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    candidates = _bm25(spark, sf_dir, 25).join(docs.select("doc_id", "text"), "doc_id").join(queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
+    return R.rerank(candidates, models.cosine_scorer(models.projection()), 5).select("query_id", "rank", "doc_id", "rerank_score")
+
+
 @query("locate_exact", f"WITH {LOCATED} SELECT item_id, doc_id FROM located WHERE method = 'exact'")
 def locate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _located(spark, sf_dir).where("method = 'exact'").select("item_id", "doc_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import messages as S
 from siltstone.functions import numbers as N
+from siltstone.operators import ranges
 from siltstone.operators import metrics as M
 from siltstone.operators import runs as R
 from siltstone.operators import tools as O
@@ -393,6 +394,30 @@ def probe_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("conversation", "queries", expected.alias("expected_usd"), counted.alias("counted_usd"))
 
 
+@query("spending_cap", f"WITH {TURNS}, s AS (SELECT part, conversation, turn, sum(n / 1e5::DOUBLE) OVER (ORDER BY part, conversation, turn ROWS UNBOUNDED PRECEDING) AS spent FROM plan) SELECT part, conversation, turn, round(spent, 6) AS spent FROM s WHERE round(spent, 6) <= 0.05")
+def spending_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of a whole plan that its cap pays for, in the plan's order."""
+    turns = _turns(spark, sf_dir)
+    plan = R.probe_plan(turns).join(turns.select("conversation", "turn", (F.col("n") / 1e5).alias("cost")), ["conversation", "turn"])
+    return ranges.until_cap(plan, ["part", "conversation", "turn"], "cost", 0.05).select("part", "conversation", "turn", "spent")
+
+
+@query(
+    "spending_resumed",
+    f"""WITH {TURNS}, p AS (SELECT part, conversation, turn, n / 1e5::DOUBLE AS cost, conversation % 11 = 10 AND turn > 0 AS quota FROM plan WHERE NOT (part = 0 AND conversation % 3 = 0)),
+s AS (SELECT *, sum(cost) OVER w AS spent, coalesce(max(quota::INTEGER) OVER (ORDER BY part, conversation, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM p WINDOW w AS (ORDER BY part, conversation, turn ROWS UNBOUNDED PRECEDING))
+SELECT part, conversation, turn, round(spent, 6) AS spent, quota FROM s WHERE stopped = 0 AND round(spent, 6) <= 0.08""",
+)
+def spending_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that goes on from what it has stored, until its first quota error or its cap."""
+    turns = _turns(spark, sf_dir)
+    quota = (F.col("conversation") % 11 == 10) & (F.col("turn") > 0)
+    plan = R.probe_plan(turns).join(turns.select("conversation", "turn", (F.col("n") / 1e5).alias("cost")), ["conversation", "turn"]).withColumn("quota", quota)
+    cache = plan.where("part = 0 and conversation % 3 = 0")
+    found = ranges.resumed(plan, cache, ["part", "conversation", "turn"], ["part", "conversation", "turn"], "cost", 0.08, "quota")
+    return found.select("part", "conversation", "turn", "spent", "quota")
+
+
 @query("leaderboard", f"WITH {RECORDS}, l AS (SELECT CASE WHEN id % 3 = 0 THEN 'retrieval' WHEN id % 3 = 1 THEN 'generation' ELSE 'legacy' END AS kind, 'run-' || id AS run_id, faithfulness AS metric FROM records) SELECT *, row_number() OVER (PARTITION BY kind ORDER BY coalesce(metric, 0) DESC, run_id) AS place FROM l")
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit("retrieval"), F.lit("generation"), F.lit("legacy")), (F.col("id") % 3 + 1).cast("int"))
