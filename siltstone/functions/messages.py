@@ -51,10 +51,12 @@ def config_label(mode: Column, rerank: Column, fetch_k: Column, ticker_filter: C
     return F.concat_ws("-", mode, F.when(rerank, F.concat(F.lit("rerank"), fetch_k.cast("string"))), F.when(ticker_filter != "none", F.concat(F.lit("ticker-"), ticker_filter)))
 
 
-def canonical_args(args: Column, keys: Column | None = None) -> Column:
-    """A flat JSON object of arguments with its keys in order, so that equal arguments are equal text."""
-    pairs = F.map_entries(F.from_json(args, "map<string,string>"))
-    return F.coalesce(F.to_json(F.map_from_entries(F.array_sort(pairs))), args)
+def canonical_args(args: Column) -> Column:
+    """A JSON text with the keys of its objects in order at every level, so that equal arguments are equal text; a number stays other than its digits as a string.
+
+    What is no JSON, or repeats a key, stays as it is.
+    """
+    return F.coalesce(F.to_json(F.try_parse_json(args)), args)
 
 
 def safe_args(args: Column) -> Column:

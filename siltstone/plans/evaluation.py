@@ -210,35 +210,38 @@ def figures_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", G.plain(F.col("text")).alias("figures"))
 
 
-#: (i, truth, answer)
-ANSWERS = [
-    (0, "$106,265 million for fiscal year 2025 (fiscal 2024: $87,464 million)", "Revenue was $106.3 billion in 2025."),
-    (1, "14%", "It rose 13.51 percent."), (2, "In fiscal 2025.", "2025"), (3, "The 10-K, Item 7A, of September 27, 2025, has 3 segments", "3"),
-    (4, "$26.4 billion", "$26,448 million"), (5, "5 stores", "6 stores"), (6, "1.5 million and 1.5 mm", "1,500 thousand"), (7, "none", "7"),
-]
+#: Answers to line items: what is true, an amount and a share, and what is said of it, by the line's number.
+SAID = """said AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 AS kind, (l_orderkey * 10 + l_linenumber + 3000)::VARCHAR AS v, (l_linenumber * 7)::VARCHAR || '.5' AS p FROM lineitem)"""
+ANSWER_KEYS = ["l_orderkey", "l_linenumber"]
 
 
-def _answers(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(ANSWERS, "i int, truth string, answer string")
-    return rows.select("i", G.extract(F.col("truth")).alias("t"), G.extract(F.col("answer")).alias("a"))
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, kind = F.col("l_linenumber"), F.col("l_linenumber") % 4
+    v, p = (F.col("l_orderkey") * 10 + line + 3000).cast("string"), F.concat((line * 7).cast("string"), F.lit(".5"))
+    truth = F.when(kind == 3, "In 2024.").otherwise(F.concat(F.lit("It was $"), v, F.lit(" million, up "), p, F.lit("%.")))
+    answer = F.when(kind == 0, F.concat(p, F.lit(" percent more, $"), v, F.lit(" million"))).when(kind == 2, F.concat(F.lit("About $"), v, F.lit(" million."))).otherwise(F.concat(F.lit("Up "), p, F.lit(" percent.")))
+    return table(spark, sf_dir, "lineitem").select(*ANSWER_KEYS, G.extract(truth).alias("t"), G.extract(answer).alias("a"))
 
 
-@query("figures_match", "SELECT * FROM (VALUES (0, true, 4, 2, 0.5::DOUBLE, false, true), (1, true, 1, 1, 1.0, true, true), (2, false, 0, 0, NULL, NULL, NULL), (3, true, 2, 1, 0.5, false, true), (4, true, 1, 1, 1.0, true, true), (5, true, 1, 0, 0.0, false, false), (6, true, 1, 1, 1.0, true, true), (7, false, 0, 0, NULL, NULL, NULL)) AS v(i, applicable, n_expected, n_found, recall, exact, primary_found)")
+@query(
+    "figures_match",
+    f"WITH {SAID} SELECT l_orderkey, l_linenumber, kind < 3 AS applicable, (CASE WHEN kind < 3 THEN 2 ELSE 0 END)::INTEGER AS n_expected, (CASE kind WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 1 END)::INTEGER AS n_found, (CASE kind WHEN 0 THEN 1.0 WHEN 3 THEN NULL ELSE 0.5 END)::DOUBLE AS recall, CASE WHEN kind < 3 THEN kind = 0 END AS exact, CASE WHEN kind < 3 THEN kind <> 1 END AS primary_found FROM said",
+)
 def figures_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _answers(spark).withColumn("m", G.figure_match(F.col("t"), F.col("a")))
-    return rows.select("i", "m.applicable", "m.n_expected", "m.n_found", "m.recall", "m.exact", "m.primary_found")
+    rows = _answers(spark, sf_dir).withColumn("m", G.figure_match(F.col("t"), F.col("a")))
+    return rows.select(*ANSWER_KEYS, "m.applicable", "m.n_expected", "m.n_found", "m.recall", "m.exact", "m.primary_found")
 
 
-@query("primary_figure", "SELECT * FROM (VALUES (0, '$106,265 million'), (1, '14%'), (2, NULL), (3, '3'), (4, '$26.4 billion'), (5, '5'), (6, '1.5 million'), (7, NULL)) AS v(i, primary_figure)")
+@query("primary_figure", f"WITH {SAID} SELECT l_orderkey, l_linenumber, CASE WHEN kind < 3 THEN '$' || v || ' million' END AS primary_figure FROM said")
 def primary_figure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark).select("i", G.primary(F.col("t"))["raw"].alias("primary_figure"))
+    return _answers(spark, sf_dir).select(*ANSWER_KEYS, G.primary(F.col("t"))["raw"].alias("primary_figure"))
 
 
-@query("figure_grounding", "SELECT * FROM (VALUES (0, true, 1, 1, true), (1, true, 1, 0, false), (2, false, 0, 0, NULL), (3, true, 1, 1, true), (4, true, 1, 0, false), (5, true, 1, 0, false), (6, true, 1, 1, true), (7, true, 1, 0, false)) AS v(i, applicable, n_figures, n_grounded, grounded)")
+@query("figure_grounding", f"WITH {SAID} SELECT l_orderkey, l_linenumber, true AS applicable, (CASE kind WHEN 0 THEN 2 ELSE 1 END)::INTEGER AS n_figures, (CASE kind WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 1 END)::INTEGER AS n_grounded, kind < 3 AS grounded FROM said")
 def figure_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An answer's figures in what was seen, which is never less precise than the answer."""
-    rows = _answers(spark).withColumn("g", G.grounding(F.col("a"), F.col("t")))
-    return rows.select("i", "g.applicable", "g.n_figures", "g.n_grounded", "g.grounded")
+    """An answer's figures in what was seen."""
+    rows = _answers(spark, sf_dir).withColumn("g", G.grounding(F.col("a"), F.col("t")))
+    return rows.select(*ANSWER_KEYS, "g.applicable", "g.n_figures", "g.n_grounded", "g.grounded")
 
 
 @query("figures_documents")
@@ -280,35 +283,43 @@ def observation_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _observations(spark, sf_dir).select("doc_id", V.has_markers(F.col("text")).alias("has_markers"))
 
 
-RECORDS = [
-    (1, "Revenue was $5 million.", [("Revenue was $5 million.", ["c1"])], True), (2, "Revenue was $5 million.", [], True), (3, "It was 7.", [("It was 7.", ["c1", "zz"])], True),
-    (4, "It was 7 and 9.", [("It was 7.", [])], True), (5, "x", [], False), (6, "Up 19.68%.", [("Up 19.68%.", ["c2"])], True), (7, "In 2024.", [("In 2024.", [])], True),
-]
-SOURCES = [(r, i, t) for r in range(1, 8) for i, t in (("c1", "revenue 5 million in 2024"), ("c2", "pct_change = 19.68"))]
+#: Records of answers about documents, of seven kinds by doc_id: one right, one of each thing that can be wrong, one that is
+#: supported by what its source says the second time, one without figures but a year.
+JUDGED = """judged AS (SELECT doc_id AS run, doc_id % 7 AS kind FROM documents),
+checked AS (SELECT run, kind, (CASE WHEN kind IN (0, 2, 5) THEN 0 ELSE 1 END)::BIGINT AS n_figures, (CASE WHEN kind IN (1, 6) THEN 1 ELSE 0 END)::BIGINT AS n_supported,
+  CASE kind WHEN 2 THEN ['empty_record', 'dropped_figure'] WHEN 3 THEN ['unknown_source', 'unsupported_figure'] WHEN 4 THEN ['uncited_figure', 'dropped_figure'] WHEN 5 THEN ['no_contract'] ELSE [] END AS checks,
+  CASE kind WHEN 1 THEN ['c1'] WHEN 3 THEN ['c1'] WHEN 6 THEN ['c1', 'c2'] ELSE [] END AS cited, CASE WHEN kind IN (0, 1, 6) THEN 'verified' ELSE 'unverified' END AS status FROM judged)"""
 
 
-def _verdicts(spark: SparkSession) -> DataFrame:
-    records = spark.createDataFrame(RECORDS, "run int, draft string, claims array<struct<text:string,sources:array<string>>>, parsed boolean")
-    return V.check_claims(records, spark.createDataFrame(SOURCES, "run int, id string, text string"))
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, kind = table(spark, sf_dir, "documents"), F.col("doc_id") % 7
+    number = lambda x: x.cast("string")
+    v, p = F.col("n_chars") + 3000, F.concat(number(F.col("doc_id") % 50), F.lit(".25%"))
+    wrong, other = number(v * 2 + 1), number(v * 3 + 5)
+    amount = F.concat(F.lit("Revenue was $"), number(v), F.lit(" million."))
+    first = F.when(kind.isin(1, 2), amount).when(kind == 3, F.concat(F.lit("It was "), wrong, F.lit("."))).when(kind == 4, F.concat(F.lit("It was "), wrong, F.lit(" and "), other, F.lit("."))).when(kind == 6, F.concat(F.lit("Up "), p, F.lit("."))).when(kind == 0, "In 2024.").otherwise("x")
+    said = F.when(kind == 4, F.concat(F.lit("It was "), wrong, F.lit("."))).otherwise(first)
+    cites = F.when(kind == 1, F.array(F.lit("c1"))).when(kind == 3, F.array(F.lit("c1"), F.lit("zz"))).when(kind == 6, F.array(F.lit("c2"), F.lit("c1"))).otherwise(F.array().cast("array<string>"))
+    claims = F.when(kind.isin(2, 5), F.array().cast("array<struct<text:string,sources:array<string>>>")).otherwise(F.array(F.struct(said.alias("text"), cites.alias("sources"))))
+    records = docs.select(F.col("doc_id").alias("run"), first.alias("draft"), claims.alias("claims"), (kind != 5).alias("parsed"))
+    source = lambda i, t: F.struct(F.lit(i).alias("id"), t.alias("text"))
+    seen = F.array(source("c1", F.concat(F.lit("revenue "), number(v), F.lit(" million in 2024"))), source("c2", F.lit("pct_change = 88.68")), source("c1", F.concat(F.lit("margin "), p)))
+    return V.check_claims(records, docs.select(F.col("doc_id").alias("run"), F.explode(seen).alias("s")).select("run", "s.*"))
 
 
-@query(
-    "claims_verify",
-    """SELECT * FROM (VALUES (1, 1::BIGINT, 1::BIGINT, [], 'verified'), (2, 0, 0, ['empty_record', 'dropped_figure'], 'unverified'), (3, 1, 0, ['unknown_source', 'unsupported_figure'], 'unverified'),
- (4, 1, 0, ['uncited_figure', 'dropped_figure'], 'unverified'), (5, 0, 0, ['no_contract'], 'unverified'), (6, 1, 1, [], 'verified'), (7, 0, 0, [], 'verified')) AS v(run, n_figures, n_supported, checks, status)""",
-)
+@query("claims_verify", f"WITH {JUDGED} SELECT run, n_figures, n_supported, checks, cited, status FROM checked")
 def claims_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verdicts(spark).select("run", "n_figures", "n_supported", F.transform("failures", lambda f: f["check"]).alias("checks"), "status")
+    return _verdicts(spark, sf_dir).select("run", F.col("n_figures").cast("long").alias("n_figures"), F.col("n_supported").cast("long").alias("n_supported"), F.transform("failures", lambda f: f["check"]).alias("checks"), "cited", "status")
 
 
-@query("verdict_counts", "SELECT * FROM (VALUES ('dropped_figure', 2::BIGINT), ('empty_record', 1), ('no_contract', 1), ('uncited_figure', 1), ('unknown_source', 1), ('unsupported_figure', 1)) AS v(check_name, n)")
+@query("verdict_counts", f"WITH {JUDGED} SELECT check_name, count(*) AS n FROM (SELECT unnest(checks) AS check_name FROM checked) GROUP BY check_name")
 def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verdicts(spark).select(F.explode("failures.check").alias("check_name")).groupBy("check_name").agg(F.count("*").alias("n"))
+    return _verdicts(spark, sf_dir).select(F.explode("failures.check").alias("check_name")).groupBy("check_name").agg(F.count("*").alias("n"))
 
 
-@query("verdict_policy", "SELECT * FROM (VALUES (1, 'verified', 'skipped', 'verified'), (2, 'refused', 'skipped', 'unverified'), (3, 'refused', 'skipped', 'unverified'), (4, 'refused', 'skipped', 'unverified'), (5, 'refused', 'skipped', 'unverified'), (6, 'verified', 'skipped', 'verified'), (7, 'verified', 'skipped', 'verified')) AS v(run, strict, off, warn)")
+@query("verdict_policy", f"WITH {JUDGED} SELECT run, CASE status WHEN 'verified' THEN status ELSE 'refused' END AS strict, 'skipped' AS off, status AS warn FROM checked")
 def verdict_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verdicts(spark).select("run", *[V.served(F.col("status"), F.lit(m)).alias(m) for m in ("strict", "off", "warn")])
+    return _verdicts(spark, sf_dir).select("run", *[V.served(F.col("status"), F.lit(m)).alias(m) for m in ("strict", "off", "warn")])
 
 
 @query("answer_contexts_parsed", f"WITH {PARSED}, c AS (SELECT doc_id, pos, CASE WHEN kind = 'calc' THEN '[calc_ratio] ' || snippet ELSE '[' || split_part(id, '_10K_', 1) || ' 10-K, ' || replace(split_part(id, '_10K_', 2), '_', ' ') || '] ' || snippet END AS c FROM parsed) SELECT doc_id, list(c ORDER BY pos) AS contexts FROM c GROUP BY doc_id")

@@ -223,13 +223,18 @@ def camel_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).select("concept").distinct().select("concept", X.concept_words(F.col("concept")).alias("words"))
 
 
-PHRASES = ["Google Cloud revenue", "AWS", "cost of services", "Net sales", "iPhone net sales in Japan"]
+SPLIT = """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN lower(c_mktsegment) || ' revenue' WHEN 1 THEN 'revenue' WHEN 2 THEN c_mktsegment || ' sales' ELSE 'net sales in ' || lower(c_mktsegment) END AS concept,
+ CASE c_custkey % 4 WHEN 0 THEN 'google cloud' WHEN 1 THEN 'aws' WHEN 3 THEN 'iphone' END AS segment FROM customer"""
 
 
-@query("split_segment", "SELECT * FROM (VALUES ('Google Cloud revenue', 'revenue', 'google cloud'), ('AWS', 'revenue', 'aws'), ('cost of services', 'cost of', 'services'), ('Net sales', 'Net sales', NULL), ('iPhone net sales in Japan', 'net sales in japan', 'iphone')) AS v(phrase, concept, segment)")
+@query("split_segment", SPLIT)
 def split_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases about market segments, some of which name a business segment."""
+    kind, name = F.col("c_custkey") % 4, F.col("c_mktsegment")
+    phrase = F.when(kind == 0, F.concat(F.lit("Google Cloud "), name, F.lit(" revenue"))).when(kind == 1, "AWS").when(kind == 2, F.concat(name, F.lit(" sales"))).otherwise(F.concat(F.lit("iPhone net sales in "), name))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", phrase.alias("phrase"))
     concept, segment = X.split_segment(F.col("phrase"))
-    return spark.createDataFrame([(p,) for p in PHRASES], "phrase string").select("phrase", concept.alias("concept"), segment.alias("segment"))
+    return rows.select("c_custkey", concept.alias("concept"), segment.alias("segment"))
 
 
 TOTALS = "t AS (SELECT year(o_orderdate)::INTEGER AS year, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1), p AS (SELECT a.year, a.total AS a, b.total AS b FROM t a JOIN t b ON b.year = a.year - 1)"
@@ -252,25 +257,32 @@ def _compute(op: str):
 for _op, _formula in FORMULAS.items():
     query(f"compute_metric_{_op}", f"WITH {TOTALS} SELECT year, round({_formula}, 6) AS result, NULL::VARCHAR AS error FROM p")(_compute(_op))
 
-CASES = [("ratio", 1.0, 0.0, None), ("cagr_pct", 4.0, 1.0, 0), ("cagr_pct", -4.0, 1.0, 2), ("power", 1.0, 2.0, None), ("SUM ", 1.5, 2.0, None), ("margin_pct", 1.0, 4.0, None)]
-
-
-@query("compute_errors", "SELECT * FROM (VALUES (0, NULL::DOUBLE, 'division by zero'), (1, NULL, 'n must be positive'), (2, NULL, 'a and b must have the same sign'), (3, NULL, 'unknown operation'), (4, 3.5, NULL), (5, 25.0, NULL)) AS v(i, result, error)")
+@query(
+    "compute_errors",
+    """WITH c AS (SELECT o_orderkey, o_orderkey % 6 AS kind, round(o_totalprice)::DOUBLE AS a, (o_custkey % 3 - 1)::DOUBLE AS b, (o_orderkey % 5)::INTEGER AS n FROM orders),
+e AS (SELECT *, CASE kind WHEN 3 THEN 'unknown operation' WHEN 1 THEN CASE WHEN n <= 0 THEN 'n must be positive' WHEN b <= 0 THEN 'a and b must have the same sign' END WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE CASE WHEN b = 0 THEN 'division by zero' END END AS error FROM c)
+SELECT o_orderkey, round(CASE WHEN error IS NULL THEN CASE kind WHEN 0 THEN a / b WHEN 1 THEN (pow(a / b, 1.0 / n) - 1) * 100 WHEN 2 THEN (a - b) / b * 100 WHEN 4 THEN a + b WHEN 5 THEN a - b END END, 6) AS result, error FROM e""",
+)
 def compute_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(CASES)], "i int, op string, a double, b double, n int")
-    return rows.withColumn("c", N.compute(F.col("op"), F.col("a"), F.col("b"), F.col("n"))).select("i", "c.result", "c.error")
+    """Operations on orders, by names as people write them, with nothing to divide by, opposite signs, no years and names that there aren't."""
+    names = F.array(*map(F.lit, ["ratio", "cagr_pct", "pct_change", "power", "SUM ", " Difference"]))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.get(names, (F.col("o_orderkey") % 6).cast("int")).alias("op"), F.round("o_totalprice").alias("a"), (F.col("o_custkey") % 3 - 1).cast("double").alias("b"), (F.col("o_orderkey") % 5).cast("int").alias("n"))
+    return rows.withColumn("c", N.compute(F.col("op"), F.col("a"), F.col("b"), F.col("n"))).select("o_orderkey", F.round("c.result", 6).alias("result"), F.col("c.error").alias("error"))
 
 
-NUMBERS = [
-    (0, "1,234.5", None, 6, None), (1, "(42)", None, 0, None), (2, "7", None, 0, "-"), (3, "-", "ixt:fixed-zero", 0, None), (4, "—", None, 0, None), (5, "1.234,5", "ixt:num-comma-decimal", 0, None),
-    (6, "abc", None, 0, None), (7, " 1 000 ", None, 3, None), (8, "-", "ixt:numzerodash", 0, None), (9, "", "ixt:zero", 0, None), (10, "(1,000)", None, 3, None),
-]
-
-
-@query("parse_number", "SELECT * FROM (VALUES (0, 1234500000.0::DOUBLE), (1, -42.0), (2, -7.0), (3, 0.0), (4, NULL), (5, 1234.5), (6, NULL), (7, 1000000.0), (8, 0.0), (9, 0.0), (10, -1000000.0)) AS v(i, value)")
+@query(
+    "parse_number",
+    """SELECT l_orderkey, l_linenumber, CASE (l_orderkey + l_linenumber) % 9 WHEN 0 THEN v * s WHEN 1 THEN -v * s WHEN 2 THEN -v * s WHEN 3 THEN 0.0 WHEN 4 THEN NULL WHEN 5 THEN (v + 0.5) * s WHEN 6 THEN NULL WHEN 7 THEN v * s WHEN 8 THEN 0.0 END AS value
+FROM (SELECT *, floor(l_extendedprice) AS v, pow(10.0::DOUBLE, l_suppkey % 4) AS s FROM lineitem)""",
+)
 def parse_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(NUMBERS, "i int, text string, format string, scale int, sign string")
-    return rows.select("i", N.parse_number(F.col("text"), F.col("format"), F.col("scale"), F.col("sign")).alias("value"))
+    """Prices of line items as filings write them: thousands, parentheses, signs, dashes, comma decimals, hard spaces, zero formats, and no numbers at all."""
+    kind, v = (F.col("l_orderkey") + F.col("l_linenumber")) % 9, F.floor("l_extendedprice").cast("long")
+    shown = F.format_number(v, 0)
+    text = F.when(kind == 1, F.concat(F.lit("("), shown, F.lit(")"))).when(kind.isin(3, 8), "-").when(kind == 4, "—").when(kind == 5, F.concat(F.replace(shown, F.lit(","), F.lit(".")), F.lit(",5"))).when(kind == 6, F.concat(shown, F.lit(" or so"))).when(kind == 7, F.concat(F.lit(" "), F.replace(shown, F.lit(","), F.lit(" ")))).otherwise(shown)
+    form = F.when(kind == 3, "ixt:fixed-zero").when(kind == 5, "ixt:num-comma-decimal").when(kind == 8, "ixt:numzerodash")
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", N.parse_number(text, form, (F.col("l_suppkey") % 4).cast("int"), F.when(kind == 2, "-")).alias("value"))
 
 
 @query("days_between", "SELECT o_orderkey, date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::INTEGER AS days, NULL::INTEGER AS bad FROM orders")

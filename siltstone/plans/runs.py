@@ -309,9 +309,9 @@ def message_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.tokens_of(rows)
 
 
-@query("safe_arguments", "WITH a AS (SELECT conv_id, turn, '{\"q\":\"' || left(text, 200) || '\",\"role\":\"' || role || '\"}' AS whole FROM conversations WHERE NOT contains(text, chr(34)) AND NOT contains(text, chr(92)) AND NOT contains(text, chr(10))) SELECT * FROM a")
+@query("safe_arguments", "SELECT conv_id, turn, json_object('q', left(text, 200), 'role', role)::VARCHAR AS whole FROM conversations")
 def safe_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r'["\\\n]'))
+    rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", S.safe_args(F.create_map(F.lit("q"), F.col("text"), F.lit("role"), F.col("role"))).alias("whole"))
 
 
