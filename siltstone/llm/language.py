@@ -165,13 +165,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """Columns doc_id, held_out, lang_pred, score for each row.
 
     Null texts and texts without a letter are ``und`` with score 0, and so are texts scored under ``reject`` (with
-    their score). Repeated rows give repeated answers; an empty table gives an empty result; texts of any length are read whole; ids are numbers or null;
+    their score). Repeated rows give repeated answers; an empty table gives an empty result; texts of any length are read whole; ids stay as they are;
     other columns are ignored.
     """
     common.python_ready(docs.sparkSession)
     held = F.lit(False) if held_out is None else held_out
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out"))
-    return rows.mapInArrow(common.in_arrow(lambda b: _predict(b, model, reject)), "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), held.alias("held_out"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(common.in_arrow(lambda b: _predict(b, model, reject)), f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
@@ -105,7 +106,7 @@ TEMPLATES = {
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.",),
     "proprietary": ("All rights reserved.",),
 }
-FOUND = "doc_id long, license string, score double, start int, stop int"
+FOUND = "doc_id {id}, license string, score double, start int, stop int"
 
 
 def normalised(text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -174,24 +175,26 @@ class Templates:
         return [(name, score, spans[a][0], spans[b - 1][1]) for a, b, score, name in sorted(taken)]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, tuple[str, ...]], threshold: float) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, templates: dict[str, tuple[str, ...]], threshold: float) -> Iterator[pa.RecordBatch]:
     known = Templates(templates, threshold)
     for batch in batches:
         out = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in known.scan(t)]
         columns = list(zip(*out, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "license", "score", "start", "stop"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (id_type, pa.string(), pa.float64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "license", "score", "start", "stop"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per licence text found: doc_id, license, score, and its span in code points, the end exclusive.
 
-    Null, empty and licence-free texts give no row, an empty table neither; texts of any length are read whole. Ids are numbers or null. Of windows that overlap the best stays: by score, then length, then
+    Null, empty and licence-free texts give no row, an empty table neither; texts of any length are read whole. Ids stay as they are. Of windows that overlap the best stays: by score, then length, then
     place, then name. Repeated rows give repeated answers; other columns are ignored.
     """
     common.python_ready(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").isNotNull())
     templates = templates or TEMPLATES
-    return rows.mapInArrow(common.in_arrow(lambda b: _scan(b, templates, threshold)), FOUND)
+    id_type = rows.schema["doc_id"].dataType
+    arrow_type = to_arrow_type(id_type)
+    return rows.mapInArrow(common.in_arrow(lambda b: _scan(b, arrow_type, templates, threshold)), FOUND.format(id=id_type.simpleString()))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

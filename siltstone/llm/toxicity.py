@@ -493,12 +493,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Columns doc_id, held_out, score, predicted for each row.
 
     Null and empty texts score as a text without words, low. Repeated rows give repeated answers; an empty table gives
-    an empty result; other columns are ignored.
+    an empty result; texts of any length are read whole; ids stay as they are, nulls too; other columns are ignored.
     """
     common.python_ready(docs.sparkSession)
     held = F.lit(False) if held_out is None else held_out
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out"))
-    return rows.mapInArrow(common.in_arrow(lambda b: _scored(b, model)), "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), held.alias("held_out"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(common.in_arrow(lambda b: _scored(b, model)), f"doc_id {id_type}, held_out boolean, score double, predicted int")
 
 
 def _kept(batches: Iterator[pa.RecordBatch], model: Model, text: int) -> Iterator[pa.RecordBatch]:
