@@ -51,6 +51,19 @@ def config_label(mode: Column, rerank: Column, fetch_k: Column, ticker_filter: C
     return F.concat_ws("-", mode, F.when(rerank, F.concat(F.lit("rerank"), fetch_k.cast("string"))), F.when(ticker_filter != "none", F.concat(F.lit("ticker-"), ticker_filter)))
 
 
+def config_phrase(mode: Column, rrf_k: Column, weights: tuple[Column, Column], rerank: Column, fetch_k: Column, ticker_filter: Column) -> Column:
+    """What sets a configuration apart, in words: its mode, and what isn't the default; ``weights`` are dense and sparse."""
+    hybrid, shown = mode == "hybrid", lambda x: F.format_string("%.1f", x.cast("double"))
+    return F.concat_ws(
+        ", ",
+        mode,
+        F.when(hybrid & (rrf_k != 60), F.concat(F.lit("rrf_k="), rrf_k.cast("string"))),
+        F.when(hybrid & ((weights[0] != 1) | (weights[1] != 1)), F.concat(F.lit("w="), shown(weights[0]), F.lit("/"), shown(weights[1]))),
+        F.when(rerank, F.concat(F.lit("rerank fetch="), fetch_k.cast("string"))).when((mode != "dense") & (fetch_k != 25), F.concat(F.lit("fetch="), fetch_k.cast("string"))),
+        F.when(F.coalesce(ticker_filter, F.lit("none")) != "none", F.concat(F.lit("ticker="), ticker_filter)),
+    )
+
+
 def canonical_args(args: Column) -> Column:
     """A JSON text with the keys of its objects in order at every level, so that equal arguments are equal text; a number stays other than its digits as a string.
 

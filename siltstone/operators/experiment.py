@@ -18,6 +18,22 @@ def text_sha256(text: Column) -> Column:
     return F.sha2(F.replace(text, F.lit("\r\n"), F.lit("\n")), 256)
 
 
+def benchmark_version(files: DataFrame, within: str, order: str, name: str, text: str, length: int = 12) -> DataFrame:
+    """(within, version): one version over the files of a benchmark, in order: any edit of one of them, or of its name, is another version."""
+    end = F.decode(F.unhex(F.lit("00")), "UTF-8")
+    part = F.struct(F.col(order).alias("o"), F.concat(F.col(name), end, text_sha256(F.col(text)), end).alias("p"))
+    rows = files.groupBy(within).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["p"]), "").alias("_all"))  # digests only
+    return rows.select(within, F.concat(F.lit("sha256:"), F.left(F.sha2("_all", 256), F.lit(length))).alias("version"))
+
+
+def index_problem(live: Column, labelled: Column) -> Column:
+    """Why an index of ``live`` chunks can't be scored by labels made on ``labelled`` ones; null if it can."""
+    return (
+        F.when(F.coalesce(live, F.lit(0)) == 0, "there is no index")
+        .when(~live.eqNullSafe(labelled), F.concat(F.lit("the index has "), live.cast("string"), F.lit(" chunks, the labels were made on "), F.coalesce(labelled.cast("string"), F.lit("an unknown number"))))
+    )
+
+
 def cache_key(parts: list[Column]) -> Column:
     """Parts joined by bars; null parts leave no trace."""
     return F.concat_ws("|", *parts)

@@ -59,6 +59,25 @@ def mean_metrics(items: DataFrame, by: list[str] | None = None) -> DataFrame:
     return items.groupBy(*(by or [])).agg(F.count("*").alias("n_items"), *[F.round(F.avg(m), 4).alias(m) for m in METRICS])
 
 
+def retrieval_blocks(items: DataFrame, strata: list[str]) -> DataFrame:
+    """(block, stratum, n_items, means): a run's items overall and by each of ``strata``, in one pass of grouping sets."""
+    sets = [[], *[[c] for c in strata]]
+    rows = items.groupingSets(sets, *strata).agg(F.grouping_id(*strata).alias("_set"), F.count("*").alias("n_items"), *[F.round(F.avg(m), 4).alias(m) for m in METRICS])
+    n = len(strata)
+    which = lambda i: F.col("_set") == F.lit((1 << n) - 1 - (1 << (n - 1 - i)))  # noqa: E731  the bit of what is grouped by is off
+    block, stratum = F.lit("overall"), F.lit("all")
+    for i, c in enumerate(strata):
+        block, stratum = F.when(which(i), c).otherwise(block), F.when(which(i), F.col(c).cast("string")).otherwise(stratum)
+    return rows.select(block.alias("block"), stratum.alias("stratum"), "n_items", *METRICS)
+
+
+def retrieval_latency(items: DataFrame, value: str = "latency_ms") -> DataFrame:
+    """(p50, p95, mean) of a run's questions, in milliseconds."""
+    rows = items.select(F.lit("all").alias("_all"), value)
+    mean = rows.groupBy("_all").agg(F.round(F.avg(value), 1).alias("mean"))
+    return N.percentiles(rows, ["_all"], value, {"p50": ("nearest", 50), "p95": ("nearest", 95)}).join(mean, "_all").drop("_all")
+
+
 def coverage(rows: DataFrame, score: str, terminal: str) -> DataFrame:
     """Scored, missing, missing for a failed run, missing without a reason; and both means."""
     value = F.when(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")), F.col(score).cast("double"))

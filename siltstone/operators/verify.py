@@ -132,6 +132,21 @@ def served(status: Column, mode: Column) -> Column:
     return F.when(mode == "off", "skipped").when((status != "verified") & (mode == "strict"), "refused").otherwise(status)
 
 
+def described(failure: Column, claim: Column) -> Column:
+    """A failure (struct check, detail) of a claim in words, as a second attempt is told it; a long claim is shown by its beginning."""
+    where = F.when(F.coalesce(claim, F.lit("")) != "", F.concat(F.lit(' in "'), F.left(claim, F.lit(120)), F.lit('"'))).otherwise("")
+    detail, check = failure["detail"], failure["check"]
+    return (
+        F.when(check == "unsupported_figure", F.concat(detail, where, F.lit(" stands in nothing that the sentence cites")))
+        .when(check == "uncited_figure", F.concat(detail, where, F.lit(" cites nothing")))
+        .when(check == "unknown_source", F.concat(detail, F.lit(" is cited"), where, F.lit(" but wasn't observed in this turn")))
+        .when(check == "dropped_figure", F.concat(detail, F.lit(" is in the draft and in no sentence of the record")))
+        .when(check == "empty_record", F.lit("the record has no sentences, but the draft isn't empty"))
+        .when(check == "no_contract", F.concat(F.lit("no record that can be used: "), detail))
+        .otherwise(F.concat(check, F.lit(": "), detail))
+    )
+
+
 def refusal(failures: Column, shown: int = 4) -> Column:
     """Reasons of a refusal, the first few and how many more."""
     reasons = F.transform(F.slice(failures, 1, shown), lambda f: F.concat(f["check"], F.lit(": "), f["detail"]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import corpus as C
+from siltstone.operators import serving
 from siltstone.plans.catalog import query
 from siltstone.session import table
 
@@ -190,10 +191,18 @@ def terminal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.terminal_state(answer, "need more steps").alias("state"))
 
 
-@query("request_checks", "SELECT conv_id, turn, length(text) BETWEEN 1 AND 2000 AS question_ok, regexp_full_match('thread_' || conv_id, '[A-Za-z0-9_-]{8,64}') AS thread_ok FROM conversations")
+@query(
+    "request_checks",
+    """SELECT conv_id, turn, list_filter([CASE WHEN length(q) < 1 OR length(q) > 2000 THEN 'question' END, CASE WHEN length(ticker) > 10 THEN 'ticker' END, CASE WHEN thread IS NOT NULL AND NOT regexp_full_match(thread, '[A-Za-z0-9_-]{8,64}') THEN 'thread_id' END], lambda x: x IS NOT NULL) AS problems
+FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN '' WHEN 2 THEN repeat(text || 'x', 40) ELSE text END AS q, CASE conv_id % 3 WHEN 0 THEN left(text, 12) WHEN 1 THEN role END AS ticker, CASE turn % 3 WHEN 0 THEN 'thread_' || conv_id WHEN 1 THEN left(text, 20) END AS thread FROM conversations)""",
+)
 def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    thread = F.concat(F.lit("thread_"), F.col("conv_id").cast("string"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").between(1, 2000).alias("question_ok"), thread.rlike("^[A-Za-z0-9_-]{8,64}$").alias("thread_ok"))
+    """What is wrong with requests: questions that are empty or too long, tickers that are none, thread ids that aren't opaque keys."""
+    n, turn = F.col("conv_id"), F.col("turn")
+    question = F.when(turn % 4 == 3, "").when(turn % 4 == 2, F.repeat(F.concat("text", F.lit("x")), F.lit(40))).otherwise(F.col("text"))
+    ticker = F.when(n % 3 == 0, F.left("text", F.lit(12))).when(n % 3 == 1, F.col("role"))
+    thread = F.when(turn % 3 == 0, F.concat(F.lit("thread_"), n.cast("string"))).when(turn % 3 == 1, F.left("text", F.lit(20)))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", serving.request_problems(question, ticker, thread).alias("problems"))
 
 
 @query("quarantine", "SELECT count(*) FILTER (ok) AS good, count(*) FILTER (NOT ok) AS bad FROM (SELECT length(text) >= 120 AS ok FROM documents)")

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import figures as G
+from siltstone.functions import messages as S
 from siltstone.functions import numbers as N
 from siltstone.operators import experiment as E
 from siltstone.operators import memory as H
 from siltstone.operators import metrics as M
 from siltstone.operators import runs as R
+from siltstone.operators import serving
 from siltstone.operators import tools as O
 from siltstone.operators import verify as V
 from siltstone.plans.catalog import query
@@ -144,6 +147,22 @@ def thread_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.composed(table(spark, sf_dir, "conversations"), "conv_id", "turn", line)
 
 
+@query(
+    "thread_messages",
+    f"""WITH t AS (SELECT conv_id, turn, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS q, text AS a FROM conversations), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM t WHERE turn % 2 = 1),
+c AS (SELECT conv_id, trim(q) AS q, trim(a) AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM k WHERE back <= 6),
+w AS (SELECT conv_id, i, CASE WHEN length(q) <= 500 THEN q ELSE rtrim(left(q, 500)) || '…' END AS q, CASE WHEN length(a) <= 1200 THEN a ELSE rtrim(left(a, 1200)) || '…' END AS a FROM c),
+h AS (SELECT conv_id, string_agg('[Earlier turn ' || i || '] Question: ' || q || chr(10) || '[Earlier turn ' || i || '] Answer: ' || a || chr(10), chr(10) ORDER BY i) AS h FROM w GROUP BY conv_id)
+SELECT conv_id, CASE WHEN h IS NULL THEN 'And then?' ELSE '{serving.PREFACE}' || chr(10) || chr(10) || h || chr(10) || 'Current question:' || chr(10) || 'And then?' END AS message FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN h USING (conv_id)""",
+)
+def thread_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an agent is given for a question on each thread: its last turns, clipped, then the question."""
+    rows = table(spark, sf_dir, "conversations")
+    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    turns = rows.select("conv_id", "turn", before.alias("question"), F.col("text").alias("answer")).where("turn % 2 = 1")
+    return serving.composed_messages(turns, rows.select("conv_id", F.lit("And then?").alias("question")).distinct(), "conv_id", "turn")
+
+
 @query("thread_expire", "SELECT user_id, event_id, sum(CASE WHEN idle IS NULL OR idle > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (SELECT *, floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS idle FROM events)")
 def thread_expire(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.sessions(table(spark, sf_dir, "events"), "user_id", "ts").select("user_id", "event_id", "session")
@@ -186,11 +205,38 @@ def cached_result_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.reusable(results, wanted)
 
 
-@query("benchmark_version", "SELECT item_id, sha256(replace(text, chr(13) || chr(10), chr(10))) AS digest FROM benchmark")
-def benchmark_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("file_versions", "SELECT item_id, sha256(replace(text, chr(13) || chr(10), chr(10))) AS digest FROM benchmark")
+def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", E.text_sha256(F.col("text")).alias("digest"))
 
 
+@query("benchmark_version", "SELECT item_id % 5 AS part, 'sha256:' || left(sha256(string_agg('item-' || item_id || '.csv' || chr(0) || sha256(replace(text, chr(13) || chr(10), chr(10))) || chr(0), '' ORDER BY item_id)), 12) AS version FROM benchmark GROUP BY 1")
+def benchmark_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmarks of several files, each a version over its files' names and contents in order."""
+    files = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 5).alias("part"), "item_id", F.concat(F.lit("item-"), F.col("item_id").cast("string"), F.lit(".csv")).alias("name"), "text")
+    return E.benchmark_version(files, "part", "item_id", "name", "text")
+
+
+@query("index_problems", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'the index has ' || n_chars || ' chunks, the labels were made on ' || (n_chars + 1) ELSE 'there is no index' END AS problem FROM documents WHERE n_chars > 0")
+def index_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_chars")
+    live = F.when(F.col("doc_id") % 3 == 2, F.lit(0)).otherwise(n)
+    return table(spark, sf_dir, "documents").where("n_chars > 0").select("doc_id", E.index_problem(live, F.when(F.col("doc_id") % 3 == 1, n + 1).otherwise(n)).alias("problem"))
+
+
+@query(
+    "config_phrases",
+    """SELECT doc_id, concat_ws(', ', mode, CASE WHEN mode = 'hybrid' AND doc_id % 4 = 0 THEN 'rrf_k=20' END, CASE WHEN mode = 'hybrid' AND doc_id % 5 = 0 THEN 'w=2.0/0.5' END, CASE WHEN doc_id % 2 = 0 THEN 'rerank fetch=' || depth WHEN mode <> 'dense' AND depth <> 25 THEN 'fetch=' || depth END, CASE WHEN doc_id % 7 = 0 THEN 'ticker=inferred' END) AS phrase
+FROM (SELECT doc_id, ['dense', 'bm25', 'hybrid'][doc_id % 3 + 1] AS mode, CASE WHEN doc_id % 11 < 5 THEN 25 ELSE 50 END AS depth FROM documents)""",
+)
+def config_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    mode = F.get(F.array(F.lit("dense"), F.lit("bm25"), F.lit("hybrid")), (n % 3).cast("int"))
+    fifth = n % 5 == 0
+    phrase = S.config_phrase(mode, F.when(n % 4 == 0, 20).otherwise(60), (F.when(fifth, 2.0).otherwise(1.0), F.when(fifth, 0.5).otherwise(1.0)), n % 2 == 0, F.when(n % 11 < 5, 25).otherwise(50), F.when(n % 7 == 0, "inferred").otherwise("none"))
+    return table(spark, sf_dir, "documents").select("doc_id", phrase.alias("phrase"))
+
+
 @query("config_hash", """SELECT item_id, left(sha256('{"k":"a"}{"v":"' || item_id || '"},{"k":"b"}{"v":"x"}'), 12) AS hash FROM benchmark""")
 def config_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = F.create_map(F.lit("b"), F.lit("x"), F.lit("a"), F.col("item_id").cast("string"))
@@ -341,6 +387,17 @@ def observation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.by_id(V.parse(_observations(spark, sf_dir), ["run", "doc_id"], "text"), "run", ["doc_id", "pos"])
 
 
+@query(
+    "failure_texts",
+    f"""WITH {JUDGED}, d AS (SELECT doc_id AS run, n_chars + 3000 AS v FROM documents) SELECT run, CASE kind WHEN 2 THEN ['the record has no sentences, but the draft isn''t empty', '$' || v || ' million is in the draft and in no sentence of the record']
+ WHEN 3 THEN ['zz is cited in "a claim" but wasn''t observed in this turn', (v * 2 + 1) || ' in "a claim" stands in nothing that the sentence cites'] WHEN 4 THEN [(v * 2 + 1) || ' in "a claim" cites nothing', (v * 3 + 5) || ' is in the draft and in no sentence of the record']
+ WHEN 5 THEN ['no record that can be used: the record could not be parsed'] ELSE [] END AS texts FROM checked JOIN d USING (run)""",
+)
+def failure_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with records, in words."""
+    return _verdicts(spark, sf_dir).select("run", F.transform("failures", lambda f: V.described(f, F.lit("a claim"))).alias("texts"))
+
+
 @query("refusal_texts", "SELECT doc_id, array_to_string(list_transform(range(1, least(doc_id % 7, 4) + 1), lambda i: 'uncited_figure: ' || i), '; ') || CASE WHEN doc_id % 7 > 4 THEN '; and ' || (doc_id % 7 - 4) || ' more' ELSE '' END AS reasons FROM documents")
 def refusal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.col("doc_id") % 7).cast("int")

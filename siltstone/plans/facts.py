@@ -10,8 +10,9 @@ from siltstone.functions import numbers as N
 from siltstone.operators import facts as X
 from siltstone.operators import xbrl
 from siltstone.plans.catalog import query
-from siltstone.session import kept, table
+from siltstone.session import place_of, table
 from siltstone.sources import files
+from siltstone.sources.versions import Versions
 
 NAMES = {"A": "us-gaap:Revenues", "N": "us-gaap:NetIncomeLoss", "R": "us-gaap:OperatingIncomeLoss"}
 FACTS = """facts AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'T' || (l_suppkey % 5) AS ticker,
@@ -21,20 +22,22 @@ FACTS = """facts AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'T' || (l_supp
 filings AS (SELECT ticker, max(fiscal_year) AS fiscal_year_focus FROM facts GROUP BY ticker)"""
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored fact table, in ranges of company and concept."""
-
-    def build(path: str) -> DataFrame:
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stored facts and filings: written at their first use, read from then on."""
+    path = place_of(spark, sf_dir, "lineitem", "facts")
+    if not Versions(spark, path).last():
         made = _derived(spark, sf_dir)
         files.write_facts(made, made.groupBy("ticker").agg(F.max("fiscal_year").alias("fiscal_year_focus")), path)
-        return files.read_facts(spark, path)
+    return files.read_facts(spark, path)
 
-    return kept(spark, sf_dir, "lineitem", "facts", build)[0]
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table, in ranges of company and concept."""
+    return _stored(spark, sf_dir)[0]
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts(spark, sf_dir)
-    return kept(spark, sf_dir, "lineitem", "facts", lambda path: None)[1]
+    return _stored(spark, sf_dir)[1]
 
 
 def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:

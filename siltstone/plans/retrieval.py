@@ -387,6 +387,36 @@ def rank_metrics_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mean_metrics(_items(spark, sf_dir).join(strata, "item_id"), ["stratum"])
 
 
+#: Items of a benchmark with what they are about, and how long each took.
+STRATA = {
+    "question_type": ("CASE item_id % 4 WHEN 0 THEN 'lookup' WHEN 1 THEN 'comparison' WHEN 2 THEN 'trend' ELSE 'other' END", ("lookup", "comparison", "trend", "other")),
+    "requires_table": ("CASE WHEN item_id % 3 = 0 THEN 'True' ELSE 'False' END", ("True", "False")),
+    "difficulty": ("CASE WHEN length(text) < 150 THEN 'easy' WHEN length(text) < 300 THEN 'medium' ELSE 'hard' END", ("easy", "medium", "hard")),
+}
+LATENCY = "(item_id * 37 % 101)::DOUBLE"
+_BLOCKS = " UNION ALL ".join(
+    [f"SELECT 'overall' AS block, 'all' AS stratum, {MEANS} FROM x"] + [f"SELECT '{c}', {c}, {MEANS} FROM x GROUP BY {c}" for c in STRATA]
+)
+_RANK = "list_sort(list(latency))[round_even({p} / 100.0 * (count(*) - 1), 0)::BIGINT + 1]"
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    about = table(spark, sf_dir, "benchmark").select("item_id", *[F.expr(e).alias(c) for c, (e, _) in STRATA.items()], (F.col("item_id") * 37 % 101).cast("double").alias("latency_ms"))
+    return _items(spark, sf_dir).join(about, "item_id")
+
+
+@query("retrieval_aggregates", f"WITH {bm25_sql(k=25)}, {LOCATED}, {_item_sql()}, x AS (SELECT items.*, {', '.join(f'{e} AS {c}' for c, (e, _) in STRATA.items())} FROM items JOIN benchmark USING (item_id)) {_BLOCKS}")
+def retrieval_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A retrieval run's metrics overall, by question type, by whether a table is needed, and by difficulty."""
+    return M.retrieval_blocks(_measured(spark, sf_dir), list(STRATA))
+
+
+@query("retrieval_latency", f"WITH {LOCATED}, x AS (SELECT DISTINCT item_id, {LATENCY} AS latency FROM located) SELECT round({_RANK.format(p=50)}, 1) AS p50, round({_RANK.format(p=95)}, 1) AS p95, round(avg(latency), 1) AS mean FROM x")
+def retrieval_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long its questions took."""
+    return M.retrieval_latency(_measured(spark, sf_dir))
+
+
 @query("unlabelled_items", f"WITH {LOCATED} SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM located)")
 def unlabelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id").join(_located(spark, sf_dir), "item_id", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import messages as S
 from siltstone.functions import numbers as N
-from siltstone.operators import ranges
+from siltstone.operators import ranges, serving
 from siltstone.operators import metrics as M
 from siltstone.operators import runs as R
 from siltstone.operators import tools as O
@@ -264,12 +264,14 @@ def tool_batching_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.tool_items(records(spark, sf_dir), untimed, _labels(spark, sf_dir)).select("item_id", "method", "steps", "batched")
 
 
-@query("tool_arguments_canonical", "SELECT event_id, '{\"a\":\"' || event_id % 7 || '\",\"b\":\"x\"}' AS args FROM events")
+@query("tool_arguments_canonical", """SELECT event_id, '{"a":' || CASE WHEN event_id % 3 = 0 THEN '"' || event_id % 7 || '"' ELSE (event_id % 7)::VARCHAR END || ',"b":{"x":"' || event_type || '","y":[1,"1",{"p":true,"q":null}]}}' AS args FROM events""")
 def tool_arguments_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arguments whose keys come in either order are the same text."""
+    """Arguments whose keys come in either order at any level are the same text; a number isn't the string of its digits."""
     n = (F.col("event_id") % 7).cast("string")
-    args = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"b":"x","a":"'), n, F.lit('"}'))).otherwise(F.concat(F.lit('{"a":"'), n, F.lit('", "b":"x"}')))
-    return table(spark, sf_dir, "events").select("event_id", S.canonical_args(args).alias("args"))
+    n = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(n)
+    one = F.concat(F.lit('{"b":{"y":[1,"1",{"q":null, "p":true}],"x":"'), "event_type", F.lit('"},"a":'), n, F.lit("}"))
+    other = F.concat(F.lit('{"a":'), n, F.lit(', "b":{"x":"'), "event_type", F.lit('","y":[1, "1",{"p":true,"q":null}]}}'))
+    return table(spark, sf_dir, "events").select("event_id", S.canonical_args(F.when(F.col("event_id") % 2 == 0, one).otherwise(other)).alias("args"))
 
 
 @query("lookup_arguments", "WITH e AS (SELECT user_id AS item_id, event_id AS pos, user_id % 3 AS u, event_id % 4 AS k FROM events WHERE event_type = 'view') SELECT item_id, pos, k <> 3 AS ticker_ok, k <> 2 AS concept_present, CASE WHEN u = 0 THEN NULL WHEN k = 0 THEN 'omitted' WHEN k = 1 THEN 'exact' ELSE 'wrong' END AS fiscal_year, CASE WHEN k <> 2 THEN item_id % 2 = 0 END AS concept_resolved, CASE WHEN k <> 2 THEN item_id % 4 = 0 END AS concept_returns_rows FROM e")
@@ -334,13 +336,23 @@ def thread_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.thread_id(F.lit("run 1"), F.concat("role", F.lit("."), F.col("conv_id").cast("string"))).alias("probe"), S.sanitized_thread(raw).alias("client"))
 
 
-@query("answer_stream", "WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '\\S+\\s*')) AS word, generate_subscripts(regexp_extract_all(text, '\\S+\\s*'), 1) - 1 AS seq FROM conversations WHERE role = 'assistant'), n AS (SELECT conv_id, turn, len(regexp_extract_all(text, '\\S+\\s*')) AS n FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, seq::BIGINT AS seq, 'token' AS kind, word AS payload FROM w UNION ALL SELECT conv_id, turn, n + i, ['sources', 'verification', 'meta', 'done'][i + 1], '' FROM n, range(4) t(i)")
+@query(
+    "answer_stream",
+    """WITH a AS (SELECT conv_id, turn, CASE WHEN conv_id % 9 = 4 THEN ' ' WHEN conv_id % 9 = 5 THEN 'I need more steps' ELSE text END AS answer FROM conversations WHERE role = 'assistant'),
+u AS (SELECT *, regexp_extract_all(answer, '\S+\s*') AS words FROM a WHERE conv_id % 9 NOT IN (4, 5)), w AS (SELECT conv_id, turn, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS seq FROM u)
+SELECT conv_id, turn, seq::BIGINT AS seq, 'token' AS kind, word AS payload FROM w
+UNION ALL SELECT conv_id, turn, len(words) + i, ['sources', 'verification', 'meta', 'done'][i + 1], CASE i WHEN 0 THEN '[{"id":"T_10K_chunk_' || turn || '","rank":1}]' WHEN 1 THEN '{"status":"' || CASE WHEN conv_id % 2 = 0 THEN 'verified' ELSE 'refused' END || '","n_figures":' || turn || '}' WHEN 2 THEN '{"words":' || len(words) || '}' ELSE '' END FROM u, range(4) t(i)
+UNION ALL SELECT conv_id, turn, 0, 'error', CASE conv_id % 9 WHEN 4 THEN 'empty_answer' ELSE 'recursion_limit' END FROM a WHERE conv_id % 9 IN (4, 5)""",
+)
 def answer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events that serve an answer, in order: its words, then sources, verification, meta and done."""
-    words = F.transform(S.answer_words(F.col("text")), lambda w: F.struct(F.lit("token").alias("kind"), w.alias("payload")))
-    tail = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit("").alias("payload")) for k in ("sources", "verification", "meta", "done")])
-    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.concat(words, tail)).alias("seq", "e"))
-    return rows.select("conv_id", "turn", F.col("seq").cast("long").alias("seq"), "e.kind", "e.payload")
+    """The events that send an answer, in order: its words, then sources, verification, meta and done, or an error."""
+    n, turn = F.col("conv_id"), F.col("turn")
+    answer = F.when(n % 9 == 4, " ").when(n % 9 == 5, "I need more steps").otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(
+        "conv_id", "turn", answer.alias("answer"), F.array(F.struct(F.concat(F.lit("T_10K_chunk_"), turn.cast("string")).alias("id"), F.lit(1).alias("rank"))).alias("sources"),
+        F.struct(F.when(n % 2 == 0, "verified").otherwise("refused").alias("status"), turn.alias("n_figures")).alias("verification"), F.struct(F.size(S.answer_words(answer)).alias("words")).alias("meta"),
+    )
+    return serving.answer_events(rows, ["conv_id", "turn"], "need more steps")
 
 
 @query("display_strings", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 20) || ' (company: ' || upper(lang) || ')' ELSE left(text, 20) END AS question, CASE doc_id % 3 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN 'fact ' || doc_id ELSE '' END AS place, 'sha256:' || left(sha256(text), 12) AS version, concat_ws('-', 'hybrid', CASE WHEN doc_id % 2 = 0 THEN 'rerank50' END, CASE WHEN doc_id % 5 > 0 THEN 'ticker-inferred' END) AS label FROM documents")

@@ -6,7 +6,6 @@ import hashlib
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,17 +73,3 @@ def place_of(spark: SparkSession, sf_dir: str, name: str, what: str) -> str:
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
     state = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
     return f"{shared_dir(spark)}/kept/{what}-{hashlib.sha256(repr((LAYOUT, state)).encode()).hexdigest()[:24]}"
-
-
-_KEPT: dict[tuple, object] = {}
-
-
-def kept(spark: SparkSession, sf_dir: str, name: str, what: str, build: Callable[[str], object]) -> object:
-    """What ``build`` makes of a table, in a folder of its own; made once for an application and the files that the table has now."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
-    key = (spark.sparkContext.applicationId, what, *((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
-    if key not in _KEPT:
-        _KEPT[key] = build(f"{shared_dir(spark)}/kept/{what}-{uuid.uuid4().hex}")
-    return _KEPT[key]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.sources.versions import KeyedTable, Versions, write_table
 
 BENCHMARK = ("id", "ticker", "question", "ground_truth", "reference_contexts", "question_type", "section", "difficulty", "requires_table", "notes")
 RESULT = "schema_version int, result_kind string, run_id string, run_status string, benchmark_version string, config map<string,string>, aggregates map<string,double>, results array<struct<id:string,question_type:string,answer:string,terminal_failure:string,latency_ms:double,input_tokens:long,output_tokens:long,cost_usd:double,retrieved_chunk_ids:array<string>,observations:array<string>>>"
@@ -55,19 +56,26 @@ def read_texts(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks by company, so that a filter on one reads its folder only. An empty table writes an empty one."""
-    chunks.write.mode("overwrite").partitionBy("ticker").parquet(path)
+def write_chunks(chunks: DataFrame, path: str) -> DataFrame:
+    """Chunks by company, so that a filter on one reads its folder only; readers see the old ones until all new ones are there."""
+    return write_table(chunks, path, "ticker")
 
 
 def write_facts(facts: DataFrame, filings: DataFrame, path: str) -> None:
-    """Both tables, built anew; facts in ranges of company and concept, so that no company falls to one task and a look-up skips files."""
-    facts.repartitionByRange("ticker", "concept", "fiscal_year").sortWithinPartitions("ticker", "concept", "fiscal_year").write.mode("overwrite").partitionBy("ticker").parquet(f"{path}/facts")
-    filings.write.mode("overwrite").parquet(f"{path}/filings")
+    """Both tables, built anew and seen together or not at all; facts in ranges of company and concept, so that no company falls to one task and a look-up skips files."""
+    versions = Versions(facts.sparkSession, path)
+    after, folder = versions.last(), versions.folder("data")
+    facts.repartitionByRange("ticker", "concept", "fiscal_year").sortWithinPartitions("ticker", "concept", "fiscal_year").write.partitionBy("ticker").parquet(f"{folder}/facts")
+    filings.write.parquet(f"{folder}/filings")
+    versions.commit({"data": folder.rsplit("/", 1)[1]}, after)
 
 
 def read_facts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/facts"), spark.read.parquet(f"{path}/filings")
+    """The last facts and filings at ``path``; an error where there are none."""
+    state = Versions(spark, path).read()
+    if state is None:
+        raise FileNotFoundError(f"there is no fact table at {path}")
+    return spark.read.parquet(f"{path}/{state['data']}/facts"), spark.read.parquet(f"{path}/{state['data']}/filings")
 
 
 def load_or_build(spark: SparkSession, path: str, expected: int, build) -> DataFrame:
@@ -103,23 +111,8 @@ class Stored:
 
 
 def upsert(spark: SparkSession, rows: DataFrame, path: str, key: str) -> DataFrame:
-    """The table at ``path`` with ``rows`` put in by ``key``: of a key that both have the new row stays. Nothing to put in changes nothing.
-
-    The new table is written beside the old one and takes its place only when it is whole.
-    """
-    place, beside, before = Stored(spark, path), Stored(spark, f"{path}.new"), Stored(spark, f"{path}.old")
-    if not place.exists():
-        rows.write.mode("error").parquet(path)
-        return spark.read.parquet(path)
-    if rows.isEmpty():
-        return spark.read.parquet(path)
-    held = spark.read.parquet(path)
-    held.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True).write.mode("overwrite").parquet(f"{path}.new")
-    before.delete()
-    place.fs.rename(place.path, before.path)
-    place.fs.rename(beside.path, place.path)
-    before.delete()
-    return spark.read.parquet(path)
+    """The table at ``path`` with ``rows`` put in by ``key``: of a key that both have the new row stays. Nothing to put in changes nothing."""
+    return KeyedTable(spark, path, key).put(rows)
 
 
 def index_chunks(chunks: DataFrame, ticker: str = "ticker", source: str = "source") -> DataFrame:
@@ -129,15 +122,19 @@ def index_chunks(chunks: DataFrame, ticker: str = "ticker", source: str = "sourc
 
 
 def write_results(rows: DataFrame, path: str) -> None:
-    """Records as JSON lines; readers see the old files until all new ones are there."""
-    rows.write.mode("overwrite").json(path)
+    """Records as JSON lines; readers see the old ones until all new ones are there, and a write that fails leaves the old ones."""
+    versions = Versions(rows.sparkSession, path)
+    after, folder = versions.last(), versions.folder("data")
+    rows.write.json(folder)
+    versions.commit({"data": folder.rsplit("/", 1)[1]}, after)
 
 
 def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records that write_results() stored; a cache that isn't there, or lines that can't be read, hold nothing."""
-    if not Stored(spark, path).exists():
+    state = Versions(spark, path).read()
+    if state is None:
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    rows = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(f"{path}/{state['data']}")
     return rows.where("_broken is null").drop("_broken")
 
 

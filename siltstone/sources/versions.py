@@ -7,6 +7,8 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class Conflict(RuntimeError):
@@ -78,10 +80,55 @@ def write_table(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The last version of a table that write_table() made; an error where there is none."""
-    from pyspark.sql.types import StructType
-
     state = Versions(spark, path).read()
     if state is None:
         raise FileNotFoundError(f"there is no table at {path}")
     schema = StructType.fromJson(json.loads(state["schema"]))
     return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{state['data']}").select(*[f"`{c}`" for c in schema.names])
+
+
+BUCKETS = 64
+
+
+class KeyedTable:
+    """A table by a key, in buckets of the key's hash: rows that are put replace those of their keys, and only the buckets that they fall in are written again."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.key = spark, key
+        self.versions = Versions(spark, path)
+        self.buckets = (self.versions.read() or {"n": buckets})["n"]
+
+    def _bucket(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_bucket", F.pmod(F.xxhash64(F.col(f"`{self.key}`")), F.lit(self.buckets)).cast("int"))
+
+    def put(self, rows: DataFrame) -> DataFrame:
+        """The table with ``rows`` in it: of a key that both have the new rows stay. Nothing to put in changes nothing; new columns are null in old rows."""
+        after, state = self.versions.last(), self.versions.read()
+        fresh = self._bucket(rows)
+        folder = self.versions.folder("data")
+        name = folder.rsplit("/", 1)[1]
+        if state is not None:
+            touched = sorted(r["_bucket"] for r in fresh.select("_bucket").distinct().collect())  # a row a bucket
+            if not touched:
+                return self.read()
+            held = self._read(state, [state["at"][str(b)] for b in touched if str(b) in state["at"]])
+            if held is not None:
+                fresh = self._bucket(held).join(rows.select(self.key).distinct(), self.key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+        fresh.repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
+        schema = fresh.drop("_bucket").schema
+        written = [p.getPath().getName() for p in self.versions.fs.listStatus(self.versions._path(folder)) if p.isDirectory() and p.getPath().getName().startswith("_bucket=")]
+        at = (state or {"at": {}})["at"] | {w.split("=")[1]: f"{name}/{w}" for w in written}
+        self.versions.commit({"n": self.buckets, "at": at, "schema": schema.json()}, after)
+        return self.read()
+
+    def _read(self, state: dict, places: list[str]) -> DataFrame | None:
+        if not places:
+            return None
+        return self.spark.read.schema(StructType.fromJson(json.loads(state["schema"]))).parquet(*[f"{self.versions.root}/{p}" for p in places])
+
+    def read(self) -> DataFrame:
+        state = self.versions.read()
+        if state is None:
+            raise FileNotFoundError(f"there is no table at {self.versions.root}")
+        held = self._read(state, sorted(set(state["at"].values())))
+        return held if held is not None else self.spark.createDataFrame([], StructType.fromJson(json.loads(state["schema"])))

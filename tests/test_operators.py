@@ -9,6 +9,7 @@ from siltstone.operators import retrieval as R
 from siltstone.operators import tools as O
 from siltstone.operators import xbrl
 from siltstone.sources import files
+from siltstone.sources.versions import KeyedTable, read_table
 
 COLUMNS = {"query_id": "q", "query_text": "text", "id_col": "doc_id", "text_col": "text"}
 
@@ -112,7 +113,7 @@ def test_upsert_and_caches(spark, tmp_path):
     cache = str(tmp_path / "cache")
     assert files.read_cache(spark, cache, "id string, n long").count() == 0
     files.write_results(spark.createDataFrame([("q1", 3)], "id string, n long"), cache)
-    (tmp_path / "cache" / "part-broken.json").write_text('{"id": "q2", "n": \n')
+    (next((tmp_path / "cache").glob("data-*")) / "part-broken.json").write_text('{"id": "q2", "n": \n')
     assert [tuple(r) for r in files.read_cache(spark, cache, "id string, n long").collect()] == [("q1", 3)]
     made = files.index_chunks(spark.createDataFrame([("aapl", None, 0, "t")], "ticker string, source string, chunk_idx int, text string")).first()
     assert (made.chunk_id, made.ticker, made.source) == ("AAPL_10K_chunk_0", "AAPL", "")
@@ -144,7 +145,29 @@ def test_facts_are_stored_and_read(spark, tmp_path):
     held, filed = files.read_facts(spark, str(tmp_path / "facts"))
     assert held.where("ticker = 'U'").first().id == 2 and filed.count() == 1
     files.write_chunks(spark.createDataFrame([("T", 0, "x")], "ticker string, chunk_idx int, text string"), str(tmp_path / "chunks"))
-    assert spark.read.parquet(str(tmp_path / "chunks")).count() == 1
+    assert read_table(spark, str(tmp_path / "chunks")).count() == 1
+    with pytest.raises(Exception, match="boom"):
+        files.write_results(spark.range(1).selectExpr("cast(raise_error('boom') as string) as id"), str(tmp_path / "results"))
+    assert files.read_cache(spark, str(tmp_path / "results"), "id string").collect() == []
+    files.write_results(spark.createDataFrame([("q",)], "id string"), str(tmp_path / "results"))
+    with pytest.raises(Exception, match="boom"):
+        files.write_results(spark.range(1).selectExpr("cast(raise_error('boom') as string) as id"), str(tmp_path / "results"))
+    assert len(files.read_cache(spark, str(tmp_path / "results"), "id string").collect()) == 1  # what was there stays
+
+
+def test_only_the_buckets_of_new_rows_are_written(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "k string, n long")
+    held = KeyedTable(spark, str(tmp_path / "t"), "k", buckets=16)
+    held.put(rows(*[(f"k{i}", i) for i in range(100)]))
+    before = held.versions.read()["at"]
+    assert sorted(map(tuple, held.put(rows(("k5", 500), ("new", 1))).collect())) == sorted([(f"k{i}", i) for i in range(100) if i != 5] + [("k5", 500), ("new", 1)])
+    after = held.versions.read()["at"]
+    assert len(before) == 16 and 1 <= sum(after[b] != before[b] for b in before) <= 2
+    wider = held.put(spark.createDataFrame([("k6", 6, "x")], "k string, n long, more string"))
+    assert {r.k: r.more for r in wider.collect() if r.k in ("k6", "k7")} == {"k6": "x", "k7": None} and wider.count() == 101
+    with pytest.raises(Exception, match="boom"):
+        held.put(spark.range(1).selectExpr("'k1' as k", "cast(raise_error('boom') as bigint) as n"))
+    assert held.read().count() == 101 and held.versions.vacuum() >= 1 and held.read().count() == 101
 
 
 def test_redundant_calls_and_conformity(spark):
