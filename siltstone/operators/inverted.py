@@ -183,13 +183,15 @@ class TermIndex:
         if not self.state["tokens"]:
             return self._nothing(queries, query_id)
         asked, named = self._asked(queries, query_id, query_text)
-        rows = self._scan(named).join(self._sized(asked.select("query_id", "term", "weight"), queries, query_text), "term")
+        asked = asked.select("query_id", "term", "weight")
+        rows = self._scan(named).join(F.broadcast(asked) if self._few(queries, query_text) else asked, "term")
         part = F.col("weight") * self._share(F.col("tf"), F.col("dl"))
         return rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
 
-    def _sized(self, asked: DataFrame, queries: DataFrame, query_text: str) -> DataFrame:
-        size = queries.agg(F.sum(F.size(T.tokens(F.col(f"`{query_text}`"))))).first()[0] or 0
-        return F.broadcast(asked) if size <= ASKED_ROWS else asked
+    @staticmethod
+    def _few(queries: DataFrame, query_text: str) -> bool:
+        """Whether the queries have so few terms that these are broadcast."""
+        return (queries.agg(F.sum(F.size(T.tokens(F.col(f"`{query_text}`"))))).first()[0] or 0) <= ASKED_ROWS
 
     def _nothing(self, queries: DataFrame, query_id: str) -> DataFrame:
         id_type = self.state["id"] or "bigint"
@@ -206,7 +208,8 @@ class TermIndex:
         strength = W.partitionBy("query_id").orderBy(F.desc("bound"), "term")
         before = F.coalesce(F.sum("df").over(strength.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         asked = stored(asked.withColumn("first", before < seed), "asked")
-        sized = lambda rows: self._sized(rows, queries, query_text)
+        few = self._few(queries, query_text)
+        sized = lambda rows: F.broadcast(rows) if few else rows
         part = F.col("weight") * self._share(F.col("tf"), F.col("dl"))
         # a document scores at least what its seed terms give, less what negative weights may take
         tail = F.sum(F.when(~F.col("first"), F.least("weight", F.lit(0.0)) * (K1 + 1)).otherwise(0.0)).over(W.partitionBy("query_id"))
