@@ -78,15 +78,6 @@ def bm25_top(queries: DataFrame, docs: DataFrame | TermIndex, k: int, query_id:
     return index.top(queries, k, query_id, query_text)
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product in double precision."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
 def dense_top(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
     """The ``k`` nearest of each query by exact score, itself left out; scores are rounded to 6 places only to be shown."""
     found = nearest(queries, vectors, k, id_col, vector_col, id_col=id_col, vector_col=vector_col, others=True)

@@ -339,7 +339,7 @@ def thread_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "answer_stream",
     """WITH a AS (SELECT conv_id, turn, CASE WHEN conv_id % 9 = 4 THEN ' ' WHEN conv_id % 9 = 5 THEN 'I need more steps' ELSE text END AS answer FROM conversations WHERE role = 'assistant'),
-u AS (SELECT *, regexp_extract_all(answer, '\S+\s*') AS words FROM a WHERE conv_id % 9 NOT IN (4, 5)), w AS (SELECT conv_id, turn, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS seq FROM u)
+u AS (SELECT *, regexp_extract_all(answer, '\\S+\\s*') AS words FROM a WHERE conv_id % 9 NOT IN (4, 5)), w AS (SELECT conv_id, turn, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS seq FROM u)
 SELECT conv_id, turn, seq::BIGINT AS seq, 'token' AS kind, word AS payload FROM w
 UNION ALL SELECT conv_id, turn, len(words) + i, ['sources', 'verification', 'meta', 'done'][i + 1], CASE i WHEN 0 THEN '[{"id":"T_10K_chunk_' || turn || '","rank":1}]' WHEN 1 THEN '{"status":"' || CASE WHEN conv_id % 2 = 0 THEN 'verified' ELSE 'refused' END || '","n_figures":' || turn || '}' WHEN 2 THEN '{"words":' || len(words) || '}' ELSE '' END FROM u, range(4) t(i)
 UNION ALL SELECT conv_id, turn, 0, 'error', CASE conv_id % 9 WHEN 4 THEN 'empty_answer' ELSE 'recursion_limit' END FROM a WHERE conv_id % 9 IN (4, 5)""",
