@@ -26,6 +26,7 @@ from siltstone.sources.versions import Versions
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 PARTS, SEED = 16, 4096
+PRUNE_FROM = 1 << 26  # postings of all asked terms; under it scoring them all is cheaper than the second round
 ASKED_ROWS = 200_000  # query terms that are broadcast; more of them are joined by term
 NAMED_TERMS = 400  # different query terms that go into the scan as a filter
 SLACK = 2e-6  # scores are rounded to six places: what may tie with the floor stays
@@ -197,13 +198,15 @@ class TermIndex:
         id_type = self.state["id"] or "bigint"
         return queries.select(F.col(f"`{query_id}`").alias("query_id"), F.lit(None).cast(id_type).alias("doc_id"), F.lit(0.0).alias("score")).where("score > 0")
 
-    def top(self, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query_text", seed: int = SEED) -> DataFrame:
-        """(query_id, rank, doc_id, score): the ``k`` best of each question, ties to the smaller id; what scores() gives, from fewer postings."""
+    def top(self, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query_text", seed: int = SEED, prune_from: int = PRUNE_FROM) -> DataFrame:
+        """(query_id, rank, doc_id, score): the ``k`` best of each question, ties to the smaller id; what scores() gives, from fewer postings where there are many."""
         best = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
         rank = F.row_number().over(best).cast("long").alias("rank")
         if not self.state["tokens"]:
             return self._nothing(queries, query_id).select("query_id", rank, "doc_id", "score")
         asked, named = self._asked(queries, query_id, query_text)
+        if prune_from and (asked.agg(F.sum("df")).first()[0] or 0) < prune_from:
+            return self.scores(queries, query_id, query_text).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
         postings = self._scan(named)
         strength = W.partitionBy("query_id").orderBy(F.desc("bound"), "term")
         before = F.coalesce(F.sum("df").over(strength.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -69,7 +69,7 @@ def bm25_index_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     alien = docs.where(n % 7 == 0).select((-1 - n).alias("doc_id"), "text")
     made = inverted.TermIndex.open(spark, f"{shared_dir(spark)}/bm25/{uuid.uuid4().hex}").put(early.unionByName(alien))
     made = made.put(docs.where(n % 3 != 0)).delete(alien)
-    return made.top(table(spark, sf_dir, "benchmark"), 5, "item_id", "text")
+    return made.top(table(spark, sf_dir, "benchmark"), 5, "item_id", "text", prune_from=0)
 
 
 @query("bm25_filtered", f"WITH {bm25_sql(where='JOIN documents USING (doc_id) WHERE lang = $$en$$'.replace('$$', chr(39)))} SELECT * FROM ranked")

@@ -77,14 +77,15 @@ def test_pruning_changes_nothing(spark, tmp_path, seed):
     asked = [(i, " ".join(random.Random(i).choices([f"w{j}" for j in range(70)], k=1 + i % 9))) for i in range(20)] + [(99, "w0 w0 w1"), (100, ""), (101, None), (102, "unknown")]
     index = inverted.TermIndex.open(spark, str(tmp_path / "i")).put(frame(spark, docs))
     q = spark.createDataFrame(asked, "query_id long, query_text string")
-    assert sorted((r.query_id, r.rank, r.doc_id) for r in index.top(q, 4, seed=seed).collect()) == plain_bm25(docs, asked, 4)
+    for prune_from in (0, inverted.PRUNE_FROM):
+        assert sorted((r.query_id, r.rank, r.doc_id) for r in index.top(q, 4, seed=seed, prune_from=prune_from).collect()) == plain_bm25(docs, asked, 4)
 
 
 def test_an_index_in_batches(spark, tmp_path):
     path, docs = str(tmp_path / "i"), corpus(7, 60)
     asked = [(i, f"w{i} w{i + 1} w2") for i in range(12)]
     q = spark.createDataFrame(asked, "query_id long, query_text string")
-    answers = lambda index: sorted((r.query_id, r.rank, r.doc_id) for r in index.top(q, 5, seed=8).collect())
+    answers = lambda index: sorted((r.query_id, r.rank, r.doc_id) for r in index.top(q, 5, seed=8, prune_from=0).collect())
     index = inverted.TermIndex.open(spark, path)
     assert answers(index) == [] and index.statistics()["n_docs"] == 0
     index = index.put(frame(spark, docs))
