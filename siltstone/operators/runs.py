@@ -41,15 +41,15 @@ def agent_llm_calls(llm_calls: Column, status: Column, attempts: Column) -> Colu
     return llm_calls - F.when(ran, F.coalesce(attempts, F.lit(0))).otherwise(0)
 
 
-def strata(rows: DataFrame, blocks: list[Column], by: str = "question_type", order: tuple[str, ...] = QUESTION_TYPES) -> DataFrame:
-    """A row for all records and one for each value of ``by`` (blank ones are in the first only): stratum, place and the columns ``blocks``.
+def strata(rows: DataFrame, blocks: list[Column], by: str = "question_type", order: tuple[str, ...] = QUESTION_TYPES, within: tuple[str, ...] = ()) -> DataFrame:
+    """A row for all records and one for each value of ``by`` (blank ones are in the first only): stratum, place and the columns ``blocks``; for each of ``within``, if given.
 
     Declared strata come first, others by name; both come from one pass over the records.
     """
-    sets = rows.groupingSets([[], [by]], by).agg(F.grouping(by).alias("_all"), *blocks)
+    sets = rows.groupingSets([[*within], [*within, by]], *within, by).agg(F.grouping(by).alias("_all"), *blocks)
     sets = sets.where((F.col("_all") == 1) | (F.coalesce(F.col(by), F.lit("")) != ""))
     place = F.when(F.col("_all") == 1, -1).otherwise(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col(by)), F.lit(0)), F.lit(len(order) + 1)))
-    return sets.select(F.when(F.col("_all") == 1, OVERALL).otherwise(F.col(by)).alias("stratum"), place.cast("long").alias("place"), *[c for c in sets.columns if c not in (by, "_all")])
+    return sets.select(*within, F.when(F.col("_all") == 1, OVERALL).otherwise(F.col(by)).alias("stratum"), place.cast("long").alias("place"), *[c for c in sets.columns if c not in (by, "_all", *within)])
 
 
 def _mean(value: Column, where: Column, digits: int = 4) -> Column:
@@ -99,17 +99,37 @@ def score_block(metrics: tuple[str, ...]) -> list[Column]:
     return out
 
 
-def generation_aggregates(records: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
-    """Judged means, deterministic checks and costs, overall and by question type, with latency percentiles."""
-    block = strata(records, [F.count("*").alias("n_items"), *score_block(metrics), *deterministic_block(), *cost_block()])
-    return block.join(latency(records, "latency_ms").drop("n", "mean"), "stratum", "left")
+def aggregate_blocks(metrics: tuple[str, ...]) -> list[Column]:
+    return [F.count("*").alias("n_items"), *score_block(metrics), *deterministic_block(), *cost_block()]
 
 
-def attach_deterministic(records: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+def generation_aggregates(records: DataFrame, metrics: tuple[str, ...], within: tuple[str, ...] = ()) -> DataFrame:
+    """Judged means, deterministic checks and costs, overall and by question type, with latency percentiles; for each of ``within`` (a run), if given."""
+    block = strata(records, aggregate_blocks(metrics), within=within)
+    return block.join(latency(records, "latency_ms", within=within).drop("n", "mean"), [*within, "stratum"], "left")
+
+
+#: What the checks by labels give, and what a record without a label has.
+AGENT = ("labelled", "n_groups", "hit", "recall", "mrr", "first_rank")
+
+
+def agent_retrieval(records: DataFrame, groups: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keys, labelled, n_groups, hit, recall, mrr, first_rank) of the records (keys, id, retrieved) whose item has label groups (item_id, group_id, doc_id)."""
+    asked = records.select(*keys, F.col("id").alias("item_id")).distinct()
+    ranked = records.select(*keys, F.posexplode("retrieved").alias("_at", "doc_id")).groupBy(*keys, "doc_id").agg((F.min("_at") + 1).alias("_rank"))
+    hits = asked.join(groups, "item_id").join(ranked, [*keys, "doc_id"], "left").groupBy(*keys, "group_id").agg(F.min("_rank").alias("_hit"))
+    return hits.groupBy(*keys).agg(
+        F.lit(True).alias("labelled"), F.count("*").alias("n_groups"), F.min("_hit").isNotNull().alias("hit"), F.round(F.avg(F.when(F.col("_hit").isNotNull(), 1.0).otherwise(0.0)), 4).alias("recall"),
+        F.round(F.coalesce(1 / F.min("_hit"), F.lit(0.0)), 4).alias("mrr"), F.min("_hit").alias("first_rank"),
+    )
+
+
+def attach_deterministic(records: DataFrame, groups: DataFrame | None = None, keys: tuple[str, ...] = ("id",), scored: Column | None = None) -> DataFrame:
     """Records with their judge-free checks: figure_*, draft_primary, grounding_*, and by labels labelled, n_groups, hit, recall, mrr, first_rank.
 
-    records: (id, ground_truth, answer, draft_answer, status, observations, retrieved); groups: (item_id, group_id, doc_id), without which what the records
-    hold of an agent's retrieval is kept as it is. A refused answer states no figure; a draft counts where it isn't the answer; items without a label have nulls.
+    records: (keys, id, ground_truth, answer, draft_answer, status, observations, retrieved); groups: (item_id, group_id, doc_id), without which what the records
+    hold of an agent's retrieval is kept as it is, as it is where ``scored`` doesn't hold. A refused answer states no figure; a draft counts where it isn't the answer;
+    items without a label have nulls. ``keys`` tell records apart: with the records of several runs, the run and the id.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     seen = F.array_join(F.coalesce("observations", F.array().cast("array<string>")), "\n")
@@ -124,13 +144,45 @@ def attach_deterministic(records: DataFrame, groups: DataFrame | None = None) ->
     rows = rows.withColumns(checked).drop("_truth", "_said", "_drafted", "_seen", "_f", "_d", "_g")
     if groups is None:
         return rows
-    ranked = records.select(F.col("id").alias("item_id"), F.posexplode("retrieved").alias("_at", "doc_id")).groupBy("item_id", "doc_id").agg((F.min("_at") + 1).alias("rank"))
-    hits = M.group_ranks(ranked, groups).groupBy("item_id").agg(
-        F.count("*").alias("n_groups"), F.min("hit").alias("first_rank"), F.round(F.avg(F.when(F.col("hit").isNotNull(), 1.0).otherwise(0.0)), 4).alias("recall"), F.round(F.coalesce(1 / F.min("hit"), F.lit(0.0)), 4).alias("mrr")
-    )
-    rows = rows.drop("labelled", "n_groups", "hit", "recall", "mrr", "first_rank").join(hits.withColumnRenamed("item_id", "id"), "id", "left")
-    labelled = F.col("n_groups").isNotNull()
-    return rows.withColumn("labelled", labelled).withColumn("hit", F.when(labelled, F.col("first_rank").isNotNull())).withColumn("n_groups", F.coalesce("n_groups", F.lit(0)))
+    marked = rows.withColumn("_scored", F.lit(True) if scored is None else F.coalesce(scored, F.lit(False)))
+    fresh = agent_retrieval(marked.where("_scored"), groups, keys)
+    rows = marked.join(fresh.select(*keys, *[F.col(c).alias(f"_{c}") for c in AGENT]), list(keys), "left")
+    new = {c: F.col(f"_{c}") for c in AGENT} | {"labelled": F.coalesce("_labelled", F.lit(False)), "n_groups": F.coalesce("_n_groups", F.lit(0).cast("long"))}
+    held = {c: F.when(F.col("_scored"), new[c]).otherwise(F.col(c)) if c in records.columns else F.when(F.col("_scored"), new[c]) for c in AGENT}
+    return rows.withColumns(held).drop("_scored", *[f"_{c}" for c in AGENT])
+
+
+#: Version of the rules by which figures are found and matched, kept with what they gave.
+FIGURE_RULES = 1
+ALL_CHECKS, FIGURES_ONLY = "figures, grounding, agent retrieval and aggregates", "figures and grounding; agent retrieval kept, its labels are of another index"
+
+
+def _generation(runs: DataFrame, version: str) -> DataFrame:
+    """(run, same_index, has_aggregates) of the generation runs among (run, result_kind, benchmark_version, has_aggregates)."""
+    same = F.col("benchmark_version").eqNullSafe(F.lit(version))
+    return runs.where("result_kind = 'generation'").select("run", same.alias("same_index"), F.coalesce("has_aggregates", F.lit(False)).alias("has_aggregates"))
+
+
+def recomputed(records: DataFrame, runs: DataFrame, groups: DataFrame, version: str) -> DataFrame:
+    """Stored records of the generation runs under the present rules; judged scores stay.
+
+    records: (run, id, ...) as generation_aggregates() and attach_deterministic() take them, an id once in a run; runs: (run, result_kind, benchmark_version, has_aggregates).
+    Labels belong to one index: a run of another benchmark version than ``version`` keeps the agent retrieval that it was scored with, and has its figures and grounding done anew.
+    """
+    taken = _generation(runs, version).select("run", F.col("same_index").alias("_same"))
+    return attach_deterministic(records.join(taken, "run"), groups, ("run", "id"), F.col("_same")).drop("_same")
+
+
+def recomputed_aggregates(records: DataFrame, runs: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    """Aggregates of what recomputed() gave, by run and stratum, for runs that had some; where no run had, nothing."""
+    rows = records.join(_generation(runs, "").where("has_aggregates").select("run"), "run", "left_semi")
+    return generation_aggregates(rows, metrics, ("run",))
+
+
+def recompute_notes(runs: DataFrame, version: str) -> DataFrame:
+    """(run, what, same_index, figure_rules): what recomputed() did to each run."""
+    taken = _generation(runs, version)
+    return taken.select("run", F.when(F.col("same_index"), ALL_CHECKS).otherwise(FIGURES_ONLY).alias("what"), "same_index", F.lit(FIGURE_RULES).alias("figure_rules"))
 
 
 def tool_totals(records: DataFrame) -> DataFrame:
@@ -146,14 +198,14 @@ def failure_counts(records: DataFrame) -> DataFrame:
     return judged.select(F.explode("failures").alias("check")).groupBy("check").agg(F.count("*").alias("n"))
 
 
-def latency(records: DataFrame, value: str, exclude_terminal: bool = False) -> DataFrame:
-    """(stratum, n, mean, p50, p95, p50_linear, p95_linear) overall and by question type."""
+def latency(records: DataFrame, value: str, exclude_terminal: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within, stratum, n, mean, p50, p95, p50_linear, p95_linear) overall and by question type."""
     rows = records.where(F.col(value).isNotNull())
     rows = rows.where(F.col("terminal_failure").isNull()) if exclude_terminal else rows
-    both = rows.select(F.explode(F.array(F.lit(OVERALL), F.nullif(F.col("question_type"), F.lit("")))).alias("stratum"), F.col(value).alias("_value")).where("stratum is not null")
-    means = both.groupBy("stratum").agg(F.count("*").alias("n"), F.round(F.avg("_value"), 1).alias("mean"))
+    both = rows.select(*within, F.explode(F.array(F.lit(OVERALL), F.nullif(F.col("question_type"), F.lit("")))).alias("stratum"), F.col(value).alias("_value")).where("stratum is not null")
+    means = both.groupBy(*within, "stratum").agg(F.count("*").alias("n"), F.round(F.avg("_value"), 1).alias("mean"))
     wanted = {"p50": ("nearest", 50), "p95": ("nearest", 95), "p50_linear": ("linear", 50), "p95_linear": ("linear", 95)}
-    return means.join(N.percentiles(both, ["stratum"], "_value", wanted), "stratum")
+    return means.join(N.percentiles(both, [*within, "stratum"], "_value", wanted), [*within, "stratum"])
 
 
 def subset(records: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -173,6 +225,11 @@ def judged_values(records: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     return block.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value")) for m, v in values.items()])))
 
 
+def calibration_values(records: DataFrame, ids: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    """(metric, value) of a committed run over the items of a gate alone: what its thresholds sit under."""
+    return judged_values(subset(records, ids)[0], metrics)
+
+
 def mismatches(config: DataFrame, expected: DataFrame, defaults: dict[str, str] | None = None) -> DataFrame:
     """(key, expected, got) where a run's configuration differs from what its thresholds were set for; both are (key, value)."""
     got = F.coalesce(F.col("value"), F.element_at(F.create_map(*[F.lit(x) for kv in (defaults or {"": ""}).items() for x in kv]), F.col("key")))

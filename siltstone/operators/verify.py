@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import figures as G
 from siltstone.functions import messages as S
+from siltstone.functions import text as T
 
 #: Lines that structure an observation, fixed patterns.
 SECTION = r"^===\s*(\S+)\s*==="
@@ -151,3 +152,21 @@ def refusal(failures: Column, shown: int = 4) -> Column:
     """Reasons of a refusal, the first few and how many more."""
     reasons = F.transform(F.slice(failures, 1, shown), lambda f: F.concat(f["check"], F.lit(": "), f["detail"]))
     return F.concat(F.array_join(reasons, "; "), F.when(F.size(failures) > shown, F.concat(F.lit("; and "), (F.size(failures) - shown).cast("string"), F.lit(" more"))).otherwise(""))
+
+
+def upgraded(records: DataFrame, run: str, marker: str) -> DataFrame:
+    """Records of any age in the present shape, nothing generated again; ``run`` tells them apart.
+
+    records: (run, answer, contexts, and as far as they have them observations and terminal_failure). Old ones kept what tools showed under contexts; from it come
+    observations, contexts (one for each passage, fact and result), retrieved (ids of passages by first appearance), n_observations and n_contexts. An answer that
+    ended early is told by its text where nothing is noted.
+    """
+    empty = F.array().cast("array<string>")
+    held = {c: F.col(c) if c in records.columns else F.lit(None).cast(t) for c, t in (("observations", "array<string>"), ("terminal_failure", "string"))}
+    ended = F.coalesce(held["terminal_failure"], T.terminal_state(F.col("answer"), marker))
+    rows = records.withColumns({"observations": F.coalesce(held["observations"], F.col("contexts"), empty), "terminal_failure": ended, "recursion_limit_hit": F.coalesce(ended == "recursion_limit", F.lit(False))})
+    parsed = parse(rows.select(run, F.posexplode("observations").alias("obs", "text")), [run, "obs"], "text")
+    shown = contexts(parsed, run, ["obs", "pos"]).join(first_seen(parsed, run, ["obs", "pos"]), run, "left")
+    rows = rows.drop("contexts", "retrieved", "n_contexts").join(shown.withColumnRenamed("ids", "retrieved"), run, "left")
+    rows = rows.withColumns({c: F.coalesce(c, empty) for c in ("contexts", "retrieved")})
+    return rows.withColumns({f"n_{c}": F.size(c).cast("long") for c in ("observations", "contexts")})

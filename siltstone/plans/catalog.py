@@ -32,7 +32,7 @@ def _load() -> None:
         import_module(f"siltstone.plans.{module}")
 
 
-MODULES: tuple[str, ...] = ("retrieval", "corpus", "facts", "evaluation", "runs", "streams")
+MODULES: tuple[str, ...] = ("retrieval", "corpus", "facts", "evaluation", "runs", "stored", "streams")
 
 
 def queries() -> dict[str, Query]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.operators import corpus as C
 from siltstone.sources.versions import KeyedTable, Versions, write_table
 
 BENCHMARK = ("id", "ticker", "question", "ground_truth", "reference_contexts", "question_type", "section", "difficulty", "requires_table", "notes")
@@ -14,7 +15,7 @@ RESULT = "schema_version int, result_kind string, run_id string, run_status stri
 
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
     """Labelled questions, all columns strings; missing columns and repeated ids are errors."""
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("lineSep", "\n").csv(path)
     if lost := [c for c in BENCHMARK[:5] if c not in rows.columns]:
         raise ValueError(f"{path} lacks {lost}")
     if not rows.groupBy("id").count().where("count > 1").isEmpty():
@@ -22,6 +23,20 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def write_benchmark(rows: DataFrame, path: str) -> None:
+    """Labelled questions as CSV, as read_benchmark() takes them: whole texts, with their line ends and the white space around them."""
+    if lost := [c for c in BENCHMARK[:5] if c not in rows.columns]:
+        raise ValueError(f"a benchmark lacks {lost}")
+    columns = [c for c in BENCHMARK if c in rows.columns]
+    rows.select(*columns).write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def write_labels(labels: DataFrame, path: str, files: int = 16) -> None:
+    """(id, label) as JSON files with a map ``items``, as read_labels() takes them: each id in one of ``files`` files by its hash, so that no task holds all. A repeated id is an error."""
+    rows = labels.select(F.col("id").cast("string").alias("id"), "label").withColumn("file", F.pmod(F.xxhash64("id"), F.lit(files)))
+    rows.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("id", "label"))).alias("items")).write.partitionBy("file").json(path)
+
+
 def read_labels(spark: SparkSession, path: str, item: str) -> DataFrame:
     """(id, label) from a JSON file with a map ``items``; ``item`` is the label's type."""
     rows = spark.read.schema(f"items map<string,{item}>").option("multiLine", True).json(path)
@@ -42,12 +57,19 @@ def records(results: DataFrame) -> DataFrame:
     return rows.withColumns({"retrieved_chunk_ids": F.coalesce("retrieved_chunk_ids", empty), "observations": F.coalesce("observations", empty)})
 
 
-def newest_filings(spark: SparkSession, root: str) -> DataFrame:
-    """(ticker, path, text): the last filing of each company folder by path, decoded as Latin-1."""
+#: The company in a filing's path: its folder, or the one above a folder for the form and one for the filing.
+COMPANY = r"([^/]+)/(?:10-K/[^/]+/)?[^/]+\.txt$"
+
+
+def newest_filings(spark: SparkSession, root: str, company: str = COMPANY) -> DataFrame:
+    """(ticker, path, text): the last filing of each company by path, decoded as Latin-1; names of filings sort by their time.
+
+    ``company`` is a pattern whose group is the company in a path. Which file is the last is told from the listing; only those files are read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root)
-    named = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("ticker"), "path")
+    named = files.select(F.regexp_extract("path", company, 1).alias("ticker"), "path")
     last = named.groupBy("ticker").agg(F.max("path").alias("path"))
-    return files.join(last, "path", "left_semi").select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("ticker"), "path", F.decode("content", "ISO-8859-1").alias("text"))
+    return files.select("path", "content").join(last, "path").select("ticker", "path", F.decode("content", "ISO-8859-1").alias("text"))
 
 
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
@@ -56,6 +78,11 @@ def read_texts(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def chunk_directory(spark: SparkSession, root: str) -> DataFrame:
+    """(path, chunk_idx, chunk) of every text file under a folder; chunks of a file are counted from 0."""
+    return C.chunks(read_texts(spark, root), ["path"], "text")
+
+
 def write_chunks(chunks: DataFrame, path: str) -> DataFrame:
     """Chunks by company, so that a filter on one reads its folder only; readers see the old ones until all new ones are there."""
     return write_table(chunks, path, "ticker")
