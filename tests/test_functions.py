@@ -65,3 +65,26 @@ def test_nearest_rank_rounds_half_even(spark):
     rows = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "v double").withColumn("g", F.lit(1))
     assert N.percentiles(rows, ["g"], "v", {"p": ("nearest", 50)}).first().p == 3.0
     assert N.percentiles(rows.where("v > 9"), ["g"], "v", {"p": ("nearest", 50)}).count() == 0
+
+
+def test_classes_by_plain_rules(spark):
+    import re
+
+    long, prose = "x" * 31, "A line of words goes on and on. " * 5
+    texts = [None, "", " \n\t", prose, f"\n {prose}", prose + "<TD", prose + "&LT;", prose + 'STYLE="', prose + "style=x", prose + "metaLINKS", prose + "x.XSD", prose + '"report" :', prose + '"quoted"', prose + "_CAL.xml", prose + "a.xml"]
+    texts += [prose + " ".join([long] * n) for n in (2, 3)] + [prose + " ".join(["us-gaap:Revenues"] * n) for n in (2, 3)] + [prose + "a: b_c", "12 34,5 " * 30, "1é" * 80, "x" * 119, "x" * 120, prose + "C_0123abcd dei_X iso4217:U", prose + "HTTP://XBRL.x " * 3]
+
+    def plain(text):
+        bare = re.sub(r"\A[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+\Z", "", text or "")
+        if len(bare) < T.SHORT_CHARS:
+            return "short fragment"
+        if re.search(T.MARKUP, bare):
+            return "escaped markup"
+        if re.search(T.JSON_LIKE, bare):
+            return "json / metadata"
+        if len(re.findall(T.IDENTIFIER, bare)) >= 3 or sum(len(w) > 30 for w in bare.split()) > 2:
+            return "identifiers"
+        return "numeric table" if sum(c.isalpha() for c in bare) / len(bare) < 0.4 else "prose"
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("n", T.classify(F.col("text")).alias("c")).collect()
+    assert {r.n: r.c for r in rows} == {n: plain(t) for n, t in enumerate(texts)}
