@@ -1,5 +1,7 @@
 """Files written by the library's sinks and read by its sources, and stored records brought up to date."""
 
+import uuid
+
 import pytest
 
 from siltstone.operators import runs as R
@@ -49,17 +51,17 @@ def test_directory_chunks(spark, sf):
     assert got == {k: v for k, v in want.items() if v}
 
 
-def test_half_written_files_are_written_again(spark, sf, tmp_path):
-    calls = []
+def test_half_written_files_are_written_again(spark, sf):
+    calls, what = [], f"half-{uuid.uuid4().hex}"
 
     def write(rows, path):
         calls.append(path)
         rows.limit(1).write.json(path)
 
-    at = stored._written(spark, sf, "labels", f"half-{tmp_path.name}", write)
-    assert stored._written(spark, sf, "labels", f"half-{tmp_path.name}", write) == at and len(calls) == 1
+    at = stored._written(spark, sf, "labels", what, write)
+    assert stored._written(spark, sf, "labels", what, write) == at and len(calls) == 1
     files.Stored(spark, f"{at}/_SUCCESS").delete()
-    stored._written(spark, sf, "labels", f"half-{tmp_path.name}", write)
+    stored._written(spark, sf, "labels", what, write)
     assert len(calls) == 2 and spark.read.json(at).count() == 1
 
 
