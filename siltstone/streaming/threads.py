@@ -127,9 +127,13 @@ def timed_memory(turns: DataFrame, ttl_seconds: int = TTL_SECONDS, limit: int =
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables under ``sf_dir`` as a file stream."""
+    """One of the tables under ``sf_dir`` as a file stream: a file, or a folder of files of any names."""
     path = f"{sf_dir}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    rows = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return rows.parquet(path)
+    return rows.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)  # a stream takes folders only
 
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

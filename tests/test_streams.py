@@ -91,3 +91,15 @@ def test_timed_memory(spark, tmp_path):
     turns = [(1, 1, "turn", 0), (1, 2, "turn", 1), (1, 3, "turn", 1), (1, 4, "turn", 2), (1, 5, "turn", 0), (2, 1, "turn", 0), (3, 1, "turn", 0)]
     assert got == sorted([*turns, (1, None, "expired", 1), (2, None, "expired", 1)], key=str)
     assert shared_dir(spark)
+
+
+def test_a_table_in_a_folder_of_files_is_a_stream_too(spark, tmp_path):
+    from siltstone.plans import streams
+
+    rows = [(c, t, "user" if t % 2 else "bot", "x") for c in range(5) for t in range(9)]
+    made = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in streams.stream_thread_state(spark, str(tmp_path)).collect())
+    assert got == [(c, t, min(t, 6)) for c in range(5) for t in range(9)]
+    got = sorted(tuple(r) for r in streams.stream_thread_admission(spark, str(tmp_path)).collect())
+    assert got == [(c, t, t // 2) for c in range(5) for t in range(9)]
