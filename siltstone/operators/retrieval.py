@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.operators.inverted import TermIndex
 from siltstone.operators.nearest import nearest
-from siltstone.session import shared_dir
+from siltstone.session import shared_dir, stored
+
+FEW_RANKED = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -69,7 +71,7 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, id
 def indexed(docs: DataFrame, id_col: str, text_col: str) -> TermIndex:
     """An index of ``docs`` in a folder of its own."""
     spark = docs.sparkSession
-    return TermIndex.open(spark, f"{shared_dir(spark)}/bm25/{uuid.uuid4().hex}").put(docs, id_col, text_col)
+    return TermIndex.open(spark, f"{shared_dir(spark)}/bm25/{uuid.uuid4().hex}").put(docs, id_col, text_col, by_term=False)
 
 
 def bm25_top(queries: DataFrame, docs: DataFrame | TermIndex, k: int, query_id: str, query_text: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,6 +80,12 @@ def bm25_top(queries: DataFrame, docs: DataFrame | TermIndex, k: int, query_id:
     return index.top(queries, k, query_id, query_text)
 
 
+def with_texts(ranked: DataFrame, docs: DataFrame) -> DataFrame:
+    """Ranked rows (doc_id, ...) with their documents; these are read once and stay where they are unless there are many ranked rows."""
+    ranked = stored(ranked, "ranked")
+    return docs.join(F.broadcast(ranked) if ranked.count() <= FEW_RANKED else ranked, "doc_id")
+
+
 def dense_top(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
     """The ``k`` nearest of each query by exact score, itself left out; scores are rounded to 6 places only to be shown."""
     found = nearest(queries, vectors, k, id_col, vector_col, id_col=id_col, vector_col=vector_col, others=True)
@@ -140,7 +148,6 @@ def retrieve(
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("query_text"), wanted.alias("wanted"), *(["vector"] if config.mode != "bm25" else []))
     held = F.upper(F.col(ticker_col)) if ticker_col in docs.columns else F.lit("UNKNOWN")
     passages = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit("UNKNOWN")).alias("ticker"))
-    fits, order = F.col("wanted").isNull() | (F.col("wanted") == F.col("ticker")), [F.desc("score"), F.asc("doc_id")]
     lists = []
     if config.mode != "bm25":
         rows = vectors.select(F.col(id_col).alias("doc_id"), "vector").join(passages.select("doc_id", "ticker"), "doc_id")
@@ -150,10 +157,9 @@ def retrieve(
         if config.ticker_filter == "none" and ticker_col not in queries.columns:
             lists.append((index.top(asked, depth), config.sparse_weight))
         else:
-            scored = index.scores(asked).join(asked.select("query_id", "wanted"), "query_id").join(passages.select("doc_id", "ticker"), "doc_id").where(fits)
-            lists.append((top(scored, depth, order), config.sparse_weight))
+            lists.append((index.top(asked, depth, values=passages.select("doc_id", F.col("ticker").alias("value")), wanted="wanted"), config.sparse_weight))
     ranked = lists[0][0] if len(lists) == 1 else fuse_top(lists, depth, config.rrf_k)
-    found = ranked.select("query_id", "rank", "doc_id").join(passages, "doc_id")
+    found = with_texts(ranked.select("query_id", "rank", "doc_id"), passages)
     if config.rerank:
         found = rerank(found.join(asked.select("query_id", "query_text"), "query_id"), scorer, k)
     return found.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "ticker", "text")

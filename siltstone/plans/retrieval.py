@@ -47,8 +47,9 @@ def index(spark: SparkSession, sf_dir: str) -> inverted.TermIndex:
     return inverted.load_or_build(spark, place_of(spark, sf_dir, "documents", "terms"), docs, docs.count())
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index(spark, sf_dir).scores(table(spark, sf_dir, "benchmark"), "item_id", "text")
+def _valued(spark: SparkSession, sf_dir: str, k: int, values: DataFrame) -> DataFrame:
+    """The best of each value (doc_id, value) for each question."""
+    return index(spark, sf_dir).top(table(spark, sf_dir, "benchmark"), k, "item_id", "text", values=values)
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
@@ -76,8 +77,7 @@ def bm25_index_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter acts after scoring: corpus statistics stay those of all documents."""
     docs = table(spark, sf_dir, "documents")
-    scored = _scored(spark, sf_dir).join(docs.where("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
-    return R.top(scored, 5, [F.desc("score"), F.asc("doc_id")]).select("query_id", "rank", "doc_id", "score")
+    return _valued(spark, sf_dir, 5, docs.where("lang = 'en'").select("doc_id", F.col("lang").alias("value"))).select("query_id", "rank", "doc_id", "score")
 
 
 @query(
@@ -87,9 +87,7 @@ def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compare_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of each source for each question."""
     docs = table(spark, sf_dir, "documents")
-    scored = _scored(spark, sf_dir).join(docs.select("doc_id", "source"), "doc_id")
-    keyed = scored.withColumn("pair", F.struct("query_id", "source"))
-    return R.top(keyed, 2, [F.desc("score"), F.asc("doc_id")], within="pair").select("query_id", "source", "rank", "doc_id", "score")
+    return _valued(spark, sf_dir, 2, docs.select("doc_id", F.col("source").alias("value"))).withColumnRenamed("value", "source")
 
 
 @query("bm25_corpus_stats", f"WITH {bm25_sql()} SELECT n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM idf0) AS n_terms, (SELECT round(avg(raw), 6) FROM idf0) AS mean_idf FROM st")
@@ -283,7 +281,7 @@ SELECT query_id, rank, doc_id, rerank_score FROM (SELECT *, row_number() OVER (P
 )
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    candidates = _bm25(spark, sf_dir, 25).join(docs.select("doc_id", "text"), "doc_id").join(queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
+    candidates = R.with_texts(_bm25(spark, sf_dir, 25), docs.select("doc_id", "text")).join(queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
     return R.rerank(candidates, R.overlap_scorer(), 5).select("query_id", "rank", "doc_id", "rerank_score")
 
 
@@ -309,7 +307,7 @@ SELECT query_id, rank, doc_id, score AS rerank_score FROM (SELECT *, row_number(
 def rerank_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same candidates as rerank_topk, reranked by an encoder's inner products."""
     queries, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    candidates = _bm25(spark, sf_dir, 25).join(docs.select("doc_id", "text"), "doc_id").join(queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
+    candidates = R.with_texts(_bm25(spark, sf_dir, 25), docs.select("doc_id", "text")).join(queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
     return R.rerank(candidates, models.cosine_scorer(models.projection()), 5).select("query_id", "rank", "doc_id", "rerank_score")
 
 
@@ -425,7 +423,7 @@ def unlabelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("context_block", f"WITH {bm25_sql(k=3)} SELECT query_id, string_agg('[' || rank || '] document ' || doc_id || chr(10) || trim(replace(left(text, 500), chr(10), ' ')), chr(10) || chr(10) ORDER BY rank) AS context FROM ranked JOIN documents USING (doc_id) GROUP BY query_id")
 def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered passages with a header, k of them at most."""
-    rows = _bm25(spark, sf_dir, 3).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    rows = R.with_texts(_bm25(spark, sf_dir, 3), table(spark, sf_dir, "documents").select("doc_id", "text"))
     block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] document "), F.col("doc_id").cast("string"), F.lit("\n"), T.snippet(F.col("text")))
     ordered = F.array_sort(F.collect_list(F.struct("rank", block.alias("b"))))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["b"]), "\n\n").alias("context"))

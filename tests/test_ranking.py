@@ -160,3 +160,42 @@ def test_located(spark, block_chars):
 def test_no_passages(spark):
     none = spark.createDataFrame([(1, " ")], "rid long, t string")
     assert passages.located(none, spark.createDataFrame([("x", "a")], "did string, t string"), "rid", "t", "did", "t").count() == 0
+
+
+def test_scores_are_summed_where_documents_stand(spark, tmp_path):
+    """No pair of a question and a document is shuffled: each batch of documents gives its best, for every value or for a wanted one."""
+    docs = corpus(9, 300) | {i: "w1 w5 w9" for i in range(300, 340)}
+    asked = [(i, f"w{i} w{i + 1} w3 w3", ["a", "b", None][i % 3]) for i in range(30)]
+    q, d = spark.createDataFrame(asked, "query_id long, query_text string, own string"), frame(spark, docs)
+    index = inverted.TermIndex.open(spark, str(tmp_path / "i")).put(d, by_term=False)
+    found = index.top(q, 3, prune_from=0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 1 and plan.index("Exchange hash") < plan.index("MapInArrow")
+    everything = plain_bm25(docs, [a[:2] for a in asked], len(docs))
+    rows = lambda df, *more: sorted(tuple(r) for r in df.select("query_id", *more, "rank", "doc_id").collect())
+    assert rows(found) == [r for r in everything if r[1] <= 3]
+    value = {i: None if i % 10 == 9 else "ab"[i % 2] for i in docs}
+    values = spark.createDataFrame([(i, v) for i, v in value.items() if i % 10 != 8], "doc_id long, value string")
+
+    def best(fits, each):
+        kept, seen = [], {}
+        for q_id, _, doc in everything:
+            if doc % 10 != 8 and fits(q_id, doc):
+                key = (q_id, *([value[doc]] if each else []))
+                seen[key] = seen.get(key, 0) + 1
+                kept += [(*key, seen[key], doc)] if seen[key] <= 3 else []
+        return kept
+
+    own = {a[0]: a[2] for a in asked}
+    assert rows(index.top(q, 3, values=values, wanted="own")) == sorted(best(lambda a, doc: own[a] is None or own[a] == value[doc], False))
+    assert {(r.query_id, r.value, r.rank, r.doc_id) for r in index.top(q, 3, values=values).collect()} == set(best(lambda a, doc: True, True))
+    # postings by term, where a segment has none, are those of its documents
+    assert sorted((r.query_id, r.doc_id) for r in index.scores(q).collect()) == sorted((a, doc) for a, _, doc in everything)
+
+
+def test_questions_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inverted, "ASKED_ROWS", 7)
+    docs, asked = corpus(4, 90), [(i, f"w{i} w{i + 1} w2") for i in range(15)]
+    index = inverted.TermIndex.open(spark, str(tmp_path / "i")).put(frame(spark, docs))
+    got = index.top(spark.createDataFrame(asked, "query_id long, query_text string"), 4, prune_from=0)
+    assert sorted((r.query_id, r.rank, r.doc_id) for r in got.collect()) == plain_bm25(docs, asked, 4)
