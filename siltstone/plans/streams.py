@@ -88,15 +88,20 @@ def page_chunks(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut, clean.select("page_id", reason.alias("reason")).where("reason is not null")
 
 
+#: Pages in a file that arrives: a file is what a task reads, so it is bounded.
+FILE_PAGES = 4000
+
+
 def _ingested(spark: SparkSession, sf_dir: str) -> ingestion.Ingested:
-    """The pages, as two files that arrive one after the other; what has arrived before isn't ingested again."""
+    """The pages, as two batches of files that arrive one after the other; what has arrived before isn't ingested again."""
     path = place_of(spark, sf_dir, "pages", "ingested")
     held = ingestion.Ingested(spark, path)
     if held.versions.last() < 2:
-        pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(BAD).alias("html")).repartitionByRange(2, "page_id")
+        pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(BAD).alias("html"))
+        files = max(1, -(-pages.count() // (2 * FILE_PAGES)))  # of each batch
         folder = f"{shared_dir(spark)}/arriving/{uuid.uuid4().hex}"
-        pages.write.parquet(folder)
-        held = ingestion.run(ingestion.arriving(spark, folder), path, page_chunks)
+        pages.repartitionByRange(2 * files, "page_id").write.parquet(folder)
+        held = ingestion.run(ingestion.arriving(spark, folder, files), path, page_chunks)
     return held
 
 

@@ -1,6 +1,7 @@
 """Ingestion batch by batch, call steps and timed memory as streams."""
 
 import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +104,18 @@ def test_a_table_in_a_folder_of_files_is_a_stream_too(spark, tmp_path):
     assert got == [(c, t, min(t, 6)) for c in range(5) for t in range(9)]
     got = sorted(tuple(r) for r in streams.stream_thread_admission(spark, str(tmp_path)).collect())
     assert got == [(c, t, t // 2) for c in range(5) for t in range(9)]
+
+
+def test_pages_arrive_in_files_of_a_bounded_size(spark, tmp_path, monkeypatch):
+    from siltstone.plans import streams
+
+    monkeypatch.setattr(streams, "FILE_PAGES", 10)
+    pages = [(i, "u", f"<p>page {i}</p>") for i in range(75)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    held = streams._ingested(spark, str(tmp_path))
+    assert len(held._state()["batches"]) == 2
+    read = sorted(r.page_id for r in held.read("chunks").collect())
+    assert read == [i for i in range(75) if i % 10 not in (3, 7)]
+    assert {(r.page_id, r.reason) for r in held.read("quarantine").collect()} == {(i, "no text" if i % 10 == 3 else "nothing to read") for i in range(75) if i % 10 in (3, 7)}
+    arrived = [p for p in (Path(shared_dir(spark).removeprefix("file://")) / "arriving").glob("*/*.parquet")]
+    assert len(arrived) == 8 and all(spark.read.parquet(str(p)).count() <= 20 for p in arrived)
