@@ -23,16 +23,20 @@ OPERATIONS = ("cagr_pct", "difference", "margin_pct", "pct_change", "ratio", "su
 def parse_number(text: Column, fmt: Column, scale: Column, sign: Column) -> Column:
     """The value of a tagged number: zero formats, dashes, parentheses, comma decimals, sign and power of ten; else null."""
     fmt = F.coalesce(fmt, F.lit(""))
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s ]+", "")
-    digits = F.regexp_replace(bare, r"^[()]+|[()]+$", "")
-    digits = F.when(fmt.endswith("num-comma-decimal"), F.replace(F.replace(digits, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(digits, F.lit(","), F.lit("")))
-    value = digits.try_cast("double") * F.pow(F.lit(10.0), F.coalesce(scale, F.lit(0)))
-    negative = F.coalesce(sign == "-", F.lit(False)) | (bare.startswith("(") & bare.endswith(")"))
-    return (
-        F.when(fmt.endswith("fixed-zero") | fmt.endswith("zerodash"), F.lit(0.0))
-        .when(bare.isin("", "-", "—", "–"), F.when(fmt.contains("zero"), F.lit(0.0)))
-        .otherwise(F.when(negative, -value).otherwise(value))
-    )
+
+    def read(bare: Column) -> Column:
+        digits = F.regexp_replace(bare, r"^[()]+|[()]+$", "")
+        digits = F.when(fmt.endswith("num-comma-decimal"), F.replace(F.replace(digits, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(digits, F.lit(","), F.lit("")))
+        value = digits.try_cast("double") * F.pow(F.lit(10.0), F.coalesce(scale, F.lit(0)))
+        negative = F.coalesce(sign == "-", F.lit(False)) | (bare.startswith("(") & bare.endswith(")"))
+        return (
+            F.when(fmt.endswith("fixed-zero") | fmt.endswith("zerodash"), F.lit(0.0))
+            .when(bare.isin("", "-", "—", "–"), F.when(fmt.contains("zero"), F.lit(0.0)))
+            .otherwise(value * F.when(negative, -1.0).otherwise(1.0))
+        )
+
+    # by way of an array, so that the text is bared once and not for each mention of it
+    return F.get(F.transform(F.array(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s ]+", "")), read), F.lit(0))
 
 
 def days_between(start: Column, end: Column) -> Column:

@@ -8,7 +8,9 @@ bad document that document; neither stops the job. Values, days and years are Sp
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, Row
@@ -25,6 +27,13 @@ ROW = (
 COLUMNS = [c.split()[0] for c in ROW.split(", ")]
 
 
+#: A tag as well-formed pages have them, and its attributes; elements whose content isn't markup, which are left to the parser.
+_SPACE, _NAME = r"[ \t\n\r\f]", r"[A-Za-z_:][-A-Za-z0-9_:.]*"
+TAG = re.compile(rf'<(/?)([A-Za-z][-A-Za-z0-9_:.]*)((?:{_SPACE}+{_NAME}="[^"<>\0]*")*){_SPACE}*(/?)>')
+ATTRIBUTE = re.compile(rf'({_NAME})="([^"]*)"')
+RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
+
+
 class _Tags(HTMLParser):
     """Elements of interest with their text; nested ones all collect it."""
 
@@ -37,6 +46,26 @@ class _Tags(HTMLParser):
         self.numbers: list[dict] = []
         self.cik: str | None = None
 
+    def read(self, html: str) -> None:
+        """The elements of a document: where each of its ``<`` begins a plain tag, tag by tag, else by the tolerant parser, which says the same of such ones."""
+        parts = TAG.split(html) if "\0" not in html else []  # text, then slash, name, attributes, slash, text of each tag
+        if len(parts) != 1 + 5 * html.count("<") or not RAW.isdisjoint(map(str.lower, parts[2::5])) or any(parts[i] and (parts[i + 2] or parts[i + 3]) for i in range(1, len(parts), 5)):
+            self.feed(html)
+            self.close()
+            return
+        keep, opened = self.KEEP, self.open
+        for i in range(1, len(parts), 5):
+            name = parts[i + 1].lower()
+            if name.rsplit(":", 1)[-1] in keep:
+                if parts[i]:
+                    self.handle_endtag(name)
+                else:
+                    self.handle_starttag(name, [(k, unescape(v)) for k, v in ATTRIBUTE.findall(parts[i + 2])])
+                    if parts[i + 3]:
+                        self.handle_endtag(name)
+            if opened and (text := parts[i + 4]):
+                self.handle_data(unescape(text))
+
     KEEP = {"context", "unit", "measure", "identifier", "startdate", "enddate", "instant", "explicitmember", "typedmember", "nonnumeric", "nonfraction"}
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -83,8 +112,7 @@ class _Tags(HTMLParser):
 def parse(html: str | None) -> dict:
     """Contexts and units by id, names and numbers of one document."""
     tags = _Tags()
-    tags.feed(html or "")
-    tags.close()
+    tags.read(html or "")
     contexts: dict[str, dict] = {}
     for c in tags.contexts:
         dims = ";".join(sorted(c["dims"]))
@@ -112,7 +140,7 @@ class Filing:
     def _row(self, **held: object) -> tuple:
         filing, ticker = self.key or (None, None)
         row = {"filing": filing, "ticker": ticker, **held}
-        return tuple(row.get(c) for c in COLUMNS)
+        return tuple(map(row.get, COLUMNS))
 
     def eval(self, row: Row) -> None:
         self.key = self.key or (row["filing"], row["ticker"])

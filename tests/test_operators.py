@@ -357,3 +357,30 @@ def test_page_text_against_patterns():
         want = [x for x in (html.unescape(t).strip() for t in re.split(r"<[^>]*>", bare)) if x]
         assert re.sub(r"\s+", "", C.html_text(page)) == re.sub(r"\s+", "", "".join(want))
     assert C.html_text(None) is None and C.html_text("") == ""
+
+
+def test_plain_tags_are_read_as_the_parser_reads_them():
+    """Well-formed documents tag by tag, others by the parser: the same elements."""
+    import random
+
+    from siltstone.operators import xbrl
+
+    random.seed(8)
+    plain = ["<p>", "</p>", "<b>", "</b>", " 1,5 ", "&amp;", "&#36", "&nbsp;5", "<br/>", '<xbrli:context id="c1">', "</xbrli:context>", "<xbrli:instant>2001-12-31</xbrli:instant>", '<Xbrli:Unit ID="u">', "</xbrli:unit>", "<xbrli:measure>iso4217:USD</xbrli:measure>",
+             '<ix:nonFraction name="a&amp;b" contextRef="c1" unitRef="u" scale="3">', "</ix:nonFraction>", '<ix:nonFraction name="n" scale="1" SCALE="2" contextRef="c1"/>', '<ix:nonNumeric name="dei:DocumentType">', "</ix:nonNumeric >", "<xbrli:identifier>77</xbrli:identifier>"]
+    odd = ["<!-- <b> -->", "<script>'<ix:nonFraction name=\"x\">'</script>", "<a b>", "<i c='d'>", "a < b", "<", "</p x>", "<?pi?>", "<style><b></style>", "a > b", "<title>&amp;<b></title>", '<a t="x>y">']
+
+    def whole(html):
+        tags = xbrl._Tags()
+        tags.feed(html)
+        tags.close()
+        return tags
+
+    read = []
+    for i in range(600):
+        html = "".join(random.choices(plain + (odd if i % 3 == 0 else []), k=25))
+        one, other = xbrl._Tags(), whole(html)
+        one.feed = lambda h, f=one.feed: (read.append(i), f(h))
+        one.read(html)
+        assert [getattr(one, c) for c in ("contexts", "units", "names", "numbers", "cik", "open")] == [getattr(other, c) for c in ("contexts", "units", "names", "numbers", "cik", "open")], html
+    assert read and all(i % 3 == 0 for i in read)
