@@ -1,7 +1,7 @@
 """Inline-XBRL: filings to facts, a table of the filings, and a quarantine of what couldn't be read.
 
-A filing may come in several documents, and a number in one may name a context in another. So filings are read by a table
-function that is called with all documents of a filing at once, in order: it keeps their contexts, units and names, and gives a row
+A filing may come in several documents, and a number in one may name a context in another. So a task gets all documents of its
+filings, each filing's one after the other and in order: it keeps one filing's contexts, units and names, and gives a row
 for each number, one for the filing, and one for each thing that is wrong with it. A bad attribute costs its number, a
 bad document that document; neither stops the job. Values, days and years are Spark's expressions over these rows.
 """
@@ -10,12 +10,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from siltstone.functions import numbers as N
 from siltstone.session import on_workers, stored
@@ -29,7 +33,8 @@ COLUMNS = [c.split()[0] for c in ROW.split(", ")]
 
 #: A tag as well-formed pages have them, and its attributes; elements whose content isn't markup, which are left to the parser.
 _SPACE, _NAME = r"[ \t\n\r\f]", r"[A-Za-z_:][-A-Za-z0-9_:.]*"
-TAG = re.compile(rf'<(/?)([A-Za-z][-A-Za-z0-9_:.]*)((?:{_SPACE}+{_NAME}="[^"<>\0]*")*){_SPACE}*(/?)>')
+_TAG = r"[A-Za-z][-A-Za-z0-9_:.]*"
+TAG = re.compile(rf'<(?:/({_TAG}){_SPACE}*|({_TAG})((?:{_SPACE}+{_NAME}="[^"<>\0]*")*){_SPACE}*(/?))>')
 ATTRIBUTE = re.compile(rf'({_NAME})="([^"]*)"')
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
 
@@ -48,22 +53,20 @@ class _Tags(HTMLParser):
 
     def read(self, html: str) -> None:
         """The elements of a document: where each of its ``<`` begins a plain tag, tag by tag, else by the tolerant parser, which says the same of such ones."""
-        parts = TAG.split(html) if "\0" not in html else []  # text, then slash, name, attributes, slash, text of each tag
-        if len(parts) != 1 + 5 * html.count("<") or not RAW.isdisjoint(map(str.lower, parts[2::5])) or any(parts[i] and (parts[i + 2] or parts[i + 3]) for i in range(1, len(parts), 5)):
+        parts = TAG.split(html) if "\0" not in html else []  # text, then end, start, attributes, slash, text of each tag
+        if len(parts) != 1 + 5 * html.count("<") or any(x and x.lower() in RAW for x in set(parts[2::5])):
             self.feed(html)
             self.close()
             return
-        keep, opened = self.KEEP, self.open
-        for i in range(1, len(parts), 5):
-            name = parts[i + 1].lower()
-            if name.rsplit(":", 1)[-1] in keep:
-                if parts[i]:
+        opened = self.open
+        for end, start, attrs, slash, text in zip(parts[1::5], parts[2::5], parts[3::5], parts[4::5], parts[5::5], strict=True):
+            name = _kept(end or start)
+            if name:
+                if start:
+                    self.handle_starttag(name, [(k, unescape(v)) for k, v in ATTRIBUTE.findall(attrs)])
+                if end or slash:
                     self.handle_endtag(name)
-                else:
-                    self.handle_starttag(name, [(k, unescape(v)) for k, v in ATTRIBUTE.findall(parts[i + 2])])
-                    if parts[i + 3]:
-                        self.handle_endtag(name)
-            if opened and (text := parts[i + 4]):
+            if opened and text:
                 self.handle_data(unescape(text))
 
     KEEP = {"context", "unit", "measure", "identifier", "startdate", "enddate", "instant", "explicitmember", "typedmember", "nonnumeric", "nonfraction"}
@@ -109,6 +112,13 @@ class _Tags(HTMLParser):
             }
 
 
+@lru_cache(maxsize=4096)
+def _kept(tag: str) -> str | None:
+    """The name of an element of interest, without its prefix."""
+    name = tag.lower().rsplit(":", 1)[-1]
+    return name if name in _Tags.KEEP else None
+
+
 def parse(html: str | None) -> dict:
     """Contexts and units by id, names and numbers of one document."""
     tags = _Tags()
@@ -126,7 +136,7 @@ def parse(html: str | None) -> dict:
 
 
 class Filing:
-    """The table function: rows (filing, ticker, part, html) of one filing, in order of their parts, to rows of ROW."""
+    """Rows (filing, ticker, part, html) of one filing, in order of their parts, to rows of ROW."""
 
     def __init__(self) -> None:
         self.key: tuple[str | None, str | None] | None = None
@@ -142,7 +152,7 @@ class Filing:
         row = {"filing": filing, "ticker": ticker, **held}
         return tuple(map(row.get, COLUMNS))
 
-    def eval(self, row: Row) -> None:
+    def eval(self, row: dict) -> None:
         self.key = self.key or (row["filing"], row["ticker"])
         if row["html"] is None:
             self.wrong.append(f"document {row['part']}: no text")
@@ -177,13 +187,32 @@ class Filing:
             yield self._row(kind="error", pos=pos, reason=reason)
 
 
+def _read(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of a task's filings, whose documents come one after the other: a filing may go on in the next batch."""
+    last, filing, rows = None, None, []
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+    for batch in batches:
+        for key, ticker, part, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if filing is None or key != last:
+                if filing is not None:
+                    rows += filing.terminate()
+                last, filing = key, Filing()
+            filing.eval({"filing": key, "ticker": ticker, "part": part, "html": html})
+        if rows:
+            yield made()
+            rows = []
+    if filing is not None:
+        rows += filing.terminate()
+        yield made()
+
+
 def extracted(submissions: DataFrame, filing: str, ticker: str, html: str, part: str | None = None) -> DataFrame:
     """The rows of all filings, stored. ``filing`` says which documents are one filing, ``part`` their order in it."""
     on_workers(submissions.sparkSession)
-    read = F.udtf(Filing, returnType=ROW, useArrow=False)
     order = F.col(part).cast("int") if part else F.lit(0)
     rows = submissions.select(F.col(filing).cast("string").alias("filing"), F.col(ticker).cast("string").alias("ticker"), order.alias("part"), F.col(html).alias("html"))
-    return stored(read(rows.asTable().partitionBy("filing").orderBy("part")), "xbrl")
+    schema = to_arrow_schema(StructType.fromDDL(ROW))
+    return stored(rows.repartition("filing").sortWithinPartitions("filing", "part").mapInArrow(lambda batches: _read(batches, schema), ROW), "xbrl")
 
 
 def facts(found: DataFrame) -> DataFrame:

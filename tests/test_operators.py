@@ -384,3 +384,21 @@ def test_plain_tags_are_read_as_the_parser_reads_them():
         one.read(html)
         assert [getattr(one, c) for c in ("contexts", "units", "names", "numbers", "cik", "open")] == [getattr(other, c) for c in ("contexts", "units", "names", "numbers", "cik", "open")], html
     assert read and all(i % 3 == 0 for i in read)
+
+
+def test_a_filing_goes_on_in_the_next_batch():
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    from siltstone.operators import xbrl
+
+    number = '<ix:nonFraction name="a" contextRef="c" unitRef="u" scale="0">1</ix:nonFraction>'
+    context = '<xbrli:context id="c"><xbrli:instant>2001-12-31</xbrli:instant></xbrli:context>'
+    docs = [("x", "t", 0, number), ("x", "t", 1, context), ("y", "t", 0, None), ("z", "t", 0, context + number), ("z", "t", 1, number)]
+    schema = to_arrow_schema(StructType.fromDDL(xbrl.ROW))
+    batch = lambda rows: pa.RecordBatch.from_pylist([dict(zip(("filing", "ticker", "part", "html"), r, strict=True)) for r in rows], pa.schema([("filing", pa.string()), ("ticker", pa.string()), ("part", pa.int32()), ("html", pa.string())]))
+    for size in (1, 2, 5):
+        out = [r for b in xbrl._read(iter([batch(docs[i : i + size]) for i in range(0, len(docs), size)]), schema) for r in b.to_pylist()]
+        assert [(r["filing"], r["kind"], r["pos"], r["reason"]) for r in out] == [("x", "fact", 0, None), ("x", "filing", None, None), ("y", "filing", None, None), ("y", "error", 0, "document 0: no text"), ("z", "fact", 0, None), ("z", "fact", 1, None), ("z", "filing", None, None)]
+    assert list(xbrl._read(iter([]), schema)) == []
