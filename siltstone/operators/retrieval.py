@@ -129,14 +129,15 @@ def rerank(candidates: DataFrame, scorer: Scorer, k: int) -> DataFrame:
 
 def retrieve(
     queries: DataFrame, docs: DataFrame, config: RetrievalConfig, vectors: DataFrame | None = None, scorer: Scorer | None = None, k: int | None = None,
-    query_id: str = "query_id", query_text: str = "query_text", id_col: str = "doc_id", text_col: str = "text", ticker_col: str = "ticker", index: TermIndex | None = None,
+    query_id: str = "query_id", query_text: str = "query_text", id_col: str = "doc_id", text_col: str = "text", ticker_col: str = "ticker", index: TermIndex | None = None, index_ticker: Column | None = None,
 ) -> DataFrame:
     """(query_id, rank, doc_id, ticker, text): the passages of each question by a configuration.
 
     queries: (query_id, query_text[, ticker][, vector]); docs: (doc_id, text[, ticker]); vectors: (doc_id, vector), needed by dense
     and hybrid ranking. A question's own ticker always filters; with ``inferred`` the one company that its text names does, with
     ``oracle`` only its own. Filters act before dense ranking and after BM25 scoring, whose statistics cover the corpus. A ``k`` of 0 or None is the
-    configuration's, and ``index`` the documents' term index where there is one. Reranking without a scorer is an error, as is dense ranking without vectors.
+    configuration's, and ``index`` the documents' term index where there is one; with ``index_ticker``, the ticker from the columns that this keeps, no document moves
+    to be filtered. Reranking without a scorer is an error, as is dense ranking without vectors.
     """
     if config.rerank and scorer is None:
         raise ValueError("the configuration reranks, but there is no scorer")
@@ -157,7 +158,8 @@ def retrieve(
         if config.ticker_filter == "none" and ticker_col not in queries.columns:
             lists.append((index.top(asked, depth), config.sparse_weight))
         else:
-            lists.append((index.top(asked, depth, values=passages.select("doc_id", F.col("ticker").alias("value")), wanted="wanted"), config.sparse_weight))
+            tickers = passages.select("doc_id", F.col("ticker").alias("value")) if index_ticker is None else F.coalesce(F.upper(index_ticker), F.lit("UNKNOWN"))
+            lists.append((index.top(asked, depth, values=tickers, wanted="wanted"), config.sparse_weight))
     ranked = lists[0][0] if len(lists) == 1 else fuse_top(lists, depth, config.rrf_k)
     found = with_texts(ranked.select("query_id", "rank", "doc_id"), passages)
     if config.rerank:

@@ -42,14 +42,9 @@ located AS (SELECT item_id, doc_id, CASE WHEN exact THEN 'exact' ELSE 'prefix' E
 
 
 def index(spark: SparkSession, sf_dir: str) -> inverted.TermIndex:
-    """The documents' stored term index: built at its first use, read from then on."""
+    """The documents' stored term index, with their language and source: built at its first use, read from then on."""
     docs = table(spark, sf_dir, "documents")
-    return inverted.load_or_build(spark, place_of(spark, sf_dir, "documents", "terms"), docs, docs.count())
-
-
-def _valued(spark: SparkSession, sf_dir: str, k: int, values: DataFrame) -> DataFrame:
-    """The best of each value (doc_id, value) for each question."""
-    return index(spark, sf_dir).top(table(spark, sf_dir, "benchmark"), k, "item_id", "text", values=values)
+    return inverted.load_or_build(spark, place_of(spark, sf_dir, "documents", "terms"), docs, docs.count(), keep=["lang", "source"])
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
@@ -76,8 +71,8 @@ def bm25_index_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bm25_filtered", f"WITH {bm25_sql(where='JOIN documents USING (doc_id) WHERE lang = $$en$$'.replace('$$', chr(39)))} SELECT * FROM ranked")
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter acts after scoring: corpus statistics stay those of all documents."""
-    docs = table(spark, sf_dir, "documents")
-    return _valued(spark, sf_dir, 5, docs.where("lang = 'en'").select("doc_id", F.col("lang").alias("value"))).select("query_id", "rank", "doc_id", "score")
+    asked = table(spark, sf_dir, "benchmark").withColumn("own", F.lit("en"))
+    return index(spark, sf_dir).top(asked, 5, "item_id", "text", values=F.col("own_lang"), wanted="own")
 
 
 @query(
@@ -86,8 +81,7 @@ def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def compare_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of each source for each question."""
-    docs = table(spark, sf_dir, "documents")
-    return _valued(spark, sf_dir, 2, docs.select("doc_id", F.col("source").alias("value"))).withColumnRenamed("value", "source")
+    return index(spark, sf_dir).top(table(spark, sf_dir, "benchmark"), 2, "item_id", "text", values=F.col("own_source")).withColumnRenamed("value", "source")
 
 
 @query("bm25_corpus_stats", f"WITH {bm25_sql()} SELECT n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM idf0) AS n_terms, (SELECT round(avg(raw), 6) FROM idf0) AS mean_idf FROM st")
@@ -190,14 +184,15 @@ su AS (SELECT query_id, doc_id, round(sum(part), 9) AS score, min(seen) AS first
 
 def _retrieved(spark: SparkSession, sf_dir: str, config: R.RetrievalConfig, scorer: R.Scorer | None = None) -> DataFrame:
     docs, items, vectors = (table(spark, sf_dir, t) for t in ("documents", "benchmark", "embeddings"))
-    symbol = F.when(F.col("lang") == "en", "AAPL").when(F.col("lang") == "de", "MSFT").when(F.col("lang") == "fr", "META").otherwise("AMZN")
+    symbol = lambda lang: F.when(F.col(lang) == "en", "AAPL").when(F.col(lang) == "de", "MSFT").when(F.col(lang) == "fr", "META").otherwise("AMZN")
     n = F.col("item_id")
     asked = items.select(n.alias("query_id"), F.concat("text", F.when(n % 4 == 0, " Apple").when(n % 4 == 1, " in MICROSOFT filings").when(n % 4 == 2, " Apple or Microsoft").otherwise("")).alias("query_text"), F.when(n % 5 == 0, "META").alias("ticker"))
     if config.ticker_filter == "none":
         asked = asked.drop("ticker")
     if config.mode != "bm25":
         asked = asked.join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
-    return R.retrieve(asked, docs.select("doc_id", "text", symbol.alias("ticker")), config, vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), scorer, index=index(spark, sf_dir) if config.mode != "dense" else None)
+    passages, rows = docs.select("doc_id", "text", symbol("lang").alias("ticker")), vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    return R.retrieve(asked, passages, config, rows, scorer, index=index(spark, sf_dir) if config.mode != "dense" else None, index_ticker=symbol("own_lang"))
 
 
 FOUND = " SELECT query_id, rank, doc_id FROM found"

@@ -63,7 +63,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 #: Changes with the layout of what is kept, so that nothing of an older one is read.
-LAYOUT = 3
+LAYOUT = 4
 
 
 def place_of(spark: SparkSession, sf_dir: str, name: str, what: str) -> str:

@@ -199,3 +199,35 @@ def test_questions_in_blocks(spark, tmp_path, monkeypatch):
     index = inverted.TermIndex.open(spark, str(tmp_path / "i")).put(frame(spark, docs))
     got = index.top(spark.createDataFrame(asked, "query_id long, query_text string"), 4, prune_from=0)
     assert sorted((r.query_id, r.rank, r.doc_id) for r in got.collect()) == plain_bm25(docs, asked, 4)
+
+
+def test_terms_are_counted_in_arrow(spark, tmp_path, monkeypatch):
+    """A document's tokens are counted outside of interpreted expressions, a slice at a time, and are those of the token expression."""
+    from siltstone.functions import text as T
+
+    monkeypatch.setattr(inverted, "COUNTED_ROWS", 2)
+    texts = ["A a, 1,000.5 b1.5.", None, "", "\u0130stanbul \u212aelvin caf\u00e9 x\u0660 1.a", "w " * 3000, "1,2.3,,4", "\n\t--"]
+    docs = frame(spark, dict(enumerate(texts)))
+    index = inverted.TermIndex.open(spark, str(tmp_path / "i")).put(docs)
+    got = {r.doc_id: (r.dl, {t.term: t.tf for t in r.terms}) for r in index.documents().collect()}
+    assert got == {r.doc_id: (len(r.t), dict(Counter(r.t))) for r in docs.select("doc_id", T.tokens(docs.text).alias("t")).collect()}
+
+
+def test_kept_columns_filter_without_a_shuffle_of_documents(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    texts = corpus(9, 120)
+    docs = frame(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 10 != 9, F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b")))
+    asked = spark.createDataFrame([(i, f"w{i} w{i + 1} w3", ["a", "b", None][i % 3]) for i in range(12)], "query_id long, query_text string, own string")
+    first = inverted.TermIndex.open(spark, str(tmp_path / "i")).put(docs.where("doc_id < 80"), by_term=False, keep=["lang"])
+    made = first.put(docs.where("doc_id >= 70"), by_term=False, keep=["lang"])
+    values = docs.select("doc_id", F.col("lang").alias("value"))
+    rows = lambda df, *more: sorted((tuple(r) for r in df.select("query_id", *more, "rank", "doc_id", "score").collect()), key=str)
+    small = made.compact()
+    for index in (made, small):
+        assert rows(index.top(asked, 3, values=F.col("own_lang"), wanted="own")) == rows(index.top(asked, 3, values=values, wanted="own")) != []
+        assert rows(index.top(asked, 3, values=F.col("own_lang")), "value") == rows(index.top(asked, 3, values=values), "value") != []
+    plan = small.top(asked, 3, values=F.col("own_lang"), wanted="own")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 1 and plan.index("Exchange hash") < plan.index("MapInArrow")
+    none = inverted.TermIndex.open(spark, str(tmp_path / "none")).top(asked, 3, values=F.col("own_lang"))
+    assert none.columns == ["query_id", "value", "rank", "doc_id", "score"] and none.count() == 0
