@@ -34,12 +34,15 @@ TABLES, RUN, SHORT_RUN, FEW_WORDS, UNSPACED = 12, 8, 5, 8, 20
 LONG_WORD = 4  # bytes; shorter words, which all lines share, count in the sketch of a line without longer ones only
 SKETCH_BITS = np.array([36, 42])  # of 128, by kind of block: what the sketches of similar lines differ in at most; by chance 64 do
 SMALL, TILE, HOT = 16, 2048, 256
+#: Pairs of lines of up to 64 characters that are compared together (of longer ones in proportion fewer), those that a unit gathers for it, and the bytes of a table for it.
+TOGETHER, HELD, NEAR_BYTES = 16384, 4096, 32 << 20
 FILTER_BITS = 24  # of the filter that picks the lines of candidates: 2 MB, whatever the table's size
 #: Control characters, ASCII and Latin-1 marks and general punctuation: ranges, which a pattern tests fast.
 MARKS = "[\\x00-\\x1F!-/:-@\\[-`{-\\xA9\\xAB-\\xB4\\xB6-\\xB9\\xBB-\\xBF\\u2000-\\u206F]+"
 BUCKET_BYTES, FLUSH_BYTES, SLICE_CHARS = 12 << 20, 8 << 20, 1 << 20
 ENTRY = np.dtype([("sig", "<u8"), ("key", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("chars", "<u2"), ("kind", "u1"), ("hot", "?")])
 U = np.uint64
+ALL = U(0xFFFFFFFFFFFFFFFF)
 _LETTER = np.ones(256, bool)
 _LETTER[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = False
 _LANES = (np.arange(1 << 16, dtype=np.uint64)[:, None] >> np.arange(16, dtype=np.uint64) & U(1) << U(0)) << (U(4) * np.arange(16, dtype=np.uint64))
@@ -282,16 +285,23 @@ def across(e: np.ndarray, roots: np.ndarray, side: np.ndarray, block: int, block
         return r
 
     top = root.copy()
+    held: list[tuple[int, int]] = []
     for place, i in enumerate(order[:n].tolist()):
         j = _open(e, i, top, side, block, blocks, order[place + 1 :])
         far = np.bitwise_count(e["s0"][j] ^ e["s0"][i]) + np.bitwise_count(e["s1"][j] ^ e["s1"][i])
+        held += [(i, k) for k in j[np.argsort(far, kind="stable")].tolist()]
+        if len(held) < HELD and place + 1 < n:
+            continue
+        # most are unlike: pairs that links among them make needless are few
         met = False
-        for k in j[np.argsort(far, kind="stable")].tolist():
-            x, y = find(int(root[i])), find(int(root[k]))
-            if x != y and similar(texts[i], texts[k], similarity):
+        good = all_similar([texts[p] for p, _ in held], [texts[q] for _, q in held], similarity)
+        for p, q in (held[g] for g in np.flatnonzero(good)):
+            x, y = find(int(root[p])), find(int(root[q]))
+            if x != y:
                 up[max(x, y)] = min(x, y)
                 met = True
-                yield i, k
+                yield p, q
+        held = []
         if met:
             top = np.array([find(r) for r in range(len(up))])[root]
 
@@ -405,8 +415,72 @@ def common_edge(x: str, y: str) -> int:
     return low
 
 
-def similar(x: str, y: str, similarity: float = SIMILARITY) -> bool:
-    """Whether the edit similarity of two lines reaches ``similarity``: 1 - edits / longer length.
+def _codes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(characters, a row for each text, 0 after its end; which are the text's)."""
+    out, inside = np.zeros((len(texts), width), np.uint32), np.arange(width) < np.array([len(t) for t in texts])[:, None]
+    out[inside] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, inside
+
+
+def _near(xs: list[str], ys: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether edits() of each pair is at most ``most``: the same columns, of all pairs at once, 64 rows to an integer. Texts aren't empty.
+
+    Rows further from the diagonal than ``most`` can't be on the way to so few edits: of each column only the integers near it are computed, others count as one more edit a row or column.
+    """
+    m, n, most = np.array([len(x) for x in xs]), np.array([len(y) for y in ys]), most.copy()
+    words = -(-int(m.max()) // 64)
+    x, of_x = _codes(xs, int(m.max()))
+    y, of_y = _codes(ys, int(n.max()))
+    used = np.zeros(max(int(x.max()), int(y.max())) + 1, bool)
+    used[x[of_x]] = used[y[of_y]] = True
+    rank = np.cumsum(used)
+    if len(xs) > 1 and len(xs) * (int(rank[-1]) + 1) * words * 8 > NEAR_BYTES:
+        half = len(xs) // 2
+        return np.concatenate([_near(xs[:half], ys[:half], most[:half]), _near(xs[half:], ys[half:], most[half:])])
+    x, y = np.where(of_x, rank[x], 0), np.where(of_y, rank[y], 0)  # 0: no character
+    at = np.zeros((len(xs), int(rank[-1]) + 1, words), np.uint64)
+    every = np.arange(len(xs))
+    for i in range(x.shape[1]):
+        at[every, x[:, i], i >> 6] |= U(1 << (i & 63))
+    near, live = np.zeros(len(xs), bool), every
+    up, down = np.full((words, len(xs)), ALL), np.zeros((words, len(xs)), np.uint64)
+    plus_of, minus_of = np.full_like(up, ALL), np.zeros_like(up)  # of rows above the band: one more edit a column
+    score, last, shift = m.copy(), m - 1 >> 6, (m - 1 & 63).astype(np.uint64)
+    for j in range(y.shape[1]):
+        row = np.arange(len(live))
+        eq_of = at[live, y[live, j]].T
+        plus_in, minus_in = np.ones(len(live), np.uint64), np.zeros(len(live), np.uint64)
+        if j % 32 == 0:
+            band = int(most.max()) + 1
+        end = min(words, (j + band >> 6) + 1)
+        for w in range(min(max(0, j - band) >> 6, end - 1), end):
+            eq, u, d = eq_of[w], up[w], down[w]
+            vertical = eq | d
+            eq = eq | minus_in
+            across_ = (((eq & u) + u) ^ u) | eq
+            plus, minus = d | ~(across_ | u), u & across_
+            plus_of[w], minus_of[w] = plus, minus
+            p, q = plus << U(1) | plus_in, minus << U(1) | minus_in
+            plus_in, minus_in = plus >> U(63), minus >> U(63)
+            up[w], down[w] = q | ~(vertical | p), p & vertical
+        if end < words:  # rows below go on from the last one computed
+            plus_of[end:], minus_of[end:] = plus_in * ALL, minus_in * ALL
+        score += (plus_of[last, row] >> shift & U(1)).astype(np.int64) - (minus_of[last, row] >> shift & U(1)).astype(np.int64)
+        done = n == j + 1
+        if done.any() or j % 32 == 31:
+            near[live[done]] = score[done] <= most[done]
+            stay = ~done & (score - (n - j - 1) <= most)
+            if not stay.any():
+                break
+            if not stay.all():
+                live, m, n, most, score, last, shift = (a[stay] for a in (live, m, n, most, score, last, shift))
+                up, down = up[:, stay], down[:, stay]
+                plus_of, minus_of = np.full_like(up, ALL), np.zeros_like(up)
+    return near
+
+
+def _undecided(x: str, y: str, similarity: float) -> bool | tuple[str, str, int]:
+    """Whether two lines are similar, or what is left to compare and the edits allowed.
 
     What they share at either end is cut off; if words in place of words are few enough edits, so are the characters' edits.
     """
@@ -422,14 +496,41 @@ def similar(x: str, y: str, similarity: float = SIMILARITY) -> bool:
     u, v = x.split(" "), y.split(" ")
     if len(u) == len(v) and sum(max(len(p), len(q)) for p, q in zip(u, v, strict=True) if p != q) <= allowed:
         return True
-    return edits(x, y, allowed) <= allowed
+    return (x, y, allowed) if len(x) <= len(y) else (y, x, allowed)
+
+
+def similar(x: str, y: str, similarity: float = SIMILARITY) -> bool:
+    """Whether the edit similarity of two lines reaches ``similarity``: 1 - edits / longer length."""
+    left = _undecided(x, y, similarity)
+    return left if isinstance(left, bool) else edits(*left) <= left[2]
+
+
+def all_similar(xs: list[str], ys: list[str], similarity: float = SIMILARITY) -> np.ndarray:
+    """similar() of each pair; pairs of about a length are compared together, where they are so many that this pays."""
+    found = [_undecided(x, y, similarity) for x, y in zip(xs, ys, strict=True)]
+    out = np.array([f is True for f in found], bool)
+    left = sorted((i for i, f in enumerate(found) if not isinstance(f, bool)), key=lambda i: (-(-len(found[i][0]) // 64), len(found[i][1])))
+    a = 0
+    while a < len(left):
+        words = -(-len(found[left[a]][0]) // 64)
+        b = a + 1
+        while b < len(left) and b - a < max(1, TOGETHER // words) and -(-len(found[left[b]][0]) // 64) <= words + words // 4 + 1:
+            b += 1
+        own = [found[i] for i in left[a:b]]
+        if words and len(own) >= 6 * words:
+            with np.errstate(over="ignore"):
+                out[left[a:b]] = _near([f[0] for f in own], [f[1] for f in own], np.array([f[2] for f in own]))
+        else:
+            out[left[a:b]] = [edits(*f) <= f[2] for f in own]
+        a = b
+    return out
 
 
 def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Rows (a, b) of those of rows (a, x, b, y) whose lines are similar."""
     for batch in batches:
-        keep = [similar(x, y, similarity) for x, y in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
+        keep = all_similar(batch.column(1).to_pylist(), batch.column(3).to_pylist(), similarity)
+        yield batch.select([0, 2]).filter(pa.array(keep))
 
 
 def _filter(wanted: DataFrame) -> np.ndarray:

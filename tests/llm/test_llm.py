@@ -394,6 +394,26 @@ def test_edit_similarity_against_the_full_table():
         assert line_dedup.similar(a, b) == (lev(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)), (a, b)
 
 
+def test_edits_of_many_pairs_at_once(monkeypatch):
+    """Pairs compared together are found similar as one by one, lengths at the edges of 64 characters, other planes and empty texts included."""
+    rng = np.random.default_rng(8)
+    pairs = [("", ""), ("", "abcdef"), ("abcdef", "")]
+    for size in [1, 5, 63, 64, 65, 127, 128, 129, 200, 700] * 60:
+        a = "".join(rng.choice(list("abc d\u00e9\U0001f600"), size))
+        b = list(a)
+        for _ in range(int(rng.integers(0, 3 + size * 3 // 10))):
+            b[int(rng.integers(0, len(b)))] = str(rng.choice(["a", "bc", "", " d"]))
+        pairs.append((a, "".join(b)))
+    xs, ys = zip(*pairs, strict=True)
+    want = [line_dedup.similar(x, y) for x, y in pairs]
+    assert line_dedup.all_similar(list(xs), list(ys)).tolist() == want and 100 < sum(want) < 480
+    some = [(x, y) for x, y in pairs if x and y]
+    for most, size in ((0, 32 << 20), (3, 1), (40, 1 << 16)):
+        monkeypatch.setattr(line_dedup, "NEAR_BYTES", size)
+        got = line_dedup._near([x for x, _ in some], [y for _, y in some], np.full(len(some), most))
+        assert got.tolist() == [line_dedup.edits(x, y) <= most for x, y in some]
+
+
 def test_line_dedup_recall(spark):
     """Of lines of 6 to 20 words and copies with one or two words replaced, over 0.9 of the similar pairs are found; no group joins two bases."""
     rng = np.random.default_rng(6)
