@@ -34,8 +34,8 @@ TABLES, RUN, SHORT_RUN, FEW_WORDS, UNSPACED = 12, 8, 5, 8, 20
 LONG_WORD = 4  # bytes; shorter words, which all lines share, count in the sketch of a line without longer ones only
 SKETCH_BITS = np.array([36, 42])  # of 128, by kind of block: what the sketches of similar lines differ in at most; by chance 64 do
 SMALL, TILE, HOT = 16, 2048, 256
-#: Pairs of lines of up to 64 characters that are compared together (of longer ones in proportion fewer), those that a unit gathers for it, and the bytes of a table for it.
-TOGETHER, HELD, NEAR_BYTES = 16384, 4096, 32 << 20
+#: Pairs of lines of up to 64 characters that are compared together (of longer ones in proportion fewer), and the bytes of a table for it.
+TOGETHER, NEAR_BYTES = 16384, 32 << 20
 FILTER_BITS = 24  # of the filter that picks the lines of candidates: 2 MB, whatever the table's size
 #: Control characters, ASCII and Latin-1 marks and general punctuation: ranges, which a pattern tests fast.
 MARKS = "[\\x00-\\x1F!-/:-@\\[-`{-\\xA9\\xAB-\\xB4\\xB6-\\xB9\\xBB-\\xBF\\u2000-\\u206F]+"
@@ -285,23 +285,16 @@ def across(e: np.ndarray, roots: np.ndarray, side: np.ndarray, block: int, block
         return r
 
     top = root.copy()
-    held: list[tuple[int, int]] = []
     for place, i in enumerate(order[:n].tolist()):
         j = _open(e, i, top, side, block, blocks, order[place + 1 :])
         far = np.bitwise_count(e["s0"][j] ^ e["s0"][i]) + np.bitwise_count(e["s1"][j] ^ e["s1"][i])
-        held += [(i, k) for k in j[np.argsort(far, kind="stable")].tolist()]
-        if len(held) < HELD and place + 1 < n:
-            continue
-        # most are unlike: pairs that links among them make needless are few
         met = False
-        good = all_similar([texts[p] for p, _ in held], [texts[q] for _, q in held], similarity)
-        for p, q in (held[g] for g in np.flatnonzero(good)):
-            x, y = find(int(root[p])), find(int(root[q]))
-            if x != y:
+        for k in j[np.argsort(far, kind="stable")].tolist():
+            x, y = find(int(root[i])), find(int(root[k]))
+            if x != y and similar(texts[i], texts[k], similarity):
                 up[max(x, y)] = min(x, y)
                 met = True
-                yield p, q
-        held = []
+                yield i, k
         if met:
             top = np.array([find(r) for r in range(len(up))])[root]
 
