@@ -16,7 +16,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +35,15 @@ LONG_WORD = 4  # bytes; shorter words, which all lines share, count in the sketc
 SKETCH_BITS = np.array([36, 42])  # of 128, by kind of block: what the sketches of similar lines differ in at most; by chance 64 do
 SMALL, TILE, HOT = 16, 2048, 256
 #: Pairs of lines of up to 64 characters that are compared together (of longer ones in proportion fewer), and the bytes of a table for it.
-TOGETHER, NEAR_BYTES = 16384, 32 << 20
+TOGETHER, NEAR_BYTES = 16384, 16 << 20
+#: Candidate pairs, and bytes of lines, that a task gathers before it compares them; pairs of a unit of the second round at first, until links settle others.
+HELD_PAIRS, HELD_BYTES, QUOTA = 16384, 8 << 20, 256
 FILTER_BITS = 24  # of the filter that picks the lines of candidates: 2 MB, whatever the table's size
 #: Control characters, ASCII and Latin-1 marks and general punctuation: ranges, which a pattern tests fast.
 MARKS = "[\\x00-\\x1F!-/:-@\\[-`{-\\xA9\\xAB-\\xB4\\xB6-\\xB9\\xBB-\\xBF\\u2000-\\u206F]+"
-BUCKET_BYTES, FLUSH_BYTES, SLICE_CHARS = 12 << 20, 8 << 20, 1 << 20
+BUCKET_BYTES, FLUSH_BYTES, SLICE_CHARS, TASK_CHARS = 12 << 20, 8 << 20, 1 << 20, 32 << 20
 ENTRY = np.dtype([("sig", "<u8"), ("key", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("chars", "<u2"), ("kind", "u1"), ("hot", "?")])
 U = np.uint64
-ALL = U(0xFFFFFFFFFFFFFFFF)
 _LETTER = np.ones(256, bool)
 _LETTER[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = False
 _LANES = (np.arange(1 << 16, dtype=np.uint64)[:, None] >> np.arange(16, dtype=np.uint64) & U(1) << U(0)) << (U(4) * np.arange(16, dtype=np.uint64))
@@ -270,10 +271,11 @@ def partnered(e: np.ndarray, roots: np.ndarray, side: np.ndarray, block: int, bl
     return good
 
 
-def across(e: np.ndarray, roots: np.ndarray, side: np.ndarray, block: int, blocks: np.ndarray, texts: list[str], similarity: float) -> Iterator[tuple[int, int]]:
-    """Links of a unit that join lines of different roots, the likeliest pairs first; where a unit has two sides, of pairs across them.
+def _asked(e: np.ndarray, roots: np.ndarray, side: np.ndarray, block: int, blocks: np.ndarray) -> Generator[list[tuple[int, int]], np.ndarray, list[tuple[int, int]]]:
+    """Asks which of some pairs of a unit are similar, again and again, and returns the links that join lines of different roots.
 
-    ``blocks`` has the large blocks of each line, in order, padded with the unit's own: two lines are compared in the first that they share.
+    ``blocks`` has the large blocks of each line, in order, padded with the unit's own: two lines are compared in the first that they share. Pairs that links have made
+    needless aren't asked for, so few are asked for at once where lines link, and more where they don't.
     """
     root, order, n = _order(roots, side)
     up = list(range(int(root.max()) + 1))
@@ -284,19 +286,51 @@ def across(e: np.ndarray, roots: np.ndarray, side: np.ndarray, block: int, block
             r = up[r]
         return r
 
-    top = root.copy()
+    top, quota = root.copy(), QUOTA
+    links: list[tuple[int, int]] = []
+    pairs: list[tuple[int, int]] = []
     for place, i in enumerate(order[:n].tolist()):
         j = _open(e, i, top, side, block, blocks, order[place + 1 :])
-        far = np.bitwise_count(e["s0"][j] ^ e["s0"][i]) + np.bitwise_count(e["s1"][j] ^ e["s1"][i])
-        met = False
-        for k in j[np.argsort(far, kind="stable")].tolist():
-            x, y = find(int(root[i])), find(int(root[k]))
-            if x != y and similar(texts[i], texts[k], similarity):
-                up[max(x, y)] = min(x, y)
-                met = True
-                yield i, k
-        if met:
-            top = np.array([find(r) for r in range(len(up))])[root]
+        pairs += [(i, k) for k in j.tolist()]
+        if pairs and (len(pairs) >= quota or place == n - 1):
+            similar_ = yield pairs
+            some = [p for p, s in zip(pairs, similar_.tolist(), strict=True) if s]
+            for i, k in some:
+                x, y = find(int(root[i])), find(int(root[k]))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    links.append((i, k))
+            quota = max(QUOTA, min(HELD_PAIRS, 2 * quota) if 8 * len(some) < len(pairs) else quota // 2)
+            pairs = []
+            if some:
+                top = np.array([find(r) for r in range(len(up))])[root]
+    return links
+
+
+def across_units(units: list[tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, list[str]]], similarity: float) -> list[list[tuple[int, int]]]:
+    """Links of each of some units (entries, roots, sides, block, blocks, texts) that join lines of different roots; where a unit has two sides, of pairs across them.
+
+    Pairs of all units are compared together.
+    """
+    out: list[list[tuple[int, int]]] = [[] for _ in units]
+    asked = [_asked(*u[:5]) for u in units]
+    answers: dict[int, np.ndarray | None] = dict.fromkeys(range(len(units)))
+    while answers:
+        wanted: list[tuple[int, list[tuple[int, int]]]] = []
+        for u, answer in answers.items():
+            try:
+                wanted.append((u, asked[u].send(answer)))
+            except StopIteration as end:
+                out[u] = end.value
+        xs, ys = ([units[u][5][p[k]] for u, pairs in wanted for p in pairs] for k in (0, 1))
+        found, at = all_similar(xs, ys, similarity), np.cumsum([0, *(len(pairs) for _, pairs in wanted)])
+        answers = {u: found[at[k] : at[k + 1]] for k, (u, _) in enumerate(wanted)}
+    return out
+
+
+def across(e: np.ndarray, roots: np.ndarray, side: np.ndarray, block: int, blocks: np.ndarray, texts: list[str], similarity: float) -> list[tuple[int, int]]:
+    """across_units() of one unit."""
+    return across_units([(e, roots, side, block, blocks, texts)], similarity)[0]
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]]:
@@ -337,12 +371,28 @@ def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of units, whose rows have key and norm too."""
+    """Links (a, b) of units, whose rows have key and norm too; some units at a time, of HELD_BYTES together or a single one."""
+    held: list[tuple] = []
+    keys: list[list[bytes]] = []
+    size = 0
+
+    def settle() -> pa.RecordBatch:
+        found = across_units(held, similarity)
+        x, y = ([of[p[k]] for of, links in zip(keys, found, strict=True) for p in links] for k in (0, 1))
+        held.clear()
+        keys.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
+
     for rows, e, roots, side, block, blocks in _units(batches):
-        keys = rows.column("key").to_pylist()
-        found = list(across(e, roots, side, block, blocks, rows.column("norm").to_pylist(), similarity))
-        x, y = ([keys[p[k]] for p in found] for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
+        # copies, as slices would keep what they are cut from
+        held.append((e.copy(), roots.copy(), side.copy(), block, blocks, rows.column("norm").to_pylist()))
+        keys.append(rows.column("key").to_pylist())
+        size += rows.nbytes
+        if size >= HELD_BYTES:
+            yield settle()
+            size = 0
+    if held:
+        yield settle()
 
 
 def normalised(line: Column) -> Column:
@@ -409,8 +459,8 @@ def common_edge(x: str, y: str) -> int:
 
 
 def _codes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(characters, a row for each text, 0 after its end; which are the text's)."""
-    out, inside = np.zeros((len(texts), width), np.uint32), np.arange(width) < np.array([len(t) for t in texts])[:, None]
+    """(characters, a row for each text, 0 before it; which are the text's): texts stand at the right."""
+    out, inside = np.zeros((len(texts), width), np.uint32), np.arange(width) >= width - np.array([len(t) for t in texts])[:, None]
     out[inside] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     return out, inside
 
@@ -418,57 +468,77 @@ def _codes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
 def _near(xs: list[str], ys: list[str], most: np.ndarray) -> np.ndarray:
     """Whether edits() of each pair is at most ``most``: the same columns, of all pairs at once, 64 rows to an integer. Texts aren't empty.
 
-    Rows further from the diagonal than ``most`` can't be on the way to so few edits: of each column only the integers near it are computed, others count as one more edit a row or column.
+    All texts end in the last row or column, so pairs of any lengths share a diagonal; nothing changes in columns before a text, and rows before one pass on what
+    comes from above. Ways to so few edits stay near the diagonal: with k edits, and d characters more in y than in x, they step (k + d) / 2 characters of y ahead
+    of x at most, and (k - d) / 2 of x ahead of y. Only integers that hold such rows are computed; rows above count as one more edit a column, rows below as one more a row, as
+    ways do that lead there.
     """
     m, n, most = np.array([len(x) for x in xs]), np.array([len(y) for y in ys]), most.copy()
+    near, live = np.zeros(len(xs), bool), np.arange(len(xs))
+    reach = np.abs(n - m) <= most
+    if not reach.all():
+        near[reach] = _near([x for x, r in zip(xs, reach, strict=True) if r], [y for y, r in zip(ys, reach, strict=True) if r], most[reach]) if reach.any() else False
+        return near
     words = -(-int(m.max()) // 64)
-    x, of_x = _codes(xs, int(m.max()))
-    y, of_y = _codes(ys, int(n.max()))
+    columns = int(n.max())
+    x, of_x = _codes(xs, 64 * words)
+    y, of_y = _codes(ys, columns)
     used = np.zeros(max(int(x.max()), int(y.max())) + 1, bool)
     used[x[of_x]] = used[y[of_y]] = True
     rank = np.cumsum(used)
-    if len(xs) > 1 and len(xs) * (int(rank[-1]) + 1) * words * 8 > NEAR_BYTES:
+    kinds = int(rank[-1]) + 1  # 0: no character
+    if len(xs) > 1 and len(xs) * kinds * words * 8 > NEAR_BYTES:
         half = len(xs) // 2
         return np.concatenate([_near(xs[:half], ys[:half], most[:half]), _near(xs[half:], ys[half:], most[half:])])
-    x, y = np.where(of_x, rank[x], 0), np.where(of_y, rank[y], 0)  # 0: no character
-    at = np.zeros((len(xs), int(rank[-1]) + 1, words), np.uint64)
-    every = np.arange(len(xs))
-    for i in range(x.shape[1]):
-        at[every, x[:, i], i >> 6] |= U(1 << (i & 63))
-    near, live = np.zeros(len(xs), bool), every
-    up, down = np.full((words, len(xs)), ALL), np.zeros((words, len(xs)), np.uint64)
-    plus_of, minus_of = np.full_like(up, ALL), np.zeros_like(up)  # of rows above the band: one more edit a column
-    score, last, shift = m.copy(), m - 1 >> 6, (m - 1 & 63).astype(np.uint64)
-    for j in range(y.shape[1]):
-        row = np.arange(len(live))
-        eq_of = at[live, y[live, j]].T
-        plus_in, minus_in = np.ones(len(live), np.uint64), np.zeros(len(live), np.uint64)
+    own = kinds * np.arange(len(xs))[:, None]
+    x, y = (np.where(of_x, rank[x], 0) + own).T.copy(), (np.where(of_y, rank[y], 0) + own).T.copy()
+    at, up = np.zeros((words, len(xs) * kinds), np.uint64), np.zeros((words, len(xs)), np.uint64)
+    for i in range(64 * words):
+        bit = U(1 << (i & 63))
+        at[i >> 6][x[i]] |= bit
+        up[i >> 6] |= of_x[:, i] * bit
+    down, score, middle = np.zeros_like(up), m.copy(), 64 * words - columns
+    for j in range(columns):
         if j % 32 == 0:
-            band = int(most.max()) + 1
-        end = min(words, (j + band >> 6) + 1)
-        for w in range(min(max(0, j - band) >> 6, end - 1), end):
-            eq, u, d = eq_of[w], up[w], down[w]
-            vertical = eq | d
-            eq = eq | minus_in
-            across_ = (((eq & u) + u) ^ u) | eq
-            plus, minus = d | ~(across_ | u), u & across_
-            plus_of[w], minus_of[w] = plus, minus
-            p, q = plus << U(1) | plus_in, minus << U(1) | minus_in
-            plus_in, minus_in = plus >> U(63), minus >> U(63)
-            up[w], down[w] = q | ~(vertical | p), p & vertical
-        if end < words:  # rows below go on from the last one computed
-            plus_of[end:], minus_of[end:] = plus_in * ALL, minus_in * ALL
-        score += (plus_of[last, row] >> shift & U(1)).astype(np.int64) - (minus_of[last, row] >> shift & U(1)).astype(np.int64)
-        done = n == j + 1
-        if done.any() or j % 32 == 31:
-            near[live[done]] = score[done] <= most[done]
-            stay = ~done & (score - (n - j - 1) <= most)
-            if not stay.any():
-                break
+            buffers = np.empty((9, len(live)), np.uint64)
+            eq, vertical, t, plus, minus, plus_in, minus_in, plus_out, minus_out = buffers
+            first, last = middle - int((most - n + m).max()) // 2, middle + int((most + n - m).max()) // 2
+        end = max(1, min(words, (j + last >> 6) + 1))
+        plus_in[:], minus_in[:] = n >= columns - j, U(0)
+        for w in range(min(max(0, j + first) >> 6, end - 1), end):
+            u, d = up[w], down[w]
+            np.take(at[w], y[j], out=eq, mode="clip")
+            np.bitwise_or(eq, d, out=vertical)
+            np.bitwise_or(eq, minus_in, out=eq)
+            np.bitwise_and(eq, u, out=t)
+            np.add(t, u, out=t)
+            np.bitwise_xor(t, u, out=t)
+            np.bitwise_or(t, eq, out=t)
+            np.bitwise_or(t, u, out=plus)
+            np.invert(plus, out=plus)
+            np.bitwise_or(plus, d, out=plus)
+            np.bitwise_and(t, u, out=minus)
+            np.right_shift(plus, U(63), out=plus_out)
+            np.right_shift(minus, U(63), out=minus_out)
+            np.left_shift(plus, U(1), out=plus)
+            np.bitwise_or(plus, plus_in, out=plus)
+            np.left_shift(minus, U(1), out=minus)
+            np.bitwise_or(minus, minus_in, out=minus)
+            np.bitwise_or(vertical, plus, out=t)
+            np.invert(t, out=t)
+            np.bitwise_or(t, minus, out=u)
+            np.bitwise_and(plus, vertical, out=d)
+            plus_in, plus_out, minus_in, minus_out = plus_out, plus_in, minus_out, minus_in
+        score += plus_in.view(np.int64)
+        score -= minus_in.view(np.int64)
+        if j % 32 == 31:
+            stay = score - np.minimum(n, columns - j - 1) <= most  # each column to come takes one off at most
             if not stay.all():
-                live, m, n, most, score, last, shift = (a[stay] for a in (live, m, n, most, score, last, shift))
-                up, down = up[:, stay], down[:, stay]
-                plus_of, minus_of = np.full_like(up, ALL), np.zeros_like(up)
+                live, m, n, most, score = (a[stay] for a in (live, m, n, most, score))
+                up, down, y = up[:, stay], down[:, stay], y[:, stay]
+            if not len(live):
+                break
+    near[live] = score <= most
     return near
 
 
@@ -502,15 +572,17 @@ def all_similar(xs: list[str], ys: list[str], similarity: float = SIMILARITY) ->
     """similar() of each pair; pairs of about a length are compared together, where they are so many that this pays."""
     found = [_undecided(x, y, similarity) for x, y in zip(xs, ys, strict=True)]
     out = np.array([f is True for f in found], bool)
-    left = sorted((i for i, f in enumerate(found) if not isinstance(f, bool)), key=lambda i: (-(-len(found[i][0]) // 64), len(found[i][1])))
+    left = [i for i, f in enumerate(found) if not isinstance(f, bool)]
+    kind = {i: (int(np.log2(len(found[i][1]) + 64) * 3), found[i][2]) for i in left}  # by length, within a quarter of it, and edits allowed
+    left.sort(key=kind.__getitem__)
     a = 0
     while a < len(left):
-        words = -(-len(found[left[a]][0]) // 64)
-        b = a + 1
-        while b < len(left) and b - a < max(1, TOGETHER // words) and -(-len(found[left[b]][0]) // 64) <= words + words // 4 + 1:
+        words, b = 1, a
+        while b < len(left) and kind[left[b]][0] == kind[left[a]][0] and b - a < max(1, TOGETHER // max(words, -(-len(found[left[b]][0]) // 64))):
+            words = max(words, -(-len(found[left[b]][0]) // 64))
             b += 1
         own = [found[i] for i in left[a:b]]
-        if words and len(own) >= 6 * words:
+        if len(own) >= 8 + 2 * words:
             with np.errstate(over="ignore"):
                 out[left[a:b]] = _near([f[0] for f in own], [f[1] for f in own], np.array([f[2] for f in own]))
         else:
@@ -520,10 +592,21 @@ def all_similar(xs: list[str], ys: list[str], similarity: float = SIMILARITY) ->
 
 
 def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b) of those of rows (a, x, b, y) whose lines are similar."""
+    """Rows (a, b) of those of rows (a, x, b, y) whose lines are similar: rows of many batches together, so that there are many of a length."""
+    held: list[pa.RecordBatch] = []
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        keep = all_similar(rows.column(1).to_pylist(), rows.column(3).to_pylist(), similarity)
+        yield from rows.select([0, 2]).filter(pa.array(keep)).to_batches()
+
     for batch in batches:
-        keep = all_similar(batch.column(1).to_pylist(), batch.column(3).to_pylist(), similarity)
-        yield batch.select([0, 2]).filter(pa.array(keep))
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= HELD_PAIRS or sum(x.nbytes for x in held) >= HELD_BYTES:
+            yield from settle()
+    if held:
+        yield from settle()
 
 
 def _filter(wanted: DataFrame) -> np.ndarray:
@@ -572,7 +655,7 @@ def candidates(lines: DataFrame, n_chars: int, least_words: int, least_chars: in
     return common.stored(met.where("a is not null").select("a", "b").distinct(), "line-pairs"), met.where("block is not null").select("block", "key", "s0", "s1", "chars", "kind").distinct()
 
 
-def second_round(large: DataFrame, roots: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+def second_round(large: DataFrame, roots: DataFrame, lines: DataFrame, similarity: float, tasks: int) -> DataFrame:
     """Links (a, b) of keys in large blocks, between lines that have not met; ``roots``: (short, root).
 
     Lines with a partner come to a unit with their texts, so that no pair is written down but those that link.
@@ -589,7 +672,8 @@ def second_round(large: DataFrame, roots: DataFrame, lines: DataFrame, similarit
     some = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(common.in_arrow(_partnered), units.schema)
     some = common.stored(some, "line-partners")
     whole = some.join(texts_of(some.select("short"), lines), "short").select("unit", "side", "block", "blocks", "root", "s0", "s1", "chars", "kind", "key", "norm")
-    return common.stored(whole.repartition("unit").sortWithinPartitions("unit").mapInArrow(common.in_arrow(lambda b: _across(b, similarity)), "a binary, b binary"), "line-links")
+    # few rows, but each is compared with many: Spark would leave them in a task or two
+    return common.stored(whole.repartition(tasks, "unit").sortWithinPartitions("unit").mapInArrow(common.in_arrow(lambda b: _across(b, similarity)), "a binary, b binary"), "line-links")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -608,7 +692,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     root = graph.components(links)
     if not large.isEmpty():
         roots = keys.join(root, F.col("key") == F.col("node")).groupBy("short").agg(F.min(F.xxhash64("root")).alias("root"))
-        root = graph.components(links.unionByName(second_round(large, roots, lines, similarity)))
+        root = graph.components(links.unionByName(second_round(large, roots, lines, similarity, max(8, n_chars // TASK_CHARS))))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "row")
     firsts = places.where("eligible").groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(root.withColumnRenamed("node", "key"), "key", "left")
     grouped = common.stored(firsts.where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root")), "line-groups")

@@ -414,6 +414,53 @@ def test_edits_of_many_pairs_at_once(monkeypatch):
         assert got.tolist() == [line_dedup.edits(x, y) <= most for x, y in some]
 
 
+def unlike_lines(n):
+    """Pairs of the same words in another order, which only comparing them tells apart, and every fifth with one word replaced."""
+    rng, out = np.random.default_rng(12), []
+    for i in range(n):
+        ws = prose(900 + i, 40 + i % 7).split()
+        other = [*ws[:20], "replaced", *ws[21:]] if i % 5 == 0 else [ws[k] for k in rng.permutation(len(ws))]
+        out.append((" ".join(ws), " ".join(other)))
+    return out
+
+
+def test_line_pairs_of_many_batches_are_compared_together(monkeypatch):
+    """Pairs that come in small batches, and those of small units of the second round, are compared many at a time, and none in Python one by one."""
+    import pyarrow as pa
+
+    pairs = unlike_lines(120)
+    want = [line_dedup.similar(x, y) for x, y in pairs]
+    assert sum(want) == 24
+    one_by_one = []
+    monkeypatch.setattr(line_dedup, "edits", lambda *a, f=line_dedup.edits: one_by_one.append(a) or f(*a))
+    rows = [(str(i).encode(), x, str(i).encode(), y) for i, (x, y) in enumerate(pairs)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + 4], strict=True)], names=["a", "x", "b", "y"]) for a in range(0, 120, 4)]
+    got = [int(a) for b in line_dedup._similar(iter(batches), 0.8) for a in b.column(0).to_pylist()]
+    assert got == [i for i, w in enumerate(want) if w]
+    columns = {c: [] for c in ("unit", "side", "block", "blocks", "root", "s0", "s1", "chars", "kind", "key", "norm")}
+    for i, pair in enumerate(pairs):
+        for k, text in enumerate(pair):
+            for c, v in zip(columns, (i, 0, i, [i], 2 * i + k, 0, 0, len(text), 0, f"{i}-{k}".encode(), text), strict=True):
+                columns[c].append(v)
+    whole = pa.RecordBatch.from_pydict(columns)
+    links = [b for part in (7, 1000) for b in line_dedup._across((whole.slice(a, part) for a in range(0, len(whole), part)), 0.8)]
+    found = [{int(a.split(b"-")[0]) for a in b.column(0).to_pylist()} for b in links]
+    assert found == 2 * [{i for i, w in enumerate(want) if w}]
+    assert not one_by_one
+
+
+def test_pairs_that_links_settle_are_not_compared(monkeypatch):
+    """Of a large unit of near copies few pairs are compared: links of the first ones settle the others."""
+    base, n = prose(77, 40).split(), 400
+    texts = [" ".join([*base[:i % 40], f"x{i}", *base[i % 40 + 1 :]]) for i in range(n)]
+    e = np.zeros(n, dtype=line_dedup.ENTRY)
+    e["chars"] = [len(t) for t in texts]
+    compared = []
+    monkeypatch.setattr(line_dedup, "all_similar", lambda x, y, s, f=line_dedup.all_similar: compared.append(len(x)) or f(x, y, s))
+    assert len(line_dedup.across(e, np.arange(n), np.zeros(n, int), 1, np.ones((n, 1), int), texts, 0.8)) == n - 1
+    assert sum(compared) < 3 * n
+
+
 def test_line_dedup_recall(spark):
     """Of lines of 6 to 20 words and copies with one or two words replaced, over 0.9 of the similar pairs are found; no group joins two bases."""
     rng = np.random.default_rng(6)
