@@ -19,7 +19,7 @@ from siltstone.session import shared_dir
 #: ASCII white space that ends a word, as a character class for Java and RE2 patterns.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

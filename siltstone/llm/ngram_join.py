@@ -37,7 +37,7 @@ from . import common, graph
 
 SHINGLE, JACCARD = 5, (80, 100)
 GROWTH, SPARE, DEEP = 1.6, 1.15, 2
-BUCKET_BYTES, BLOCK_BYTES, BLOCK_ROWS, FLUSH_BYTES = 12 << 20, 4 << 20, 512, 8 << 20
+BUCKET_BYTES, BLOCK_BYTES, BLOCK_ROWS, FLUSH_BYTES = 12 << 20, 4 << 20, 512, 4 << 20
 ENTRY = np.dtype([("sig", "<u4"), ("key", "<u8"), ("band", "u1"), ("need", "u1")])
 U = np.uint64
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)

@@ -32,7 +32,7 @@ SEPARATOR = 1
 #: How a byte-level vocabulary of this family cuts text into pieces, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "doc_id {id}, start long, length long, {ids}, doc_tokens long, sequence_id long, offset long"
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 2 << 20
 LONG_RUN = re.compile(r"[^\S\x1C-\x1F]{1000,}")
 
 

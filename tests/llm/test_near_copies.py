@@ -114,3 +114,22 @@ def test_the_query(spark, sf):
     prints = [plain_print(t) for _, t in docs]
     top = plain_components(prints)
     assert got == {i: (f"{p:016x}", docs[t][0]) for (i, _), p, t in zip(docs, prints, top, strict=True)}
+
+
+def test_batches_of_workers_are_small(monkeypatch):
+    """What a worker hands over at once stays within some MB, of which Spark holds several copies outside its heap; nothing of it is lost."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from siltstone.llm import common, ngram_join, packing
+
+    assert common.BATCH_BYTES <= 4 << 20 and ngram_join.FLUSH_BYTES <= 4 << 20
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 24, 20_000).tolist()) for _ in range(30)]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    packed = list(packing._pack(iter([docs]), pa.int64(), packing.tokenizer_path(), 2048, 1, False))
+    assert len(packed) > 1 and max(b.nbytes for b in packed) < 4 << 20
+    tokens = {d: n for b in packed for d, n in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True)}
+    assert sum(n for b in packed for n in b.column(2).to_pylist()) == sum(tokens.values()) and len(tokens) == 30
