@@ -15,7 +15,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 import tiktoken
@@ -49,9 +49,13 @@ class Encoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*shown}))}
-        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added}
-        self.encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.piece = tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self.ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added}
+        self.encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+
+    @cached_property
+    def piece(self) -> tiktoken.Encoding:
+        """Takes a text as one piece; made for the first long run of white space, as workers keep what they have made."""
+        return tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
         if self.cut is None or not any(token in text for token in self.added):

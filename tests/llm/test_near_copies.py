@@ -133,3 +133,16 @@ def test_batches_of_workers_are_small(monkeypatch):
     assert len(packed) > 1 and max(b.nbytes for b in packed) < 4 << 20
     tokens = {d: n for b in packed for d, n in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True)}
     assert sum(n for b in packed for n in b.column(2).to_pylist()) == sum(tokens.values()) and len(tokens) == 30
+
+
+def test_a_worker_keeps_one_encoding_unless_white_space_runs_long():
+    """The encoding of whole pieces is made for a long run of white space only; ids stay those of the vocabulary's own library."""
+    from tokenizers import Tokenizer
+
+    from siltstone.llm import packing
+
+    path = packing.tokenizer_path()
+    encode, own = packing.Encoder(path), Tokenizer.from_file(path)
+    for text, made in (("hello world  \t x", False), ("a" + " " * 3000 + "b" + "\n" * 1500 + "c  d", True), ("again", True)):
+        assert np.frombuffer(encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+        assert ("piece" in vars(encode)) == made
