@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Generator, Iterator
 
@@ -36,19 +37,23 @@ SKETCH_BITS = np.array([36, 42])  # of 128, by kind of block: what the sketches
 SMALL, TILE, HOT = 16, 2048, 256
 #: Pairs of lines of up to 64 characters that are compared together (of longer ones in proportion fewer), and the bytes of a table for it.
 TOGETHER, NEAR_BYTES = 16384, 16 << 20
+LONG = 1024  # characters
 #: Candidate pairs, and bytes of lines, that a task gathers before it compares them; pairs of a unit of the second round at first, until links settle others.
 HELD_PAIRS, HELD_BYTES, QUOTA = 16384, 8 << 20, 256
 FILTER_BITS = 24  # of the filter that picks the lines of candidates: 2 MB, whatever the table's size
 #: Control characters, ASCII and Latin-1 marks and general punctuation: ranges, which a pattern tests fast.
 MARKS = "[\\x00-\\x1F!-/:-@\\[-`{-\\xA9\\xAB-\\xB4\\xB6-\\xB9\\xBB-\\xBF\\u2000-\\u206F]+"
-BUCKET_BYTES, FLUSH_BYTES, SLICE_CHARS, TASK_CHARS = 12 << 20, 8 << 20, 1 << 20, 32 << 20
+BUCKET_BYTES, FLUSH_BYTES, SLICE_CHARS, TASK_LINES = 12 << 20, 8 << 20, 1 << 20, 100_000
 ENTRY = np.dtype([("sig", "<u8"), ("key", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("chars", "<u2"), ("kind", "u1"), ("hot", "?")])
 U = np.uint64
-_LETTER = np.ones(256, bool)
-_LETTER[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = False
+_SPACED = bytes(32 if x != 10 and (x < 48 or 58 <= x < 65 or 91 <= x < 97 or 123 <= x < 128) else x for x in range(256))
+_HIGH_MARKS = re.compile(rb"\xC2[\x80-\xBF]|\xE2[\x80\x81][\x80-\xBF]")  # Latin-1 marks and general punctuation
 _LANES = (np.arange(1 << 16, dtype=np.uint64)[:, None] >> np.arange(16, dtype=np.uint64) & U(1) << U(0)) << (U(4) * np.arange(16, dtype=np.uint64))
 _LANES = _LANES.sum(axis=1, dtype=np.uint64)  # the bits of sixteen, four bits apart
 _SEEDS = [U(int(x)) for x in np.random.default_rng(29).integers(1, 1 << 63, TABLES, dtype=np.uint64) | U(1)]
+_STEPS = sorted(((a, b) for a in range(5) for b in range(5) if a or b), key=lambda p: (sum(p), abs(p[0] - p[1])))  # words that may differ, of either line
+_END = [None] * 6
+_TOP = U(63)
 _PRIME = 0x100000001B3
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 
@@ -82,44 +87,43 @@ class Lines:
 
     def read(self, lines: list[str]) -> tuple[np.ndarray, ...]:
         """(hashes of the words that tell lines apart, their lines, [(run hashes, their lines) of both kinds], characters a line, words a line). Lines hold no line feed."""
-        data = np.frombuffer("\n".join([*lines, ""]).lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        feed = data == 10
-        space = ~_LETTER[data]
-        space[:-1] |= data[:-1] == 0xC2  # Latin-1 marks: C2 and a second byte
-        space[1:] |= data[:-1] == 0xC2
-        mark = (data[:-2] == 0xE2) & (data[1:-1] >= 0x80) & (data[1:-1] <= 0x81) if len(data) > 2 else np.zeros(0, bool)
-        for k in range(3 if len(mark) else 0):
-            space[k : len(data) - 2 + k] |= mark  # general punctuation: E2, 80 or 81, and a third byte
-        keep = feed | ~space
-        keep[1:] |= ~space[:-1]
-        data, space, feed = data[keep], space[keep], feed[keep]
-        blank = space & ~feed  # single spaces by now: those at a line's edges go
-        keep = ~blank
-        keep[1:-1] |= ~feed[:-2] & ~feed[2:]
-        keep[:1] = ~blank[:1]
-        space, feed = space[keep], feed[keep]
-        data = np.where(space & ~feed, np.uint8(32), data[keep])
-        line = np.cumsum(feed) - feed
-        n_chars = np.bincount(line[(data & 0xC0 != 0x80) & ~feed], minlength=len(lines))
-        edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1), append=np.int8(1)))
+        raw = "\n".join([*lines, ""]).lower().encode("utf-8", "surrogatepass").translate(_SPACED)
+        if b"\xC2" in raw or b"\xE2" in raw:
+            raw = _HIGH_MARKS.sub(b" ", raw)
+        data = np.frombuffer(raw, dtype=np.uint8)
+        letter = data > 32
+        keep = letter | (data == 10)
+        keep[1:-1] |= letter[:-2] & (data[2:] != 10)  # of spaces the first of several, but none at a line's edges
+        data = data[keep]
+        late = (data[:-1] == 32) & (data[1:] == 10)
+        if late.any():
+            data = data[np.append(~late, True)]
+        stop = np.flatnonzero(data == 10)
+        n_bytes = np.diff(stop, prepend=-1) - 1
+        n_chars = n_bytes if raw.isascii() else n_bytes - np.diff(np.searchsorted(np.flatnonzero(data & 0xC0 == 0x80), stop), prepend=0)
+        edge = np.flatnonzero(np.diff((data > 32).view(np.int8), prepend=np.int8(0)))
         begin, end = edge[::2], edge[1::2]
         up, down = self._powers(len(data) + 1)
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + U(1)) * up[: len(data)], dtype=np.uint64)])
+        run = np.zeros(len(data) + 1, np.uint64)
+        run[1:] = data
+        run[1:] += U(1)
+        run[1:] *= up[: len(data)]
+        np.cumsum(run, out=run)
         words = mix((run[end] - run[begin]) * down[begin] + (end - begin).astype(np.uint64))
-        of = line[begin]
-        n_words = np.bincount(of, minlength=len(lines))
-        few = (n_words > 0) & ((n_words <= FEW_WORDS) | (n_chars >= UNSPACED * n_words))
-        stop = np.flatnonzero(feed)
+        n_words = np.diff(np.searchsorted(begin, stop), prepend=0)
+        of = np.repeat(np.arange(len(lines)), n_words)
+        few = np.flatnonzero((n_words > 0) & ((n_words <= FEW_WORDS) | (n_chars >= UNSPACED * n_words)))
 
-        def runs(start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-            owner = line[start]
+        def runs(start: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
             fits = (start + length <= stop[owner]) | (np.diff(owner, prepend=-1) > 0)  # a line's first run stays, however short
             start, owner = start[fits], owner[fits]
             last = np.minimum(start + length, stop[owner])
             return mix((run[last] - run[start]) * down[start] + (last - start).astype(np.uint64)), owner
 
         telling = (end - begin >= LONG_WORD) | (np.bincount(of, end - begin >= LONG_WORD, len(lines)) == 0)[of]
-        return words[telling], of[telling], [runs(begin, RUN), runs(np.flatnonzero(few[line] & ~feed), SHORT_RUN)], n_chars, n_words
+        many = n_bytes[few]
+        each = np.repeat(stop[few] - np.cumsum(many), many) + np.arange(many.sum())  # every byte of lines of few words
+        return words[telling], of[telling], [runs(begin, of, RUN), runs(each, np.repeat(few, many), SHORT_RUN)], n_chars, n_words
 
 
 def _entries(batches: Iterator[pa.RecordBatch], buckets: int, least_words: int, least_chars: int) -> Iterator[pa.RecordBatch]:
@@ -133,7 +137,7 @@ def _entries(batches: Iterator[pa.RecordBatch], buckets: int, least_words: int,
         nonlocal size
         e = np.concatenate(held)
         e = e[np.argsort(e["sig"], kind="stable")]
-        place = e["sig"]
+        place = e["sig"].copy()
         first = np.flatnonzero(np.diff(place, prepend=place[0] ^ U(1)))
         many = np.repeat(np.diff(first, append=len(e)), np.diff(first, append=len(e))) > HOT
         if many.any():  # a block that is hot here is spread over buckets, but for one entry that tells its own bucket
@@ -141,8 +145,9 @@ def _entries(batches: Iterator[pa.RecordBatch], buckets: int, least_words: int,
             many[first] = False
             place = np.where(many, mix(place ^ (e["key"] % U(1021))), place)
         bucket = ((place >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        e, bucket = e[order], bucket[order]
+        if many.any():  # of others the order by block is one by bucket
+            order = np.argsort(bucket, kind="stable")
+            e, bucket = e[order], bucket[order]
         cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
         held.clear()
         size = 0
@@ -201,6 +206,12 @@ def pairs_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Small blocks give all their pairs; of others each line meets its block's smallest key, which is mostly the same in all its blocks, and in one
     block of four its neighbour in sketch order.
     """
+    e = e[np.argsort(e["sig"])]
+    other = np.concatenate([[True], e["sig"][1:] != e["sig"][:-1], [True]])
+    e = e[~(other[1:] & other[:-1]) | e["hot"]]  # most blocks have one line
+    if not len(e):
+        none = np.zeros(0, np.uint64)
+        return none, none, e
     e = e[np.lexsort((e["key"], e["sig"]))]
     same = (e["sig"][1:] == e["sig"][:-1]) & (e["key"][1:] == e["key"][:-1])
     e = e[np.concatenate([[True], ~same])]
@@ -261,13 +272,25 @@ def _order(roots: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def partnered(e: np.ndarray, roots: np.ndarray, side: np.ndarray, block: int, blocks: np.ndarray) -> np.ndarray:
     """Which lines of a unit are a candidate with another one."""
-    root, order, n = _order(roots, side)
-    good = np.zeros(len(e), bool)
-    for place, i in enumerate(order[:n].tolist()):
-        j = _open(e, i, root, side, block, blocks, order[place + 1 :])
-        if len(j):
-            good[i] = True
-            good[j] = True
+    good, two, own = np.zeros(len(e), bool), side.any(), np.ascontiguousarray(e["chars"])
+    high = int(SKETCH_BITS[e["kind"][0]]) if len(e) else 0
+    s0, s1 = np.ascontiguousarray(e["s0"]), np.ascontiguousarray(e["s1"])
+    many = max(1, 65536 // max(1, len(e)))
+    for a in range(0, len(e), many):  # rows of all pairs
+        i = slice(a, a + many)
+        far = np.bitwise_count(s0[i, None] ^ s0) + np.bitwise_count(s1[i, None] ^ s1)
+        ok = (far <= high) & (roots[i, None] != roots)
+        if two:
+            ok &= side[i, None] != side
+        x, y = np.nonzero(ok)
+        x += a
+        like = np.minimum(own[x], own[y]) >= np.floor(SIMILARITY * np.maximum(own[x], own[y]))
+        x, y = x[like], y[like]
+        for k in range(0, len(x), 1024):
+            p, q = x[k : k + 1024], y[k : k + 1024]
+            new = ~((blocks[p][:, :, None] == blocks[q][:, None, :]) & (blocks[p] < block)[:, :, None]).any(axis=(1, 2))
+            good[p[new]] = True
+            good[q[new]] = True
     return good
 
 
@@ -498,67 +521,108 @@ def _near(xs: list[str], ys: list[str], most: np.ndarray) -> np.ndarray:
         at[i >> 6][x[i]] |= bit
         up[i >> 6] |= of_x[:, i] * bit
     down, score, middle = np.zeros_like(up), m.copy(), 64 * words - columns
-    for j in range(columns):
-        if j % 32 == 0:
-            buffers = np.empty((9, len(live)), np.uint64)
-            eq, vertical, t, plus, minus, plus_in, minus_in, plus_out, minus_out = buffers
-            first, last = middle - int((most - n + m).max()) // 2, middle + int((most + n - m).max()) // 2
-        end = max(1, min(words, (j + last >> 6) + 1))
-        plus_in[:], minus_in[:] = n >= columns - j, U(0)
-        for w in range(min(max(0, j + first) >> 6, end - 1), end):
-            u, d = up[w], down[w]
-            np.take(at[w], y[j], out=eq, mode="clip")
-            np.bitwise_or(eq, d, out=vertical)
-            np.bitwise_or(eq, minus_in, out=eq)
-            np.bitwise_and(eq, u, out=t)
-            np.add(t, u, out=t)
-            np.bitwise_xor(t, u, out=t)
-            np.bitwise_or(t, eq, out=t)
-            np.bitwise_or(t, u, out=plus)
-            np.invert(plus, out=plus)
-            np.bitwise_or(plus, d, out=plus)
-            np.bitwise_and(t, u, out=minus)
-            np.right_shift(plus, U(63), out=plus_out)
-            np.right_shift(minus, U(63), out=minus_out)
-            np.left_shift(plus, U(1), out=plus)
-            np.bitwise_or(plus, plus_in, out=plus)
-            np.left_shift(minus, U(1), out=minus)
-            np.bitwise_or(minus, minus_in, out=minus)
-            np.bitwise_or(vertical, plus, out=t)
-            np.invert(t, out=t)
-            np.bitwise_or(t, minus, out=u)
-            np.bitwise_and(plus, vertical, out=d)
-            plus_in, plus_out, minus_in, minus_out = plus_out, plus_in, minus_out, minus_in
-        score += plus_in.view(np.int64)
-        score -= minus_in.view(np.int64)
-        if j % 32 == 31:
-            stay = score - np.minimum(n, columns - j - 1) <= most  # each column to come takes one off at most
-            if not stay.all():
-                live, m, n, most, score = (a[stay] for a in (live, m, n, most, score))
-                up, down, y = up[:, stay], down[:, stay], y[:, stay]
-            if not len(live):
-                break
+    first, last = middle - int((most - n + m).max()) // 2, middle + int((most + n - m).max()) // 2
+    end = np.clip((np.arange(columns) + last >> 6) + 1, 1, words)
+    low = np.minimum(np.maximum(0, np.arange(columns) + first) >> 6, end - 1).tolist()
+    end, of_word = end.tolist(), (np.arange(words) * at.shape[1])[:, None]
+    at, a, b = at.ravel(), 0, 0
+    buffers, place = np.empty((5, words, len(live)), np.uint64), np.empty((words, len(live)), np.int64)
+    passed, before = np.zeros((2, 2, words + 1, len(live)), np.uint64)
+    for step in range(columns + words - 1):
+        # integer w is at column step - w, as it needs what the one above has passed on in this column
+        while step - a >= columns or a <= step and a < low[step - a]:
+            a += 1
+        b = max(a, b)
+        while b < words and b <= step and b < end[step - b]:
+            b += 1
+        if a >= b or a > step:
+            continue
+        eq, vertical, t, plus, minus = buffers[:, : b - a]
+        if a == low[step - a]:
+            before[0, a], before[1, a] = n >= columns - step + a, U(0)
+        (plus_in, minus_in), (plus_out, minus_out) = before[:, a:b], passed[:, a + 1 : b + 1]
+        u, d = up[a:b], down[a:b]
+        at.take(np.add(y[step - b + 1 : step - a + 1][::-1], of_word[a:b], out=place[: b - a]), out=eq, mode="clip")
+        np.bitwise_or(eq, d, out=vertical)
+        np.bitwise_or(eq, minus_in, out=eq)
+        np.bitwise_and(eq, u, out=t)
+        np.add(t, u, out=t)
+        np.bitwise_xor(t, u, out=t)
+        np.bitwise_or(t, eq, out=t)
+        np.bitwise_or(t, u, out=plus)
+        np.invert(plus, out=plus)
+        np.bitwise_or(plus, d, out=plus)
+        np.bitwise_and(t, u, out=minus)
+        np.right_shift(plus, _TOP, out=plus_out)
+        np.right_shift(minus, _TOP, out=minus_out)
+        np.add(plus, plus, out=plus)
+        np.bitwise_or(plus, plus_in, out=plus)
+        np.add(minus, minus, out=minus)
+        np.bitwise_or(minus, minus_in, out=minus)
+        np.bitwise_or(vertical, plus, out=t)
+        np.invert(t, out=t)
+        np.bitwise_or(t, minus, out=u)
+        np.bitwise_and(plus, vertical, out=d)
+        passed, before = before, passed
+        j = step - b + 1
+        if b == end[j]:  # the lowest integer of a column
+            score += plus_out[-1].view(np.int64)
+            score -= minus_out[-1].view(np.int64)
+            if j % 32 == 31:
+                stay = score - np.minimum(n, columns - j - 1) <= most  # each column to come takes one off at most
+                if np.count_nonzero(stay) < 0.9 * len(stay):
+                    live, n, most, score = (x[stay] for x in (live, n, most, score))
+                    up, down, y, before = up[:, stay], down[:, stay], y[:, stay], before[:, :, stay]
+                    passed, buffers, place = np.zeros_like(before), np.empty((5, words, len(live)), np.uint64), np.empty((words, len(live)), np.int64)
+                if not len(live):
+                    break
     near[live] = score <= most
     return near
 
 
+def word_edits(u: list[str], v: list[str], most: int, close: bool = False) -> int:
+    """Edits that make words v of words u, where what differs ends with the next two words that are the same again: no fewer than edits() needs, and over ``most``
+    any number over it. ``close``: with the characters' edits of what differs, which are fewer."""
+    n, m, i, j, total = len(u), len(v), 0, 0, 0
+    u, v = u + _END, v + _END
+    while i < n or j < m:
+        if u[i] == v[j]:
+            i, j = i + 1, j + 1
+            continue
+        for a, b in _STEPS:
+            if u[i + a] == v[j + b] and u[i + a + 1] == v[j + b + 1]:
+                break
+        else:
+            a, b = min(1, n - i), min(1, m - j)
+        if close and a and b:
+            total += edits(" ".join(u[i : i + a]), " ".join(v[j : j + b]))
+        elif a == b:
+            total += sum(max(len(u[i + k]), len(v[j + k])) for k in range(a)) if a > 1 else max(len(u[i]), len(v[j]))
+        else:  # with a space each
+            total += max(sum(map(len, u[i : i + a])) + a, sum(map(len, v[j : j + b])) + b) - (a > 0 and b > 0)
+        if total > most:
+            break
+        i, j = i + a, j + b
+    return total
+
+
 def _undecided(x: str, y: str, similarity: float) -> bool | tuple[str, str, int]:
     """Whether two lines are similar, or what is left to compare and the edits allowed.
 
-    What they share at either end is cut off; if words in place of words are few enough edits, so are the characters' edits.
+    If words in place of words are few enough edits, so are the characters' edits: most similar lines are told by that, at a tenth of the time. Of others what
+    they share at either end is cut off.
     """
     allowed = int(max(len(x), len(y)) * round(1 - similarity, 9) + 1e-9)
+    if abs(len(x) - len(y)) > allowed:
+        return False
+    if word_edits(x.split(" "), y.split(" "), allowed) <= allowed:
+        return True
     a = common_edge(x, y)
     x, y = x[a:], y[a:]
     b = common_edge(x[::-1], y[::-1])
     x, y = x[: len(x) - b], y[: len(y) - b]
     if max(len(x), len(y)) <= allowed:
         return True
-    if abs(len(x) - len(y)) > allowed:
-        return False
-    u, v = x.split(" "), y.split(" ")
-    if len(u) == len(v) and sum(max(len(p), len(q)) for p, q in zip(u, v, strict=True) if p != q) <= allowed:
-        return True
     return (x, y, allowed) if len(x) <= len(y) else (y, x, allowed)
 
 
@@ -573,8 +637,15 @@ def all_similar(xs: list[str], ys: list[str], similarity: float = SIMILARITY) ->
     found = [_undecided(x, y, similarity) for x, y in zip(xs, ys, strict=True)]
     out = np.array([f is True for f in found], bool)
     left = [i for i, f in enumerate(found) if not isinstance(f, bool)]
-    kind = {i: (int(np.log2(len(found[i][1]) + 64) * 3), found[i][2]) for i in left}  # by length, within a quarter of it, and edits allowed
-    left.sort(key=kind.__getitem__)
+    out[left] = _compared([found[i] for i in left])
+    return out
+
+
+def _compared(found: list[tuple[str, str, int]]) -> np.ndarray:
+    """Whether edits() of each pair that _undecided() has left is at most what it allows."""
+    out = np.zeros(len(found), bool)
+    kind = [(int(np.log2(len(f[1]) + 64) * 3), f[2]) for f in found]  # by length, within a quarter of it, and edits allowed
+    left = sorted(range(len(found)), key=kind.__getitem__)
     a = 0
     while a < len(left):
         words, b = 1, a
@@ -582,30 +653,41 @@ def all_similar(xs: list[str], ys: list[str], similarity: float = SIMILARITY) ->
             words = max(words, -(-len(found[left[b]][0]) // 64))
             b += 1
         own = [found[i] for i in left[a:b]]
-        if len(own) >= 8 + 2 * words:
+        if len(own) * (40 + words) >= 800:  # what a column costs for each pair, and for all together
             with np.errstate(over="ignore"):
                 out[left[a:b]] = _near([f[0] for f in own], [f[1] for f in own], np.array([f[2] for f in own]))
         else:
-            out[left[a:b]] = [edits(*f) <= f[2] for f in own]
+            # long lines, which few others are of a length with, are told by their words for a hundredth of the time
+            out[left[a:b]] = [len(f[0]) > LONG and word_edits(f[0].split(" "), f[1].split(" "), f[2], True) <= f[2] or edits(*f) <= f[2] for f in own]
         a = b
     return out
 
 
 def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b) of those of rows (a, x, b, y) whose lines are similar: rows of many batches together, so that there are many of a length."""
+    """Rows (a, b) of those of rows (a, x, b, y) whose lines are similar: what many batches leave to compare is compared together, so that there are many of a length."""
     held: list[pa.RecordBatch] = []
+    left: list[tuple[str, str, int]] = []
+    size = 0
 
     def settle() -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks()
+        yield from rows.filter(pa.array(_compared(left))).to_batches()
         held.clear()
-        keep = all_similar(rows.column(1).to_pylist(), rows.column(3).to_pylist(), similarity)
-        yield from rows.select([0, 2]).filter(pa.array(keep)).to_batches()
+        left.clear()
 
     for batch in batches:
-        held.append(batch)
-        if sum(x.num_rows for x in held) >= HELD_PAIRS or sum(x.nbytes for x in held) >= HELD_BYTES:
+        found = [_undecided(x, y, similarity) for x, y in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        keys = batch.select([0, 2])
+        yield keys.filter(pa.array([f is True for f in found], pa.bool_()))
+        open_ = [f for f in found if not isinstance(f, bool)]
+        if open_:
+            held.append(keys.filter(pa.array([not isinstance(f, bool) for f in found], pa.bool_())))
+            left += open_
+            size += sum(len(f[0]) + len(f[1]) for f in open_)
+        if len(left) >= HELD_PAIRS or size >= HELD_BYTES:
             yield from settle()
-    if held:
+            size = 0
+    if left:
         yield from settle()
 
 
@@ -645,14 +727,14 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> tuple[Dat
     return common.stored(links, "line-links"), texts.select("short", "key")
 
 
-def candidates(lines: DataFrame, n_chars: int, least_words: int, least_chars: int) -> tuple[DataFrame, DataFrame]:
+def candidates(lines: DataFrame, n_lines: int, least_words: int, least_chars: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b) of short keys, and the lines (block, key, s0, s1, chars, kind) of large blocks."""
-    # about one line in three hundred characters
-    buckets = int(max(8, n_chars // 300 * TABLES * ENTRY.itemsize // BUCKET_BYTES + 1))
+    buckets = int(max(8, n_lines * TABLES * ENTRY.itemsize // BUCKET_BYTES + 1))
     packed = lines.select("short", "raw").mapInArrow(common.in_arrow(lambda b: _entries(b, buckets, least_words, least_chars)), "bucket int, packed binary")
     schema = "a long, b long, block long, key long, s0 long, s1 long, chars int, kind int"
     met = common.stored(packed.repartition(buckets, "bucket").mapInArrow(common.in_arrow(_candidates), schema), "line-candidates")
-    return common.stored(met.where("a is not null").select("a", "b").distinct(), "line-pairs"), met.where("block is not null").select("block", "key", "s0", "s1", "chars", "kind").distinct()
+    large = met.where("block is not null").select("block", "key", "s0", "s1", "chars", "kind").distinct()
+    return common.stored(met.where("a is not null").select("a", "b").distinct(), "line-pairs"), common.stored(large, "line-large")
 
 
 def second_round(large: DataFrame, roots: DataFrame, lines: DataFrame, similarity: float, tasks: int) -> DataFrame:
@@ -685,14 +767,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     common.python_ready(docs.sparkSession)
     lines = lines_of(docs, id_col, text_col)
-    n_chars = docs.agg(F.sum(F.length(text_col)).alias("n")).collect()[0]["n"] or 0
     places = common.stored(lines.select("doc_id", "row", "line", line_key(F.col("raw")).alias("key"), eligible(F.col("raw"), least_words, least_chars).alias("eligible")), "line-places")
-    pairs, large = candidates(lines, n_chars, least_words, least_chars)
+    n_lines = places.where("eligible").count()
+    pairs, large = candidates(lines, n_lines, least_words, least_chars)
     links, keys = verified(pairs, lines, similarity)
     root = graph.components(links)
     if not large.isEmpty():
         roots = keys.join(root, F.col("key") == F.col("node")).groupBy("short").agg(F.min(F.xxhash64("root")).alias("root"))
-        root = graph.components(links.unionByName(second_round(large, roots, lines, similarity, max(8, n_chars // TASK_CHARS))))
+        root = graph.components(links.unionByName(second_round(large, roots, lines, similarity, max(8, n_lines // TASK_LINES))))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "row")
     firsts = places.where("eligible").groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(root.withColumnRenamed("node", "key"), "key", "left")
     grouped = common.stored(firsts.where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root")), "line-groups")

@@ -449,6 +449,35 @@ def test_line_pairs_of_many_batches_are_compared_together(monkeypatch):
     assert not one_by_one
 
 
+def test_similar_lines_are_told_by_their_words(monkeypatch):
+    """Words replaced, put in and left out, few enough: no table of edits is computed. The bound is never under the edits, whatever the lines."""
+    rng = np.random.default_rng(21)
+    for _ in range(400):
+        u, v = (list(rng.choice(["a", "bc", "", "def", "ghij"], int(rng.integers(1, 14)))) for _ in range(2))
+        v = [*u[:3], *v[:3], *u[4:]] if rng.random() < 0.7 else v
+        n = lev(" ".join(u), " ".join(v))
+        assert line_dedup.word_edits(u, v, 99) >= line_dedup.word_edits(u, v, 99, True) >= n, (u, v)
+    monkeypatch.setattr(line_dedup, "edits", None)
+    monkeypatch.setattr(line_dedup, "_near", None)
+    ws = prose(31, 40).split()
+    others = [[*ws[:9], "putin", *ws[9:20], "other", *ws[21:30], *ws[31:]], [*ws[:5], "two", "more", *ws[5:20], *ws[22:]], ["first", *ws, "last"], ws[1:-1]]
+    pairs = [(" ".join(ws), " ".join(x)) for x in others]
+    assert all(line_dedup.similar(*p) for p in pairs) and line_dedup.all_similar(*map(list, zip(*pairs, strict=True))).all()
+
+
+def test_partners_of_units_of_any_size():
+    """Lines of a unit whose pairs don't fit in one table have the same partners as line by line, on both sides too."""
+    rng = np.random.default_rng(22)
+    for n in (1, 40, 700):
+        e = np.zeros(n, dtype=line_dedup.ENTRY)
+        e["s0"], e["chars"] = 1 << rng.integers(0, 64, n, dtype=np.uint64), rng.integers(10, 100, n)
+        e["s1"] = np.where(rng.random(n) < 0.5, 0, rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        roots, blocks = rng.integers(0, 4, n), np.sort(rng.choice([3, 5, 7, 9], (n, 3)), axis=1)
+        for side in (np.zeros(n, int), np.arange(n) % 2):
+            open_ = [line_dedup._open(e, i, roots, side, 7, blocks, np.delete(np.arange(n), i)) for i in range(n)]
+            assert line_dedup.partnered(e, roots, side, 7, blocks).tolist() == [len(j) > 0 for j in open_]
+
+
 def test_pairs_that_links_settle_are_not_compared(monkeypatch):
     """Of a large unit of near copies few pairs are compared: links of the first ones settle the others."""
     base, n = prose(77, 40).split(), 400
