@@ -135,7 +135,7 @@ def _filings(spark: SparkSession, sf_dir: str) -> str:
 
     def write(rows: DataFrame, path: str) -> None:
         named = rows.select(F.concat(F.lit("T"), (F.col("page_id") % 5).cast("string")).alias("ticker"), F.lpad(F.col("page_id").cast("string"), 12, "0").alias("accession"), F.coalesce("html", F.lit("")).alias("value"))
-        named.write.partitionBy("ticker", "accession").text(path)
+        files.write_texts(named, path, ["ticker", "accession"], "value")
 
     return _written(spark, sf_dir, "pages", "filings", write)
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,10 +77,50 @@ def newest_filings(spark: SparkSession, root: str, company: str = COMPANY) -> Da
     return files.select("path", "content").join(last, "path").select("ticker", "path", F.decode("content", "ISO-8859-1").alias("text"))
 
 
+def _listed(spark: SparkSession, load: Callable[[], DataFrame]) -> DataFrame:
+    """What ``load`` reads, its folders listed by four tasks a core at most: a task for each of them, up to 10,000, takes longer to start than to list."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    held, most = spark.conf.get(key, None), 4 * spark.sparkContext.defaultParallelism
+    spark.conf.set(key, str(min(int(spark.conf.get(key)), most)))
+    try:
+        return load()
+    finally:
+        spark.conf.unset(key) if held is None else spark.conf.set(key, held)
+
+
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text) of text files under a folder, whole."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """(path, text) of text files under a folder, whole: their bytes as they are."""
+    rows = _listed(spark, lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root))
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("content").cast("string").alias("text"))
+
+
+def write_texts(rows: DataFrame, path: str, folders: list[str], text: str) -> None:
+    """A text file for each row, ended by a line end, in the folder of its values as partitions are laid out; as read_texts() takes them.
+
+    Tasks write into a ``file:`` folder by themselves, as Hadoop starts a process there for the mode of each file and folder; other file systems have Spark's sink.
+    Values are names that a path can hold.
+    """
+    if not (out := Stored(rows.sparkSession, path)).local:
+        rows.select(*folders, text).write.partitionBy(*folders).text(path)
+        return
+    root = out.fs.makeQualified(out.path).toUri().getPath()
+    folder = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))) for c in folders])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get(), 0
+        for batch in batches:
+            for at, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                os.makedirs(f"{root}/{at}", exist_ok=True)
+                name, made = f"part-{task.partitionId():05d}-{n}.txt", f"{root}/{at}/.{task.taskAttemptId()}-{n}"
+                with open(made, "wb") as f:
+                    f.write((content or b"") + b"\n")
+                os.replace(made, f"{root}/{at}/{name}")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows.select(folder.alias("folder"), F.col(text).cast("binary").alias("content")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    out.fs.mkdirs(out.path)
+    Stored(rows.sparkSession, f"{path}/_SUCCESS").touch()
 
 
 def chunk_directory(spark: SparkSession, root: str) -> DataFrame:
@@ -133,6 +178,13 @@ class Stored:
     def exists(self) -> bool:
         return self.fs.exists(self.path)
 
+    @property
+    def local(self) -> bool:
+        return self.fs.getUri().getScheme() == "file"
+
+    def touch(self) -> None:
+        self.fs.create(self.path).close()
+
     def delete(self) -> None:
         self.fs.delete(self.path, True)
 

@@ -51,6 +51,47 @@ def test_directory_chunks(spark, sf):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_texts_are_files_of_their_own(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("A", 1, b"x\r\ny"), ("A", 1, b"\xff\x00z"), ("B", 2, b""), ("B", 3, None), (None, 4, "é".encode())], "ticker string, n int, content binary")
+    files.write_texts(rows, str(tmp_path / "own folder"), ["ticker", "n"], "content")
+    held = sorted((str(p.parent.relative_to(tmp_path / "own folder")), p.read_bytes()) for p in (tmp_path / "own folder").rglob("*.txt"))
+    assert held == [("ticker=A/n=1", b"x\r\ny\n"), ("ticker=A/n=1", b"\xff\x00z\n"), ("ticker=B/n=2", b"\n"), ("ticker=B/n=3", b"\n"), ("ticker=__HIVE_DEFAULT_PARTITION__/n=4", "é\n".encode())]
+    assert {p.name for p in (tmp_path / "own folder").rglob(".*")} <= {"._SUCCESS.crc"} and (tmp_path / "own folder" / "_SUCCESS").exists()
+    (tmp_path / "own folder" / "empty.txt").touch()
+    (tmp_path / "own folder" / "marked.txt").write_bytes(b"\xef\xbb\xbfa\r\n\n")
+    source = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(str(tmp_path / "own folder"), wholetext=True).selectExpr("_metadata.file_path as path", "value as text")
+    got, plain = (sorted((r.path, bytes(r.b)) for r in x.selectExpr("path", "cast(text as binary) as b").collect()) for x in (files.read_texts(spark, str(tmp_path / "own folder")), source))
+    assert got == plain and len(got) == 6
+    files.write_texts(rows.limit(0), str(tmp_path / "none"), ["ticker", "n"], "content")
+    assert files.read_texts(spark, str(tmp_path / "none")).count() == 0
+    monkeypatch.setattr(files.Stored, "local", False)  # Spark's sink
+    files.write_texts(rows.selectExpr("ticker", "n", "decode(content, 'ISO-8859-1') as text").where("n = 3"), str(tmp_path / "sink"), ["ticker", "n"], "text")
+    assert [r.text for r in files.read_texts(spark, str(tmp_path / "sink")).collect()] == ["\n"]
+
+
+def test_pages_of_one_number_are_filings_of_their_own(spark, tmp_path):
+    spark.createDataFrame([(7, "u", "one"), (7, "u", "two"), (8, "u", "three")], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, catalog.queries()["filing_texts"](spark, str(tmp_path)).collect()))
+    assert got == [("000000000007", "one\n"), ("000000000007", "two\n"), ("000000000008", "three\n")]
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"T/{i}").mkdir(parents=True)
+        (tmp_path / f"T/{i}/a.txt").write_text(str(i))
+    sc, key, group = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism", uuid.uuid4().hex
+    before = spark.conf.get(key)
+    sc.setJobGroup(group, "listing")
+    try:
+        rows = files.read_texts(spark, str(tmp_path))
+    finally:
+        sc.setJobGroup("rest", "rest")
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+    tasks = [sc.statusTracker().getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
+    assert tasks and max(tasks) <= 4 * sc.defaultParallelism
+    assert spark.conf.get(key) == before and {r.text for r in rows.collect()} == {str(i) for i in range(60)}
+
+
 def test_half_written_files_are_written_again(spark, sf):
     calls, what = [], f"half-{uuid.uuid4().hex}"
 
