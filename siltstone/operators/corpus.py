@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -98,7 +99,8 @@ def split_text(text: str | None, size: int = CHUNK_CHARS, overlap: int = CHUNK_O
         return []
     at = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
     out: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
+    chars = 0  # of what is held
 
     def emit() -> None:
         if chunk := "".join(held).strip():
@@ -107,14 +109,16 @@ def split_text(text: str | None, size: int = CHUNK_CHARS, overlap: int = CHUNK_O
     for piece in _pieces(text, separators[at]):
         if len(piece) > size and at + 1 < len(separators):
             emit()
-            held = []
+            held.clear()
+            chars = 0
             out += split_text(piece, size, overlap, separators[at + 1 :])
             continue
-        if held and sum(map(len, held)) + len(piece) > size:
+        if held and chars + len(piece) > size:
             emit()
-            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(piece) > size):
-                held.pop(0)
+            while held and (chars > overlap or chars + len(piece) > size):
+                chars -= len(held.popleft())
         held.append(piece)
+        chars += len(piece)
     emit()
     return out
 

@@ -1,5 +1,7 @@
 """Expressions on rows of our own."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +24,13 @@ def test_split_text_keeps_all_and_stays_small():
     assert C.split_text("a" * 1000)[0] == "a" * 512
 
 
+def test_split_text_takes_time_in_proportion():
+    began = time.process_time()
+    chunks = C.split_text("x " * 40_000, size=60_000, overlap=20_000)
+    assert time.process_time() - began < 2  # some 20 seconds where what is held was summed for each piece
+    assert [len(c) for c in chunks] == [59_999, 40_000 - 1] and set("".join(chunks)) == {"x", " "}
+
+
 def test_html_text_skips_scripts():
     assert C.html_text("<p>a &amp; b</p><script>x('</p>')</script><style>y</style><p>c") == "a & b\nc"
     assert C.html_text(None) is None
